@@ -20,6 +20,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -136,7 +137,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             n = b.num_rows
             at = np.arange(ord_, ord_ + n)
             yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int8()), pa.array((at + part) % slots, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(at), b.column(0), pa.array(data, pa.binary()), pa.nulls(n, pa.list_(pa.binary()))], fields)
-            ord_, size = ord_ + n, size + pa.compute.sum(pa.compute.binary_length(b.column(1))).as_py() if n and b.column(1).null_count < n else size
+            ord_, size = ord_ + n, size + pc.sum(pc.binary_length(b.column(1))).as_py() if n and b.column(1).null_count < n else size
             if size >= BLOCK_BYTES:
                 yield from block_words(block)
                 number, size, blocks = {}, 0, blocks + 1

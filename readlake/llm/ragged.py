@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 SLICE_BYTES = 4 << 20
@@ -61,6 +62,9 @@ class Texts:
         if column.null_count:
             column = column.fill_null("")
         self.n = len(column)
+        if not self.n:
+            self.data, self.offsets = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+            return
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + self.n + 1]
         data = column.buffers()[2]
         self.data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
@@ -80,22 +84,24 @@ class Texts:
             ends = np.sort(np.concatenate([ends, cuts]))
         return starts, ends, np.searchsorted(self.offsets, starts, "right") - 1
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, data: np.ndarray | None = None) -> np.ndarray:
-        """A hash of the bytes of each span; spans lie in order and don't overlap."""
-        data = self.data if data is None else data
-        lengths = ends - starts
-        if not len(starts):
-            return np.zeros(0, U64)
-        at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        flat = data[at + np.repeat(starts, lengths)]
-        full = lengths > 0
-        out = np.zeros(len(starts), U64)
-        with np.errstate(over="ignore"):
-            values = _BYTES[flat] * powers(int(lengths.max()) or 1)[at]
-            if full.any():
-                firsts = (np.cumsum(lengths) - lengths)[full]
-                out[full] = np.add.reduceat(values, firsts)
-            return mix(out + lengths.astype(U64))
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return span_hashes(self.data, starts, ends)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span (start, end)."""
+    lengths = ends - starts
+    out = np.zeros(len(starts), U64)
+    if not len(starts):
+        return out
+    firsts = np.cumsum(lengths) - lengths
+    at = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
+    full = lengths > 0
+    with np.errstate(over="ignore"):
+        values = _BYTES[data[at + np.repeat(starts, lengths)]] * powers(max(1, int(lengths.max())))[at]
+        if full.any():
+            out[full] = np.add.reduceat(values, firsts[full])
+        return mix(out + lengths.astype(U64))
 
 
 #: Bytes that are not space, tab, line feed, vertical tab, form feed or carriage return.
@@ -132,7 +138,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = SLICE_BYT
         if not batch.num_rows:
             continue
         col = batch.column(i)
-        lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         part = (np.cumsum(lengths, dtype=np.int64) - lengths) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):

@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         counter = model(model_path)
         for part in slices(batches, "text"):
             texts = [t or "" for t in part.column(1).to_pylist()]
-            sizes = pa.compute.fill_null(pa.compute.binary_length(part.column(1)), 0).cast(pa.int64())
+            sizes = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(counter.counts(texts), pa.int64())], ["key", "n_bytes", "n_tokens"])
 
     out = rows.mapInArrow(count, f"key {key}, n_bytes long, n_tokens long")
