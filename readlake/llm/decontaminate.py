@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.ragged import LOWER, Texts, mix, powers, slices, span_hashes
+from readlake.llm.tables import small_batches
 
 #: 0-9, a-z and all bytes of characters beyond ASCII, after A-Z have become a-z.
 IS_WORD = np.zeros(256, bool)
@@ -117,6 +118,7 @@ def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: st
     or wordless item has no window; items with equal windows are all named; repeated rows are
     searched each; other columns are left out; empty tables give empty results or no runs.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     key = rows.schema["key"].dataType.simpleString()
     wanted = patterns(benchmark, width, item_col, item_text_col)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.ragged import mix, slices
+from readlake.llm.tables import small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
@@ -161,6 +162,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     A text that is null or has no letter is `und` with score 0 and no spans; one in a script that no language
     was seen with gets a learned language with score 0. Repeated rows are labelled each.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("key"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
     kept = rows.columns[:-1]
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", lang_pred string, score double, spans array<struct<start int, end int, lang string>>"

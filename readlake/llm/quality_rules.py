@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.ragged import NOT_SPACE, Texts, mix, slices, windows
+from readlake.llm.tables import small_batches
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
@@ -30,6 +31,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null or empty text has zeros; repeated rows are measured each; columns other than id and keep
     are left out; an empty table gives an empty one. Lines and windows are compared by 64-bit hashes.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("key"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
     kept = rows.columns[:-1]
     schema = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{s} long" for s in STATS])
@@ -104,7 +106,7 @@ class DecisionList:
         """False where a rule holds, in order; else true."""
         out = None
         for r in self.rules:
-            out = (out or F).when(F.expr(r.expression()), F.lit(False))
+            out = (F if out is None else out).when(F.expr(r.expression()), F.lit(False))
         return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import byte_bpe, token_counts
+from readlake.llm import byte_bpe, decontaminate, language, pii, quality_rules, token_counts
 from readlake.llm.tables import table
 
 TOKEN_LIMIT = 4096
@@ -31,10 +31,54 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows that no model of languages learns from."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+
+
+def language_model(docs: DataFrame) -> language.Model:
+    seen = docs.where(F.coalesce(~held_out(F.col("doc_id")), F.lit(False)))
+    return language.train(seen, order_by=F.col("doc_id"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language_model(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def overlaps(found: DataFrame) -> DataFrame:
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    stats = quality_rules.statistics(docs)
+    failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
+    return stats.select("doc_id", *quality_rules.STATS, failed.alias("base_failed"), (~failed & rules.kept()).alias("kept"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("pii_spans")
+    base = pii.told(pii.of_kind(spans, *pii.BASE))
+    return found.select("doc_id", *pii.counts(spans), F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.told(spans).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_language": op2_language,
+        "op4_decontamination": op4_decontamination,
+        "op6_quality_rules": op6_quality_rules,
         "op7_token_counts": op7_token_counts,
+        "op8_pii": op8_pii,
     }
 
 

@@ -30,3 +30,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch, as a text may be long; bounds what a Python worker holds at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from readlake.llm.merging import Pairs, merge
 from readlake.llm.ragged import slices
+from readlake.llm.tables import small_batches
 
 MARK = "▁"
 PRE = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -95,6 +96,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     A null text is an empty one and has no tokens; repeated rows are counted each; other columns
     are left out; an empty table gives an empty one. model_path must be readable on executors.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     key = rows.schema["key"].dataType.simpleString()
 
