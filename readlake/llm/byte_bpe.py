@@ -1,8 +1,8 @@
 """Byte-level BPE over whole tables: every distinct word is encoded once (operator 1).
 
 Encoding explodes the texts into pre-tokens. A block is some tens of megabytes of one input split;
-within a block each distinct pre-token gets a number, and a text becomes the packed numbers of its
-pre-tokens in order of position. The distinct pre-tokens of all blocks are shuffled by hash, so
+within a block each distinct pre-token gets a number (the more frequent, the smaller), and a text
+becomes the packed numbers of its pre-tokens in order of position. The distinct pre-tokens of all blocks are shuffled by hash, so
 each is encoded by one task, once; the ids go back to the blocks that hold it, and each block puts
 its texts together again by position. Between the tasks travel only distinct words of a block, never
 a row for each occurrence, so a word that makes up a third of the text is one entry of each block.
@@ -15,8 +15,8 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain, islice
+from functools import cached_property, lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from readlake.llm.merging import Pairs, merge
 from readlake.llm.ragged import slices
-from readlake.llm.tables import partitions
+from readlake.llm.tables import partitions, small_batches
 
-BLOCK_BYTES = 24 << 20
+BLOCK_CHARS = 32 << 20
 LONG_TEXT = 1 << 22
 
 
@@ -52,11 +52,17 @@ class Vocabulary:
         self.bytes_at = np.array([self.number.get(bytes([b]), -1) for b in range(256)], np.int64)
         if (self.bytes_at < 0).any():
             raise ValueError("a byte-level vocabulary has a token for every byte")
-        self.pairs = Pairs(self.number, {t: i for i, t in enumerate(tokens) if len(t) > 1})
+
+    @cached_property
+    def pairs(self) -> Pairs:
+        return Pairs(self.number, {t: i for t, i in self.number.items() if len(t) > 1})
+
+    @cached_property
+    def token_bytes(self) -> pa.Array:
         table = [b""] * (int(self.id_of.max()) + 1)
         for t, i in self.ranks.items():
             table[i] = t
-        self.token_bytes = pa.array(table, pa.binary())
+        return pa.array(table, pa.binary())
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words behind each other, and how many each has. A word that is a token is that token."""
@@ -92,10 +98,54 @@ def _split(pattern, text: str) -> Iterator[str]:
         yield from some
 
 
-#: Rows of the first step. kind 0: a text, its pre-tokens' numbers in data; kind 1: the words of a
-#: block that fall to a slot, with the words' numbers in data.
-_EXPLODED = "kind byte, slot int, block long, ord long, key {key}, data binary, words array<binary>"
-_ENCODED = "kind byte, block long, ord long, key {key}, data binary, ids binary, lengths binary"
+#: Rows of the first step. kind 0: some texts of a block, with the numbers of their pre-tokens in
+#: data and how many each text has in counts; kind 1: the words of a block that fall to a slot, in
+#: ascending order of their numbers, with the words in data, their lengths in counts and the steps
+#: from number to number in steps. ord keeps rows of equal input apart from each other.
+_EXPLODED = "kind byte, slot int, block long, ord long, keys array<{key}>, data binary, counts binary, steps binary"
+_ENCODED = "kind byte, block long, ord long, keys array<{key}>, data binary, counts binary, steps binary"
+FIELDS = ["kind", "slot", "block", "ord", "keys", "data", "counts", "steps"]
+TEXTS_IN_ROW = 128
+
+
+class Block:
+    """Texts of one input split, some tens of megabytes, as numbers of their pre-tokens."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.keys: list = []
+        self.texts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, key, text: str | None, find) -> None:
+        number = self.number
+        self.keys.append(key)
+        self.texts.append(np.fromiter((number.setdefault(w, len(number)) for w in _split(find, text or "")), np.int32))
+        self.size += len(text or "")
+
+    def rows(self, block: int, slots: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        often = np.zeros(len(self.number), np.int64)
+        for t in self.texts:
+            np.add.at(often, t, 1)
+        order = np.argsort(-often, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        for a in range(0, len(self.keys), TEXTS_IN_ROW):
+            some = self.texts[a : a + TEXTS_IN_ROW]
+            yield _row(0, (block + a) % slots, block, a, self.keys[a : a + TEXTS_IN_ROW], pack(rank[np.concatenate(some)]), pack(np.array([len(t) for t in some])), b"", kind)
+        words = [w.encode() for w in self.number]
+        to = np.fromiter((zlib.crc32(w) % slots for w in words), np.int64, len(words))[order]
+        by = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[by], np.arange(slots + 1)).tolist()
+        for s, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):
+            if z > a:
+                held = [words[i] for i in order[by[a:z]].tolist()]
+                yield _row(1, s, block, -1, [], zstandard.compress(b"".join(held), 3), pack(np.array([*map(len, held)])), pack(np.diff(by[a:z], prepend=0)), kind)
+
+
+def _row(kind: int, slot: int, block: int, ord_: int, keys: list, data: bytes, counts: bytes, steps: bytes, key: pa.DataType) -> pa.RecordBatch:
+    values = [pa.array([kind], pa.int8()), pa.array([slot], pa.int32()), pa.array([block], pa.int64()), pa.array([ord_], pa.int64()), pa.array([keys], pa.list_(key)), *(pa.array([x], pa.binary()) for x in (data, counts, steps))]
+    return pa.RecordBatch.from_arrays(values, FIELDS)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,82 +156,53 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     ranks_path must be readable on executors.
     """
     slots = partitions(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     key = rows.schema["key"].dataType.simpleString()
-    fields = ["kind", "slot", "block", "ord", "key", "data", "words"]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern)
-        part, ord_, blocks = TaskContext.get().partitionId(), 0, 0
-        number: dict[str, int] = {}
-        size = 0
-
-        def block_words(block: int) -> Iterator[pa.RecordBatch]:
-            words = np.array(sorted(w.encode() for w in number), object)
-            order = np.fromiter((number[w.decode()] for w in words), np.int64, len(words))
-            to = np.fromiter((zlib.crc32(w) % slots for w in words), np.int64, len(words))
-            by = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[by], np.arange(slots + 1))
-            held = [(s, by[a:b]) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-            n = len(held)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int8()), pa.array([s for s, _ in held], pa.int32()), pa.array([block] * n, pa.int64()), pa.array([-1] * n, pa.int64()), pa.nulls(n, kind), pa.array([pack(order[i]) for _, i in held], pa.binary()), pa.array([words[i].tolist() for _, i in held], pa.list_(pa.binary()))], fields)
-
-        kind = None
-        for b in slices(batches, "text", BLOCK_BYTES // 4):
+        block, number, kind = Block(), TaskContext.get().partitionId() << 32, None
+        for b in slices(batches, "text"):
             kind = b.column(0).type
-            block = part << 32 | blocks
-            data = []
-            for t in b.column(1).to_pylist():
-                data.append(pack(np.fromiter((number.setdefault(w, len(number)) for w in _split(find, t)), np.int64)) if t else None)
-            n = b.num_rows
-            at = np.arange(ord_, ord_ + n)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int8()), pa.array((at + part) % slots, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(at), b.column(0), pa.array(data, pa.binary()), pa.nulls(n, pa.list_(pa.binary()))], fields)
-            ord_, size = ord_ + n, size + pc.sum(pc.binary_length(b.column(1))).as_py() if n and b.column(1).null_count < n else size
-            if size >= BLOCK_BYTES:
-                yield from block_words(block)
-                number, size, blocks = {}, 0, blocks + 1
-        if number:
-            yield from block_words(part << 32 | blocks)
+            for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                block.add(k, t.as_py(), find)
+                if block.size >= BLOCK_CHARS:
+                    yield from block.rows(number, slots, kind)
+                    block, number = Block(), number + 1
+        if block.keys:
+            yield from block.rows(number, slots, kind)
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All rows of some slots. A word is encoded where it is first met and remembered for the other blocks."""
         vocab = vocabulary(ranks_path)
         place: dict[bytes, int] = {}
-        ids, ends = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)]
+        ids, ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         for b in batches:
-            kind, data, words = b.column(0).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist()
-            new = list(dict.fromkeys(w for w in chain.from_iterable(x for x in words if x) if w not in place))
-            if new:
-                out, n = vocab.encode(new)
-                for i, w in enumerate(new, len(place)):
-                    place[w] = i
-                ids.append(out.astype("<u4"))
-                ends.append(ends[-1][-1] + np.cumsum(n))
-                ids, ends = [np.concatenate(ids)], [np.concatenate(ends)] if len(ends) > 1 else ends
-            got, lens = [], []
-            for k, w in zip(kind, words, strict=True):
-                if k:
-                    at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
-                    flat, n = take(ids[0], ends[0], at)
-                    got.append(pack(flat))
-                    lens.append(pack(n))
-                else:
-                    got.append(None)
-                    lens.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(data, pa.binary()), pa.array(got, pa.binary()), pa.array(lens, pa.binary())], ["kind", "block", "ord", "key", "data", "ids", "lengths"])
+            data, counts = b.column(5).to_pylist(), b.column(6).to_pylist()
+            for i, kind in enumerate(b.column(0).to_pylist()):
+                if not kind:
+                    continue
+                joined, cuts = zstandard.decompress(data[i]), np.cumsum(unpack(counts[i]), dtype=np.int64).tolist()
+                words = [joined[a:z] for a, z in zip([0, *cuts], cuts, strict=False)]
+                new = [w for w in words if w not in place]
+                if new:
+                    out, n = vocab.encode(new)
+                    place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+                    ids, ends = np.concatenate([ids, out.astype(np.uint32)]), np.concatenate([ends, ends[-1] + np.cumsum(n)])
+                flat, n = take(ids, ends, np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
+                data[i], counts[i] = pack(flat), pack(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(data, pa.binary()), pa.array(counts, pa.binary()), b.column(7)], [f for f in FIELDS if f != "slot"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole blocks behind each other, a block's words before its texts."""
         block, found, ids, ends = None, [], None, None
         for b in batches:
-            out_key, out = [], []
-            columns = [b.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)]
-            for kind, of, k, data, got, lens in zip(*columns, strict=True):
+            for kind, of, keys, data, counts, steps in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)), strict=True):
                 if of != block:
                     block, found, ids = of, [], None
                 if kind:
-                    found.append((unpack(data), unpack(got), unpack(lens)))
+                    found.append((np.cumsum(unpack(steps), dtype=np.int64), unpack(data), unpack(counts)))
                     continue
                 if ids is None and found:
                     number, flat, n = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -190,13 +211,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     back[number] = np.arange(len(number))
                     ids, n = take(flat, edges, back)
                     ends, found = np.r_[0, np.cumsum(n, dtype=np.int64)], []
-                out_key.append(k)
-                out.append(take(ids, ends, unpack(data).astype(np.int64))[0] if data is not None else np.zeros(0, np.uint32))
-                if sum(map(len, out[-64:])) > 1 << 20 or len(out) >= 512:
-                    yield ids_batch(b.column(3).type, out_key, out)
-                    out_key, out = [], []
-            if out:
-                yield ids_batch(b.column(3).type, out_key, out)
+                tokens, each = unpack(data).astype(np.int64), unpack(counts)
+                cuts = np.r_[0, np.cumsum(each, dtype=np.int64)].tolist()
+                out = [take(ids, ends, tokens[a:z])[0] if z > a else np.zeros(0, np.uint32) for a, z in zip(cuts, cuts[1:], strict=False)]
+                yield ids_batch(b.schema.field("keys").type.value_type, keys, out)
 
     def ids_batch(kind: pa.DataType, keys: list, out: list[np.ndarray]) -> pa.RecordBatch:
         offsets = np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int32)
@@ -205,7 +223,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     exploded = rows.mapInArrow(explode, _EXPLODED.format(key=key))
     encoded = exploded.repartition(slots, "slot").mapInArrow(encode_words, _ENCODED.format(key=key))
-    blocks = encoded.repartition(slots, "block").sortWithinPartitions("block", F.desc("kind"), "ord")
+    blocks = encoded.repartition(slots, "block").sortWithinPartitions("block", F.desc("kind"), "ord")  # the words first
     return blocks.mapInArrow(assemble, f"key {key}, ids array<int>").withColumnRenamed("key", id_col)
 
 
@@ -224,6 +242,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     Joins the table of token bytes, whose size is that of the vocabulary file, by position in each
     task. Null or empty ids give empty bytes; an id that is no token is an error.
     """
+    small_batches(encoded.sparkSession)
     rows = encoded.select(F.col(id_col).alias("key"), F.col(ids_col).alias("ids"))
     key = rows.schema["key"].dataType.simpleString()
 
