@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import byte_bpe, chat, decontaminate, language, pii, quality_rules, token_counts, url_filter
+from readlake.llm import byte_bpe, chat, decontaminate, jaccard, language, pii, quality_rules, token_counts, url_filter
 from readlake.llm.tables import table
 
 TOKEN_LIMIT = 4096
@@ -47,6 +47,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -89,16 +93,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # lies at the top of the repository and uses this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_language": op2_language,
+        "op3_jaccard": op3_jaccard,
         "op4_decontamination": op4_decontamination,
         "op5_chat": op5_chat,
         "op6_quality_rules": op6_quality_rules,
         "op7_token_counts": op7_token_counts,
         "op8_pii": op8_pii,
         "op10_url_filter": op10_url_filter,
+        "pipeline": pipeline,
     }
 
 
