@@ -179,7 +179,7 @@ def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared(packets: DataFrame, slots: int) -> DataFrame:
-    """(g, owner, leader): owners of each signature that several have, and the smallest of them. packets: (slot, data)."""
+    """(g, owner, leader, last, m): owners of each signature that m > 1 have, with the smallest and largest of them. packets: (slot, data)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -207,15 +207,15 @@ def shared(packets: DataFrame, slots: int) -> DataFrame:
         keys, owners = keys[new], owners[new]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         size = np.diff(np.r_[first, len(keys)])
-        leader, size = np.repeat(owners[first], size), np.repeat(size, size)
+        leader, last, size = np.repeat(owners[first], size), np.repeat(owners[first + size - 1], size), np.repeat(size, size)
         keep = size > 1
         g = (keys | U64(slot) << U64(40)).view(np.int64)
         for a in range(0, len(g), 1 << 17):
             k = keep[a : a + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)][k]) for x in (g, owners, leader, size)], ["g", "owner", "leader", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)][k]) for x in (g, owners, leader, last, size)], ["g", "owner", "leader", "last", "m"])
 
     dealt = packets.repartition(slots, "slot").sortWithinPartitions("slot")
-    return dealt.mapInArrow(find, "g long, owner long, leader long, m long")
+    return dealt.mapInArrow(find, "g long, owner long, leader long, last long, m long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:

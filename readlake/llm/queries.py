@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import byte_bpe, chat, decontaminate, jaccard, language, pii, quality_rules, token_counts, url_filter
+from readlake.llm import byte_bpe, chat, decontaminate, jaccard, language, passages, pii, quality_rules, token_counts, url_filter
 from readlake.llm.tables import table
 
 TOKEN_LIMIT = 4096
@@ -85,6 +85,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *pii.counts(spans), F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.told(spans).alias("spans"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeats(table(spark, sf_dir, "documents"))
+    size = F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["start"])
+    spans = F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", size.alias("n_repeated"), F.size("passages").cast("long").alias("n_passages"), spans.alias("passages"))
+
+
 #: (verdict, host/path)
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -109,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": op6_quality_rules,
         "op7_token_counts": op7_token_counts,
         "op8_pii": op8_pii,
+        "op9_passages": op9_passages,
         "op10_url_filter": op10_url_filter,
         "pipeline": pipeline,
     }
