@@ -1,15 +1,404 @@
-"""Every query of the package by name, and its SQL."""
+"""Every query of the package by name, and the same as SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from readlake.functions import sequences as S
+from readlake.operators import accessions, reads, reports, sorting, taxonomy
+from readlake.plans import fixtures as X
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *ctes: str) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL over ctes."""
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = ("with recursive " + ", ".join(ctes) + " " if ctes else "") + sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _tax_text(tax: str = "tax") -> Column:
+    return F.array_join(F.transform(tax, lambda t: F.concat_ws(":", t["taxid"].cast("string"), t["best_score"].cast("string"), t["cnt"].cast("string"))), ",").alias("tax")
+
+
+_LCA = """known as (select r.qname, r.taxid from rt r join nodes n using (taxid) where r.taxid <> 0),
+shared as (select k.qname, l.ancestor, l.depth, count(*) as c from known k join lineage l using (taxid) group by all),
+lcas as (select q.qname, s.lca from (select distinct qname from rt) q left join (
+  select qname, max_by(ancestor, depth) as lca from shared join (select qname, count(*) as n from known group by all) using (qname) where c = n group by all) s using (qname)),
+fam as (select l.taxid, max_by(l.ancestor, l.depth) as family from lineage l join nodes n on n.taxid = l.ancestor where n.rank = 'family' group by all)"""
+
+
+@query("select n.name as family, count(*) as n_reads from lcas join fam on fam.taxid = lcas.lca join nodes n on n.taxid = fam.family group by all", X.SQL_LINEAGE, X.SQL_ALIGNMENTS, _LCA)
+def flagship_family_counts(spark, sf):
+    """Alignments to reads, to their lowest common ancestors, to counts by family."""
+    nodes = X.nodes(spark, sf)
+    hits = reads.taxa_of(X.read_taxa(spark, sf)).select(F.col("qname").alias("name"), "taxid")
+    rows = taxonomy.lca(hits, nodes).where("lca is not null")
+    up = taxonomy.at_rank(nodes, "family").where("at_rank <> 0")
+    named = rows.join(up, rows["lca"] == up["taxid"]).groupBy("at_rank").agg(F.count(F.lit(1)).alias("n_reads"))
+    return named.join(nodes, named["at_rank"] == nodes["taxid"]).select(F.col("name").alias("family"), "n_reads")
+
+
+@query("select taxid, count(*) as n from tali group by all", X.SQL_ALIGNMENTS)
+def joi2_alignment_taxa(spark, sf):
+    return X.read_taxa(spark, sf).groupBy("taxid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select * from rt", X.SQL_ALIGNMENTS)
+def agg1_read_taxa(spark, sf):
+    return reads.taxa_of(X.read_taxa(spark, sf))
+
+
+@query("select qname, cast(-s as integer) as max_score, b.c as cigar, b.f as flag from (select qname, -max(score) as s, arg_min({'c': cigar, 'f': flag}, (-score, ord)) as b from ali where score is not null group by qname)", X.SQL_ALIGNMENTS)
+def agg2_best_hits(spark, sf):
+    return reads.best_hits(X.alignments(spark, sf), "cigar", "flag")
+
+
+@query("select qname, b.c as cigar, b.f as flag from (select qname, arg_min({'c': cigar, 'f': flag}, ord) as b from ali group by qname)", X.SQL_ALIGNMENTS)
+def agg3_first_records(spark, sf):
+    return reads.first_records(X.alignments(spark, sf), "cigar", "flag")
+
+
+def _built(spark, sf):
+    """Reads whose sequence tells the first record and whose match line is null, as the CIGARs here are marks."""
+    rows = X.read_taxa(spark, sf).withColumn("seq", F.col("cigar")).withColumn("qual", F.lit(None).cast("string")).withColumn("md", F.lit(None).cast("string"))
+    return reads.build(rows.withColumn("flag", F.col("flag").bitwiseAND(4)))
+
+
+@query("select r.qname as name, f.c as seq, m.s as max_score, r.tax from (select qname, string_agg(taxid || ':' || best_score || ':' || cnt, ',' order by taxid) as tax from rt group by qname) r join (select qname, arg_min(cigar, ord) as c from ali group by qname) f using (qname) join (select qname, max(score) as s from ali group by qname) m using (qname)", X.SQL_ALIGNMENTS)
+def agg4_reads_built(spark, sf):
+    return _built(spark, sf).select("name", "seq", "max_score", _tax_text())
+
+
+@query("select qname as name, cast(max(score) as integer) as max_score, (select string_agg(x.taxid || ':' || x.best_score || ':' || x.cnt, ',' order by x.taxid) from rt x where x.qname = t.qname) as tax from tali t group by qname", X.SQL_ALIGNMENTS)
+def agg5_merged_reads(spark, sf):
+    """Three files of alignments made to reads apart, then merged."""
+    rows = X.read_taxa(spark, sf).withColumn("seq", F.col("cigar")).withColumn("qual", F.lit(None).cast("string")).withColumn("md", F.lit(None).cast("string"))
+    return reads.merged(*(reads.build(rows.where(F.col("file") == i)) for i in range(3))).select("name", "max_score", _tax_text())
+
+
+_ISLANDS = "parsed as (select *, regexp_extract(accession, '^(.*?)([0-9]*)$', 1) as prefix, cast(regexp_extract(accession, '^(.*?)([0-9]*)$', 2) as bigint) as n from acc)"
+_INTERVALS = _ISLANDS + ", iv as (select prefix, taxid, min(n) as start, count(*) as count from (select *, n - row_number() over (partition by prefix, taxid order by n) as g from (select distinct prefix, n, taxid from parsed)) group by prefix, taxid, g)"
+
+
+@query("select prefix, start, count, taxid from iv", X.SQL_ACCESSIONS, _INTERVALS)
+def agg6_intervals(spark, sf):
+    return accessions.intervals(X.accession_taxa(spark, sf), piece=64)
+
+
+@query("""select prefix, min(n) as start, count(*) as count, any_value(taxid) as taxid from (
+  select *, sum(new) over (partition by prefix order by ord2) as g from (select *, case when lag(taxid) over w = taxid and lag(n) over w + 1 = n then 0 else 1 end as new from (
+  select *, (ord % 5) * 1000000 + ord as ord2 from parsed) window w as (partition by prefix order by ord2))) group by prefix, g""", X.SQL_ACCESSIONS, _ISLANDS)
+def agg6_intervals_in_file_order(spark, sf):
+    """Rows out of the order of their numbers."""
+    rows = X.accession_taxa(spark, sf)
+    return accessions.intervals_in_file_order(rows.withColumn("ord", F.col("ord") % 5 * 1000000 + F.col("ord")))
+
+
+@query("select a.accession || '.1' as accession, coalesce((select arg_min(iv.taxid, (iv.start, iv.taxid)) from iv where iv.prefix = a.prefix and a.n >= iv.start and a.n < iv.start + iv.count), 0) as taxid from (select 'SU' || lpad(cast(s_suppkey as varchar), 6, '0') as accession, 'SU' as prefix, s_suppkey as n from supplier union all select 'PA' || lpad(cast(p_partkey as varchar), 6, '0'), 'PA', p_partkey from part) a", X.SQL_ACCESSIONS, _INTERVALS)
+def joi1_accession_taxa(spark, sf):
+    refs = X.table(spark, sf, "supplier").selectExpr("concat('SU', lpad(cast(s_suppkey as string), 6, '0'), '.1') as accession").unionByName(X.table(spark, sf, "part").selectExpr("concat('PA', lpad(cast(p_partkey as string), 6, '0'), '.1') as accession"))
+    return accessions.with_taxa(refs, accessions.intervals(X.accession_taxa(spark, sf)), piece=64)
+
+
+@query("select rname, regexp_extract(rname, '^(.*?)([0-9]*)(\\.[0-9]+)?$', 1) as prefix, cast(regexp_extract(rname, '^(.*?)([0-9]*)(\\.[0-9]+)?$', 2) as bigint) as n, count(*) as c from ali where rname is not null group by all", X.SQL_ALIGNMENTS)
+def prj5_accession_parts(spark, sf):
+    return accessions.parsed(X.alignments(spark, sf).where("rname is not null"), "rname").groupBy("rname", "prefix", "n").agg(F.count(F.lit(1)).alias("c"))
+
+
+@query("select taxid, ancestor, depth from lineage", X.SQL_LINEAGE)
+def joi7_lineage(spark, sf):
+    return taxonomy.lineage(X.nodes(spark, sf))
+
+
+@query("""select n.*, coalesce(f.family, 0) as family, g.grp from nodes n left join (select l.taxid, max_by(l.ancestor, l.depth) as family from lineage l join nodes x on x.taxid = l.ancestor where x.rank = 'family' group by all) f using (taxid)
+  left join (select l.taxid, case x.name when 'AFRICA' then 'animals' when 'AMERICA' then 'plants' when 'ASIA' then 'fungi' when 'EUROPE' then 'bacteria' else 'archaea' end as grp from lineage l join nodes x on x.taxid = l.ancestor where x.rank = 'kingdom') g using (taxid)""", X.SQL_LINEAGE)
+def tre2_annotated_nodes(spark, sf):
+    return taxonomy.annotated(X.nodes(spark, sf), X.GROUPS)
+
+
+@query("select qname as name, lca from lcas", X.SQL_LINEAGE, X.SQL_ALIGNMENTS, _LCA)
+def tre4_read_lca(spark, sf):
+    return taxonomy.lca(reads.taxa_of(X.read_taxa(spark, sf)).select(F.col("qname").alias("name"), "taxid"), X.nodes(spark, sf))
+
+
+@query("""select l.lca as lca, count(*) as n, max(x.m) as top from lcas l join (select qname, max(score) as m from ali group by qname) x using (qname) group by all""", X.SQL_LINEAGE, X.SQL_ALIGNMENTS, _LCA)
+def tre5_reads_with_lca(spark, sf):
+    rows = reads.with_lca(_built(spark, sf), X.nodes(spark, sf))
+    return rows.groupBy("lca").agg(F.count(F.lit(1)).alias("n"), F.max("max_score").alias("top"))
+
+
+@query("select n.taxid, coalesce(max_by(x.ancestor, x.depth), 0) as at_rank from nodes n left join (select l.* from lineage l join nodes y on y.taxid = l.ancestor and y.rank = 'kingdom') x using (taxid) group by n.taxid", X.SQL_LINEAGE)
+def agg9_at_rank(spark, sf):
+    return taxonomy.at_rank(X.nodes(spark, sf), "kingdom")
+
+
+@query("select n.* from nodes n where taxid in (select ancestor from lineage where taxid in (select taxid from rt where cnt > 2))", X.SQL_LINEAGE, X.SQL_ALIGNMENTS)
+def agg15_used_taxa(spark, sf):
+    return taxonomy.closure(reads.taxa_of(X.read_taxa(spark, sf)).where("cnt > 2"), X.nodes(spark, sf))
+
+
+@query("select taxid from lineage where ancestor = 12", X.SQL_LINEAGE)
+def tre6_subtree(spark, sf):
+    return taxonomy.subtree(X.nodes(spark, sf), 12)
+
+
+@query("select name, seq, lca from seqs where lca in (select taxid from lineage where ancestor = 12)", X.SQL_LINEAGE, X.SQL_SEQUENCES)
+def flt3_extracted_reads(spark, sf):
+    return reads.below(X.sequences(spark, sf), X.nodes(spark, sf), 12).select("name", "seq", "lca")
+
+
+_DUST_SQL = """acgt as (select doc_id, row_number() over (partition by doc_id order by i) - 1 as p, base from letters where base <> 'n'),
+tri as (select doc_id, p, base || lead(base) over w || lead(base, 2) over w as word from acgt window w as (partition by doc_id order by p)),
+near as (select *, count(*) over (partition by doc_id) as n, count(*) over (partition by doc_id, word order by p range between 63 preceding and 1 preceding) as before,
+  count(*) over (partition by doc_id, word order by p range between 1 following and 63 following) as after from tri where word is not null and len(word) = 3),
+sums as (select doc_id, p, n, sum(before) over (partition by doc_id order by p) as b, sum(after) over (partition by doc_id order by p) as a from near),
+worst as (select doc_id, n, max(case when n <= 64 and p = n - 1 then 200 * b / (n * (n - 1.0)) when n > 64 and p >= 64 then 200 * (b - x) / 4032.0 end) as d
+  from (select *, lag(a, 64) over (partition by doc_id order by p) as x from sums) group by all),
+dusts as (select s.*, cast(coalesce(floor(0.5 + case when n > 1 then d end), 0) as integer) as dust from seqs s left join worst using (doc_id))"""
+
+
+@query("select name, dust from dusts", X.SQL_SEQUENCES, _DUST_SQL)
+def fn2_dust(spark, sf):
+    return X.sequences(spark, sf).select("name", S.dust("seq").alias("dust"))
+
+
+@query("select dust, count(*) as n, 100.0 * count(*) / sum(count(*)) over () as percent from dusts group by dust", X.SQL_SEQUENCES, _DUST_SQL)
+def agg12_dust_histogram(spark, sf):
+    return reports.histogram(X.sequences(spark, sf).select(S.dust("seq").alias("dust")), "dust")
+
+
+def _report_sql(where: str) -> str:
+    return f"""select t.taxid as tax_id, t.name as tax_name, t.rank as tax_rank, r.count, r.av_len, r.av_score, r.av_dust, b.gc as av_gc, r.n_c1, r.n_c1_t,
+  case when r.n_c1 > 0 then r.n_c1_t / cast(r.n_c1 as double) else 0.0 end as c_to_t, coalesce(k.hscore, 0) as hscore, t.name as family
+from (select txid, count(*) as count, avg(len(seq)) as av_len, avg(max_score) as av_score, avg(dust) as av_dust, cast(sum(c1) as bigint) as n_c1, cast(sum(ct) as bigint) as n_c1_t
+    from (select d.*, f.txid, case when e.edit = 'C' or (e.edit = '.' and e.base = 'c') then 1 else 0 end as c1, case when e.edit = 'C' and e.base = 't' then 1 else 0 end as ct
+      from dusts d join fam f on f.taxid = d.lca join letters e on e.doc_id = d.doc_id and e.i = 1) group by txid) r
+join (select txid, sum(case when ref in ('C', 'G') then 1 else 0 end) / cast(nullif(sum(case when ref in ('A', 'C', 'G', 'T') then 1 else 0 end), 0) as double) as gc from refs group by txid) b using (txid)
+left join (select txid, cast(floor(1000 * (log2(sum(c)) - sum(c * log2(c)) / sum(c)) / 13 + 1e-9) as integer) as hscore from (
+  select txid, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) as kmer, cast(count(*) as bigint) as c from kmers where regexp_matches(w, '^[ACGT]{{7}}$') group by all) group by txid) k using (txid)
+join nodes t on t.taxid = r.txid {where}"""
+
+
+_REPORT = """fam as (select l.taxid, max_by(l.ancestor, l.depth) as txid from lineage l join nodes n on n.taxid = l.ancestor where n.rank = 'family' group by all),
+refs as (select f.txid, e.doc_id, e.i, upper(case when e.edit = '.' then e.base else e.edit end) as ref from letters e join fam f on f.taxid = e.lca),
+kmers as (select txid, ref || lead(ref) over w || lead(ref, 2) over w || lead(ref, 3) over w || lead(ref, 4) over w || lead(ref, 5) over w || lead(ref, 6) over w as w from refs window w as (partition by doc_id order by i))"""
+
+
+def _report_input(spark, sf):
+    return X.sequences(spark, sf).withColumn("dust", S.dust("seq")), taxonomy.annotated(X.nodes(spark, sf), X.GROUPS)
+
+
+@query(_report_sql(""), X.SQL_LINEAGE, X.SQL_SEQUENCES, _DUST_SQL, _REPORT)
+def agg7_lca_report(spark, sf):
+    return reports.by_taxon(*_report_input(spark, sf), rank="family")
+
+
+@query(_report_sql("where t.parent = (select 10 + r_regionkey from region where r_name = 'ASIA')"), X.SQL_LINEAGE, X.SQL_SEQUENCES, _DUST_SQL, _REPORT)
+def flt1_lca_report_of_group(spark, sf):
+    return reports.by_taxon(*_report_input(spark, sf), rank="family", group="fungi")
+
+
+@query("select n.taxid as tax_id, count(*) as count from seqs s join nodes n on n.taxid = s.lca group by all order by 2 desc, 1 limit 10", X.SQL_LINEAGE, X.SQL_SEQUENCES)
+def top_taxa(spark, sf):
+    return reports.top_taxa(reports.placed(X.sequences(spark, sf), X.nodes(spark, sf)).groupBy(F.col("txid").alias("tax_id")).agg(F.count(F.lit(1)).alias("count")), 10)
+
+
+_SUBST = """pairs as (select case when i <= 15 then 'start' when len - i < 15 then 'end' else 'mid' end as zone, cast(case when i <= 15 then i when len - i < 15 then len - i + 1 else 0 end as integer) as pos,
+  upper(case when edit = '.' then base else edit end) as ref, upper(base) as base from letters),
+subst as (select zone, pos, ref, base, count(*) as n from pairs where ref in ('A', 'C', 'G', 'T') and base in ('A', 'C', 'G', 'T') group by all)"""
+
+
+@query("select * from subst", X.SQL_SEQUENCES, _SUBST)
+def agg10_substitutions(spark, sf):
+    return reports.substitutions(X.sequences(spark, sf))
+
+
+@query("""select zone, pos, case when c > 0 then ct / cast(c as double) else 0.0 end as c_to_t, case when g > 0 then ga / cast(g as double) else 0.0 end as g_to_a, case when t - ct - ga > 0 then (x - ct - ga) / cast(t - ct - ga as double) else 0.0 end as other from (
+  select zone, pos, sum(n) as t, sum(if(ref = 'C', n, 0)) as c, sum(if(ref = 'G', n, 0)) as g, sum(if(ref = 'C' and base = 'T', n, 0)) as ct, sum(if(ref = 'G' and base = 'A', n, 0)) as ga, sum(if(ref <> base, n, 0)) as x from subst group by all)""", X.SQL_SEQUENCES, _SUBST)
+def agg10_damage(spark, sf):
+    return reports.damage(reports.substitutions(X.sequences(spark, sf)))
+
+
+@query("select cast(e as integer) as n_edits, count(*) as n from (select doc_id, sum(if(edit <> '.', 1, 0)) as e from letters group by all) group by all", X.SQL_SEQUENCES)
+def agg10_edits(spark, sf):
+    return reports.edits(X.sequences(spark, sf))
+
+
+_N50 = "sums as (select l, n, sum(n * l) over (order by l) as s, sum(n * l) over () as t from (select len(seq) as l, count(*) as n from seqs group by all))"
+
+
+@query("select cast(sum(n) as bigint) as n, min(l) as min_len, max(l) as max_len, cast(max(t) as double) / sum(n) as mean_len, cast(max(t) as bigint) as tot_len, min(case when 2 * s >= t then l end) as n50 from sums", X.SQL_SEQUENCES, _N50)
+def agg10_lengths(spark, sf):
+    return reports.lengths(X.sequences(spark, sf), F.length("seq"))
+
+
+@query("select max_score, count(*) as n, 100.0 * count(*) / sum(count(*)) over () as percent from seqs group by max_score", X.SQL_SEQUENCES)
+def agg10_scores(spark, sf):
+    return reports.histogram(X.sequences(spark, sf), "max_score")
+
+
+@query("select base, count(*) as n, 100.0 * count(*) / sum(count(*)) over () as percent from letters group by base", X.SQL_SEQUENCES)
+def agg11_composition(spark, sf):
+    return reports.composition(X.sequences(spark, sf))
+
+
+@query("select cast(q as integer) as q, n, 100.0 * n / sum(n) over () as percent, 100.0 * sum(n) over (order by q) / sum(n) over () as cum_percent from (select q, count(*) as n from letters group by q)", X.SQL_SEQUENCES)
+def agg11_qualities(spark, sf):
+    return reports.qualities(X.sequences(spark, sf))
+
+
+_BINS = "bins as (select cast(floor(10 * sqrt(n_chars)) as integer) as bin, count(*) as n, cast(sum(n_chars) as bigint) as tot_len from documents group by all)"
+
+
+@query("select * from bins", _BINS)
+def agg11_length_bins(spark, sf):
+    return reports.length_bins(X.table(spark, sf, "documents"), F.col("n_chars"))
+
+
+@query("select cast(min(bin + 1) * (min(bin + 1) + 1) // 100 as bigint) as n50 from (select bin, sum(tot_len) over (order by bin) as s, sum(tot_len) over () as t from bins) where 2 * s >= t", _BINS)
+def agg11_approximate_n50(spark, sf):
+    return reports.approximate_n50(agg11_length_bins(spark, sf))
+
+
+@query("select cast(last * last // 100 as bigint) as len, cast(sum(n) as bigint) as n from (select n, cast(top - d * ((top - bin) // d) as bigint) as last from (select *, max(bin) over () as top, greatest(1, (max(bin) over () + 1) // 20) as d from bins)) group by all", _BINS)
+def agg11_coarse_length_bins(spark, sf):
+    return reports.coarse_bins(agg11_length_bins(spark, sf))
+
+
+@query("select max(len(name)) as max_length, left(min(name), k) as shared_prefix, k as shared_prefix_length from seqs, (select cast(max(i) as integer) as k from (select a, b, unnest(range(0, len(a) + 1)) as i from (select min(name) as a, max(name) as b from seqs)) where left(a, i) = left(b, i)) group by k", X.SQL_SEQUENCES)
+def fn15_identifiers(spark, sf):
+    return reports.identifiers(X.sequences(spark, sf)).select(F.col("max_length").cast("bigint").alias("max_length"), "shared_prefix", "shared_prefix_length")
+
+
+@query("select count(*) as n_reads, cast(10 as bigint) as max_name_len, max(k) as max_tax from (select qname, count(*) as k from rt group by qname)", X.SQL_ALIGNMENTS)
+def agg13_read_statistics(spark, sf):
+    return reads.statistics(_built(spark, sf)).select("n_reads", "max_name_len", "max_tax")
+
+
+@query("select 'max_name_len' as field, cast(10 as bigint) as actual, cast(11 as bigint) as stored, 'bad' as state union all select 'max_tax', max(k), null, 'missing' from (select qname, count(*) as k from rt group by qname) union all select 'n_reads', count(distinct qname), count(distinct qname), 'ok' from rt", X.SQL_ALIGNMENTS)
+def agg14_validation(spark, sf):
+    """Stored statistics of which one is right, one wrong and one missing."""
+    actual = agg13_read_statistics(spark, sf)
+    return reads.validated(actual, actual.select("n_reads", (F.col("max_name_len") + 1).alias("max_name_len")))
+
+
+@query("select name, reverse(translate(seq, 'acgt', 'tgca')) as rc, reverse(string_agg_q) as q from seqs join (select doc_id, string_agg(chr(cast(33 + q as integer)), '' order by i) as string_agg_q from letters group by doc_id) using (doc_id)", X.SQL_SEQUENCES)
+def prj1_reverse_complement(spark, sf):
+    return X.sequences(spark, sf).select("name", S.reverse_complement(F.col("seq")).alias("rc"), F.reverse("qual").alias("q"))
+
+
+@query("select name, cast(min(i) - 1 as integer) as pos, base, cast(count(*) as integer) as run from (select name, i, base, i - row_number() over (partition by name order by i) as g from letters where base = 'n') group by name, base, g", X.SQL_SEQUENCES)
+def prj3_exceptions(spark, sf):
+    return X.sequences(spark, sf).select("name", F.explode(S.exceptions(F.col("seq"))).alias("e")).select("name", "e.pos", "e.base", "e.run")
+
+
+@query("select name, seq from seqs", X.SQL_SEQUENCES)
+def prj4_exceptions_overlaid(spark, sf):
+    """Sequences with n as a, put right again by their exceptions."""
+    return X.sequences(spark, sf).select("name", S.overlaid(F.translate("seq", "n", "a"), S.exceptions(F.col("seq"))).alias("seq"))
+
+
+@query("select 'p' || l_partkey as zp, cast(l_suppkey as varchar) as zs, count(*) as n from lineitem group by all")
+def prj6_tags(spark, sf):
+    """Tags of alignments taken out by name."""
+    rows = X.table(spark, sf, "lineitem").select(F.create_map(F.lit("ZP"), F.concat(F.lit("p"), "l_partkey"), F.lit("ZS"), F.col("l_suppkey").cast("string")).alias("aux"))
+    return rows.groupBy(F.col("aux")["ZP"].alias("zp"), F.col("aux")["ZS"].alias("zs")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select name, string_agg(if(q >= 30, 'x', '.'), '' order by i) as q from letters group by name", X.SQL_SEQUENCES)
+def fn6_quantised_qualities(spark, sf):
+    return X.sequences(spark, sf).select("name", F.array_join(F.transform(S.quantised(S.phred(F.col("qual"))), lambda q: F.when(q > 0, "x").otherwise(".")), "").alias("q"))
+
+
+@query("select name, translate(seq, 'acgtn', '01234') as digits, replace(upper(seq), 'U', 'T') as text from seqs", X.SQL_SEQUENCES)
+def fn7_conversions(spark, sf):
+    return X.sequences(spark, sf).select("name", S.to_index(F.col("seq")).alias("digits"), S.ambiguous_to_n(F.upper("seq")).alias("text"))
+
+
+@query("select name, string_agg(base, '' order by i) as hoco, cast(count(*) as integer) as runs, string_agg(cast(z as varchar), ',' order by i) as ends from (select name, base, i, coalesce(lead(i) over (partition by name order by i) - 1, len) as z from (select *, lag(base) over (partition by name order by i) as before from letters) where before is null or before <> base) group by name", X.SQL_SEQUENCES)
+def fn8_collapsed(spark, sf):
+    return X.sequences(spark, sf).select("name", S.collapsed(F.col("seq")).alias("hoco"), F.size(S.run_ends(F.col("seq"))).alias("runs"), F.array_join(S.run_ends(F.col("seq")).cast("array<string>"), ",").alias("ends"))
+
+
+@query("select name, seq from seqs", X.SQL_SEQUENCES)
+def fn9_expanded(spark, sf):
+    return X.sequences(spark, sf).select("name", S.expanded(S.collapsed(F.col("seq")), S.run_ends(F.col("seq"))).alias("seq"))
+
+
+_TRIM = "trimmed as (select name, regexp_replace(regexp_replace(seq, '^n+', ''), 'n+$', '') as t from seqs)"
+
+
+@query("select name, cast(k as bigint) as k, c as contig from (select name, unnest(string_split_regex(t, 'n{2,}')) as c, generate_subscripts(string_split_regex(t, 'n{2,}'), 1) - 1 as k from trimmed where t <> '')", X.SQL_SEQUENCES, _TRIM)
+def fn10_contigs(spark, sf):
+    return X.sequences(spark, sf).select("name", F.posexplode(S.contigs(F.col("seq"), 2)).alias("k", "contig")).select("name", F.col("k").cast("bigint").alias("k"), "contig")
+
+
+@query("select name, seq from seqs", X.SQL_SEQUENCES)
+def fn11_scaffolds(spark, sf):
+    """Broken at runs of two and joined again."""
+    return X.sequences(spark, sf).select("name", S.scaffold(S.contigs(F.col("seq"), 2), S.gaps(F.col("seq"), 2)).alias("seq"))
+
+
+@query("select * from (values ('5M', '5', false, '.....'), ('5M', '2A2', false, '..A..'), ('5M', '2A2', true, '..T..'), ('5M', '0C4', true, '....G'), ('2S3M', '3', false, '--...'), ('2M1I2M', '4', false, '..-..'), ('2M1D2M', '2^A2', false, '....'), ('3H4M', '4', false, '....'), ('3M2N3M', '6', false, '......'), ('4M', cast(null as varchar), false, cast(null as varchar))) t(cigar, md, reverse, mline)")
+def fn1_match_lines(spark, sf):
+    rows = [("5M", "5", False), ("5M", "2A2", False), ("5M", "2A2", True), ("5M", "0C4", True), ("2S3M", "3", False), ("2M1I2M", "4", False), ("2M1D2M", "2^A2", False), ("3H4M", "4", False), ("3M2N3M", "6", False), ("4M", None, False)]
+    return spark.createDataFrame(rows, "cigar string, md string, reverse boolean").withColumn("mline", S.mline("cigar", "md", "reverse"))
+
+
+@query("select qname, file, row_number() over (order by qname, file, ord) as place from ali", X.SQL_ALIGNMENTS)
+def srt1_by_name(spark, sf):
+    """Places in the order of names: whole sort, then a number for each row within ranges of names."""
+    from pyspark.sql import Window as W
+
+    rows = sorting.by_name(X.alignments(spark, sf))
+    part = rows.select("qname", "file", "ord", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+    before = part.groupBy("p").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)))
+    numbered = part.withColumn("k", F.row_number().over(W.partitionBy("p").orderBy("i"))).join(F.broadcast(before), "p")
+    return numbered.select("qname", "file", (F.col("k") + F.coalesce("before", F.lit(0))).alias("place"))
+
+
+def _headers(spark, sf):
+    sq = X.table(spark, sf, "supplier").select(F.explode(F.array(*(F.lit(f"f{i}") for i in range(3)))).alias("file"), (2 + F.col("s_suppkey")).alias("ord"), F.lit("@SQ").alias("kind"), F.create_map(F.lit("SN"), F.concat(F.lit("SU"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), F.lit(".1")), F.lit("LN"), (1000 + F.col("s_suppkey")).cast("string")).alias("tags"))
+    rest = spark.sql("""select file, ord, kind, str_to_map(text, ';', '=') as tags from values
+      ('f0', 0L, '@HD', 'SO=coordinate'), ('f1', 0L, '@HD', 'VN=1.5'), ('f0', 1L, '@RG', 'ID=a;SM=x'), ('f1', 1L, '@RG', 'ID=a;SM=y'),
+      ('f0', 900000L, '@PG', 'ID=map;PN=map'), ('f0', 900001L, '@PG', 'ID=sort;PP=map'), ('f1', 900000L, '@PG', 'ID=map;PP=gone'), ('f2', 900000L, '@CO', 'text=note') as t(file, ord, kind, text)""")
+    return sq.where("cast(substr(tags['SN'], 3, 6) as int) % 3 = cast(substr(file, 2, 1) as int) or cast(substr(tags['SN'], 3, 6) as int) % 7 = 0").unionByName(rest)
+
+
+@query("""select 'f' || min(f.i) as file, '@SQ' as kind, 'SU' || lpad(cast(s_suppkey as varchar), 6, '0') || '.1' as name, '' as other from supplier, (values (0), (1), (2)) f(i) where s_suppkey % 3 = f.i or s_suppkey % 7 = 0 group by s_suppkey
+union all select * from (values ('f0', '@HD', 'queryname', '1.6'), ('f0', '@RG', 'a', 'x'), ('f2', '@CO', 'note', '')) t(a, b, c, d)
+union all select f, '@PG', i || '-' || upper(left(md5(f || chr(9) || i), 8)), case when p is null then '' when k then p || '-' || upper(left(md5(f || chr(9) || p), 8)) else p end from (values ('f0', 'map', null, false), ('f0', 'sort', 'map', true), ('f1', 'map', 'gone', false)) t(f, i, p, k)""")
+def set2_united_headers(spark, sf):
+    rows = sorting.united(_headers(spark, sf))
+    t = F.col("tags")
+    return rows.select("file", "kind", F.coalesce(t["SN"], t["ID"], t["SO"], t["text"]).alias("name"), F.coalesce(t["PP"], t["VN"], t["SM"], F.lit("")).alias("other"))
+
+
+@query("select count(*) as n from (select distinct rname from ali where rname is not null)", X.SQL_ALIGNMENTS)
+def agg16_used_references(spark, sf):
+    rows = X.alignments(spark, sf).withColumn("rnext", F.lit("="))
+    return sorting.used_references(sorting.united(_headers(spark, sf)), rows).where("kind = '@SQ'").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select doc_id as row_id, n_chars from documents where doc_id in (0, 5) or (doc_id >= 10 and doc_id < 20)")
+def flt4_slices(spark, sf):
+    return sorting.slices(X.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "n_chars"), [(0, None), (5, None), (10, 20)])
