@@ -18,11 +18,11 @@ def in_reference_space(seq: Column, line: Column) -> Column:
     return F.upper(F.array_join(F.zip_with(F.split(line, ""), F.split(seq, ""), lambda m, s: F.when(m == ".", s).otherwise(m)), ""))
 
 
-def placed(reads: DataFrame, nodes: DataFrame, rank: str | None = None, group: str | None = None) -> DataFrame:
+def placed(reads: DataFrame, nodes: DataFrame, rank: str | None = None, group: str | None = None, up: DataFrame | None = None) -> DataFrame:
     """reads with txid, their lca lifted to the rank; without one, or outside the group, they go."""
     rows = reads.withColumn("txid", F.col("lca"))
     if rank is not None:
-        up = taxonomy.at_rank(nodes, rank).select(F.col("taxid").alias("lca"), F.col("at_rank").alias("txid"))
+        up = taxonomy.at_rank(nodes, rank, up).select(F.col("taxid").alias("lca"), F.col("at_rank").alias("txid"))
         rows = reads.join(up, "lca")
     rows = rows.where("txid is not null and txid <> 0")
     if group is not None:
@@ -46,13 +46,13 @@ def kmer_entropy(rows: DataFrame, key: str = "txid", seq: str = "ref", k: int =
     return sums.select(key, F.floor(1000 * (F.log2("s") - F.col("x") / F.col("s")) / kinds + 1e-9).cast("int").alias("hscore"))
 
 
-def by_taxon(reads: DataFrame, nodes: DataFrame, rank: str | None = None, group: str | None = None) -> DataFrame:
+def by_taxon(reads: DataFrame, nodes: DataFrame, rank: str | None = None, group: str | None = None, up: DataFrame | None = None) -> DataFrame:
     """One row for each taxon: reads, means of length, score, dust and GC, C to T at the first base, hscore, family.
 
     nodes need family and grp (taxonomy.annotated). Reads without lca go; means are exact doubles.
     """
     need(nodes, "taxid", "name", "rank", "family", "grp")
-    rows = placed(reads, nodes, rank, group).withColumn("ref", in_reference_space(F.col("seq"), F.col("mline")))
+    rows = placed(reads, nodes, rank, group, up).withColumn("ref", in_reference_space(F.col("seq"), F.col("mline")))
     first, base = F.substring("ref", 1, 1), F.upper(F.substring("seq", 1, 1))
     edit = F.substring("mline", 1, 1)
     counted = [F.length("ref") - F.length(F.translate("ref", b, "")) for b in ("A", "C", "G", "T")]

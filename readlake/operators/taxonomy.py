@@ -7,46 +7,53 @@ number of joins that is the logarithm of the tree's depth.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.schemas import need
+from readlake.session import cut
 
 #: Names of the groups' seed taxa and of the groups.
 SEEDS = {"Metazoa": "animals", "Embryophyta": "plants", "Fungi": "fungi", "Bacteria <bacteria>": "bacteria", "Archaea": "archaea"}
+#: Longer paths are taken for cycles.
+MOST_DEEP = 1 << 12
+
 
+def paths(nodes: DataFrame) -> DataFrame:
+    """(taxid, path): the taxon, its parent and so on up to a root or to a parent that is no node.
 
-def paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(taxid, path): the taxon, its parent and so on up to a root or to a parent that is no node."""
+    Each round doubles what is known of the paths and cuts the lineage, so the plan stays as small as one
+    join however deep the tree; it ends when no path goes on. Operators take the result as `up`, to share it.
+    """
     need(nodes, "taxid", "parent")
-    up = nodes.select("taxid", F.array("taxid").alias("path"), F.when(F.col("parent") != F.col("taxid"), F.col("parent")).alias("next"))
-    for _ in range(math.ceil(math.log2(max_depth))):
+    up = cut(nodes.select("taxid", F.array("taxid").alias("path"), F.when(F.col("parent") != F.col("taxid"), F.col("parent")).alias("next")))
+    while not up.where("next is not null").isEmpty():
         above = up.select(F.col("taxid").alias("next"), F.col("path").alias("more"), F.col("next").alias("after"))
-        up = up.join(above, "next", "left").select("taxid", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"), F.col("after").alias("next"))
+        up = cut(up.join(above, "next", "left").select("taxid", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"), F.col("after").alias("next")))
+        if not up.where(F.size("path") > MOST_DEEP).isEmpty():
+            raise ValueError(f"a path of more than {MOST_DEEP} taxa: the parents go round")
     return up.select("taxid", "path")
 
 
-def lineage(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def lineage(nodes: DataFrame, up: DataFrame | None = None) -> DataFrame:
     """(taxid, ancestor, depth): every ancestor-or-self; depth counts from the root."""
-    up = paths(nodes, max_depth)
+    up = paths(nodes) if up is None else up
     return up.select("taxid", F.size("path").alias("n"), F.posexplode("path").alias("up", "ancestor")).select("taxid", "ancestor", (F.col("n") - 1 - F.col("up")).alias("depth"))
 
 
-def at_rank(nodes: DataFrame, rank: str, max_depth: int = 64) -> DataFrame:
+def at_rank(nodes: DataFrame, rank: str, up: DataFrame | None = None) -> DataFrame:
     """(taxid, at_rank): the nearest ancestor-or-self of the rank; 0 without one."""
     wanted = nodes.where(F.col("rank") == rank).select(F.col("taxid").alias("ancestor"))
-    found = lineage(nodes, max_depth).join(wanted, "ancestor").groupBy("taxid").agg(F.max_by("ancestor", "depth").alias("at_rank"))
+    found = lineage(nodes, up).join(wanted, "ancestor").groupBy("taxid").agg(F.max_by("ancestor", "depth").alias("at_rank"))
     return nodes.select("taxid").join(found, "taxid", "left").select("taxid", F.coalesce("at_rank", F.lit(0)).alias("at_rank"))
 
 
-def annotated(nodes: DataFrame, seeds: dict[str, str] = SEEDS, max_depth: int = 64) -> DataFrame:
+def annotated(nodes: DataFrame, seeds: dict[str, str] = SEEDS, up: DataFrame | None = None) -> DataFrame:
     """nodes with family (nearest of that rank, or 0) and grp (that of the nearest seed, or null)."""
     by_name = F.create_map(*(F.lit(x) for pair in seeds.items() for x in pair))
     marked = nodes.select(F.col("taxid").alias("ancestor"), (F.col("rank") == "family").alias("is_family"), by_name[F.col("name")].alias("seed"))
     marked = marked.where("is_family or seed is not null")
-    found = lineage(nodes, max_depth).join(marked, "ancestor").groupBy("taxid").agg(
+    found = lineage(nodes, up).join(marked, "ancestor").groupBy("taxid").agg(
         F.max_by("ancestor", F.when(F.col("is_family"), F.col("depth"))).alias("family"),
         F.max_by("seed", F.when(F.col("seed").isNotNull(), F.col("depth"))).alias("grp"),
     )
@@ -59,26 +66,26 @@ def common(low: Column, high: Column) -> Column:
     return F.try_element_at(same, F.lit(-1))
 
 
-def lca(taxa: DataFrame, nodes: DataFrame, key: str = "name", max_depth: int = 64) -> DataFrame:
+def lca(taxa: DataFrame, nodes: DataFrame, key: str = "name", up: DataFrame | None = None) -> DataFrame:
     """(key, lca) of the taxa (key, taxid) of each key; null where none is a known node.
 
     Taxon 0 and unknown ones are passed over. The common front of a set of paths is that of its
     least and its greatest one, so a key needs two partial aggregates and no list of its taxa.
     """
-    down = paths(nodes, max_depth).select("taxid", F.reverse("path").alias("path"))
+    down = (paths(nodes) if up is None else up).select("taxid", F.reverse("path").alias("path"))
     known = taxa.where("taxid <> 0").join(down, "taxid", "left")
     ends = known.groupBy(key).agg(F.min("path").alias("low"), F.max("path").alias("high"))
     found = ends.select(key, common(F.col("low"), F.col("high")).alias("lca"))
     return taxa.select(key).distinct().join(found, key, "left")
 
 
-def closure(taxa: DataFrame, nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def closure(taxa: DataFrame, nodes: DataFrame, up: DataFrame | None = None) -> DataFrame:
     """The nodes that the taxa (taxid) and their ancestors make up; 0 and unknown taxa are none."""
-    used = taxa.where("taxid <> 0").select("taxid").distinct().join(paths(nodes, max_depth), "taxid")
+    used = taxa.where("taxid <> 0").select("taxid").distinct().join(paths(nodes) if up is None else up, "taxid")
     wanted = used.select(F.explode("path").alias("taxid")).distinct()
     return nodes.join(wanted, "taxid", "left_semi")
 
 
-def subtree(nodes: DataFrame, root: int, max_depth: int = 64) -> DataFrame:
+def subtree(nodes: DataFrame, root: int, up: DataFrame | None = None) -> DataFrame:
     """(taxid) of the taxon and all below it."""
-    return paths(nodes, max_depth).where(F.array_contains("path", root)).select("taxid")
+    return (paths(nodes) if up is None else up).where(F.array_contains("path", root)).select("taxid")

@@ -51,9 +51,10 @@ def flagship_family_counts(spark, sf):
     """Alignments to reads, to their lowest common ancestors, to counts by family."""
     nodes = X.nodes(spark, sf)
     hits = reads.taxa_of(X.read_taxa(spark, sf)).select(F.col("qname").alias("name"), "taxid")
-    rows = taxonomy.lca(hits, nodes).where("lca is not null")
-    up = taxonomy.at_rank(nodes, "family").where("at_rank <> 0")
-    named = rows.join(up, rows["lca"] == up["taxid"]).groupBy("at_rank").agg(F.count(F.lit(1)).alias("n_reads"))
+    up = taxonomy.paths(nodes)
+    rows = taxonomy.lca(hits, nodes, up=up).where("lca is not null")
+    families = taxonomy.at_rank(nodes, "family", up).where("at_rank <> 0")
+    named = rows.join(families, rows["lca"] == families["taxid"]).groupBy("at_rank").agg(F.count(F.lit(1)).alias("n_reads"))
     return named.join(nodes, named["at_rank"] == nodes["taxid"]).select(F.col("name").alias("family"), "n_reads")
 
 
@@ -203,18 +204,20 @@ refs as (select f.txid, e.doc_id, e.i, upper(case when e.edit = '.' then e.base
 kmers as (select txid, ref || lead(ref) over w || lead(ref, 2) over w || lead(ref, 3) over w || lead(ref, 4) over w || lead(ref, 5) over w || lead(ref, 6) over w as w from refs window w as (partition by doc_id order by i))"""
 
 
-def _report_input(spark, sf):
-    return X.sequences(spark, sf).withColumn("dust", S.dust("seq")), taxonomy.annotated(X.nodes(spark, sf), X.GROUPS)
+def _report(spark, sf, **options):
+    nodes = X.nodes(spark, sf)
+    up = taxonomy.paths(nodes)
+    return reports.by_taxon(X.sequences(spark, sf).withColumn("dust", S.dust("seq")), taxonomy.annotated(nodes, X.GROUPS, up), rank="family", up=up, **options)
 
 
 @query(_report_sql(""), X.SQL_LINEAGE, X.SQL_SEQUENCES, _DUST_SQL, _REPORT)
 def agg7_lca_report(spark, sf):
-    return reports.by_taxon(*_report_input(spark, sf), rank="family")
+    return _report(spark, sf)
 
 
 @query(_report_sql("where t.parent = (select 10 + r_regionkey from region where r_name = 'ASIA')"), X.SQL_LINEAGE, X.SQL_SEQUENCES, _DUST_SQL, _REPORT)
 def flt1_lca_report_of_group(spark, sf):
-    return reports.by_taxon(*_report_input(spark, sf), rank="family", group="fungi")
+    return _report(spark, sf, group="fungi")
 
 
 @query("select n.taxid as tax_id, count(*) as count from seqs s join nodes n on n.taxid = s.lca group by all order by 2 desc, 1 limit 10", X.SQL_LINEAGE, X.SQL_SEQUENCES)
