@@ -88,14 +88,18 @@ def scaffold(pieces: Column, spaces: Column) -> Column:
 
 def exceptions(seq: Column) -> Column:
     """(pos, base, run) of each run of one letter other than A, C, G, T, positions from 0."""
-    runs = F.regexp_extract_all(seq, F.lit(r"(([^ACGTacgt])\2*|[ACGTacgt]+)"), F.lit(1))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,base:string,run:int>>").alias("found"))
-
-    def step(acc: Column, r: Column) -> Column:
-        one = F.struct(acc["at"].alias("pos"), F.substring(r, 1, 1).alias("base"), F.length(r).alias("run"))
-        return F.struct((acc["at"] + F.length(r)).alias("at"), F.when(r.rlike("^[ACGTacgt]"), acc["found"]).otherwise(F.array_append(acc["found"], one)).alias("found"))
-
-    return F.aggregate(runs, empty, step, lambda acc: acc["found"])
+    letters, n = F.split(seq, ""), F.length(seq)
+    nothing = F.array(F.lit(None).cast("string"))
+    beside = F.concat(nothing, F.slice(letters, F.lit(1), F.greatest(n - 1, F.lit(0)))), F.concat(F.slice(letters, F.lit(2), F.greatest(n, F.lit(1))), nothing)
+
+    def edges(other: Column) -> Column:
+        """(letter, place) of letters other than A, C, G, T that differ from the one beside them."""
+        pairs = F.arrays_zip(letters.alias("c"), other.alias("o"))
+        found = F.transform(pairs, lambda x, i: F.when(x["c"].rlike("^[^ACGTacgt]$") & ~x["c"].eqNullSafe(x["o"]), F.struct(x["c"].alias("c"), i.alias("i"))))
+        return F.filter(found, lambda x: x.isNotNull())
+
+    runs = F.zip_with(edges(beside[0]), edges(beside[1]), lambda a, z: F.struct(a["i"].alias("pos"), a["c"].alias("base"), (z["i"] - a["i"] + 1).alias("run")))
+    return F.when(n == 0, F.array().cast("array<struct<pos:int,base:string,run:int>>")).otherwise(runs)
 
 
 def overlaid(seq: Column, found: Column) -> Column:

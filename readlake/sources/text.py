@@ -6,6 +6,7 @@ All read with Spark's own readers, which open compressed files too, so large one
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readlake.operators.taxonomy import annotated
@@ -98,23 +99,25 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 def fastq(spark: SparkSession, path: str) -> DataFrame:
     """(id, description, seq, qual) of FASTQ of four lines each; a record that breaks the format is an error.
 
-    Records are cut before lines that begin with `@` and have a `+` line two below: a file is read by
-    records, never by line number, so it may be split anywhere.
+    Files are cut at lines that begin with `@`. A piece with a `+` line two below begins a record; any other
+    is part of the quality, which may begin with `@` too, of the record before it, perhaps in the block of the
+    file before. Pieces are numbered within blocks, and blocks by how many records begin in them.
     """
-    records = spark.read.option("lineSep", "\n@").text(path).select(F.monotonically_increasing_id().alias("i"), F.regexp_replace("value", "^@", "").alias("value"), F.input_file_name().alias("file"))
-    # a quality line may begin with `@`: what follows it then is no record of its own but the end of the one before
-    whole = records.withColumn("lines", F.split(F.regexp_replace("value", "\n$", ""), "\n"))
-    from pyspark.sql import Window as W
-
-    starts = (F.size("lines") >= 3) & F.get("lines", F.lit(2)).startswith("+")
-    order = W.partitionBy("file").orderBy("i")
-    joined = whole.withColumn("record", F.sum(starts.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    merged = joined.groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]), "\n@").alias("value"))
-    f = F.split(F.regexp_replace("value", "\n$", ""), "\n")
+    at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    pieces = spark.read.option("lineSep", "\n@").text(path).select("value", F.monotonically_increasing_id().alias("i"), *at)
+    lines = F.split(F.regexp_replace("value", "\n$", ""), "\n")
+    begins = (F.size(lines) >= 3) & F.get(lines, F.lit(2)).startswith("+")
+    in_block = W.partitionBy("file", "block").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    counted = pieces.withColumn("begins", begins.cast("int")).withColumn("k", F.sum("begins").over(in_block))
+    before = counted.groupBy("file", "block").agg(F.sum("begins").alias("n")).withColumn("before", F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)))
+    placed = counted.join(before.select("file", "block", F.coalesce("before", F.lit(0)).alias("before")), ["file", "block"]).withColumn("record", F.col("before") + F.col("k"))
+    whole = placed.groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "i", "value"))), lambda x: x["value"]), "\n@").alias("value"))
+    text = F.regexp_replace(F.when(F.col("record") == 1, F.substring("value", F.lit(2), F.length("value"))).otherwise(F.col("value")), "\n$", "")
+    f = F.split(text, "\n")
     ok = (F.size(f) == 4) & (F.length(F.get(f, F.lit(1))) == F.length(F.get(f, F.lit(3))))
-    checked = merged.select(F.when(ok, f).otherwise(F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.substring("value", 1, 80)))).alias("f"))
-    text = F.regexp_extract(F.get("f", F.lit(0)), r"^\S*\s+(.*\S)\s*$", 1)
-    return checked.select(F.regexp_extract(F.get("f", F.lit(0)), r"^(\S*)", 1).alias("id"), F.when(text != "", text).alias("description"), F.get("f", F.lit(1)).alias("seq"), F.get("f", F.lit(3)).alias("qual"))
+    checked = whole.where(text != "").select(F.when(ok, f).otherwise(F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.substring("value", 1, 80)))).alias("f"))
+    told = F.regexp_extract(F.get("f", F.lit(0)), r"^\S*\s+(.*\S)\s*$", 1)
+    return checked.select(F.regexp_extract(F.get("f", F.lit(0)), r"^(\S*)", 1).alias("id"), F.when(told != "", told).alias("description"), F.get("f", F.lit(1)).alias("seq"), F.get("f", F.lit(3)).alias("qual"))
 
 
 def kind_of(first: str) -> str:
