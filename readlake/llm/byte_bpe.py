@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from readlake.llm.merging import Pairs, merge
 from readlake.llm.ragged import slices
-from readlake.llm.tables import partitions, small_batches
+from readlake.llm.tables import lean, partitions, small_batches
 
 BLOCK_CHARS = 32 << 20
 LONG_TEXT = 1 << 22
@@ -221,10 +221,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out).astype(np.int32)))
         return pa.RecordBatch.from_arrays([pa.array(keys, kind), lists], ["key", "ids"])
 
-    exploded = rows.mapInArrow(explode, _EXPLODED.format(key=key))
-    encoded = exploded.repartition(slots, "slot").mapInArrow(encode_words, _ENCODED.format(key=key))
+    exploded = rows.mapInArrow(lean(explode), _EXPLODED.format(key=key))
+    encoded = exploded.repartition(slots, "slot").mapInArrow(lean(encode_words), _ENCODED.format(key=key))
     blocks = encoded.repartition(slots, "block").sortWithinPartitions("block", F.desc("kind"), "ord")  # the words first
-    return blocks.mapInArrow(assemble, f"key {key}, ids array<int>").withColumnRenamed("key", id_col)
+    return blocks.mapInArrow(lean(assemble), f"key {key}, ids array<int>").withColumnRenamed("key", id_col)
 
 
 def take(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +251,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([decoded(table, ids.values) for ids in b.column(1)], pa.binary())], ["key", "ids", "decoded"])
 
-    return rows.mapInArrow(join, f"key {key}, ids array<int>, decoded binary").withColumnsRenamed({"key": id_col, "ids": ids_col})
+    return rows.mapInArrow(lean(join), f"key {key}, ids array<int>, decoded binary").withColumnsRenamed({"key": id_col, "ids": ids_col})
 
 
 def decoded(table: pa.Array, ids: pa.Array | None) -> bytes:

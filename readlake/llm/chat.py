@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.tables import partitions, small_batches
+from readlake.llm.tables import lean, partitions, small_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
@@ -107,7 +107,7 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
         if held:
             yield piece()
 
-    return rows.mapInArrow(pieces, f"key {key}, piece int, formatted string, n_turns long, loss array<struct<start int, end int>>").withColumnRenamed("key", id_col)
+    return rows.mapInArrow(lean(pieces), f"key {key}, piece int, formatted string, n_turns long, loss array<struct<start int, end int>>").withColumnRenamed("key", id_col)
 
 
 def read_back(pieces: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -145,4 +145,4 @@ def read_back(pieces: DataFrame, id_col: str = "conv_id") -> DataFrame:
         if now:
             yield told()
 
-    return rows.mapInArrow(read, f"key {key}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("key", id_col)
+    return rows.mapInArrow(lean(read), f"key {key}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("key", id_col)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.ragged import LOWER, Texts, mix, powers, slices, span_hashes
-from readlake.llm.tables import small_batches
+from readlake.llm.tables import lean, small_batches
 
 #: 0-9, a-z and all bytes of characters beyond ASCII, after A-Z have become a-z.
 IS_WORD = np.zeros(256, bool)
@@ -53,7 +53,7 @@ def patterns(benchmark: DataFrame, width: int = WIDTH, id_col: str = "item_id",
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([item] * len(found)), pa.array([f.decode() for f in found]), pa.array([m] * len(found), pa.int32())], ["item", "pattern", "m"])
 
-    return rows.mapInArrow(cut, "item string, pattern string, m int").groupBy("pattern", "m").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return rows.mapInArrow(lean(cut), "item string, pattern string, m int").groupBy("pattern", "m").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 class Searcher:
@@ -174,4 +174,4 @@ def _searched(rows: DataFrame, held: list[tuple[bytes, int, list[str]]], key: st
             yield pa.RecordBatch.from_arrays([*out.values()], [*out])
 
     text = "" if last else "text string, "
-    return rows.mapInArrow(find, f"key {key}, {text}n_words long, runs array<struct<start int, end int>>, items array<string>")
+    return rows.mapInArrow(lean(find), f"key {key}, {text}n_words long, runs array<struct<start int, end int>>, items array<string>")

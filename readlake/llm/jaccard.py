@@ -10,9 +10,10 @@ than needed by a margin, and sets with more empty parts than that are paired amo
 the shingles of their prefix (any two similar sets share one of the first of an order).
 
 Equal sets are one from the start, so copies cost nothing. Sets that share a signature are compared
-with one of them first, in stars; only where a group still falls into several components are
-the others compared too, pruned by a bound from small histograms. All links between different
-components are found, and no group is expanded into all its pairs.
+with one of them first, the one that shares most. Where a group still falls into several components,
+each set is compared with the one of another component that small histograms say is nearest, and so on until
+nothing more grows together; then what the histograms' bound still allows between components is compared,
+so no link between components is lost, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from readlake.llm.components import components
 from readlake.llm.ragged import LOWER, NOT_SPACE, U64, Texts, mix, powers, slices, stream, windows
-from readlake.llm.tables import cut, partitions, small_batches
+from readlake.llm.tables import cut, lean, partitions, sized, small_batches, stored
 
 WIDTH = 5
 #: Similar: NEED * |A and B| >= ... as integers, 100 * intersection >= 80 * union.
@@ -36,7 +37,7 @@ NEED, OF = 80, 100
 GROWTH = OF / NEED
 MARGIN = 1.12
 CELLS = 128
-BLOCK = 4096
+BLOCK = 1024
 _SEEDS = stream(3, 8)
 
 
@@ -179,7 +180,7 @@ def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared(packets: DataFrame, slots: int) -> DataFrame:
-    """(g, owner, leader, last, m): owners of each signature that m > 1 have, with the smallest and largest of them. packets: (slot, data)."""
+    """(g, owner, leader, last, m): owners of each signature that m > 1 have, with a leader among them and the largest. packets: (slot, data)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -207,7 +208,13 @@ def shared(packets: DataFrame, slots: int) -> DataFrame:
         keys, owners = keys[new], owners[new]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         size = np.diff(np.r_[first, len(keys)])
-        leader, last, size = np.repeat(owners[first], size), np.repeat(owners[first + size - 1], size), np.repeat(size, size)
+        last, size = np.repeat(owners[first + size - 1], size), np.repeat(size, size)
+        # the leader is who shares most with others here: the text that a family of copies was made from shares with all of them
+        names, place = np.unique(owners, return_inverse=True)
+        share = np.bincount(place, np.where(size > 1, size, 0), len(names))[place] if len(names) else np.zeros(0)
+        number = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))
+        ranked = np.lexsort((owners, -share, number))
+        leader = owners[ranked[first]][number] if len(first) else owners
         keep = size > 1
         g = (keys | U64(slot) << U64(40)).view(np.int64)
         for a in range(0, len(g), 1 << 17):
@@ -215,7 +222,7 @@ def shared(packets: DataFrame, slots: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)][k]) for x in (g, owners, leader, last, size)], ["g", "owner", "leader", "last", "m"])
 
     dealt = packets.repartition(slots, "slot").sortWithinPartitions("slot")
-    return dealt.mapInArrow(find, "g long, owner long, leader long, last long, m long")
+    return dealt.mapInArrow(lean(find), "g long, owner long, leader long, last long, m long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -252,25 +259,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             found = list(pack_keys(*signatures(values, edges, sid[new]), slots))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], ["slot", "data"])
 
-    measured = cut(rows.mapInArrow(measure, f"id {key}, n long, sid long, hist binary"))
-    sets = measured.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hist").alias("hist"))
-    groups = cut(shared(rows.mapInArrow(sign, "slot int, data binary"), slots))
+    measured = cut(rows.mapInArrow(lean(measure), f"id {key}, n long, sid long, hist binary"))
+    sets = cut(measured.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hist").alias("hist")))
+    groups = stored(shared(rows.mapInArrow(lean(sign), "slot int, data binary"), slots).drop("last"))
 
     best = groups.where("owner <> leader").groupBy("leader", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("owner").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
-    tested = cut(best.select(F.col("leader").alias("a"), F.col("owner").alias("b")))
+    tested = cut(best.select(F.least("leader", "owner").alias("a"), F.greatest("leader", "owner").alias("b")).distinct())
     links = cut(linked(pruned(tested, sets), sets, rows, width))
-    for stars in (True, False):
-        mixed = split_groups(groups, links)
-        if stars:
-            pairs = mixed.where("owner <> leader and label <> leader_label").select(F.col("leader").alias("a"), F.col("owner").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-            pairs = pruned(pairs, sets)
-        else:
-            pairs = crossed(mixed.where("m > 2"), sets).join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            continue
-        tested = tested.unionByName(pairs)
-        links = cut(links.unionByName(linked(pairs, sets, rows, width)))
+    nearest: int | None = 1
+    while True:
+        pairs = cut(crossed(groups, components(links), sets, nearest).join(tested, ["a", "b"], "left_anti"))
+        found = cut(linked(pairs, sets, rows, width)) if not pairs.isEmpty() else None
+        if nearest is None and found is None:
+            break
+        if found is not None:
+            tested, links = tested.unionByName(pairs), links.unionByName(found)
+        if found is None or found.isEmpty():
+            nearest = None  # what is left, if anything, is compared without a choice
     parts = components(links)
     named = sets.select("sid", "id").join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -279,62 +284,112 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def split_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """Groups whose owners lie in several components so far, with the component of each owner and of the leader."""
-    parts = components(links)
-    named = groups.join(parts.select(F.col("node").alias("owner"), F.col("component").alias("label")), "owner", "left").withColumn("label", F.coalesce("label", "owner"))
-    mixed = named.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("owner") == F.col("leader"), F.col("label"))).alias("leader_label")).where("low <> high")
-    return named.join(mixed.select("g", "leader_label"), "g")
+def labelled(groups: DataFrame, parts: DataFrame) -> DataFrame:
+    """groups with the component so far of each owner (label) and of its group's leader (leader_label)."""
+    parts = sized(cut(parts))
+    for of, label in (("owner", "label"), ("leader", "leader_label")):
+        groups = groups.join(parts.select(F.col("node").alias(of), F.col("component").alias(label)), of, "left").withColumn(label, F.coalesce(label, of))
+    return groups
+
+
+def of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets that pairs name."""
+    return sets.join(sized(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "sid", "left_semi")
 
 
 def pruned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and histograms allow that they are similar."""
+    some = of_pairs(pairs, sets)
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("hist").alias(f"h_{side}")), side)
+        pairs = pairs.join(some.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("hist").alias(f"h_{side}")), side)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("h_a", "h_b")]
             n = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
-            ok = pa.array(np.abs(h[0] - h[1]).sum(1) <= most_differences(n))
-            yield b.select(["a", "b"]).filter(ok)
+            yield b.select(["a", "b"]).filter(pa.array(np.abs(h[0] - h[1]).sum(1) <= most_differences(n)))
 
     small = pairs.where(f"least(n_a, n_b) * {OF} >= greatest(n_a, n_b) * {NEED}")
-    return small.mapInArrow(prune, "a long, b long")
+    return cut(small.mapInArrow(lean(prune), "a long, b long"))
 
 
-def crossed(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of owners of one group and different components that sizes and histograms allow.
+def crossed(groups: DataFrame, parts: DataFrame, sets: DataFrame, nearest: int | None) -> DataFrame:
+    """Pairs (a < b) of owners of one group and different components that sizes and histograms allow.
 
-    A group is compared block with block, so that no task holds more than two blocks of it.
+    Only groups that still fall into several components. With nearest, each owner is paired with that many
+    at most, those with the nearest histograms: as components grow together by these, few pairs are
+    left for a round without. A group is compared block with block, so that no task holds more than two
+    blocks of it, and many small groups at once.
     """
+    named = labelled(groups, parts)
+    open_ = named.where("label <> leader_label").select("g").distinct()
     blocks = F.ceil(F.col("m") / BLOCK).cast("long")
-    rows = mixed.join(sets.select(F.col("sid").alias("owner"), "n", "hist"), "owner").withColumn("block", F.pmod(F.xxhash64("owner"), blocks))
+    rows = named.join(open_, "g", "left_semi").join(sets.select(F.col("sid").alias("owner"), "n", "hist"), "owner").withColumn("block", F.pmod(F.xxhash64("owner"), blocks))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "owner", "label", "n", "hist")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches)
-        if not t.num_rows:
-            return
-        owner, label, n, block = (t.column(c).to_numpy() for c in ("owner", "label", "n", "block"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        h = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
-        for x in range(len(owner)):
-            y = np.flatnonzero((owner > owner[x]) & (label != label[x]) & (np.minimum(n, n[x]) * OF >= np.maximum(n, n[x]) * NEED))
-            if i != j:
-                y = y[block[y] != block[x]]
-            y = y[np.abs(h[y] - h[x]).sum(1) <= most_differences(n[y] + n[x])]
-            if len(y):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), owner[x])), pa.array(owner[y])], ["a", "b"])
-
-    return rows.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 1 << 15:
+                t = pa.Table.from_batches(held)
+                last = group_numbers(t)
+                end = int(np.searchsorted(last, last[-1]))  # the last group may go on
+                yield from pairs_within(t.slice(0, end), nearest)
+                held = t.slice(end).to_batches()
+        if held:
+            yield from pairs_within(pa.Table.from_batches(held), nearest)
+
+    dealt = rows.repartition(partitions(groups.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", "owner")
+    return dealt.mapInArrow(lean(compare), "a long, b long").distinct()
+
+
+def group_numbers(t: pa.Table) -> np.ndarray:
+    keys = [t.column(c).to_numpy() for c in ("g", "i", "j")]
+    new = np.zeros(t.num_rows, bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.cumsum(new)
+
+
+def pairs_within(t: pa.Table, nearest: int | None, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole groups that may be similar, some rows' pairs after the other."""
+    if not t.num_rows:
+        return
+    group = group_numbers(t)
+    after = np.searchsorted(group, group, "right") - np.arange(t.num_rows) - 1
+    owner, label, n, block, i, j = (t.column(c).to_numpy() for c in ("owner", "label", "n", "block", "i", "j"))
+    h = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+    part = (np.cumsum(after) - after) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), t.num_rows]
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        many = after[a:z]
+        x = np.repeat(np.arange(a, z), many)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+        ok = (label[x] != label[y]) & (np.minimum(n[x], n[y]) * OF >= np.maximum(n[x], n[y]) * NEED) & ((i[x] == j[x]) | (block[x] != block[y]))
+        x, y = x[ok], y[ok]
+        pair = np.unique(np.stack([owner[x], owner[y]]), axis=1, return_index=True)[1]  # the same two may share many groups
+        x, y = x[pair], y[pair]
+        far = np.zeros(len(x), np.int64)
+        for s in range(0, len(x), 1 << 16):
+            u, v = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
+            far[s : s + (1 << 16)] = np.abs(h[u] - h[v]).sum(1)
+        near = far <= most_differences(n[x] + n[y])
+        x, y, far = x[near], y[near], far[near]
+        if nearest is not None and len(x):
+            order = np.lexsort((owner[y], far, x))
+            x, y = x[order], y[order]
+            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            rank = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
+            x, y = x[rank < nearest], y[rank < nearest]
+        yield pa.RecordBatch.from_arrays([pa.array(owner[x]), pa.array(owner[y])], ["a", "b"])
 
 
 def linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) that are similar, by their whole sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "id"), "sid")
-    texts = rows.join(wanted.select(F.col("id").alias("wanted_id"), "sid"), F.col("id").eqNullSafe(F.col("wanted_id"))).select("sid", "text")
+    wanted = of_pairs(pairs, sets).select("sid", "id")
+    texts = texts_of(rows, wanted, "sid")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -343,7 +398,7 @@ def linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int) -> Da
             data = [values[a:z].tobytes() for a, z in zip(edges[:-1][right].tolist(), edges[1:][right].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(right)), pa.array(data, pa.binary())], ["sid", "elements"])
 
-    held = cut(texts.mapInArrow(elements, "sid long, elements binary").dropDuplicates(["sid"]))
+    held = cut(texts.mapInArrow(lean(elements), "sid long, elements binary").dropDuplicates(["sid"]))
     for side in ("a", "b"):
         pairs = pairs.join(held.select(F.col("sid").alias(side), F.col("elements").alias(f"e_{side}")), side)
 
@@ -356,4 +411,26 @@ def linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int) -> Da
                 ok.append(OF * both >= NEED * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.mapInArrow(compare, "a long, b long")
+    return pairs.mapInArrow(lean(compare), "a long, b long")
+
+
+#: Bits of the filter that keeps texts nobody asks for out of a shuffle.
+FILTER_BITS = 1 << 23
+
+
+def texts_of(rows: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """(*columns, text) of the rows (id, text) that wanted (id, *columns) names.
+
+    A filter of a fixed number of bits, whatever the tables' sizes, goes to every task first, so that only
+    texts that are wanted, and some few whose bit is, are shuffled for the exact join.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in wanted.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(mask).alias("bits")).toLocalIterator():
+        words[r["word"]] = r["bits"]
+    spark = rows.sparkSession
+    bits = spark.createDataFrame([(words.tolist(),)], "bits array<long>")
+    held = F.get("bits", F.floor(bit / 64).cast("int")).bitwiseAND(mask) != 0
+    likely = rows.crossJoin(F.broadcast(bits)).where(held).select("id", "text")
+    return likely.join(wanted.select(F.col("id").alias("wanted_id"), *columns), F.col("id").eqNullSafe(F.col("wanted_id"))).select(*columns, "text")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.ragged import mix, slices
-from readlake.llm.tables import small_batches
+from readlake.llm.tables import lean, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
@@ -146,7 +146,7 @@ def train(docs: DataFrame, bound: int = 20_000, lang_col: str = "lang", text_col
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    found = taken.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    found = taken.mapInArrow(lean(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     n = np.zeros((BUCKETS + len(NAMES), len(languages)))
     for r in found:
         n[r.bucket, languages.index(r.lang)] = r.n
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], [*kept, "lang_pred", "score", "spans"])
 
-    out = rows.mapInArrow(label, schema)
+    out = rows.mapInArrow(lean(label), schema)
     return out.withColumnsRenamed({"key": id_col} | {f"keep_{i}": c for i, c in enumerate(keep)})
 
 

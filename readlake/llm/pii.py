@@ -146,18 +146,21 @@ def of_kind(spans: Column, *kinds: str) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span as its kind in angle brackets; spans that overlap become one, of the first's kind."""
+    kind = "array<struct<before:int,start:int,end:int,kind:string>>"
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    empty = order.cast("array<struct<start:int,end:int,kind:string>>")
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
 
     def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.array_append(acc, s))
-
-    one = F.aggregate(empty, F.slice(empty, 1, 0), merge)
-    pieces = F.transform(one, lambda s, i: F.concat(_between(text, F.when(i > 0, F.get(one, i - 1)["end"]).otherwise(0), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-    tail = _between(text, F.element_at(one, -1)["end"], F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+        """Spans that begin inside the one before only make it longer: the text between goes on after it."""
+        one = F.struct(acc["at"].alias("before"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+        inside = (s["start"] < acc["at"]) & (F.size(acc["found"]) > 0)
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["found"]).otherwise(F.array_append(acc["found"], one)).alias("found"))
+
+    def told(acc: Column) -> Column:
+        pieces = F.transform(acc["found"], lambda s: F.concat(_between(text, s["before"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        return F.concat(F.array_join(pieces, ""), _between(text, acc["at"], F.length(text)))
+
+    return F.when(F.size(spans) > 0, F.aggregate(order, empty, merge, told)).otherwise(text)
 
 
 def _between(text: Column, start: Column, end: Column) -> Column:

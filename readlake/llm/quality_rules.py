@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.ragged import NOT_SPACE, Texts, mix, slices, windows
-from readlake.llm.tables import small_batches
+from readlake.llm.tables import lean, small_batches
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
@@ -41,7 +41,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = measured(Texts(b.column(len(kept))))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *map(pa.array, found)], [*kept, *STATS])
 
-    out = rows.mapInArrow(measure, schema)
+    out = rows.mapInArrow(lean(measure), schema)
     return out.withColumnsRenamed({"key": id_col} | {f"keep_{i}": c for i, c in enumerate(keep)})
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +32,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df as a compressed table in the checkpoint folder: smaller than a checkpoint where rows are many."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/rows-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few numbers each up to which a table may be sent to every task.
+MOST_SENT = 200_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df, marked to be sent to every task if it has at most MOST_SENT rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -35,3 +56,24 @@ def partitions(spark: SparkSession) -> int:
 def small_batches(spark: SparkSession) -> None:
     """Fewer rows in an Arrow batch, as a text may be long; bounds what a Python worker holds at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, giving freed memory back to the system from time to time and at its end: Python workers live on between tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, b in enumerate(f(batches)):
+            yield b
+            if i % 64 == 63:
+                give_back()
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; its own rules hold

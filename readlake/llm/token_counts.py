@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from readlake.llm.merging import Pairs, merge
 from readlake.llm.ragged import slices
-from readlake.llm.tables import small_batches
+from readlake.llm.tables import lean, small_batches
 
 MARK = "▁"
 PRE = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -107,5 +107,5 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             sizes = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(counter.counts(texts), pa.int64())], ["key", "n_bytes", "n_tokens"])
 
-    out = rows.mapInArrow(count, f"key {key}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(lean(count), f"key {key}, n_bytes long, n_tokens long")
     return out.withColumnRenamed("key", id_col)
