@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.tables import cut
+from readlake.llm.tables import MOST_SENT, cut
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of a link: the smallest node that links reach.
 
-    Alternates large and small stars until the links no longer change: every node then links to
-    its component's smallest alone. Rounds grow with the logarithm of the longest path. Lineage is cut
-    in each round; only a count and a checksum come to the driver.
+    Up to MOST_SENT links one task joins them. More are joined by alternating large and small stars until the
+    links no longer change: every node then links to its component's smallest alone. Rounds grow with
+    the logarithm of the longest path. Lineage is cut in each round; only a count and a checksum come to the driver.
     """
     own = F.least(a, b), F.greatest(a, b)
-    edges = links.where(F.col(a) != F.col(b)).select(own[1].alias("u"), own[0].alias("v")).distinct()
-    edges, seen = cut(edges), None
+    edges = links.where(F.col(a) != F.col(b)).select(own[1].alias("u"), own[0].alias("v"))
+    if edges.count() <= MOST_SENT:
+        return edges.coalesce(1).mapInArrow(united, "node long, component long")
+    edges, seen = cut(edges.distinct()), None
     while True:
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("x")).first()
         if state == seen or not state["n"]:
@@ -30,3 +35,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.distinct())
+
+
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of links (u, v) that one task holds."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = root(u), root(v)
+            up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(n) for n in nodes], pa.int64())], ["node", "component"])

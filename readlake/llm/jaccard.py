@@ -11,9 +11,9 @@ the shingles of their prefix (any two similar sets share one of the first of an
 
 Equal sets are one from the start, so copies cost nothing. Sets that share a signature are compared
 with one of them first, the one that shares most. Where a group still falls into several components,
-each set is compared with the one of another component that small histograms say is nearest, and so on until
-nothing more grows together; then what the histograms' bound still allows between components is compared,
-so no link between components is lost, and no group is expanded into all its pairs.
+each set is compared with the one of another component that small histograms say is nearest, twice; then
+what the histograms' bound still allows between components is compared, all of it, so no link between
+components is lost, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -36,7 +36,11 @@ WIDTH = 5
 NEED, OF = 80, 100
 GROWTH = OF / NEED
 MARGIN = 1.12
+#: A histogram has as many bytes as this: so many cells, or four times as many for sets of up to SMALL elements.
 CELLS = 128
+FINE, SMALL = 4 * CELLS, 1000
+#: Of signatures' groups, one in so many is used to find each set's nearest.
+SOME = 8
 BLOCK = 1024
 _SEEDS = stream(3, 8)
 
@@ -85,12 +89,36 @@ def set_ids(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def histograms(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """How many elements of each set fall into each of CELLS cells, at most 255 told."""
-    n = len(edges) - 1
-    of = np.repeat(np.arange(n), np.diff(edges))
-    cell = (mix(values ^ _SEEDS[2]) % U64(CELLS)).astype(np.int64)
-    return np.minimum(np.bincount(of * CELLS + cell, minlength=n * CELLS), 255).astype(np.uint8).reshape(n, CELLS)
+def histograms(values: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """How many elements of each set fall into each of some cells: up to SMALL elements in many cells, told up to 3, else in few, told up to 255."""
+    n, h = np.diff(edges), mix(values ^ _SEEDS[2])
+    out = []
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        many = FINE if z - a <= SMALL else CELLS
+        counts = np.bincount((h[a:z] % U64(many)).astype(np.int64), minlength=many)
+        if many == FINE:
+            two = np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4)
+            out.append((two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes())
+        else:
+            out.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+    assert len(out) == len(n)
+    return out
+
+
+def differences(h: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """At least how many elements the sets x and y differ in; 0 for a small and a large one. h: the histograms' bytes, n: sizes."""
+    out = np.zeros(len(x), np.int64)
+    for s in range(0, len(x), 1 << 14):
+        u, v = x[s : s + (1 << 14)], y[s : s + (1 << 14)]
+        fine, coarse = (n[u] <= SMALL) & (n[v] <= SMALL), (n[u] > SMALL) & (n[v] > SMALL)
+        part = np.zeros(len(u), np.int64)
+        if coarse.any():
+            part[coarse] = np.abs(h[u[coarse]].astype(np.int16) - h[v[coarse]]).sum(1)
+        if fine.any():
+            a, b = h[u[fine]], h[v[fine]]
+            part[fine] = sum(np.abs((a >> i & 3).astype(np.int8) - (b >> i & 3).astype(np.int8)).sum(1, dtype=np.int64) for i in (0, 2, 4, 6))
+        out[s : s + (1 << 14)] = part
+    return out
 
 
 def most_differences(n: np.ndarray | int) -> np.ndarray | int:
@@ -242,8 +270,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         for b in slices(batches, "text"):
             values, edges = shingle_sets(b.column(1), width)
             n, sid = np.diff(edges), set_ids(values, edges)
-            hist = histograms(values, edges)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sid, mask=n == 0), pa.array([h.tobytes() for h in hist], pa.binary())], ["id", "n", "sid", "hist"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sid, mask=n == 0), pa.array(histograms(values, edges), pa.binary())], ["id", "n", "sid", "hist"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -266,16 +293,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     best = groups.where("owner <> leader").groupBy("leader", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("owner").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
     tested = cut(best.select(F.least("leader", "owner").alias("a"), F.greatest("leader", "owner").alias("b")).distinct())
     links = cut(linked(pruned(tested, sets), sets, rows, width))
-    nearest: int | None = 1
-    while True:
-        pairs = cut(crossed(groups, components(links), sets, nearest).join(tested, ["a", "b"], "left_anti"))
-        found = cut(linked(pairs, sets, rows, width)) if not pairs.isEmpty() else None
-        if nearest is None and found is None:
-            break
-        if found is not None:
-            tested, links = tested.unionByName(pairs), links.unionByName(found)
-        if found is None or found.isEmpty():
-            nearest = None  # what is left, if anything, is compared without a choice
+    for nearest in (1, 1, None):
+        some = groups if nearest is None else groups.where(F.pmod("g", F.lit(SOME)) == 0)
+        pairs = cut(crossed(some, components(links), sets, nearest).join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            tested, links = tested.unionByName(pairs), cut(links.unionByName(linked(pairs, sets, rows, width)))
     parts = components(links)
     named = sets.select("sid", "id").join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -299,15 +321,15 @@ def of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def pruned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and histograms allow that they are similar."""
-    some = of_pairs(pairs, sets)
+    some = sized(of_pairs(pairs, sets), MOST_SETS_SENT)
     for side in ("a", "b"):
         pairs = pairs.join(some.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("hist").alias(f"h_{side}")), side)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("h_a", "h_b")]
-            n = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
-            yield b.select(["a", "b"]).filter(pa.array(np.abs(h[0] - h[1]).sum(1) <= most_differences(n)))
+            h = np.frombuffer(b"".join(b.column("h_a").to_pylist() + b.column("h_b").to_pylist()), np.uint8).reshape(-1, CELLS)
+            n, at = np.concatenate([b.column("n_a").to_numpy(), b.column("n_b").to_numpy()]), np.arange(b.num_rows)
+            yield b.select(["a", "b"]).filter(pa.array(differences(h, n, at, at + b.num_rows) <= most_differences(n[at] + n[at + b.num_rows])))
 
     small = pairs.where(f"least(n_a, n_b) * {OF} >= greatest(n_a, n_b) * {NEED}")
     return cut(small.mapInArrow(lean(prune), "a long, b long"))
@@ -360,7 +382,7 @@ def pairs_within(t: pa.Table, nearest: int | None, most: int = 1 << 20) -> Itera
     group = group_numbers(t)
     after = np.searchsorted(group, group, "right") - np.arange(t.num_rows) - 1
     owner, label, n, block, i, j = (t.column(c).to_numpy() for c in ("owner", "label", "n", "block", "i", "j"))
-    h = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+    h = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, CELLS)
     part = (np.cumsum(after) - after) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), t.num_rows]
     for a, z in zip(cuts, cuts[1:], strict=False):
@@ -371,10 +393,7 @@ def pairs_within(t: pa.Table, nearest: int | None, most: int = 1 << 20) -> Itera
         x, y = x[ok], y[ok]
         pair = np.unique(np.stack([owner[x], owner[y]]), axis=1, return_index=True)[1]  # the same two may share many groups
         x, y = x[pair], y[pair]
-        far = np.zeros(len(x), np.int64)
-        for s in range(0, len(x), 1 << 16):
-            u, v = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
-            far[s : s + (1 << 16)] = np.abs(h[u] - h[v]).sum(1)
+        far = differences(h, n, x, y)
         near = far <= most_differences(n[x] + n[y])
         x, y, far = x[near], y[near], far[near]
         if nearest is not None and len(x):
@@ -414,6 +433,8 @@ def linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int) -> Da
     return pairs.mapInArrow(lean(compare), "a long, b long")
 
 
+#: Sets, each of a histogram and two numbers, up to which they may be sent to every task.
+MOST_SETS_SENT = 20_000
 #: Bits of the filter that keeps texts nobody asks for out of a shuffle.
 FILTER_BITS = 1 << 23
 

@@ -122,5 +122,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = rf"""with recursive w as (
+  select doc_id, list_filter(string_split_regex({_LOWERED}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+places as (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s from places),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by all)
+  join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+reach as (select a, a as b from links union select r.a, l.b from reach r join links l on l.a = r.b)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce((select min(b) from reach where a = w.doc_id), w.doc_id) as component_id
+from w left join n on n.doc_id = w.doc_id"""
+
+_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP4_SQL = rf"""with b as (select item_id, {_WORDS} as w from benchmark),
+p as (select distinct cast(item_id as varchar) as item, m, array_to_string(w[i : i + m - 1], ' ') as p
+  from (select item_id, w, least(10, len(w)) as m, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)),
+d as (select doc_id, {_WORDS} as w from documents),
+places as (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from d, (select distinct m from p)),
+found as (select doc_id, item, places.m, i from places join p on p.m = places.m and p.p = array_to_string(w[i : i + places.m - 1], ' ')),
+hits as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + m)) as k from found) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from found) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits using (doc_id) left join items using (doc_id)"""
+
+OP5_SQL = rf"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '{CONFLICT}'), (-1, 1, 'assistant', '{CONFLICT}')),
+r as (select *, 24 + length(role) + length(text) + case when contains(text, '<|im_end|>') or regexp_matches(text, '<\\+\|') then len(regexp_extract_all(text, '<\\*\|')) else 0 end as chars from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars
+from r group by conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can express; the others rest on tokenizers, learned models or added spans and have brute-force tests."""
+    return {"op3_jaccard": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_chat": OP5_SQL}

@@ -44,9 +44,9 @@ def stored(df: DataFrame) -> DataFrame:
 MOST_SENT = 200_000
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """df, marked to be sent to every task if it has at most MOST_SENT rows; else joins shuffle it."""
-    return F.broadcast(df) if df.count() <= MOST_SENT else df
+def sized(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """df, marked to be sent to every task if it has at most so many rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def partitions(spark: SparkSession) -> int:
