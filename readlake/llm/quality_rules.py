@@ -140,13 +140,15 @@ def cover(x: np.ndarray, bad: np.ndarray, prune: np.ndarray, least_right: float,
     left = np.ones(len(bad), bool)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 129), method="nearest")) for j in range(x.shape[1])]
     while len(rules) < most_rules and (left & bad & ~prune).sum() >= 3:
-        conditions = _grown(x, bad, left & ~prune, cuts, most_conditions)
-        conditions = _pruned(x, bad, left & prune, conditions)
-        hit = left & _holds(x, conditions)
-        right, wrong = int((hit & bad).sum()), int((hit & ~bad).sum())
-        seen = hit & prune
-        sure = (seen & bad).sum() >= max(1, least_right * seen.sum()) and right >= least_right * (right + wrong)
-        if not conditions or not sure or right < 3:
+        grown = _grown(x, bad, left & ~prune, cuts, most_conditions)
+        # the pruned rule, or where that is not right often enough the rule as it was grown
+        for conditions in (_pruned(x, bad, left & prune, grown), grown):
+            hit = left & _holds(x, conditions)
+            right, wrong = int((hit & bad).sum()), int((hit & ~bad).sum())
+            seen = hit & prune
+            if conditions and right >= 3 and right >= least_right * (right + wrong) and (seen & bad).sum() >= max(1, least_right * seen.sum()):
+                break
+        else:
             break
         rules.append(Rule(tuple((names[j], op, float(t)) for j, op, t in conditions), right, wrong))
         left &= ~hit

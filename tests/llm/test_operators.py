@@ -210,10 +210,10 @@ def test_covering_finds_a_threshold():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    x = rng.random((600, len(quality_rules.FEATURES)))
+    x = rng.random((2000, len(quality_rules.FEATURES)))
     bad = (x[:, 1] > 0.8) | ((x[:, 2] < 0.2) & (x[:, 3] > 0.5))
-    rules = quality_rules.cover(x, bad, np.arange(600) % 3 == 0, 0.95).rules
-    caught = np.zeros(600, bool)
+    rules = quality_rules.cover(x, bad, np.arange(2000) % 3 == 0, 0.95).rules
+    caught = np.zeros(2000, bool)
     for r in rules:
         caught |= quality_rules._holds(x, [([*quality_rules.FEATURES].index(f), op, t) for f, op, t in r.conditions])
     assert (caught & bad).sum() > 0.9 * bad.sum() and (caught & ~bad).sum() <= 0.05 * bad.sum() + 2
