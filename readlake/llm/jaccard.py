@@ -343,7 +343,7 @@ def crossed(groups: DataFrame, parts: DataFrame, sets: DataFrame, nearest: int |
     left for a round without. A group is compared block with block, so that no task holds more than two
     blocks of it, and many small groups at once.
     """
-    named = labelled(groups, parts)
+    named = labelled(groups.where("m > 2"), parts)
     open_ = named.where("label <> leader_label").select("g").distinct()
     blocks = F.ceil(F.col("m") / BLOCK).cast("long")
     rows = named.join(open_, "g", "left_semi").join(sets.select(F.col("sid").alias("owner"), "n", "hist"), "owner").withColumn("block", F.pmod(F.xxhash64("owner"), blocks))
@@ -364,7 +364,11 @@ def crossed(groups: DataFrame, parts: DataFrame, sets: DataFrame, nearest: int |
             yield from pairs_within(pa.Table.from_batches(held), nearest)
 
     dealt = rows.repartition(partitions(groups.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", "owner")
-    return dealt.mapInArrow(lean(compare), "a long, b long").distinct()
+    found = dealt.mapInArrow(lean(compare), "a long, b long")
+    if nearest is None:  # groups of two are one pair each, which their one row tells
+        two = labelled(groups.where("m = 2 and owner <> leader"), parts).where("label <> leader_label")
+        found = found.unionByName(pruned(two.select(F.least("leader", "owner").alias("a"), F.greatest("leader", "owner").alias("b")).distinct(), sets))
+    return found.distinct()
 
 
 def group_numbers(t: pa.Table) -> np.ndarray:
