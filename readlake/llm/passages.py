@@ -104,40 +104,52 @@ def _passage_hashes(values: np.ndarray, t: int) -> np.ndarray:
         return mix((sums[t:] - sums[:-t]) * np.multiply.accumulate(back))
 
 
-def _own(values: np.ndarray, other: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted, repeated values of a row replaced by values that no other row side has; how many each row has."""
-    rows = np.sort(values.astype(U64), axis=1)
-    again = np.zeros(rows.shape, bool)
-    again[:, 1:] = rows[:, 1:] == rows[:, :-1]
-    rows[again] = (U64(other) << U64(40)) + np.arange(int(again.sum()), dtype=U64)
-    return rows, rows.shape[1] - again.sum(1)
+def firsts(values: np.ndarray, t: int) -> np.ndarray:
+    """For each place the first of the passages in which nothing before it has its value; it is the last such passage's start itself."""
+    order = np.argsort(values, kind="stable")
+    before = np.full(len(values), -1)
+    same = values[order[1:]] == values[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    return np.maximum(before + 1, np.arange(len(values)) - t + 1)
 
 
-def near(a: np.ndarray, b: np.ndarray, t: int, exact: np.ndarray) -> np.ndarray:
-    """Starts in a of passages that are not exact repeats and have a similar counterpart in b.
+def distinct(first: np.ndarray, some: np.ndarray, t: int) -> np.ndarray:
+    """How many values each passage has, repeated ones once, of those in some places."""
+    n, at = len(first), np.flatnonzero(some)
+    return np.cumsum(np.bincount(first[at], minlength=n + 1) - np.bincount(at + 1, minlength=n + 1))[: n - t + 1]
 
-    The counterpart is the passage of b on the diagonal of the middle one of the shingles that both have.
+
+def near(a: np.ndarray, b: np.ndarray, t: int, exact: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """Starts in a of passages that are not among those in exact and are similar to some passage of b.
+
+    A value that both have, at a place of a and one of b, counts for a rectangle of passages of a and b: those in which
+    both places are the value's first. So the sum of all rectangles is the intersection of each two passages.
     """
+    fa, fb = firsts(a, t), firsts(b, t)
+    na, nb = distinct(fa, np.ones(len(a), bool), t), distinct(fb, np.ones(len(b), bool), t)
     order = np.argsort(b, kind="stable")
-    at = np.minimum(np.searchsorted(b[order], a), len(b) - 1)
-    place = order[at]
-    hit = b[place] == a
-    n = np.r_[0, np.cumsum(hit)]
-    open_ = (n[t:] - n[:-t]) * (OF + NEED) >= 2 * NEED * t  # else the similarity can't be reached
-    open_[exact] = False
-    starts, hits, out = np.flatnonzero(open_), np.flatnonzero(hit), []
-    for i in np.array_split(starts, max(1, -(-len(starts) // 4096))):
-        if not len(i):
+    low, high = np.searchsorted(b[order], a), np.searchsorted(b[order], a, "right")
+    may = OF * distinct(fa, high > low, t) >= NEED * na  # else the similarity can't be reached
+    may[exact] = False
+    rows, out = np.flatnonzero(may), []
+    for r in np.array_split(rows, -(-len(rows) // max(1, min(256, most // len(b) - t)))) if len(rows) else []:
+        p = np.arange(r[0], r[-1] + t)
+        p = p[high[p] > low[p]]
+        top, end = np.searchsorted(r, fa[p]), np.searchsorted(r, p, "right")
+        p, top, end = p[end > top], top[end > top], end[end > top]
+        many = high[p] - low[p]
+        q = order[np.repeat(low[p] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        held = np.zeros(len(b), bool)
+        held[q] = True
+        c = np.flatnonzero(OF * distinct(fb, held, t) >= NEED * nb)
+        if not len(c):
             continue
-        middle = hits[(n[i] + n[i + t]) // 2]
-        j = np.clip(i + place[middle] - middle, 0, len(b) - t)
-        inside = np.arange(t)
-        x, nx = _own(a[i[:, None] + inside], 1)
-        y, ny = _own(b[j[:, None] + inside], 2)
-        both = np.sort(np.concatenate([x, y], axis=1), axis=1)
-        same = (both[:, 1:] == both[:, :-1]).sum(1)
-        out.append(i[OF * same >= NEED * (nx + ny - same)])
-    return np.concatenate(out) if out else starts
+        top, end, left, right = np.repeat(top, many), np.repeat(end, many), np.searchsorted(c, fb[q]), np.searchsorted(c, q, "right")
+        wide, size = len(c) + 1, (len(r) + 1) * (len(c) + 1)
+        both = np.bincount(np.r_[top * wide + left, end * wide + right], minlength=size) - np.bincount(np.r_[top * wide + right, end * wide + left], minlength=size)
+        both = both.astype(np.int32).reshape(-1, wide).cumsum(0, dtype=np.int32).cumsum(1, dtype=np.int32)[:-1, :-1]
+        out.append(r[(OF * both >= NEED * (na[r][:, None] + nb[c] - both)).any(1)])
+    return np.concatenate(out) if out else rows[:0]
 
 
 def compared(a: np.ndarray, b: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:

@@ -267,6 +267,23 @@ def test_passages(docs, odd):
     assert passages.repeats(df.limit(0)).count() == 0
 
 
+def test_near_passages_of_two_texts():
+    import numpy as np
+
+    rng, t, found = np.random.default_rng(4), 12, 0
+    for k in range(60):
+        a = rng.integers(0, 12 if k % 3 == 0 else 500, 60).astype(np.uint32)
+        b = np.concatenate([a[20:25], a[28:30], rng.integers(0, 500, 9).astype(np.uint32), a[5:40], a[20:22]])  # what a has once stands several times
+        for i in rng.integers(0, len(b) - 3, 3):
+            b = np.insert(b, i, 900) if k % 2 else np.delete(b, i)
+        exact = np.flatnonzero(rng.random(len(a) - t + 1) < 0.1)
+        sets = [[set(v[i : i + t].tolist()) for i in range(len(v) - t + 1)] for v in (a, b)]
+        want = [i for i, x in enumerate(sets[0]) if i not in exact and any(100 * len(x & y) >= 80 * len(x | y) for y in sets[1])]
+        assert passages.near(a, b, t, exact).tolist() == want and passages.near(a, b, t, exact, 1).tolist() == want
+        found += len(want)
+    assert found > 100
+
+
 def test_urls(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     extra = [(-1, None, None), (-2, "no host", ""), (-3, "http://WWW.Example.com/en/x?y", ""), (-4, "http://a.example.com/en/", ""), (-5, "http://net/fr/", ""), (-6, "http://x.com", ""), (-7, "http://good.org/", '<a href="http://bad.org/">'), (-8, "ftp://h#/p", "")]
