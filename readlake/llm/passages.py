@@ -9,18 +9,22 @@ Texts in which passages share signatures under enough functions are compared wit
 and the largest texts of their signatures with which they share most: equal passages by the hash of the whole passage, near ones by the Jaccard similarity
 of the passage and its counterpart. Passages that share enough signatures and are not confirmed in this way
 are held against all others by the hash of the whole passage, so no exact repeat depends on whom a text was compared with.
+What is then still open is held against the likely passages of all texts with which it may be similar: of any order of
+shingles, two similar passages have one of the first few in common (a prefix filter; the order begins with the
+rare ones, so what a third of the texts share pairs nothing that has enough shingles of its own). For each such shingle the
+least and the largest text come first, then, for passages open even so, all others, hot shingles in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.jaccard import NEED, OF, WIDTH, pack_keys, shared, texts_of, unpack_keys
+from readlake.llm.jaccard import BLOCK, FILTER_BITS, NEED, OF, WIDTH, pack_keys, shared, texts_of, unpack_keys
 from readlake.llm.ragged import LOWER, NOT_SPACE, U64, Texts, mix, powers, slices, stream, windows
 from readlake.llm.tables import cut, lean, partitions, small_batches, stored
 
@@ -28,6 +32,8 @@ WORDS = 50
 HASHES = 8
 #: Of so many functions a passage must share its signatures.
 ENOUGH = 4
+#: Cells in which shingles are counted.
+CELLS = 1 << 20
 _SEEDS = stream(9, 16)
 _INVERSE = pow(int(powers(2)[1]), -1, 1 << 64)
 #: A passage that is not yet confirmed: its hash, the text, where it starts.
@@ -152,6 +158,29 @@ def near(a: np.ndarray, b: np.ndarray, t: int, exact: np.ndarray, most: int = 1
     return np.concatenate(out) if out else rows[:0]
 
 
+def prefixes(values: np.ndarray, starts: np.ndarray, t: int, order: np.ndarray) -> list[np.ndarray]:
+    """Three masks of places: in a passage's prefix against those with as many values or more; the same of passages
+    that have repeated values; in its prefix against those with fewer values, beyond the first."""
+    same, fewer, less = (np.zeros(len(values), bool) for _ in range(3))
+    first, inside = firsts(values, t), np.arange(t)
+    for i in np.array_split(starts, -(-len(starts) // 4096)) if len(starts) else []:
+        at = i[:, None] + inside
+        own = first[at] <= i[:, None]
+        n = own.sum(1)
+        short = n - -(-2 * NEED * n // (OF + NEED)) + 1
+        long = n - -(-NEED * n // OF) + 1
+        m = int(long.max())
+        keys = np.where(own, order[at], np.iinfo(np.int64).max)
+        top = np.argpartition(keys, m - 1, axis=1)[:, :m] if m < t else np.broadcast_to(inside, keys.shape)
+        top = np.take_along_axis(top, np.argsort(np.take_along_axis(keys, top, 1), axis=1), 1)
+        places, rank = i[:, None] + top, np.arange(m)
+        in_short = rank < short[:, None]
+        same[places[in_short]] = True
+        less[places[in_short & (n < t)[:, None]]] = True
+        fewer[places[~in_short & (rank < long[:, None])]] = True
+    return [same, less, fewer]
+
+
 def compared(a: np.ndarray, b: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the passages of a, and of b, that the other text repeats."""
     if min(len(a), len(b)) < t:
@@ -307,6 +336,94 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                 out.append(some)
             yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["tid", "passages"])
 
+    def openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with likely passages that nothing has confirmed, and where these start."""
+        for b in batches:
+            keep, starts = [], []
+            for i, (seq, runs, spans) in enumerate(zip(b.column("seq"), b.column("runs").to_pylist(), b.column("spans").to_pylist(), strict=True)):
+                at = np.zeros(len(seq.as_buffer()) // 4 - t + 1, bool)
+                for r in runs:
+                    at[r["start"] : r["end"]] = True
+                for r in spans or ():
+                    at[r["start"] : max(r["start"], r["end"] - words + 1)] = False
+                if at.any():
+                    keep.append(i)
+                    starts.append(np.flatnonzero(at).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("tid").take(pa.array(keep, pa.int64())), b.column("seq").take(pa.array(keep, pa.int64())), pa.array(starts, pa.binary())], ["tid", "seq", "starts"])
+
+    def still_open(held: DataFrame, found: list[DataFrame]) -> DataFrame:
+        told = found[0]
+        for f in found[1:]:
+            told = told.unionByName(f)
+        told = told.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        return cut(held.join(told, "tid", "left").select("tid", "seq", "runs", "spans").mapInArrow(lean(openings), "tid long, seq binary, starts binary"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often shingles of one text in eight fall into each cell."""
+        cells = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for tid, seq in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if tid % 8 == 0:
+                    cells += np.bincount(np.unique(np.frombuffer(seq.as_buffer(), np.uint32)) % CELLS, minlength=CELLS)
+        at = np.flatnonzero(cells > 1)
+        for i in np.array_split(at, -(-len(at) // (1 << 16))) if len(at) else []:
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(cells[i])], ["cell", "n"])
+
+    def shingle_order(held: DataFrame) -> np.ndarray:
+        """By cell how common its shingles are, roughly: any order is right, this one makes few pairs."""
+        found = held.select("tid", "seq").mapInArrow(lean(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        cells = np.zeros(CELLS, np.uint16)
+        cells[found.column("cell").to_numpy()] = np.minimum(found.column("n").to_numpy(), 65535)
+        return cells
+
+    def tokens(cells: np.ndarray, probe: bool, bits: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Keys of prefixes: the shingle, and which of the two passages has as many values or fewer."""
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys, tids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for tid, seq, where in zip(b.column("tid").to_pylist(), b.column("seq"), b.column("starts" if probe else "runs"), strict=True):
+                    v = np.frombuffer(seq.as_buffer(), np.uint32)
+                    at = np.frombuffer(where.as_buffer(), np.int32) if probe else np.concatenate([np.arange(r["start"], r["end"]) for r in where.as_py()])
+                    order = cells[v % CELLS].astype(np.int64) << 32 | v
+                    same, less, fewer = prefixes(v, at.astype(np.int64), t, order)
+                    wide = v.astype(np.int64) << 2
+                    k = np.unique(np.r_[wide[same], wide[less if probe else fewer] | 1, wide[fewer if probe else less] | 2])
+                    if bits is not None:
+                        h = k % FILTER_BITS
+                        k = k[bits[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1]
+                    keys.append(k)
+                    tids.append(np.full(len(k), tid, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(tids))], ["key", "tid"])
+
+        return emit
+
+    def key_filter(keys: DataFrame) -> np.ndarray:
+        """A bit for each key, of a fixed number of bits, whatever the tables' sizes."""
+        bit = F.pmod("key", F.lit(FILTER_BITS))
+        mask = F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int"))
+        found = keys.groupBy(F.floor(bit / 8).alias("byte")).agg(F.bit_or(mask).alias("bits")).toArrow()
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        bits[found.column("byte").to_numpy()] = found.column("bits").to_numpy()
+        return bits
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tids, found = [], []
+            for tid, starts, sx, sy in zip(b.column("tid").to_pylist(), b.column("starts"), b.column("seq"), b.column("s_b"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (sx, sy))
+                known = np.ones(len(x) - t + 1, bool)
+                known[np.frombuffer(starts.as_buffer(), np.int32)] = False
+                runs = _runs(np.sort(near(x, y, t, np.flatnonzero(known))), words)
+                tids += [tid] * len(runs)
+                found += runs
+            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array([r["start"] for r in found], pa.int32()), pa.array([r["end"] for r in found], pa.int32())], ["tid", "start", "end"])
+
+    def nearer(pairs: DataFrame, open_: DataFrame, held: DataFrame) -> DataFrame:
+        """Passages of texts' open ones that are similar to one of the other text of the pair (tid, other)."""
+        whole = pairs.join(open_, "tid").join(held.select(F.col("tid").alias("other"), F.col("seq").alias("s_b")), "other")
+        return whole.mapInArrow(lean(hold), "tid long, start int, end int").distinct()
+
     measured = cut(rows.mapInArrow(lean(measure), f"id {key}, n long, tid long"))
     texts = measured.where("tid is not null").groupBy("tid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("many"))
     groups = stored(shared(rows.mapInArrow(lean(sign), "slot int, data binary"), slots))
@@ -321,6 +438,26 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     told = spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     left = held.join(told, "tid", "left").select("tid", "seq", "runs", "spans").mapInArrow(lean(rest), "slot int, sure binary, open binary")
     late = left.repartition(slots, "slot").sortWithinPartitions("slot").mapInArrow(lean(repeated), "tid long, start int, end int")
+    late = cut(late)
+    more = [spans, late]
+    open_ = still_open(held, more)
+    if not open_.isEmpty():
+        order = shingle_order(held)
+        keys = cut(open_.mapInArrow(lean(tokens(order, True, None)), "key long, tid long"))
+        others = cut(held.mapInArrow(lean(tokens(order, False, key_filter(keys))), "key long, tid long"))
+        groups = others.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high or m > 1")
+        ends = cut(groups)
+        first = keys.join(ends, "key").select("tid", F.explode(F.array("low", "high")).alias("other")).where("tid <> other").distinct()
+        more.append(cut(first.transform(lambda df: nearer(df, open_, held))))
+        open_ = still_open(held, more)
+        if not open_.isEmpty():
+            left_keys = keys.join(open_.select("tid"), "tid", "left_semi").join(ends.where("m > 2").select("key", "m"), "key")
+            blocks = F.ceil(F.col("m") / BLOCK).cast("long")
+            dealt = others.join(ends.where("m > 2").select("key", "m"), "key").select("key", F.col("tid").alias("other"), F.pmod(F.xxhash64("tid"), blocks).alias("block"))
+            all_ = left_keys.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(dealt, ["key", "block"]).where("tid <> other")
+            more.append(cut(nearer(all_.select("tid", "other").distinct().join(first, ["tid", "other"], "left_anti"), open_, held)))
+    for m in more[2:]:
+        late = late.unionByName(m)
     whole = texts.where("many > 1").select("tid", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"))
     found = spans.unionByName(late).unionByName(whole).groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     out = measured.join(found.mapInArrow(lean(joined), f"tid long, passages {span}"), "tid", "left")

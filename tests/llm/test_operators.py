@@ -284,6 +284,28 @@ def test_near_passages_of_two_texts():
     assert found > 100
 
 
+def test_near_passages_beside_a_popular_one(spark):
+    rng = random.Random(9)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    popular, rows, edited = some(120), [], some(70)
+    for i in range(0, 24, 2):  # two texts that share more with everyone than with each other
+        own = some(58)
+        other = own[:29] + ["edited"] + own[30:]
+        rows += [(i, some(20) + popular + some(20) + own + some(9)), (i + 1, some(31) + popular[:-7] + some(20) + other)]
+    for i in range(30, 48):  # copies of one text, of which none is the one that all were made from
+        w = list(edited)
+        for _ in range(2):
+            w[rng.randrange(70)] = f"e{rng.randrange(4)}"
+        rows.append((i, w))
+    sets = {k: [frozenset(tuple(w[j : j + 5]) for j in range(i, i + 46)) for i in range(len(w) - 49)] for k, w in rows}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r.passages for r in passages.repeats(df).collect()}
+    for k, w in rows:
+        others = [y for o in sets if o != k for y in sets[o]]
+        want = {j for i, x in enumerate(sets[k]) if any(100 * len(x & y) >= 80 * len(x | y) for y in others) for j in range(i, i + 50)}
+        assert {j for p in got[k] for j in range(p.start, p.end)} == want, k
+
+
 def test_urls(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     extra = [(-1, None, None), (-2, "no host", ""), (-3, "http://WWW.Example.com/en/x?y", ""), (-4, "http://a.example.com/en/", ""), (-5, "http://net/fr/", ""), (-6, "http://x.com", ""), (-7, "http://good.org/", '<a href="http://bad.org/">'), (-8, "ftp://h#/p", "")]
