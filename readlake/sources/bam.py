@@ -14,6 +14,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from readlake.schemas import ALIGNMENTS
@@ -122,30 +123,71 @@ def likely(text: bytes, at: int, n_refs: int) -> bool:
     return len(name) == l_name and name[-1] == 0 and all(33 <= c <= 126 for c in name[:-1])
 
 
+def possible(text: bytes, at: int, n_refs: int) -> list[int]:
+    """Places from at on, a block's worth at most, whose numbers a record may begin with."""
+    n = min(1 << 16, len(text) - 36 - at)
+    if n <= 0:
+        return []
+    size, ref, mate = (np.ndarray((n,), "<i4", bytes(text[at : at + n + 36]), k, (1,)) for k in (0, 4, 24))
+    return (at + np.flatnonzero((size >= 32) & (size < 1 << 26) & (ref >= -1) & (ref < n_refs) & (mate >= -1) & (mate < n_refs))).tolist()
+
+
 def resync(f, start: int, end: int, n_refs: int) -> tuple[int, int] | None:
-    """The first block in a range, and the first record that begins in it: three likely ones behind each other."""
+    """The block of a range, and the place in it, of the first record that begins in the range: three likely ones behind each other.
+
+    Blocks are read on until such a record is there, as those at the range's start may lie within a long one.
+    """
     f.seek(start)
-    data, at = f.read(min(1 << 17, f.size() - start)), 0
+    data, at = f.read(min(1 << 17, f.size() - start)), -1
     while True:
-        at = data.find(MAGIC, at)
+        at = data.find(MAGIC, at + 1)
         if at < 0 or start + at >= end:
             return None
         if data[at + 12 : at + 14] == b"BC":
             try:
-                text, after = block(f, start + at)
-                more = block(f, after)
+                got = block(f, start + at)
+                if got is None:
+                    continue
+                block(f, got[1])
+                break
             except (ValueError, zlib.error, struct.error):
-                at += 1
                 continue
-            text += more[0] if more else b""
-            for i in range(len(text)):
-                j, seen = i, 0
-                while seen < 3 and j + 4 <= len(text) and likely(text, j, n_refs):
-                    j, seen = j + 4 + struct.unpack_from("<i", text, j)[0], seen + 1
-                if seen and (seen == 3 or j >= len(text) - 36):
-                    return start + at, i
+    text, place, starts = bytearray(got[0]), got[1], [(0, start + at)]
+
+    def holds(n: int) -> bool:
+        nonlocal place
+        while len(text) < n:
+            more = block(f, place)
+            if more is None:
+                return False
+            starts.append((len(text), place))
+            text.extend(more[0])
+            place = more[1]
+        return True
+
+    def confirmed(i: int) -> bool:
+        j = i
+        for _ in range(3):
+            holds(j + 36 + 255)
+            if j == len(text):
+                return j > i
+            if not likely(text, j, n_refs):
+                return False
+            j += 4 + struct.unpack_from("<i", text, j)[0]
+        return holds(j)
+
+    done = 0
+    while True:
+        holds(done + (1 << 16) + 36)
+        for i in possible(text, done, n_refs):
+            base, of = max(s for s in starts if s[0] <= i)
+            if of >= end:
+                return None
+            if confirmed(i):
+                return of, i - base
+        done += min(1 << 16, max(0, len(text) - 36 - done))
+        if len(text) - 36 <= done or max(s for s in starts if s[0] <= done)[1] >= end:
             return None
-        at += 1
 
 
 def records(f, at: tuple[int, int], end: int) -> Iterator[tuple[int, bytes]]:

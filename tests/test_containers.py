@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -61,6 +62,20 @@ def test_bam(spark, tmp_path):
     assert (r.flag, r.rname, r.pos, r.cigar, r.seq, r.qual, r.score, r.md, r.aux["XB"]) == (16, "r2", 8, "4M1S", "ACGTN", "?@ABC", -7, "4", "S,7,7") and got[3].qual is None
 
 
+def test_bam_of_long_records(tmp_path):
+    rng = random.Random(3)
+    data = b"BAM\1" + struct.pack("<ii", 0, 1) + struct.pack("<i", 3) + b"r1\0" + struct.pack("<i", 100)
+    sizes = [rng.choice([5, 30000, 120000]) for _ in range(40)]
+    for i, n in enumerate(sizes):
+        data += record(f"q{i:05d}", 0, 0, i, [n << 4], "".join(rng.choices("ACGT", k=n)), rng.randbytes(n).translate(bytes(b % 40 for b in range(256))), b"")
+    path = tmp_path / "long.bam"
+    path.write_bytes(bgzf(data, 20000))  # a record of 120,000 bases lies in ten blocks
+    for split in (1 << 26, 100_000, 20_000):
+        reader = bam.BamReader(str(path), split)
+        got = [r for part in reader.partitions() for r in reader.read(part)]
+        assert [(r[0], len(r[9])) for r in got] == [(f"q{i:05d}", n) for i, n in enumerate(sizes)]
+
+
 def test_running_taxa_equal_those_at_once(spark, tmp_path):
     df = spark.range(300).select(F.format_string("q%d", F.col("id") % 20).alias("qname"), (F.col("id") % 3).cast("int").alias("taxid"), (-(F.col("id") % 7)).cast("int").alias("score"))
     df.repartition(3).write.parquet(str(tmp_path / "in"))
