@@ -248,6 +248,13 @@ def test_pii(spark, docs, odd):
     assert [r.t for r in got] == ["iban <IBAN>, password: <SECRET> me <EMAIL>@d.e", "iban GB83 WEST 1234 5698 7654 32", None]
 
 
+def test_secrets_behind_longer_names(spark):
+    names = ["db_password=", "client_secret: ", "my_api_key: ", "AWS_SECRET_ACCESS_KEY=", "authtoken='", "token="]
+    df = spark.createDataFrame([(f"x {n}abcdef0123456789 y",) for n in names] + [("abcdef0123456789",)], "text string")
+    got = [r.t for r in pii.find(df).select(pii.redacted(F.col("text"), F.col("pii_spans")).alias("t")).collect()]
+    assert got == [f"x {n}<SECRET> y" for n in names] + ["abcdef0123456789"]
+
+
 def test_passages(docs, odd):
     df = docs.select("doc_id", "text")
     rows = [(k, words(lower(t))) for k, t in texts_of(df)]
