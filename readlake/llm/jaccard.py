@@ -199,6 +199,28 @@ def pack_keys(keys: np.ndarray, owners: np.ndarray, slots: int) -> Iterator[tupl
             yield s, head + table.tobytes() + (keys[a:z] & U64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (keys[a:z] >> U64(32)).astype(np.uint8).tobytes() + zstandard.compress(many.astype(np.uint32).tobytes(), 1)
 
 
+#: Signatures that a task holds before it packs them: with many of a task together, packets stay few and large.
+MOST_HELD = 1 << 22
+
+
+def packed(found: Iterator[tuple[np.ndarray, np.ndarray]], slots: int) -> Iterator[pa.RecordBatch]:
+    """(slot, data) of a task's signatures and their owners."""
+
+    def pack() -> pa.RecordBatch:
+        packets = list(pack_keys(*(np.concatenate(x) for x in zip(*held, strict=True)), slots))
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in packets], pa.int32()), pa.array([d for _, d in packets], pa.binary())], ["slot", "data"])
+
+    held, n = [], 0
+    for keys, owners in found:
+        held.append((keys, owners))
+        n += len(keys)
+        if n >= MOST_HELD:
+            yield pack()
+            held, n = [], 0
+    if held:
+        yield pack()
+
+
 def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, m = np.frombuffer(data, np.int64, 2).tolist()
     table, at = np.frombuffer(data, np.int64, m, 16), 16 + 8 * m
@@ -208,7 +230,7 @@ def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared(packets: DataFrame, slots: int) -> DataFrame:
-    """(g, owner, leader, last, m): owners of each signature that m > 1 have, with a leader among them and the largest. packets: (slot, data)."""
+    """(g, owner, leader, first, last, m): owners of each signature that m > 1 have, a leader among them, the smallest and the largest. packets: (slot, data)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -236,7 +258,7 @@ def shared(packets: DataFrame, slots: int) -> DataFrame:
         keys, owners = keys[new], owners[new]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         size = np.diff(np.r_[first, len(keys)])
-        last, size = np.repeat(owners[first + size - 1], size), np.repeat(size, size)
+        least, last, size = np.repeat(owners[first], size), np.repeat(owners[first + size - 1], size), np.repeat(size, size)
         # the leader is who shares most with others here: the text that a family of copies was made from shares with all of them
         names, place = np.unique(owners, return_inverse=True)
         share = np.bincount(place, np.where(size > 1, size, 0), len(names))[place] if len(names) else np.zeros(0)
@@ -247,10 +269,10 @@ def shared(packets: DataFrame, slots: int) -> DataFrame:
         g = (keys | U64(slot) << U64(40)).view(np.int64)
         for a in range(0, len(g), 1 << 17):
             k = keep[a : a + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)][k]) for x in (g, owners, leader, last, size)], ["g", "owner", "leader", "last", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)][k]) for x in (g, owners, leader, least, last, size)], ["g", "owner", "leader", "first", "last", "m"])
 
     dealt = packets.repartition(slots, "slot").sortWithinPartitions("slot")
-    return dealt.mapInArrow(lean(find), "g long, owner long, leader long, last long, m long")
+    return dealt.mapInArrow(lean(find), "g long, owner long, leader long, first long, last long, m long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -273,22 +295,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sid, mask=n == 0), pa.array(histograms(values, edges), pa.binary())], ["id", "n", "sid", "hist"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in slices(batches, "text"):
-            values, edges = shingle_sets(b.column(1), width)
-            sid = set_ids(values, edges)
-            new = np.array([s not in seen for s in sid.tolist()], bool) & np.isin(np.arange(len(sid)), np.unique(sid, return_index=True)[1])
-            seen.update(sid[new].tolist())
-            if len(seen) > 1 << 20:
-                seen.clear()  # a set signed twice does no harm
-            keep = np.repeat(new, np.diff(edges))
-            values, edges = values[keep], np.r_[0, np.cumsum(np.diff(edges)[new])]
-            found = list(pack_keys(*signatures(values, edges, sid[new]), slots))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], ["slot", "data"])
+        def signed() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            seen: set[int] = set()
+            for b in slices(batches, "text"):
+                values, edges = shingle_sets(b.column(1), width)
+                sid = set_ids(values, edges)
+                new = np.array([s not in seen for s in sid.tolist()], bool) & np.isin(np.arange(len(sid)), np.unique(sid, return_index=True)[1])
+                seen.update(sid[new].tolist())
+                if len(seen) > 1 << 20:
+                    seen.clear()  # a set signed twice does no harm
+                keep = np.repeat(new, np.diff(edges))
+                yield signatures(values[keep], np.r_[0, np.cumsum(np.diff(edges)[new])], sid[new])
+
+        yield from packed(signed(), slots)
 
     measured = cut(rows.mapInArrow(lean(measure), f"id {key}, n long, sid long, hist binary"))
     sets = cut(measured.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hist").alias("hist")))
-    groups = stored(shared(rows.mapInArrow(lean(sign), "slot int, data binary"), slots).drop("last"))
+    groups = stored(shared(rows.mapInArrow(lean(sign), "slot int, data binary"), slots).drop("first", "last"))
 
     best = groups.where("owner <> leader").groupBy("leader", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("owner").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
     tested = cut(best.select(F.least("leader", "owner").alias("a"), F.greatest("leader", "owner").alias("b")).distinct())

@@ -1,43 +1,39 @@
 """Passages of 50 words or more that other documents repeat, wholly or nearly (operator 9).
 
-A text is the sequence of its five-word shingles. Under each of HASHES hash functions the nodes of its
-Cartesian tree that span at least as many shingles as a passage has are compact windows: all
-passages within one have the same minimum, its signature. They are found as runs of equal sliding
-minima. A passage that repeats shares its signature under every function.
-
-Texts in which passages share signatures under enough functions are compared with those of the smallest
-and the largest texts of their signatures with which they share most: equal passages by the hash of the whole passage, near ones by the Jaccard similarity
-of the passage and its counterpart. Passages that share enough signatures and are not confirmed in this way
-are held against all others by the hash of the whole passage, so no exact repeat depends on whom a text was compared with.
-What is then still open is held against the likely passages of all texts with which it may be similar: of any order of
-shingles, two similar passages have one of the first few in common (a prefix filter; the order begins with the
-rare ones, so what a third of the texts share pairs nothing that has enough shingles of its own). For each such shingle the
-least and the largest text come first, then, for passages open even so, all others, hot shingles in blocks.
+A text is the sequence of its five-word shingles. Under a hash function the nodes (left, centre, right) of its Cartesian
+tree that span at least as many shingles as a passage has are its compact windows: all passages between left and right
+that hold the centre share a min-hash, the centre's. Two functions make a family; where windows of both overlap (an
+interval join within the text), passages share both min-hashes, which together are the signature. Passages of a
+similarity s share that of one of FAMILIES families with a probability of 1 - (1 - s^2)^FAMILIES: 0.98 at 0.8, 1 for equal ones.
+
+Texts that share signatures are compared with that leader of their signatures with which they share most: equal passages by the hash of the whole passage, near ones by their Jaccard similarity, worked out for all
+passages of both texts. Passages in shared windows that are not confirmed in this way are held against all others by the
+hash of the whole passage, so no exact repeat depends on whom a text was compared with. What is then still open is compared
+with the windows of all texts that share a signature with it: windows of equal content once, popular signatures in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.jaccard import BLOCK, FILTER_BITS, NEED, OF, WIDTH, pack_keys, shared, texts_of, unpack_keys
+from readlake.llm.jaccard import BLOCK, NEED, OF, WIDTH, pack_keys, packed, shared, texts_of, unpack_keys
 from readlake.llm.ragged import LOWER, NOT_SPACE, U64, Texts, mix, powers, slices, stream, windows
-from readlake.llm.tables import cut, lean, partitions, small_batches, stored
+from readlake.llm.tables import cut, dealt, lean, partitions, small_batches, stored, swept
 
 WORDS = 50
-HASHES = 8
-#: Of so many functions a passage must share its signatures.
-ENOUGH = 4
-#: Cells in which shingles are counted.
-CELLS = 1 << 20
+#: Pairs of functions; passages are candidates where both of a pair agree.
+FAMILIES = 4
 _SEEDS = stream(9, 16)
 _INVERSE = pow(int(powers(2)[1]), -1, 1 << 64)
 #: A passage that is not yet confirmed: its hash, the text, where it starts.
 OPEN = np.dtype([("h", np.uint64), ("tid", np.int64), ("at", np.int32)])
+SPAN = "array<struct<start int, end int>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,15 +64,42 @@ def sliding_minima(values: np.ndarray, t: int) -> np.ndarray:
     return np.minimum(behind[: n - t + 1], ahead[t - 1 : n])
 
 
-def signatures_at(values: np.ndarray, edges: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Starts of all passages of t shingles, their texts, and their signatures under each function."""
+def compact_windows(values: np.ndarray, edges: np.ndarray, t: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left, centre, right) of the Cartesian trees' nodes that span t values or more, and the values' hashes.
+
+    edges: the n + 1 offsets of texts. A node is the least value of all passages between left and right that hold the
+    centre; both ends are given as far as passages of t values reach. Of equal values the first is the least.
+    """
+    h = mix(values.astype(U64) ^ seed)
     n = np.maximum(np.diff(edges) - t + 1, 0)
-    doc = np.repeat(np.arange(len(n)), n)
     start = np.arange(int(n.sum())) + np.repeat(edges[:-1] - (np.cumsum(n) - n), n)
     if not len(start):
-        return start, doc, [np.zeros(0, U64)] * HASHES
-    wide = values.astype(U64)
-    return start, doc, [mix(sliding_minima(mix(wide ^ _SEEDS[k]), t)[start] ^ _SEEDS[k]) for k in range(HASHES)]
+        return start, start, start, h
+    least = sliding_minima(h & ~U64(0xFFFFFFFF) | np.arange(len(h), dtype=U64), t)[start]
+    root = least.astype(np.uint32)  # of each passage's tree
+    new = np.flatnonzero(np.r_[True, root[1:] != root[:-1]])
+    return start[new], root[new].astype(np.int64), start[np.r_[new[1:] - 1, len(start) - 1]] + t - 1, h
+
+
+def signed_windows(values: np.ndarray, edges: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, text, signature) under each family: passages that start from first to last share the signature."""
+    out = []
+    for k in range(FAMILIES):
+        of = []
+        for seed in _SEEDS[2 * k : 2 * k + 2]:
+            left, centre, right, h = compact_windows(values, edges, t, seed)
+            of.append((left, right - t + 1, h[centre], centre))
+        (f1, l1, v1, centre), (f2, l2, v2, _) = of
+        if not len(f1):
+            continue
+        first = np.union1d(f1, f2)
+        i, j = np.searchsorted(f1, first, "right") - 1, np.searchsorted(f2, first, "right") - 1
+        key = mix(v1[i] ^ mix(v2[j] ^ U64(k)))
+        out.append((first, np.minimum(l1[i], l2[j]), np.searchsorted(edges, centre[i], "right") - 1, key))
+    if not out:
+        nothing = np.zeros(0, np.int64)
+        return nothing, nothing, nothing, np.zeros(0, U64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def low(keys: np.ndarray) -> np.ndarray:
@@ -88,6 +111,11 @@ def slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
     return (keys >> U64(40)) % U64(slots)
 
 
+def number_of(keys: np.ndarray, slots: int) -> np.ndarray:
+    """The numbers that groups of these signatures have."""
+    return low(keys) | slot_of(keys, slots) << U64(40)
+
+
 def _runs(starts: np.ndarray, length: int) -> list[dict]:
     """Maximal stretches of words that passages starting there cover."""
     if not len(starts):
@@ -158,29 +186,6 @@ def near(a: np.ndarray, b: np.ndarray, t: int, exact: np.ndarray, most: int = 1
     return np.concatenate(out) if out else rows[:0]
 
 
-def prefixes(values: np.ndarray, starts: np.ndarray, t: int, order: np.ndarray) -> list[np.ndarray]:
-    """Three masks of places: in a passage's prefix against those with as many values or more; the same of passages
-    that have repeated values; in its prefix against those with fewer values, beyond the first."""
-    same, fewer, less = (np.zeros(len(values), bool) for _ in range(3))
-    first, inside = firsts(values, t), np.arange(t)
-    for i in np.array_split(starts, -(-len(starts) // 4096)) if len(starts) else []:
-        at = i[:, None] + inside
-        own = first[at] <= i[:, None]
-        n = own.sum(1)
-        short = n - -(-2 * NEED * n // (OF + NEED)) + 1
-        long = n - -(-NEED * n // OF) + 1
-        m = int(long.max())
-        keys = np.where(own, order[at], np.iinfo(np.int64).max)
-        top = np.argpartition(keys, m - 1, axis=1)[:, :m] if m < t else np.broadcast_to(inside, keys.shape)
-        top = np.take_along_axis(top, np.argsort(np.take_along_axis(keys, top, 1), axis=1), 1)
-        places, rank = i[:, None] + top, np.arange(m)
-        in_short = rank < short[:, None]
-        same[places[in_short]] = True
-        less[places[in_short & (n < t)[:, None]]] = True
-        fewer[places[~in_short & (rank < long[:, None])]] = True
-    return [same, less, fewer]
-
-
 def compared(a: np.ndarray, b: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the passages of a, and of b, that the other text repeats."""
     if min(len(a), len(b)) < t:
@@ -190,6 +195,28 @@ def compared(a: np.ndarray, b: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarr
     return np.union1d(ea, near(a, b, t, ea)), np.union1d(eb, near(b, a, t, eb))
 
 
+def _masked(size: int, runs: list[dict] | None, less: int = 0) -> np.ndarray:
+    """Places that runs (start, end) hold, each run's end brought forward by less."""
+    out = np.zeros(size, bool)
+    for r in runs or ():
+        out[r["start"] : max(r["start"], r["end"] - less)] = True
+    return out
+
+
+def _stretches(at: np.ndarray) -> list[dict]:
+    """Ascending places as runs (start, end)."""
+    if not len(at):
+        return []
+    new = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+    return [{"start": int(a), "end": int(z) + 1} for a, z in zip(at[new], at[np.r_[new[1:] - 1, len(at) - 1]], strict=True)]
+
+
+def _told(tids: list[int], starts: list[np.ndarray], words: int) -> pa.RecordBatch:
+    """(tid, start, end) of the stretches of words that passages starting there cover."""
+    spans = [(k, r["start"], r["end"]) for k, at in zip(tids, starts, strict=True) for r in _runs(at, words)]
+    return pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["tid", "start", "end"])
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(id, n_words, passages) of every row: array of (start, end) word numbers that another row repeats.
 
@@ -203,7 +230,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = rows.schema["id"].dataType.simpleString()
     slots, t = partitions(docs.sparkSession), words - WIDTH + 1
-    span = "array<struct<start int, end int>>"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -211,73 +237,123 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(tid, mask=n < words)], ["id", "n", "tid"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            values, edges, _, tid = sequences(b.column(1))
-            start, doc, sigs = signatures_at(values, edges, t)
-            keys, owners = [], []
-            for s in sigs:
-                new = np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])] if len(s) else np.zeros(0, bool)
-                keys.append(s[new])  # a compact window
-                owners.append(tid[doc[new]])
-            found = list(pack_keys(np.concatenate(keys), np.concatenate(owners), slots))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], ["slot", "data"])
+        def signed() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for b in slices(batches, "text"):
+                values, edges, _, tid = sequences(b.column(1))
+                _, _, doc, keys = signed_windows(values, edges, t)
+                yield keys, tid[doc]
+
+        yield from packed(signed(), slots)
+
+    measured = cut(rows.mapInArrow(lean(measure), f"id {key}, n long, tid long"))
+    texts = measured.where("tid is not null").groupBy("tid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("many"))
+    groups = stored(shared(rows.mapInArrow(lean(sign), "slot int, data binary"), slots))
+    mine = groups.groupBy("owner").agg(F.collect_list("g").alias("gs"))  # as many as a text has windows at most
+    wanted = cut(mine.join(texts, F.col("owner") == F.col("tid")).select("tid", "gs", "id"))
+    # dealt by tid for good, so that no later join moves the sequences again but for those of the other text of a pair
+    held = dealt(texts_of(rows, wanted, "tid", "gs").mapInArrow(lean(fetcher(slots, t)), f"tid long, seq binary, runs {SPAN}").dropDuplicates(["tid"]), slots, "tid")
+
+    tested = cut(_leading_pairs(groups))
+    swept(docs.sparkSession)
+    found = [cut(_compared_pairs(tested, held, t, words))]
+    swept(docs.sparkSession)
+    found.append(cut(_exact_of_rest(held, found[0], slots, t, words)))
+    swept(docs.sparkSession)
+    open_ = cut(held.join(_spans(found), "tid", "left").select("tid", "seq", "runs", "spans").mapInArrow(lean(opener(t, words)), "tid long, starts binary"))
+    if not open_.isEmpty():
+        found.append(cut(_near_of_rest(groups, tested, held, open_, slots, t, words)))
+
+    whole = texts.where("many > 1").select("tid", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"))
+    out = measured.join(_spans([*found, whole]).mapInArrow(lean(joined), f"tid long, passages {SPAN}"), "tid", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.coalesce("passages", F.array().cast(SPAN)).alias("passages"))
+
+
+def _spans(found: list[DataFrame]) -> DataFrame:
+    told = found[0]
+    for f in found[1:]:
+        told = told.unionByName(f)
+    return told.groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirmed spans of a text as maximal stretches."""
+    for b in batches:
+        out = []
+        for spans in b.column("spans").to_pylist():
+            some: list[dict] = []
+            for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
+                if some and s["start"] <= some[-1]["end"]:
+                    some[-1]["end"] = max(some[-1]["end"], s["end"])
+                else:
+                    some.append(s)
+            out.append(some)
+        yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array(out, _SPANS)], ["tid", "passages"])
+
+
+def fetcher(slots: int, t: int):
+    """Of texts (tid, gs, text): their sequences and where passages of the signatures gs start."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sequences of texts in which some passage shares enough signatures, and where such passages start."""
         for b in slices(batches, "text"):
             values, edges, _, tid = sequences(b.column(2))
-            start, doc, sigs = signatures_at(values, edges, t)
+            first, last, doc, keys = signed_windows(values, edges, t)
             gs = b.column(1)
             owner = np.repeat(np.arange(b.num_rows), np.diff(gs.offsets.to_numpy()))
-            first, last = gs.offsets[0].as_py(), gs.offsets[len(gs)].as_py()
-            held = np.sort(mix(gs.values[first:last].to_numpy().view(U64) ^ mix(owner)))
-            same = np.zeros(len(start), np.int64)
-            for s in sigs:
-                k = mix((low(s) | slot_of(s, slots) << U64(40)) ^ mix(doc))
-                at = np.minimum(np.searchsorted(held, k), max(0, len(held) - 1))
-                same += held[at] == k if len(held) else False
-            likely = same >= ENOUGH
-            found = start - edges[doc]
-            cuts = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            held = mix(gs.values[gs.offsets[0].as_py() : gs.offsets[len(gs)].as_py()].to_numpy().view(U64) ^ mix(owner))
+            ok = np.isin(mix(number_of(keys, slots) ^ mix(doc)), held)
+            cover = np.cumsum(np.bincount(first[ok], minlength=len(values) + 1) - np.bincount(last[ok] + 1, minlength=len(values) + 1)) > 0
             tids, seqs, runs = [], [], []
             for i, (want, have) in enumerate(zip(b.column(0).to_pylist(), tid.tolist(), strict=True)):
-                ok = found[cuts[i] : cuts[i + 1]][likely[cuts[i] : cuts[i + 1]]]
-                if want == have and len(ok):  # an id may come with several texts
-                    new = np.flatnonzero(np.r_[True, np.diff(ok) > 1])
+                if want == have:  # an id may come with several texts
                     tids.append(want)
                     seqs.append(values[edges[i] : edges[i + 1]].tobytes())
-                    runs.append([{"start": int(a), "end": int(z) + 1} for a, z in zip(ok[new], ok[np.r_[new[1:] - 1, len(ok) - 1]], strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(seqs, pa.binary()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["tid", "seq", "runs"])
+                    runs.append(_stretches(np.flatnonzero(cover[edges[i] : edges[i + 1]])))
+            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(seqs, pa.binary()), pa.array(runs, _SPANS)], ["tid", "seq", "runs"])
+
+    return fetch
+
+
+def _leading_pairs(groups: DataFrame) -> DataFrame:
+    """(a, b): each text with that of the leaders of its signatures with which it shares most."""
+    n = groups.where("owner <> leader").groupBy("owner", "leader").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("owner").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
+    return best.select(F.least("owner", "leader").alias("a"), F.greatest("owner", "leader").alias("b")).distinct()
+
+
+def _compared_pairs(pairs: DataFrame, held: DataFrame, t: int, words: int) -> DataFrame:
+    """(tid, start, end): what the texts of each pair repeat of the other."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tids, found = [], []
+            tids, starts = [], []
             for x, y, sx, sy in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("s_a"), b.column("s_b"), strict=True):
-                for k, at in zip((x, y), compared(*(np.frombuffer(s.as_buffer(), np.uint32) for s in (sx, sy)), t), strict=True):
-                    runs = _runs(at, words)
-                    tids += [k] * len(runs)
-                    found += runs
-            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array([r["start"] for r in found], pa.int32()), pa.array([r["end"] for r in found], pa.int32())], ["tid", "start", "end"])
+                tids += [x, y]
+                starts += compared(*(np.frombuffer(s.as_buffer(), np.uint32) for s in (sx, sy)), t)
+            yield _told(tids, starts, words)
+
+    for side in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("tid").alias(side), F.col("seq").alias(f"s_{side}")), side)
+    return pairs.mapInArrow(lean(compare), "tid long, start int, end int").distinct()
+
+
+def _exact_of_rest(held: DataFrame, spans: DataFrame, slots: int, t: int, words: int) -> DataFrame:
+    """(tid, start, end) of passages in shared windows that spans doesn't confirm and another text has as well."""
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes of passages that share enough signatures: packed where they are confirmed, else a row each."""
+        """Hashes of passages in shared windows: packed where they are confirmed, else a row each."""
         for b in batches:
             sure, sure_of, open_, open_of, places = [], [], [], [], []
             for tid, seq, runs, spans in zip(b.column("tid").to_pylist(), b.column("seq"), b.column("runs").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 h = _passage_hashes(np.frombuffer(seq.as_buffer(), np.uint32), t)
-                likely, known = np.zeros(len(h), bool), np.zeros(len(h), bool)
-                for r in runs:
-                    likely[r["start"] : r["end"]] = True
-                for r in spans or ():
-                    known[r["start"] : max(r["start"], r["end"] - words + 1)] = True
-                known &= likely
+                likely = _masked(len(h), runs)
+                known = _masked(len(h), spans, words - 1) & likely
                 at = np.flatnonzero(likely & ~known)
                 sure.append(h[known])
                 sure_of.append(np.full(int(known.sum()), tid, np.int64))
                 open_.append(h[at])
                 open_of.append(np.full(len(at), tid, np.int64))
                 places.append(at.astype(np.int32))
-            packed = dict(pack_keys(np.concatenate(sure), np.concatenate(sure_of), slots))
+            packets = dict(pack_keys(np.concatenate(sure), np.concatenate(sure_of), slots))
             loose = np.zeros(sum(map(len, open_)), OPEN)
             for name, x in (("h", open_), ("tid", open_of), ("at", places)):
                 loose[name] = np.concatenate(x)
@@ -285,8 +361,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             loose["h"] = low(loose["h"])
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(slots + 1))
-            found = [s for s in range(slots) if s in packed or cuts[s + 1] > cuts[s]]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([packed.get(s) for s in found], pa.binary()), pa.array([loose[order[cuts[s] : cuts[s + 1]]].tobytes() for s in found], pa.binary())], ["slot", "sure", "open"])
+            found = [s for s in range(slots) if s in packets or cuts[s + 1] > cuts[s]]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([packets.get(s) for s in found], pa.binary()), pa.array([loose[order[cuts[s] : cuts[s + 1]]].tobytes() for s in found], pa.binary())], ["slot", "sure", "open"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Passages not yet confirmed that another text has, slot after slot."""
@@ -296,7 +372,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             h, of, at = (np.ascontiguousarray(loose[n]) for n in ("h", "tid", "at"))
             wanted = np.unique(h)
             keys, owners = [h], [of]
-            for data in packed:
+            for data in packets:
                 k, o = unpack_keys(data)
                 if len(wanted):
                     some = wanted[np.minimum(np.searchsorted(wanted, k), len(wanted) - 1)] == k
@@ -309,156 +385,146 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             good = np.isin(h, several)
             return pa.RecordBatch.from_arrays([pa.array(of[good]), pa.array(at[good]), pa.array(at[good] + np.int32(words))], ["tid", "start", "end"])
 
-        now, packed, opens = None, [], []
+        now, packets, opens = None, [], []
         for b in batches:
             for slot, sure, loose in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 if slot != now and opens:
                     yield confirmed()
-                    packed, opens = [], []
+                    packets, opens = [], []
                 now = slot
                 if sure.is_valid:
-                    packed.append(sure.as_py())
+                    packets.append(sure.as_py())
                 opens.append(loose.as_py())
         if opens:
             yield confirmed()
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Confirmed spans of a text as maximal stretches."""
-        for b in batches:
-            out = []
-            for spans in b.column("spans").to_pylist():
-                some: list[dict] = []
-                for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-                    if some and s["start"] <= some[-1]["end"]:
-                        some[-1]["end"] = max(some[-1]["end"], s["end"])
-                    else:
-                        some.append(s)
-                out.append(some)
-            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["tid", "passages"])
+    left = held.join(_spans([spans]), "tid", "left").select("tid", "seq", "runs", "spans").mapInArrow(lean(rest), "slot int, sure binary, open binary")
+    return left.repartition(slots, "slot").sortWithinPartitions("slot").mapInArrow(lean(repeated), "tid long, start int, end int")
+
+
+def opener(t: int, words: int):
+    """Texts with passages in shared windows that nothing has confirmed, and where these start."""
 
     def openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts with likely passages that nothing has confirmed, and where these start."""
         for b in batches:
             keep, starts = [], []
             for i, (seq, runs, spans) in enumerate(zip(b.column("seq"), b.column("runs").to_pylist(), b.column("spans").to_pylist(), strict=True)):
-                at = np.zeros(len(seq.as_buffer()) // 4 - t + 1, bool)
-                for r in runs:
-                    at[r["start"] : r["end"]] = True
-                for r in spans or ():
-                    at[r["start"] : max(r["start"], r["end"] - words + 1)] = False
-                if at.any():
+                size = len(seq.as_buffer()) // 4 - t + 1
+                at = np.flatnonzero(_masked(size, runs) & ~_masked(size, spans, words - 1))
+                if len(at):
                     keep.append(i)
-                    starts.append(np.flatnonzero(at).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("tid").take(pa.array(keep, pa.int64())), b.column("seq").take(pa.array(keep, pa.int64())), pa.array(starts, pa.binary())], ["tid", "seq", "starts"])
-
-    def still_open(held: DataFrame, found: list[DataFrame]) -> DataFrame:
-        told = found[0]
-        for f in found[1:]:
-            told = told.unionByName(f)
-        told = told.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-        return cut(held.join(told, "tid", "left").select("tid", "seq", "runs", "spans").mapInArrow(lean(openings), "tid long, seq binary, starts binary"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How often shingles of one text in eight fall into each cell."""
-        cells = np.zeros(CELLS, np.int64)
+                    starts.append(at.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("tid").take(pa.array(keep, pa.int64())), pa.array(starts, pa.binary())], ["tid", "starts"])
+
+    return openings
+
+
+def _sequences_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The batch's sequences behind each other, and their n + 1 offsets."""
+    seqs = [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column("seq")]
+    return np.concatenate([np.zeros(0, np.uint32), *seqs]), np.r_[0, np.cumsum([len(x) for x in seqs], dtype=np.int64)]
+
+
+class Block:
+    """Stretches of several texts, to find those that have passages similar to a given one's."""
+
+    def __init__(self, known: list[tuple[int, np.ndarray]], t: int):
+        self.tids, self.parts, self.t = np.array([k for k, _ in known]), [p for _, p in known], t
+        size = np.array([len(p) for p in self.parts])
+        self.own = np.unique(np.repeat(np.arange(len(known), dtype=U64), size) << U64(32) | np.concatenate(self.parts))
+        self.part_of, self.values = (self.own >> U64(32)).astype(np.int64), self.own.astype(np.uint32)
+        #: distinct values that each passage of a part has at least
+        self.least = np.maximum(t - size + np.bincount(self.part_of, minlength=len(known)), 1)
+        self.all, self.many = np.unique(self.values, return_counts=True)
+
+    def similar(self, tid: int, a: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Those of a's passages at starts that are similar to one of another text than tid."""
+        t = self.t
+        plain = len(np.unique(a)) == len(a)
+        n = np.full(len(a) - t + 1, t) if plain else distinct(firsts(a, t), np.ones(len(a), bool), t)
+        # what other parts have at all: most passages of a popular signature have too much of their own
+        at = np.minimum(np.searchsorted(self.all, a), len(self.all) - 1)
+        common = np.r_[0, np.cumsum((self.all[at] == a) & (self.many[at] > (self.tids == tid).any()))]
+        starts = starts[(common[starts + t] - common[starts]) * (OF + NEED) >= NEED * (n[starts] + self.least.min())]
+        if not len(starts):
+            return starts
+        both = np.bincount(self.part_of[np.isin(self.values, a)], minlength=len(self.parts))
+        some = np.flatnonzero((both * (OF + NEED) >= NEED * (n[starts].min() + self.least)) & (self.tids != tid))
+        if not len(some):
+            return some
+        # of each passage, how many places hold a value that the part has
+        key = some.astype(U64)[:, None] << U64(32) | a.astype(U64)
+        held = np.zeros((len(some), len(a) + 1), np.int32)
+        held[:, 1:] = np.cumsum(self.own[np.minimum(np.searchsorted(self.own, key), len(self.own) - 1)] == key, axis=1)
+        may = (held[:, t:] - held[:, :-t]) * (OF + NEED) >= NEED * (n + self.least[some][:, None])
+        found = np.zeros(len(n), bool)
+        open_ = np.zeros(len(n), bool)
+        open_[starts] = True
+        for i in np.argsort(-may[:, starts].sum(1), kind="stable").tolist():
+            left = may[i] & open_
+            if left.any():
+                new = near(a, self.parts[some[i]], t, np.flatnonzero(~left))
+                found[new], open_[new] = True, False
+        return np.flatnonzero(found)
+
+
+def _near_of_rest(groups: DataFrame, tested: DataFrame, held: DataFrame, open_: DataFrame, slots: int, t: int, words: int) -> DataFrame:
+    """(tid, start, end) of open passages that are similar to one of another text in a window of the same signature.
+
+    Signatures of two texts that have been compared already tell nothing new and are left out.
+    """
+    kind = "g long, tid long, at int, part binary, starts binary"
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows of the signatures gs: the sequence that their passages cover, and which of them are open if starts are told."""
         for b in batches:
-            for tid, seq in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if tid % 8 == 0:
-                    cells += np.bincount(np.unique(np.frombuffer(seq.as_buffer(), np.uint32)) % CELLS, minlength=CELLS)
-        at = np.flatnonzero(cells > 1)
-        for i in np.array_split(at, -(-len(at) // (1 << 16))) if len(at) else []:
-            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(cells[i])], ["cell", "n"])
-
-    def shingle_order(held: DataFrame) -> np.ndarray:
-        """By cell how common its shingles are, roughly: any order is right, this one makes few pairs."""
-        found = held.select("tid", "seq").mapInArrow(lean(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        cells = np.zeros(CELLS, np.uint16)
-        cells[found.column("cell").to_numpy()] = np.minimum(found.column("n").to_numpy(), 65535)
-        return cells
-
-    def tokens(cells: np.ndarray, probe: bool, bits: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        """Keys of prefixes: the shingle, and which of the two passages has as many values or fewer."""
-
-        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keys, tids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for tid, seq, where in zip(b.column("tid").to_pylist(), b.column("seq"), b.column("starts" if probe else "runs"), strict=True):
-                    v = np.frombuffer(seq.as_buffer(), np.uint32)
-                    at = np.frombuffer(where.as_buffer(), np.int32) if probe else np.concatenate([np.arange(r["start"], r["end"]) for r in where.as_py()])
-                    order = cells[v % CELLS].astype(np.int64) << 32 | v
-                    same, less, fewer = prefixes(v, at.astype(np.int64), t, order)
-                    wide = v.astype(np.int64) << 2
-                    k = np.unique(np.r_[wide[same], wide[less if probe else fewer] | 1, wide[fewer if probe else less] | 2])
-                    if bits is not None:
-                        h = k % FILTER_BITS
-                        k = k[bits[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1]
-                    keys.append(k)
-                    tids.append(np.full(len(k), tid, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(tids))], ["key", "tid"])
-
-        return emit
-
-    def key_filter(keys: DataFrame) -> np.ndarray:
-        """A bit for each key, of a fixed number of bits, whatever the tables' sizes."""
-        bit = F.pmod("key", F.lit(FILTER_BITS))
-        mask = F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int"))
-        found = keys.groupBy(F.floor(bit / 8).alias("byte")).agg(F.bit_or(mask).alias("bits")).toArrow()
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        bits[found.column("byte").to_numpy()] = found.column("bits").to_numpy()
-        return bits
+            values, edges = _sequences_of(b)
+            first, last, doc, keys = signed_windows(values, edges, t)
+            gs = b.column("gs")
+            owner = np.repeat(np.arange(b.num_rows), np.diff(gs.offsets.to_numpy()))
+            asked = mix(gs.values[gs.offsets[0].as_py() : gs.offsets[len(gs)].as_py()].to_numpy().view(U64) ^ mix(owner))
+            g = number_of(keys, slots)
+            some = np.isin(mix(g ^ mix(doc)), asked)
+            if "starts" in b.schema.names:
+                at = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) + e for x, e in zip(b.column("starts"), edges, strict=False)])
+                a, z = np.searchsorted(at, first), np.searchsorted(at, last, "right")
+                some = np.flatnonzero(some & (z > a))
+                starts = [(at[a[i] : z[i]] - first[i]).astype(np.int32).tobytes() for i in some]
+            else:
+                some = np.flatnonzero(some)
+                starts = [None] * len(some)
+            first, end, doc = first[some], last[some] + t, doc[some]
+            parts = [values[a:z].tobytes() for a, z in zip(first.tolist(), end.tolist(), strict=True)]
+            columns = [pa.array(g[some].view(np.int64)), b.column("tid").take(pa.array(doc)), pa.array((first - edges[doc]).astype(np.int32)), pa.array(parts, pa.binary()), pa.array(starts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "tid", "at", "part", "starts"])
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Open windows against the others of their block; rows are ordered by block, the others first."""
+        now, known = None, []
         for b in batches:
-            tids, found = [], []
-            for tid, starts, sx, sy in zip(b.column("tid").to_pylist(), b.column("starts"), b.column("seq"), b.column("s_b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (sx, sy))
-                known = np.ones(len(x) - t + 1, bool)
-                known[np.frombuffer(starts.as_buffer(), np.int32)] = False
-                runs = _runs(np.sort(near(x, y, t, np.flatnonzero(known))), words)
-                tids += [tid] * len(runs)
-                found += runs
-            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array([r["start"] for r in found], pa.int32()), pa.array([r["end"] for r in found], pa.int32())], ["tid", "start", "end"])
-
-    def nearer(pairs: DataFrame, open_: DataFrame, held: DataFrame) -> DataFrame:
-        """Passages of texts' open ones that are similar to one of the other text of the pair (tid, other)."""
-        whole = pairs.join(open_, "tid").join(held.select(F.col("tid").alias("other"), F.col("seq").alias("s_b")), "other")
-        return whole.mapInArrow(lean(hold), "tid long, start int, end int").distinct()
-
-    measured = cut(rows.mapInArrow(lean(measure), f"id {key}, n long, tid long"))
-    texts = measured.where("tid is not null").groupBy("tid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("many"))
-    groups = stored(shared(rows.mapInArrow(lean(sign), "slot int, data binary"), slots))
-    ends = [groups.where(F.col("owner") != F.col(c)).groupBy("owner", F.col(c).alias("other")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ENOUGH).groupBy("owner").agg(F.max_by("other", F.struct("n", "other")).alias("other")) for c in ("leader", "last")]
-    pairs = cut(ends[0].unionByName(ends[1]).select(F.least("owner", "other").alias("a"), F.greatest("owner", "other").alias("b")).distinct())
-    likely = groups.groupBy("owner").agg(F.collect_list("g").alias("gs")).where(F.size("gs") >= ENOUGH)
-    wanted = cut(likely.select(F.col("owner").alias("tid"), "gs").join(texts.select("tid", "id"), "tid"))
-    held = cut(texts_of(rows, wanted, "tid", "gs").mapInArrow(lean(fetch), f"tid long, seq binary, runs {span}").dropDuplicates(["tid"]))
-    for side in ("a", "b"):
-        pairs = pairs.join(held.select(F.col("tid").alias(side), F.col("seq").alias(f"s_{side}")), side)
-    spans = cut(pairs.mapInArrow(lean(compare), "tid long, start int, end int").distinct())
-    told = spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    left = held.join(told, "tid", "left").select("tid", "seq", "runs", "spans").mapInArrow(lean(rest), "slot int, sure binary, open binary")
-    late = left.repartition(slots, "slot").sortWithinPartitions("slot").mapInArrow(lean(repeated), "tid long, start int, end int")
-    late = cut(late)
-    more = [spans, late]
-    open_ = still_open(held, more)
-    if not open_.isEmpty():
-        order = shingle_order(held)
-        keys = cut(open_.mapInArrow(lean(tokens(order, True, None)), "key long, tid long"))
-        others = cut(held.mapInArrow(lean(tokens(order, False, key_filter(keys))), "key long, tid long"))
-        groups = others.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high or m > 1")
-        ends = cut(groups)
-        first = keys.join(ends, "key").select("tid", F.explode(F.array("low", "high")).alias("other")).where("tid <> other").distinct()
-        more.append(cut(first.transform(lambda df: nearer(df, open_, held))))
-        open_ = still_open(held, more)
-        if not open_.isEmpty():
-            left_keys = keys.join(open_.select("tid"), "tid", "left_semi").join(ends.where("m > 2").select("key", "m"), "key")
-            blocks = F.ceil(F.col("m") / BLOCK).cast("long")
-            dealt = others.join(ends.where("m > 2").select("key", "m"), "key").select("key", F.col("tid").alias("other"), F.pmod(F.xxhash64("tid"), blocks).alias("block"))
-            all_ = left_keys.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(dealt, ["key", "block"]).where("tid <> other")
-            more.append(cut(nearer(all_.select("tid", "other").distinct().join(first, ["tid", "other"], "left_anti"), open_, held)))
-    for m in more[2:]:
-        late = late.unionByName(m)
-    whole = texts.where("many > 1").select("tid", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"))
-    found = spans.unionByName(late).unionByName(whole).groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    out = measured.join(found.mapInArrow(lean(joined), f"tid long, passages {span}"), "tid", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.coalesce("passages", F.array().cast(span)).alias("passages"))
+            done: dict[int, list[np.ndarray]] = {}
+            for g, i, j, tid, at, part, starts in zip(*(b.column(c).to_pylist() for c in ("g", "i", "j", "tid", "at", "part", "starts")), strict=True):
+                if (g, i, j) != now:
+                    now, known = (g, i, j), []
+                if starts is None:
+                    known.append((tid, np.frombuffer(part, np.uint32)))
+                elif known:
+                    known = known if isinstance(known, Block) else Block(known, t)
+                    done.setdefault(tid, []).append(at + known.similar(tid, np.frombuffer(part, np.uint32), np.frombuffer(starts, np.int32)))
+            yield _told(list(done), [np.unique(np.concatenate(x)) for x in done.values()], words)
+
+    told = tested.select(F.col("a").alias("first"), F.col("b").alias("last"))
+    fresh = groups.where("m > 2").select("g", "owner").unionByName(groups.where("m = 2").join(told, ["first", "last"], "left_anti").select("g", "owner"))
+    gs = fresh.groupBy(F.col("owner").alias("tid")).agg(F.collect_list("g").alias("gs"))  # as many as a text has windows at most
+    asked = cut(held.join(open_.join(gs, "tid"), "tid").select("tid", "seq", "starts", "gs").mapInArrow(lean(cut_out), kind))
+    gs = groups.join(asked.select("g").distinct(), "g", "left_semi").groupBy(F.col("owner").alias("tid")).agg(F.collect_list("g").alias("gs"))
+    known = held.join(gs, "tid").select("tid", "seq", "gs").mapInArrow(lean(cut_out), kind)
+    known = cut(known.groupBy("g", "part").agg(F.min("tid").alias("tid")))
+    swept(groups.sparkSession)
+    wide = known.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("wide"))
+    tall = asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("tall"))
+    sizes = cut(wide.join(tall, "g"))
+    right = known.join(sizes, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tall") - 1)).alias("i"), F.pmod(F.xxhash64("part"), "wide").alias("j"), "tid", F.lit(0).alias("at"), "part", F.lit(None).cast("binary").alias("starts"))
+    left = asked.join(sizes, "g").select("g", F.pmod(F.xxhash64("tid", "at"), "tall").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("j"), "tid", "at", "part", "starts")
+    blocks = right.unionByName(left).repartition(slots, "g", "i", "j").sortWithinPartitions("g", "i", "j", F.col("starts").isNotNull(), "tid", "at")
+    return blocks.mapInArrow(lean(hold), "tid long, start int, end int").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -32,6 +33,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """The rows of df behind a checkpoint, dealt by columns: joins and groups by these don't shuffle them again.
+
+    An adaptive plan forgets how its rows are dealt when it is cut, so this one isn't adaptive.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(n, *columns))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df as a compressed table in the checkpoint folder: smaller than a checkpoint where rows are many."""
     spark = df.sparkSession

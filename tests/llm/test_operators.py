@@ -255,25 +255,89 @@ def test_secrets_behind_longer_names(spark):
     assert got == [f"x {n}<SECRET> y" for n in names] + ["abcdef0123456789"]
 
 
+def near_words(rows):
+    """For each id the words in passages that are equal or 0.8 similar to one of another text, by comparing all texts."""
+    import numpy as np
+
+    number, seqs = {}, {}
+    for k, w in rows:
+        seqs.setdefault(tuple(w), (np.array([number.setdefault(tuple(w[i : i + 5]), len(number)) for i in range(len(w) - 4)], np.uint32), []))[1].append(k)
+    texts = [(v, ids, len(w)) for w, (v, ids) in seqs.items() if len(w) >= 50]
+    out = {k: set() for k, _ in rows}
+    sets = [set(v.tolist()) for v, _, _ in texts]
+    for i, (a, ids, n) in enumerate(texts):
+        told = set(range(n)) if len(ids) > 1 else set()
+        for j, (b, _, _) in enumerate(texts):
+            if i != j and len(sets[i] & sets[j]) > 20:
+                told.update(p + x for p in passages.compared(a, b, 46)[0].tolist() for x in range(50))
+        for k in ids:
+            out[k] = told
+    return out
+
+
+def covered(passages_):
+    return {j for p in passages_ for j in range(p.start, p.end)}
+
+
 def test_passages(docs, odd):
     df = docs.select("doc_id", "text")
     rows = [(k, words(lower(t))) for k, t in texts_of(df)]
-    own = collections.defaultdict(set)
+    got = {r.doc_id: r for r in passages.repeats(df).collect()}
+    exact, near = collections.defaultdict(set), near_words(rows)
     for k, w in rows:
         for i in range(len(w) - 49):
-            own[tuple(w[i : i + 50])].add(k)
-    got = {r.doc_id: r for r in passages.repeats(df).collect()}
+            exact[tuple(w[i : i + 50])].add(tuple(w))
     for k, w in rows:
-        want = {j for i in range(len(w) - 49) if len(own[tuple(w[i : i + 50])]) > 1 for j in range(i, i + 50)}
-        told = {j for p in got[k].passages for j in range(p.start, p.end)}
-        assert want <= told and got[k].n_words == len(w)
-        if not want and told:  # a near copy: most of its shingles stand elsewhere
-            assert len(told) >= 50
+        want = {j for i in range(len(w) - 49) if len(exact[tuple(w[i : i + 50])]) > 1 for j in range(i, i + 50)}
+        told = covered(got[k].passages)
+        assert want <= told <= near[k] and got[k].n_words == len(w)
+    assert sum(len(covered(got[k].passages)) for k in near) >= 0.98 * sum(map(len, near.values())) > 0
     odd_rows = {(r.doc_id, r.n_words): r.passages for r in passages.repeats(odd).collect()}
     assert [tuple(p) for p in odd_rows[(5, 3000)]] == [(0, 3000)] and odd_rows[(0, 0)] == []
     assert passages.repeats(df.limit(0)).count() == 0
 
 
+def test_compact_windows():
+    import numpy as np
+
+    rng, t = np.random.default_rng(7), 6
+    sizes = [0, 3, 6, 40, 5, 90]
+    values, edges = rng.integers(0, 50, sum(sizes)).astype(np.uint32), np.r_[0, np.cumsum(sizes)]
+    left, centre, right, h = passages.compact_windows(values, edges, t, np.uint64(5))
+    key = [(int(x) >> 32, i) for i, x in enumerate(h)]
+    want = []
+
+    def tree(a, z):
+        """Nodes of the Cartesian tree over places a to z that span at least t."""
+        if z - a >= t:
+            c = min(range(a, z), key=key.__getitem__)
+            want.append((max(a, c - t + 1), c, min(z - 1, c + t - 1)))
+            tree(a, c)
+            tree(c + 1, z)
+
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        tree(a, z)
+    assert sorted(zip(left.tolist(), centre.tolist(), right.tolist())) == sorted(want)
+
+
+def test_near_passages_that_many_pairs_of_texts_share(spark):
+    rng = random.Random(12)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(i, some(10)) for i in range(12)]
+    for i in range(12):
+        for j in range(i):  # each two share one passage, with two of 105 words changed
+            own = some(105)
+            other = list(own)
+            other[35], other[70] = "changed", "edited"
+            rows[i][1].extend(own + some(15))
+            rows[j][1].extend(other + some(15))
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    near, got = near_words(rows), {r.doc_id: covered(r.passages) for r in passages.repeats(df).collect()}
+    assert all(got[k] <= near[k] for k in got)
+    assert sum(map(len, near.values())) == 12 * 11 * 105
+    assert sum(map(len, got.values())) >= 0.95 * 12 * 11 * 105
+
+
 def test_near_passages_of_two_texts():
     import numpy as np
 
