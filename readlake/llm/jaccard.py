@@ -4,16 +4,17 @@ Signatures are those of PartEnum. Two sets of at most t elements that are 0.8 si
 k = 2 t / 9 elements. Sizes fall into bands that grow by 1/0.8; each set takes part with its own
 band and the one below, and with its own and the one above, and k follows from the largest size of the two.
 The domain is dealt by hash into n1 > k / 2 parts, of which one at least has no more than one
-difference, and each part into three; leaving out one of the three in each way gives signatures
+difference, and each part into two; leaving out either of the two gives signatures
 of which such a pair shares one. A part with an empty signature proves nothing: n1 is larger
 than needed by a margin, and sets with more empty parts than that are paired among themselves by
 the shingles of their prefix (any two similar sets share one of the first of an order).
 
-Equal sets are one from the start, so copies cost nothing. Sets that share a signature are compared
-with one of them first, the one that shares most. Where a group still falls into several components,
-each set is compared with the one of another component that small histograms say is nearest, twice; then
-what the histograms' bound still allows between components is compared, all of it, so no link between
-components is lost, and no group is expanded into all its pairs.
+Equal sets are one from the start, so copies cost nothing, and signatures that the same sets share are one group.
+Sets that share a signature are compared with one of them first, the one that shares most. Where a group still
+falls into several components, each set is compared with the one of another component that small histograms say is
+nearest, twice. The last round takes the groups that are open even then, and compares all pairs of different components
+that the histograms' bound allows, block with block: no link between components is lost; the histograms of such a group
+are compared pair by pair, its texts only where these leave it possible.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from readlake.llm.components import components
 from readlake.llm.ragged import LOWER, NOT_SPACE, U64, Texts, mix, powers, slices, stream, windows
-from readlake.llm.tables import cut, lean, partitions, sized, small_batches, stored
+from readlake.llm.tables import cut, dealt, lean, partitions, sized, small_batches, stored, swept
 
 WIDTH = 5
 #: Similar: NEED * |A and B| >= ... as integers, 100 * intersection >= 80 * union.
@@ -39,8 +40,6 @@ MARGIN = 1.12
 #: A histogram has as many bytes as this: so many cells, or four times as many for sets of up to SMALL elements.
 CELLS = 128
 FINE, SMALL = 4 * CELLS, 1000
-#: Of signatures' groups, one in so many is used to find each set's nearest.
-SOME = 8
 BLOCK = 1024
 _SEEDS = stream(3, 8)
 
@@ -121,6 +120,22 @@ def differences(h: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> n
     return out
 
 
+def sketches(values: np.ndarray, edges: np.ndarray) -> list[bytes | None]:
+    """Of each set of more than SMALL elements how many fall into each of n / 4 to n / 2 cells, a power of two, told up to 255."""
+    h, out = mix(values ^ _SEEDS[6]), []
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        many = 1 << max(0, (z - a).bit_length() - 2)
+        out.append(np.minimum(np.bincount((h[a:z] & U64(many - 1)).astype(np.int64), minlength=many), 255).astype(np.uint8).tobytes() if z - a > SMALL else None)
+    return out
+
+
+def sketch_differences(x: bytes, y: bytes) -> int:
+    """At least how many elements two sets of these sketches differ in; the larger sketch is folded to the smaller one's cells."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    n = min(len(a), len(b))
+    return int(np.abs(a.reshape(-1, n).sum(0) - b.reshape(-1, n).sum(0)).sum())
+
+
 def most_differences(n: np.ndarray | int) -> np.ndarray | int:
     """How many elements two similar sets can differ in whose sizes have the sum n."""
     return n * (OF - NEED) // (OF + NEED)
@@ -156,23 +171,19 @@ def signatures(values: np.ndarray, edges: np.ndarray, owners: np.ndarray) -> tup
         v = values[at]
         h = mix(v ^ _SEEDS[3])
         first = np.cumsum(parts) - parts
-        cell = (first[row] + (h >> U64(16)).astype(np.int64) % parts[row]) * 3 + (h & U64(0xFFFF)).astype(np.int64) % 3
-        total = int(parts.sum()) * 3
+        cell = (first[row] + (h >> U64(16)).astype(np.int64) % parts[row]) * 2 + (h & U64(1)).astype(np.int64)
+        total = int(parts.sum()) * 2
         sums = np.zeros(total, U64)
         with np.errstate(over="ignore"):
             np.add.at(sums, cell, mix(v ^ _SEEDS[4]))
-        held = np.bincount(cell, minlength=total).reshape(-1, 3)
-        sums = sums.reshape(-1, 3)
+        held = np.bincount(cell, minlength=total).reshape(-1, 2) > 0
+        sums = sums.reshape(-1, 2)
         part_of = np.repeat(np.arange(len(some)), parts)
         place = (np.arange(len(part_of)) - first[part_of]).astype(U64) + (tag[some].astype(U64) << U64(40))[part_of]
-        empty = np.zeros(len(part_of), bool)
-        for out in range(3):
-            i, j = (out + 1) % 3, (out + 2) % 3
-            full = held[:, i] + held[:, j] > 0
-            empty |= ~full
-            with np.errstate(over="ignore"):
-                key = mix((sums[:, i] + sums[:, j]) ^ mix(place * U64(4) + U64(out)))
-            keys.append(key[full])
+        empty = ~held.all(1)
+        for out in range(2):
+            full = held[:, out]
+            keys.append(mix(sums[:, out] ^ mix(place * U64(4) + U64(out)))[full])
             of.append(some[part_of[full]])
         weak = np.flatnonzero(np.bincount(part_of[empty], minlength=len(some)) >= parts - k[some] // 2)
         for w in weak.tolist():
@@ -229,8 +240,12 @@ def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return low.astype(U64) | high.astype(U64) << U64(32), np.repeat(table, many)
 
 
-def shared(packets: DataFrame, slots: int) -> DataFrame:
-    """(g, owner, leader, first, last, m): owners of each signature that m > 1 have, a leader among them, the smallest and the largest. packets: (slot, data)."""
+def shared(packets: DataFrame, slots: int, once: bool = False) -> DataFrame:
+    """(g, owner, leader, first, last, m, times): owners of each signature that m > 1 have, a leader among them, the smallest and the largest.
+
+    packets: (slot, data). With once, signatures of a slot that the same owners have are one group: times tells how many
+    they are, and g, a hash of the owners, is the same in every slot.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -265,14 +280,22 @@ def shared(packets: DataFrame, slots: int) -> DataFrame:
         number = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))
         ranked = np.lexsort((owners, -share, number))
         leader = owners[ranked[first]][number] if len(first) else owners
-        keep = size > 1
+        keep, times = size > 1, np.ones(len(keys), np.int64)
         g = (keys | U64(slot) << U64(40)).view(np.int64)
+        if once and len(keys):
+            with np.errstate(over="ignore"):
+                lists = mix(np.add.reduceat(mix(owners.view(U64) ^ _SEEDS[7]), first)).view(np.int64)
+            _, kept, many = np.unique(lists, return_index=True, return_counts=True)
+            alone = np.zeros(len(first), np.int64)
+            alone[kept] = many
+            keep &= alone[number] > 0
+            times, g = alone[number], lists[number]
         for a in range(0, len(g), 1 << 17):
             k = keep[a : a + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)][k]) for x in (g, owners, leader, least, last, size)], ["g", "owner", "leader", "first", "last", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)][k]) for x in (g, owners, leader, least, last, size, times)], ["g", "owner", "leader", "first", "last", "m", "times"])
 
     dealt = packets.repartition(slots, "slot").sortWithinPartitions("slot")
-    return dealt.mapInArrow(lean(find), "g long, owner long, leader long, first long, last long, m long")
+    return dealt.mapInArrow(lean(find), "g long, owner long, leader long, first long, last long, m long, times long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -292,7 +315,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         for b in slices(batches, "text"):
             values, edges = shingle_sets(b.column(1), width)
             n, sid = np.diff(edges), set_ids(values, edges)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sid, mask=n == 0), pa.array(histograms(values, edges), pa.binary())], ["id", "n", "sid", "hist"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sid, mask=n == 0), pa.array(histograms(values, edges), pa.binary()), pa.array(sketches(values, edges), pa.binary())], ["id", "n", "sid", "hist", "sketch"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def signed() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -309,18 +332,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
         yield from packed(signed(), slots)
 
-    measured = cut(rows.mapInArrow(lean(measure), f"id {key}, n long, sid long, hist binary"))
-    sets = cut(measured.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hist").alias("hist")))
-    groups = stored(shared(rows.mapInArrow(lean(sign), "slot int, data binary"), slots).drop("first", "last"))
+    measured = cut(rows.mapInArrow(lean(measure), f"id {key}, n long, sid long, hist binary, sketch binary"))
+    # dealt by sid for good, so that no later join moves them again
+    sets = dealt(measured.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("sketch").alias("sketch")), slots, "sid")
+    groups = stored(shared(rows.mapInArrow(lean(sign), "slot int, data binary"), slots, once=True).drop("first", "last"))
+    swept(docs.sparkSession)
 
-    best = groups.where("owner <> leader").groupBy("leader", "owner").agg(F.count(F.lit(1)).alias("n")).groupBy("owner").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
+    best = groups.where("owner <> leader").groupBy("leader", "owner").agg(F.sum("times").alias("n")).groupBy("owner").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
     tested = cut(best.select(F.least("leader", "owner").alias("a"), F.greatest("leader", "owner").alias("b")).distinct())
     links = cut(linked(pruned(tested, sets), sets, rows, width))
     for nearest in (1, 1, None):
-        some = groups if nearest is None else groups.where(F.pmod("g", F.lit(SOME)) == 0)
-        pairs = cut(crossed(some, components(links), sets, nearest).join(tested, ["a", "b"], "left_anti"))
+        swept(docs.sparkSession)
+        pairs = cut(crossed(groups, components(links), sets, nearest).join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            tested, links = tested.unionByName(pairs), cut(links.unionByName(linked(pairs, sets, rows, width)))
+            tested, links = tested.unionByName(pairs), cut(links.unionByName(linked(pruned(pairs, sets), sets, rows, width)))
     parts = components(links)
     named = sets.select("sid", "id").join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -339,20 +364,24 @@ def labelled(groups: DataFrame, parts: DataFrame) -> DataFrame:
 
 def of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The sets that pairs name."""
-    return sets.join(sized(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "sid", "left_semi")
+    return sets.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi")
 
 
 def pruned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and histograms allow that they are similar."""
-    some = sized(of_pairs(pairs, sets), MOST_SETS_SENT)
+    """Pairs (a, b) whose sizes, histograms and sketches allow that they are similar."""
     for side in ("a", "b"):
-        pairs = pairs.join(some.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("hist").alias(f"h_{side}")), side)
+        pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("hist").alias(f"h_{side}"), F.col("sketch").alias(f"s_{side}")), side)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = np.frombuffer(b"".join(b.column("h_a").to_pylist() + b.column("h_b").to_pylist()), np.uint8).reshape(-1, CELLS)
             n, at = np.concatenate([b.column("n_a").to_numpy(), b.column("n_b").to_numpy()]), np.arange(b.num_rows)
-            yield b.select(["a", "b"]).filter(pa.array(differences(h, n, at, at + b.num_rows) <= most_differences(n[at] + n[at + b.num_rows])))
+            most = most_differences(n[at] + n[at + b.num_rows])
+            ok = differences(h, n, at, at + b.num_rows) <= most
+            for i in np.flatnonzero(ok).tolist():
+                x, y = b.column("s_a")[i].as_py(), b.column("s_b")[i].as_py()
+                ok[i] = x is None or y is None or sketch_differences(x, y) <= most[i]
+            yield b.select(["a", "b"]).filter(pa.array(ok))
 
     small = pairs.where(f"least(n_a, n_b) * {OF} >= greatest(n_a, n_b) * {NEED}")
     return cut(small.mapInArrow(lean(prune), "a long, b long"))
@@ -378,22 +407,32 @@ def crossed(groups: DataFrame, parts: DataFrame, sets: DataFrame, nearest: int |
         for b in batches:
             held.append(b)
             if sum(x.num_rows for x in held) >= 1 << 15:
-                t = pa.Table.from_batches(held)
+                t = one_each(pa.Table.from_batches(held))
                 last = group_numbers(t)
                 end = int(np.searchsorted(last, last[-1]))  # the last group may go on
                 yield from pairs_within(t.slice(0, end), nearest)
                 held = t.slice(end).to_batches()
         if held:
-            yield from pairs_within(pa.Table.from_batches(held), nearest)
+            yield from pairs_within(one_each(pa.Table.from_batches(held)), nearest)
 
     dealt = rows.repartition(partitions(groups.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", "owner")
     found = dealt.mapInArrow(lean(compare), "a long, b long")
     if nearest is None:  # groups of two are one pair each, which their one row tells
         two = labelled(groups.where("m = 2 and owner <> leader"), parts).where("label <> leader_label")
-        found = found.unionByName(pruned(two.select(F.least("leader", "owner").alias("a"), F.greatest("leader", "owner").alias("b")).distinct(), sets))
+        found = found.unionByName(two.select(F.least("leader", "owner").alias("a"), F.greatest("leader", "owner").alias("b")))
     return found.distinct()
 
 
+def one_each(t: pa.Table) -> pa.Table:
+    """Rows (g, i, j, owner) once; the same group may come from several slots. Rows are in order."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for c in ("g", "i", "j", "owner"):
+        k = t.column(c).to_numpy()
+        new[1:] |= k[1:] != k[:-1]
+    return t.filter(pa.array(new))
+
+
 def group_numbers(t: pa.Table) -> np.ndarray:
     keys = [t.column(c).to_numpy() for c in ("g", "i", "j")]
     new = np.zeros(t.num_rows, bool)
@@ -438,13 +477,18 @@ def linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int) -> Da
     texts = texts_of(rows, wanted, "sid")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in slices(batches, "text"):
             values, edges = shingle_sets(b.column(1), width)
-            right = set_ids(values, edges) == b.column(0).to_numpy()  # an id may come with several texts
-            data = [values[a:z].tobytes() for a, z in zip(edges[:-1][right].tolist(), edges[1:][right].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(right)), pa.array(data, pa.binary())], ["sid", "elements"])
-
-    held = cut(texts.mapInArrow(lean(elements), "sid long, elements binary").dropDuplicates(["sid"]))
+            right = []
+            for i, (have, want) in enumerate(zip(set_ids(values, edges).tolist(), b.column(0).to_pylist(), strict=True)):
+                if have == want and want not in seen:  # an id may come with several texts, and rows may repeat
+                    seen.add(want)
+                    right.append(i)
+            data = [values[edges[i] : edges[i + 1]].tobytes() for i in right]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(right, pa.int64())), pa.array(data, pa.binary())], ["sid", "elements"])
+
+    held = dealt(texts.mapInArrow(lean(elements), "sid long, elements binary"), partitions(rows.sparkSession), "sid")
     for side in ("a", "b"):
         pairs = pairs.join(held.select(F.col("sid").alias(side), F.col("elements").alias(f"e_{side}")), side)
 
@@ -457,28 +501,27 @@ def linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int) -> Da
                 ok.append(OF * both >= NEED * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.mapInArrow(lean(compare), "a long, b long")
+    return pairs.mapInArrow(lean(compare), "a long, b long").distinct()
 
 
-#: Sets, each of a histogram and two numbers, up to which they may be sent to every task.
-MOST_SETS_SENT = 20_000
-#: Bits of the filter that keeps texts nobody asks for out of a shuffle.
-FILTER_BITS = 1 << 23
+#: Bits, at most, of the filter that keeps texts nobody asks for out of a shuffle.
+FILTER_BITS = 1 << 25
 
 
 def texts_of(rows: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
     """(*columns, text) of the rows (id, text) that wanted (id, *columns) names.
 
-    A filter of a fixed number of bits, whatever the tables' sizes, goes to every task first, so that only
-    texts that are wanted, and some few whose bit is, are shuffled for the exact join.
+    A filter of 64 bits for each id, as long as it stays under FILTER_BITS, goes to every task first, so that only texts
+    that are wanted, and some few whose bit is, are shuffled for the exact join; with more ids the join does without.
     """
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in wanted.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(mask).alias("bits")).toLocalIterator():
-        words[r["word"]] = r["bits"]
-    spark = rows.sparkSession
-    bits = spark.createDataFrame([(words.tolist(),)], "bits array<long>")
-    held = F.get("bits", F.floor(bit / 64).cast("int")).bitwiseAND(mask) != 0
-    likely = rows.crossJoin(F.broadcast(bits)).where(held).select("id", "text")
-    return likely.join(wanted.select(F.col("id").alias("wanted_id"), *columns), F.col("id").eqNullSafe(F.col("wanted_id"))).select(*columns, "text")
+    bits = 1 << max(12, (64 * wanted.count()).bit_length())
+    if bits <= FILTER_BITS:
+        bit = F.pmod(F.xxhash64("id"), F.lit(bits))
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+        words = np.zeros(bits // 64, np.int64)
+        for r in wanted.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(mask).alias("bits")).toLocalIterator():
+            words[r["word"]] = r["bits"]
+        table = rows.sparkSession.createDataFrame([(words.tolist(),)], "bits array<long>")
+        held = F.get("bits", F.floor(bit / 64).cast("int")).bitwiseAND(mask) != 0
+        rows = rows.crossJoin(F.broadcast(table)).where(held).select("id", "text")
+    return rows.join(wanted.select(F.col("id").alias("wanted_id"), *columns), F.col("id").eqNullSafe(F.col("wanted_id"))).select(*columns, "text")

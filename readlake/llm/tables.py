@@ -17,13 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one where it names none, as in tests."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    """The shared folder that the session names. Where it names none, a temporary one serves a local session, as in tests; on a cluster that is an error."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    folder = conf or tempfile.mkdtemp(prefix="readlake-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="readlake-checkpoint-")
+    context.setCheckpointDir(folder)
     return folder
 
 
