@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.jaccard import BLOCK, NEED, OF, WIDTH, pack_keys, packed, shared, texts_of, unpack_keys
+from readlake.llm.jaccard import NEED, OF, WIDTH, pack_keys, packed, shared, texts_of, unpack_keys
 from readlake.llm.ragged import LOWER, NOT_SPACE, U64, Texts, mix, powers, slices, stream, windows
 from readlake.llm.tables import cut, dealt, lean, partitions, small_batches, stored, swept
 
@@ -30,6 +30,8 @@ WORDS = 50
 FAMILIES = 4
 _SEEDS = stream(9, 16)
 _INVERSE = pow(int(powers(2)[1]), -1, 1 << 64)
+#: Windows of one signature up to which a task holds them at once, of some 60 shingles each; more are dealt into blocks.
+BLOCK = 1 << 14
 #: A passage that is not yet confirmed: its hash, the text, where it starts.
 OPEN = np.dtype([("h", np.uint64), ("tid", np.int64), ("at", np.int32)])
 SPAN = "array<struct<start int, end int>>"
@@ -138,61 +140,78 @@ def _passage_hashes(values: np.ndarray, t: int) -> np.ndarray:
         return mix((sums[t:] - sums[:-t]) * np.multiply.accumulate(back))
 
 
-def firsts(values: np.ndarray, t: int) -> np.ndarray:
-    """For each place the first of the passages in which nothing before it has its value; it is the last such passage's start itself."""
-    order = np.argsort(values, kind="stable")
-    before = np.full(len(values), -1)
-    same = values[order[1:]] == values[order[:-1]]
-    before[order[1:][same]] = order[:-1][same]
-    return np.maximum(before + 1, np.arange(len(values)) - t + 1)
+class Sequence:
+    """Values of a text and what comparisons of its passages of t values need."""
 
+    def __init__(self, values: np.ndarray, t: int):
+        self.values, self.t = values, t
+        self.order = np.argsort(values, kind="stable")
+        self.sorted = values[self.order]
+        before, same = np.full(len(values), -1), self.sorted[1:] == self.sorted[:-1]
+        before[self.order[1:][same]] = self.order[:-1][same]
+        #: for each place the first of the passages in which nothing before it has its value; it is the last such passage's start itself
+        self.first = np.maximum(before + 1, np.arange(len(values)) - t + 1)
+        #: how many values each passage has, repeated ones once
+        self.n = self.distinct(np.ones(len(values), bool)) if same.any() else np.full(len(values) - t + 1, t)
 
-def distinct(first: np.ndarray, some: np.ndarray, t: int) -> np.ndarray:
-    """How many values each passage has, repeated ones once, of those in some places."""
-    n, at = len(first), np.flatnonzero(some)
-    return np.cumsum(np.bincount(first[at], minlength=n + 1) - np.bincount(at + 1, minlength=n + 1))[: n - t + 1]
+    def distinct(self, some: np.ndarray) -> np.ndarray:
+        """How many values each passage has, repeated ones once, of those in some places."""
+        n, at = len(self.first), np.flatnonzero(some)
+        return np.cumsum(np.bincount(self.first[at], minlength=n + 1) - np.bincount(at + 1, minlength=n + 1))[: n - self.t + 1]
 
+    def places(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of the values begins and ends in sorted."""
+        return np.searchsorted(self.sorted, values), np.searchsorted(self.sorted, values, "right")
 
-def near(a: np.ndarray, b: np.ndarray, t: int, exact: np.ndarray, most: int = 1 << 21) -> np.ndarray:
-    """Starts in a of passages that are not among those in exact and are similar to some passage of b.
+
+def near(a: Sequence, b: Sequence, some: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """Those of a's passages that start at some places (a mask) and are similar to some passage of b.
 
     A value that both have, at a place of a and one of b, counts for a rectangle of passages of a and b: those in which
     both places are the value's first. So the sum of all rectangles is the intersection of each two passages.
     """
-    fa, fb = firsts(a, t), firsts(b, t)
-    na, nb = distinct(fa, np.ones(len(a), bool), t), distinct(fb, np.ones(len(b), bool), t)
-    order = np.argsort(b, kind="stable")
-    low, high = np.searchsorted(b[order], a), np.searchsorted(b[order], a, "right")
-    may = OF * distinct(fa, high > low, t) >= NEED * na  # else the similarity can't be reached
-    may[exact] = False
-    rows, out = np.flatnonzero(may), []
-    for r in np.array_split(rows, -(-len(rows) // max(1, min(256, most // len(b) - t)))) if len(rows) else []:
+    t, (low, high) = a.t, b.places(a.values)
+    rows, out = np.flatnonzero(some & (OF * a.distinct(high > low) >= NEED * a.n)), []  # else the similarity can't be reached
+    for r in np.array_split(rows, -(-len(rows) // max(1, min(256, most // len(b.values) - t)))) if len(rows) else []:
         p = np.arange(r[0], r[-1] + t)
         p = p[high[p] > low[p]]
-        top, end = np.searchsorted(r, fa[p]), np.searchsorted(r, p, "right")
+        top, end = np.searchsorted(r, a.first[p]), np.searchsorted(r, p, "right")
         p, top, end = p[end > top], top[end > top], end[end > top]
         many = high[p] - low[p]
-        q = order[np.repeat(low[p] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-        held = np.zeros(len(b), bool)
+        q = b.order[np.repeat(low[p] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        held = np.zeros(len(b.values), bool)
         held[q] = True
-        c = np.flatnonzero(OF * distinct(fb, held, t) >= NEED * nb)
+        c = np.flatnonzero(OF * b.distinct(held) >= NEED * b.n)
         if not len(c):
             continue
-        top, end, left, right = np.repeat(top, many), np.repeat(end, many), np.searchsorted(c, fb[q]), np.searchsorted(c, q, "right")
+        top, end, left, right = np.repeat(top, many), np.repeat(end, many), np.searchsorted(c, b.first[q]), np.searchsorted(c, q, "right")
         wide, size = len(c) + 1, (len(r) + 1) * (len(c) + 1)
         both = np.bincount(np.r_[top * wide + left, end * wide + right], minlength=size) - np.bincount(np.r_[top * wide + right, end * wide + left], minlength=size)
         both = both.astype(np.int32).reshape(-1, wide).cumsum(0, dtype=np.int32).cumsum(1, dtype=np.int32)[:-1, :-1]
-        out.append(r[(OF * both >= NEED * (na[r][:, None] + nb[c] - both)).any(1)])
+        out.append(r[(OF * both >= NEED * (a.n[r][:, None] + b.n[c] - both)).any(1)])
     return np.concatenate(out) if out else rows[:0]
 
 
 def compared(a: np.ndarray, b: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the passages of a, and of b, that the other text repeats."""
+    nothing = np.zeros(0, np.int64)
     if min(len(a), len(b)) < t:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return nothing, nothing
+    x, y = Sequence(a, t), Sequence(b, t)
+    may = [OF * u.distinct(np.subtract(*v.places(u.values)) < 0) >= NEED * u.n for u, v in ((x, y), (y, x))]
+    if not may[0].any() or not may[1].any():
+        return nothing, nothing
     ha, hb = _passage_hashes(a, t), _passage_hashes(b, t)
-    ea, eb = np.flatnonzero(np.isin(ha, hb)), np.flatnonzero(np.isin(hb, ha))
-    return np.union1d(ea, near(a, b, t, ea)), np.union1d(eb, near(b, a, t, eb))
+    common = np.intersect1d(ha[may[0]], hb[may[1]])
+    out = []
+    for u, v, h, some in ((x, y, ha, may[0]), (y, x, hb, may[1])):
+        exact = np.zeros(len(h), bool)
+        if len(common):
+            exact[some] = common[np.minimum(np.searchsorted(common, h[some]), len(common) - 1)] == h[some]
+        left = some & ~exact
+        exact[near(u, v, left) if left.any() else nothing] = True
+        out.append(np.flatnonzero(exact))
+    return out[0], out[1]
 
 
 def _masked(size: int, runs: list[dict] | None, less: int = 0) -> np.ndarray:
@@ -314,10 +333,10 @@ def fetcher(slots: int, t: int):
 
 
 def _leading_pairs(groups: DataFrame) -> DataFrame:
-    """(a, b): each text with that of the leaders of its signatures with which it shares most."""
+    """(a, b), no two texts twice: a leads the signatures of b, and of such leaders is the one with which b shares most."""
     n = groups.where("owner <> leader").groupBy("owner", "leader").agg(F.count(F.lit(1)).alias("n"))
     best = n.groupBy("owner").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
-    return best.select(F.least("owner", "leader").alias("a"), F.greatest("owner", "leader").alias("b")).distinct()
+    return best.groupBy(F.least("owner", "leader"), F.greatest("owner", "leader")).agg(F.min(F.struct(F.col("leader").alias("a"), F.col("owner").alias("b"))).alias("pair")).select("pair.a", "pair.b")
 
 
 def _compared_pairs(pairs: DataFrame, held: DataFrame, t: int, words: int) -> DataFrame:
@@ -331,7 +350,7 @@ def _compared_pairs(pairs: DataFrame, held: DataFrame, t: int, words: int) -> Da
                 starts += compared(*(np.frombuffer(s.as_buffer(), np.uint32) for s in (sx, sy)), t)
             yield _told(tids, starts, words)
 
-    for side in ("a", "b"):
+    for side in ("a", "b"):  # many texts may have one leader, so the other text comes last: by it they are compared
         pairs = pairs.join(held.select(F.col("tid").alias(side), F.col("seq").alias(f"s_{side}")), side)
     return pairs.mapInArrow(lean(compare), "tid long, start int, end int").distinct()
 
@@ -435,36 +454,40 @@ class Block:
         self.part_of, self.values = (self.own >> U64(32)).astype(np.int64), self.own.astype(np.uint32)
         #: distinct values that each passage of a part has at least
         self.least = np.maximum(t - size + np.bincount(self.part_of, minlength=len(known)), 1)
-        self.all, self.many = np.unique(self.values, return_counts=True)
+        self.by_value = np.argsort(self.values, kind="stable")
+        self.sorted, self.texts = self.values[self.by_value], set(self.tids.tolist())
 
     def similar(self, tid: int, a: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Those of a's passages at starts that are similar to one of another text than tid."""
-        t = self.t
-        plain = len(np.unique(a)) == len(a)
-        n = np.full(len(a) - t + 1, t) if plain else distinct(firsts(a, t), np.ones(len(a), bool), t)
+        t, own = self.t, Sequence(a, self.t)
+        n = own.n
         # what other parts have at all: most passages of a popular signature have too much of their own
-        at = np.minimum(np.searchsorted(self.all, a), len(self.all) - 1)
-        common = np.r_[0, np.cumsum((self.all[at] == a) & (self.many[at] > (self.tids == tid).any()))]
+        low, high = np.searchsorted(self.sorted, a), np.searchsorted(self.sorted, a, "right")
+        common = np.r_[0, np.cumsum(high - low > (tid in self.texts))]
         starts = starts[(common[starts + t] - common[starts]) * (OF + NEED) >= NEED * (n[starts] + self.least.min())]
         if not len(starts):
             return starts
-        both = np.bincount(self.part_of[np.isin(self.values, a)], minlength=len(self.parts))
+        new = np.r_[True, own.sorted[1:] != own.sorted[:-1]]
+        low, many = low[own.order[new]], (high - low)[own.order[new]]
+        held = self.by_value[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        both = np.bincount(self.part_of[held], minlength=len(self.parts))
         some = np.flatnonzero((both * (OF + NEED) >= NEED * (n[starts].min() + self.least)) & (self.tids != tid))
-        if not len(some):
-            return some
-        # of each passage, how many places hold a value that the part has
-        key = some.astype(U64)[:, None] << U64(32) | a.astype(U64)
-        held = np.zeros((len(some), len(a) + 1), np.int32)
-        held[:, 1:] = np.cumsum(self.own[np.minimum(np.searchsorted(self.own, key), len(self.own) - 1)] == key, axis=1)
-        may = (held[:, t:] - held[:, :-t]) * (OF + NEED) >= NEED * (n + self.least[some][:, None])
-        found = np.zeros(len(n), bool)
-        open_ = np.zeros(len(n), bool)
+        some = some[np.argsort(-both[some], kind="stable")]
+        found, open_ = np.zeros(len(n), bool), np.zeros(len(n), bool)
         open_[starts] = True
-        for i in np.argsort(-may[:, starts].sum(1), kind="stable").tolist():
-            left = may[i] & open_
-            if left.any():
-                new = near(a, self.parts[some[i]], t, np.flatnonzero(~left))
-                found[new], open_[new] = True, False
+        for parts in np.array_split(some, -(-len(some) // 256)) if len(some) else []:
+            # of each passage, how many places hold a value that the part has
+            key = parts.astype(U64)[:, None] << U64(32) | a.astype(U64)
+            held = np.zeros((len(parts), len(a) + 1), np.int32)
+            held[:, 1:] = np.cumsum(self.own[np.minimum(np.searchsorted(self.own, key), len(self.own) - 1)] == key, axis=1)
+            may = (held[:, t:] - held[:, :-t]) * (OF + NEED) >= NEED * (n + self.least[parts][:, None])
+            for i in np.flatnonzero((may & open_).any(1)).tolist():
+                left = may[i] & open_
+                if left.any():
+                    new = near(own, Sequence(self.parts[parts[i]], t), left)
+                    found[new], open_[new] = True, False
+            if not open_.any():
+                break
         return np.flatnonzero(found)
 
 
@@ -513,7 +536,7 @@ def _near_of_rest(groups: DataFrame, tested: DataFrame, held: DataFrame, open_:
                     done.setdefault(tid, []).append(at + known.similar(tid, np.frombuffer(part, np.uint32), np.frombuffer(starts, np.int32)))
             yield _told(list(done), [np.unique(np.concatenate(x)) for x in done.values()], words)
 
-    told = tested.select(F.col("a").alias("first"), F.col("b").alias("last"))
+    told = tested.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("last"))
     fresh = groups.where("m > 2").select("g", "owner").unionByName(groups.where("m = 2").join(told, ["first", "last"], "left_anti").select("g", "owner"))
     gs = fresh.groupBy(F.col("owner").alias("tid")).agg(F.collect_list("g").alias("gs"))  # as many as a text has windows at most
     asked = cut(held.join(open_.join(gs, "tid"), "tid").select("tid", "seq", "starts", "gs").mapInArrow(lean(cut_out), kind))
