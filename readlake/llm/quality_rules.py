@@ -2,8 +2,11 @@
 
 Statistics come from whole texts, batch by batch. The list is learned by sequential covering: a
 rule grows one threshold after another on two thirds of the labelled rows (by FOIL's gain), is
-pruned on the other third, and stands if it is right there; what it covers is set aside and the
-next rule is grown. The rules leave as one ordered Spark expression.
+pruned on the other third, and stands if it is right often enough: over all rows that it covers, and as far as the
+few rows of the third can tell (by the upper end of Wilson's interval). What it covers is set aside and the
+next rule is grown; rows of a rule that doesn't stand are set aside for growing alone. The rules leave as one
+ordered Spark expression. Neither the number of rules nor that of conditions is limited: each rule covers three
+rows that no rule before does, each condition gains.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.ragged import NOT_SPACE, Texts, mix, slices, windows
-from readlake.llm.tables import lean, small_batches
+from readlake.llm.tables import lean, sized, small_batches
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
@@ -123,38 +126,51 @@ def sample(labels: DataFrame, bound: int, id_col: str = "doc_id", label_col: str
 def learn(docs: DataFrame, labels: DataFrame, bound: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", good: int = 1, least_right: float = 0.95) -> DecisionList:
     """The decision list for rows whose label is not good.
 
-    Fitted on about bound labelled rows (documented parameter), all of which the driver holds as
-    six numbers each. Without labels the list is empty and keeps everything.
+    Fitted on about bound labelled ids (documented parameter), all of which the driver holds as
+    six numbers each; of an id's texts one counts, that of the least statistics. Without labels the list is empty and keeps everything.
     """
-    one = sample(labels, bound, id_col, label_col)
+    one = sized(sample(labels, bound, id_col, label_col))
     texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(one, "label_id")
-    stats = statistics(texts, "label_id", "text", ("label",)).select("label_id", "label", *(F.expr(e).alias(f) for f, e in FEATURES.items()))
-    rows = stats.withColumn("fold", F.pmod(F.xxhash64("label_id", F.lit("fold")), F.lit(3))).orderBy("label_id", *FEATURES).toPandas()
+    stats = statistics(texts, "label_id", "text", ("label",)).select("label_id", "label", F.struct(*(F.expr(e).alias(f) for f, e in FEATURES.items())).alias("x"))
+    stats = stats.groupBy("label_id", "label").agg(F.min("x").alias("x")).select("label_id", "label", "x.*")
+    rows = stats.withColumn("fold", F.pmod(F.xxhash64("label_id", F.lit("fold")), F.lit(3))).orderBy("label_id").toPandas()
     if not len(rows):
         return DecisionList(())
     return cover(rows[list(FEATURES)].to_numpy(float), (rows["label"] != good).to_numpy(), (rows["fold"] == 0).to_numpy(), least_right)
 
 
-def cover(x: np.ndarray, bad: np.ndarray, prune: np.ndarray, least_right: float, most_rules: int = 12, most_conditions: int = 4) -> DecisionList:
+def cover(x: np.ndarray, bad: np.ndarray, prune: np.ndarray, least_right: float) -> DecisionList:
     names, rules = list(FEATURES), []
     left = np.ones(len(bad), bool)
+    grow = ~prune
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 129), method="nearest")) for j in range(x.shape[1])]
-    while len(rules) < most_rules and (left & bad & ~prune).sum() >= 3:
-        grown = _grown(x, bad, left & ~prune, cuts, most_conditions)
+    while (left & bad & grow).sum() >= 3:
+        grown = _grown(x, bad, left & grow, cuts)
         # the pruned rule, or where that is not right often enough the rule as it was grown
         for conditions in (_pruned(x, bad, left & prune, grown), grown):
             hit = left & _holds(x, conditions)
             right, wrong = int((hit & bad).sum()), int((hit & ~bad).sum())
             seen = hit & prune
-            if conditions and right >= 3 and right >= least_right * (right + wrong) and (seen & bad).sum() >= max(1, least_right * seen.sum()):
+            if conditions and right >= 3 and right >= least_right * (right + wrong) and _upper((seen & bad).sum(), seen.sum()) >= least_right:
+                rules.append(Rule(tuple((names[j], op, float(t)) for j, op, t in conditions), right, wrong))
+                left &= ~hit
                 break
         else:
-            break
-        rules.append(Rule(tuple((names[j], op, float(t)) for j, op, t in conditions), right, wrong))
-        left &= ~hit
+            hit = left & grow & _holds(x, grown)
+            if not grown or not (hit & bad).any():
+                break
+            grow &= ~hit
     return DecisionList(tuple(rules))
 
 
+def _upper(right: int, n: int, z: float = 1.645) -> float:
+    """The upper end of Wilson's interval for the share of right ones, 95 % on one side; without a row nothing is known, so 0."""
+    if not n:
+        return 0.0
+    p = right / n
+    return float((p + z * z / (2 * n) + z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))
+
+
 def _holds(x: np.ndarray, conditions: list) -> np.ndarray:
     out = np.ones(len(x), bool)
     for j, op, t in conditions:
@@ -162,10 +178,10 @@ def _holds(x: np.ndarray, conditions: list) -> np.ndarray:
     return out
 
 
-def _grown(x: np.ndarray, bad: np.ndarray, rows: np.ndarray, cuts: list[np.ndarray], most: int) -> list:
+def _grown(x: np.ndarray, bad: np.ndarray, rows: np.ndarray, cuts: list[np.ndarray]) -> list:
     """Adds the threshold of the largest gain while wrong rows are covered."""
     conditions: list = []
-    while len(conditions) < most:
+    while True:
         p0, n0 = (rows & bad).sum(), (rows & ~bad).sum()
         if not p0 or not n0:
             break
