@@ -3,8 +3,9 @@
 Rules name a host, with its subdomains, and a path. Where no rule fits a page, its host decides.
 Trust flows from hosts with allowed pages along links between hosts; distrust flows from hosts with blocked
 pages against the links, so that who links to them loses. Both are personalised PageRanks.
-Hosts are linked by addresses in their pages, and to the domain above them. A host is blocked if
-its distrust exceeds its trust and `least` times an average host's share.
+Hosts are linked by addresses in their pages, and to the domain above them. Ranks are sums over walks: in each round
+what is on its way goes one link on, until less than TOLERANCE of it is left. A host is blocked if
+its distrust exceeds its trust by TOLERANCE and is at least `least`, both in shares of an average host.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 
 from readlake.llm.tables import cut
 
-LINK = r"""(?i)(?:href|src)\s{0,4}=\s{0,4}["']?(?:https?:)?//([^/"'\s<>?#]+)"""
+LINK = r"""(?i)(?:href|src)[\t-\r ]*=[\t-\r ]*["']?(?:https?:)?//([^/"'\t-\r <>?#]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+DAMPING = 0.85
+#: Of all trust, and of all distrust, less than this is still on its way at the end.
+TOLERANCE = 1e-3
 #: Up to so many hosts their verdicts are sent to every task of the last join.
 MOST_SENT = 100_000
 
@@ -51,25 +55,31 @@ def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pairs.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
-    """(host, trust, distrust) after some rounds; seeds: (host, trust, distrust), each host once, sums of 1.
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust) of walks from seeds (host, trust, distrust), each host once, sums of 1.
 
-    Each round is one join of links with the ranks and one sum by host; the lineage is cut every four.
+    A walk goes on with a chance of damping. Each round is one join of links with what is on its way, and one sum by host
+    that also carries what has arrived; the lineage is cut every four, and rounds end when less than tolerance of what
+    set out is on its way. Walks end at hosts without links.
     """
     out, into = links.groupBy("src").agg(F.sum("n").alias("all_out")), links.groupBy("dst").agg(F.sum("n").alias("all_in"))
     shares = links.join(out, "src").join(into, "dst")
     arcs = cut(shares.selectExpr("src as host", "dst as next", "n / all_out as t", "0D as d").unionByName(shares.selectExpr("dst as host", "src as next", "0D as t", "n / all_in as d")))
-    start = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
-    ranks = seeds.select("host", "trust", "distrust")
-    for i in range(rounds):
-        given = arcs.join(ranks, "host").select(F.col("next").alias("host"), (F.col("t") * F.col("trust") * damping).alias("trust"), (F.col("d") * F.col("distrust") * damping).alias("distrust"))
-        ranks = given.unionByName(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if i % 4 == 3:
-            ranks = cut(ranks)
-    return ranks
-
-
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], least: float = 1.0, rounds: int = 8, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    nothing = F.lit(0.0)
+    state = seeds.select("host", nothing.alias("trust"), nothing.alias("distrust"), F.col("trust").alias("t_way"), F.col("distrust").alias("d_way"))
+    while True:
+        for _ in range(4):
+            moved = arcs.join(state.where("t_way > 0 or d_way > 0").select("host", "t_way", "d_way"), "host")
+            moved = moved.select(F.col("next").alias("host"), nothing.alias("trust"), nothing.alias("distrust"), (F.col("t") * F.col("t_way") * damping).alias("t_way"), (F.col("d") * F.col("d_way") * damping).alias("d_way"))
+            ended = state.select("host", (F.col("trust") + F.col("t_way") * (1 - damping)).alias("trust"), (F.col("distrust") + F.col("d_way") * (1 - damping)).alias("distrust"), nothing.alias("t_way"), nothing.alias("d_way"))
+            state = moved.unionByName(ended).groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust", "t_way", "d_way")))
+        state = cut(state)
+        t, d = state.agg(F.sum("t_way"), F.sum("d_way")).first()
+        if max(t or 0.0, d or 0.0) < tolerance:
+            return state.select("host", "trust", "distrust")
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], least: float = 1.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) of every page.
 
     A null url, or one without `://`, has empty host and path, fits no rule and is allowed with no
@@ -85,8 +95,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], least: float = 1.0
     hosts = cut(counted.unionByName(outside).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
     n, trust, distrust = hosts.agg(F.count(F.lit(1)), F.sum("trust"), F.sum("distrust")).first()
     seeds = hosts.select("host", (F.col("trust") / (trust or 1.0)).alias("trust"), (F.col("distrust") / (distrust or 1.0)).alias("distrust"))
-    ranks = propagate(links, seeds, rounds=rounds).select("host", (F.col("trust") * n).alias("trust"), (F.col("distrust") * n).alias("distrust"))
-    blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least)
+    ranks = propagate(links, seeds).select("host", (F.col("trust") * n).alias("trust"), (F.col("distrust") * n).alias("distrust"))
+    blocked = (F.col("distrust") > F.col("trust") + TOLERANCE) & (F.col("distrust") >= least)
     joined = rows.join(F.broadcast(ranks) if n <= MOST_SENT else ranks, "host", "left")
     own = F.when(F.coalesce(blocked, F.lit(False)), "block").otherwise("allow")
     told = reduce(lambda df, c: df.withColumn(c, F.coalesce(c, F.lit(0.0))), ("trust", "distrust"), joined.withColumn("verdict", F.coalesce("verdict", own)))
