@@ -7,7 +7,8 @@ end; where it stands at an end, the patterns with that last block are compared w
 texts of a batch are searched in step with each other.
 
 The patterns are a stated query set. A task holds at most `most` of them; more are searched for
-block after block, each over all rows, and each block adds to what the blocks before have found.
+block after block, each over all rows, and each block adds to what the blocks before have found. A pattern counts once for
+each of its items.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def words_of(column: pa.Array) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarra
 
 
 def patterns(benchmark: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(pattern, m, items): each distinct window with its number of words and the items, as strings, that hold it."""
+    """(pattern, m, item): each distinct window with its number of words and an item, as a string, that holds it."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +54,7 @@ def patterns(benchmark: DataFrame, width: int = WIDTH, id_col: str = "item_id",
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([item] * len(found)), pa.array([f.decode() for f in found]), pa.array([m] * len(found), pa.int32())], ["item", "pattern", "m"])
 
-    return rows.mapInArrow(lean(cut), "item string, pattern string, m int").groupBy("pattern", "m").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return rows.mapInArrow(lean(cut), "item string, pattern string, m int").select("pattern", "m", "item").distinct()
 
 
 class Searcher:
@@ -121,12 +122,13 @@ def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: st
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     key = rows.schema["key"].dataType.simpleString()
-    wanted = patterns(benchmark, width, item_col, item_text_col)
-    n_blocks = -(-wanted.count() // most) or 1
+    pairs = patterns(benchmark, width, item_col, item_text_col)
+    # a pattern with its item is what a block holds; a pattern of very many items is searched for in several blocks
+    n_blocks = -(-pairs.count() // most) or 1
     if n_blocks > 1:
-        wanted = wanted.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(n_blocks))).persist()
+        pairs = pairs.withColumn("block", F.pmod(F.xxhash64("pattern", "item"), F.lit(n_blocks))).persist()
     for i in range(n_blocks):
-        held = (wanted.where(F.col("block") == i) if n_blocks > 1 else wanted).select("pattern", "m", "items").collect()
+        held = (pairs.where(F.col("block") == i) if n_blocks > 1 else pairs).groupBy("pattern", "m").agg(F.collect_list("item").alias("items")).collect()
         rows = _searched(rows, [(r.pattern.encode(), r.m, list(r["items"])) for r in held], key, i == n_blocks - 1)
     return rows.withColumnRenamed("key", id_col)
 
