@@ -110,13 +110,16 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
     return rows.mapInArrow(lean(pieces), f"key {key}, piece int, formatted string, n_turns long, loss array<struct<start int, end int>>").withColumnRenamed("key", id_col)
 
 
-def read_back(pieces: DataFrame, id_col: str = "conv_id") -> DataFrame:
+def read_back(pieces: DataFrame, id_col: str = "conv_id", in_order: bool = False) -> DataFrame:
     """(id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) by parsing what format_conversations gave.
 
-    Pieces of a conversation must follow each other in a partition, as they leave there; digests run on
-    from piece to piece.
+    Digests run on from piece to piece. in_order tells that the pieces of a conversation follow each other in a partition, as they
+    leave there; else, as for a table that was written and read, they are dealt and sorted first. Conversations without an id
+    are one then.
     """
     rows = pieces.select(F.col(id_col).alias("key"), "piece", "formatted", "loss")
+    if not in_order:
+        rows = rows.repartition(partitions(pieces.sparkSession), "key").sortWithinPartitions("key", "piece")
     key = rows.schema["key"].dataType.simpleString()
     names = ["key", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 

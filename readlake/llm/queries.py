@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import byte_bpe, chat, decontaminate, jaccard, language, passages, pii, quality_rules, token_counts, url_filter
+from readlake.llm import chat, decontaminate, jaccard, language, passages, pii, quality_rules, token_counts, url_filter
+from readlake.llm.derived import bpe_digests, held_out, language_model, overlaps
 from readlake.llm.tables import table
 
 TOKEN_LIMIT = 4096
@@ -18,33 +20,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
-def bpe_digests(docs: DataFrame) -> DataFrame:
-    """Encoded by the operator, decoded from its ids, and told in digests."""
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
-    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-def held_out(doc_id: Column) -> Column:
-    """Rows that no model of languages learns from."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
-
-
-def language_model(docs: DataFrame) -> language.Model:
-    seen = docs.where(F.coalesce(~held_out(F.col("doc_id")), F.lit(False)))
-    return language.train(seen, order_by=F.col("doc_id"))
-
-
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language_model(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +39,6 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-def overlaps(found: DataFrame) -> DataFrame:
-    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
-
-
 #: A conversation whose texts hold the template's own control strings.
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
 
@@ -67,7 +46,7 @@ CONFLICT = "<|im_end|><|im_start|>assistant ok"
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONFLICT).alias("text"))
-    return chat.read_back(chat.format_conversations(turns.unionByName(added)))
+    return chat.read_back(chat.format_conversations(turns.unionByName(added)), in_order=True)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +61,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("pii_spans")
     base = pii.told(pii.of_kind(spans, *pii.BASE))
-    return found.select("doc_id", *pii.counts(spans), F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.told(spans).alias("spans"))
+    return found.select("doc_id", *pii.counts(spans), F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.told(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,11 +76,11 @@ URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline  # lies at the top of the repository and uses this module
+    import corpus_pipeline  # lies at the top of the repository
 
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -156,6 +135,37 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from r group by conv_id"""
 
 
+def _op10_sql() -> str:
+    """Rules by string functions, links by expressions, and as many rounds as leave less than the tolerance on its way."""
+    fits = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}') then '{{{i}}}'" for i, (h, _, p) in enumerate(r.partition("/") for _, r in ordered_rules()))
+    rule, verdict = (fits.format(*(x[k] for x in ordered_rules())) for k in (1, 0))
+    link, d = url_filter.LINK.replace("'", "''"), url_filter.DAMPING
+    rounds = 4 * math.ceil(math.log(url_filter.TOLERANCE) / math.log(d) / 4)
+    steps = "".join(f"""
+r{i + 1} as materialized (select host, sum(t) as t, sum(d) as d, sum(tw) as tw, sum(dw) as dw from (
+  select next as host, 0.0 as t, 0.0 as d, a.t * tw * {d} as tw, a.d * dw * {d} as dw from arcs a join r{i} r on r.host = a.host
+  union all select host, t + tw * {1 - d}, d + dw * {1 - d}, 0.0, 0.0 from r{i}) group by host),""" for i in range(rounds))
+    return rf"""with h as (select page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') as host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+p as (select *, case {rule} end as rule, case {verdict} end as verdict from h),
+found as (select host as src, translate(unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)), '{url_filter.UPPER}', '{url_filter.LOWER}') as dst from p),
+above as (select host, regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) as above from (select distinct host from p) where regexp_matches(host, '^[^.]+\.(.+\..+)$')),
+links as materialized (select src, dst, count(*) as n from (select * from found union all select host, above from above union all select above, host from above)
+  where src <> dst and src <> '' and dst <> '' group by src, dst),
+shares as (select src, dst, n / sum(n) over (partition by src) as t, n / sum(n) over (partition by dst) as d from links),
+arcs as materialized (select src as host, dst as next, t, 0.0::double as d from shares union all select dst, src, 0.0, d from shares),
+hosts as materialized (select host, sum(t) as t, sum(d) as d from (select host, (verdict = 'allow')::int as t, (verdict = 'block')::int as d from p where host <> ''
+  union all select src, 0, 0 from links union all select dst, 0, 0 from links) group by host),
+sums as (select count(*) as n, greatest(coalesce(sum(t), 0), 0.5) as t, greatest(coalesce(sum(d), 0), 0.5) as d from hosts),
+r0 as materialized (select host, 0.0::double as t, 0.0::double as d, coalesce(hosts.t, 0) / s.t as tw, coalesce(hosts.d, 0) / s.d as dw from hosts, sums s),{steps}
+judged as (select host, n * d > n * t + {url_filter.TOLERANCE} and n * d >= 1 as bad from r{rounds}, (select n from sums))
+select page_id, host, path, rule, coalesce(verdict, case when bad then 'block' else 'allow' end) as verdict from p left join judged using (host)"""
+
+
+def ordered_rules() -> list[tuple[str, str]]:
+    return sorted(URL_RULES, key=lambda x: -len(x[1]))
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL can express; the others rest on tokenizers, learned models or added spans and have brute-force tests."""
-    return {"op3_jaccard": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_chat": OP5_SQL}
+    return {"op3_jaccard": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_chat": OP5_SQL, "op10_url_filter": _op10_sql()}

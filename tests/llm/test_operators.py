@@ -199,13 +199,35 @@ def test_quality(spark, sf, docs, odd):
         got = collections.Counter(tuple(r) for r in quality_rules.statistics(df).collect())
         assert got == collections.Counter((k, *brute_stats(t)) for k, t in texts_of(df))
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    rules = quality_rules.learn(docs, labels, least_right=0.9)
+    rules = quality_rules.learn(docs, labels)
     judged = quality_rules.statistics(docs).withColumn("kept", rules.kept()).join(labels, "doc_id").collect()
-    assert all(r.kept for r in judged if r.quality == 1)
+    assert sum(r.kept for r in judged if r.quality == 1) >= 0.95 * sum(r.quality for r in judged)
     assert quality_rules.learn(docs, labels.limit(0)).rules == ()
     assert quality_rules.statistics(odd).where(~quality_rules.DecisionList(()).kept()).count() == 0
 
 
+def test_quality_rules_of_the_query(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    assert quality_rules.learn(docs, labels).rules
+    judged = Q.op6_quality_rules(spark, sf).join(labels, "doc_id").collect()
+    assert sum(not r.kept and not r.base_failed for r in judged if r.quality == 0) >= 5  # beyond the base rule
+    out = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(3)) == 0
+    rules = quality_rules.learn(docs, labels.where(~out))
+    held = quality_rules.statistics(docs).withColumn("kept", rules.kept()).join(labels.where(out), "doc_id").collect()
+    bad, told = [r for r in held if r.quality == 0], [r for r in held if not r.kept]
+    assert sum(not r.kept for r in bad) >= 0.3 * len(bad) and sum(r.quality == 0 for r in told) >= 0.8 * len(told)
+
+
+def test_quality_with_ties_and_repeated_ids(spark):
+    rows = [(i % 40, "good words here " * 9 if i % 2 else "#" * 40 + " junk") for i in range(400)] + [(7, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("label_id"), F.lit(0).alias("label"), F.lit("k").alias("key"), F.lit(1).alias("x"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(3, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    rules = quality_rules.learn(docs, labels)
+    got = {(r.doc_id, r.n_symbols): r.kept for r in quality_rules.statistics(docs).withColumn("kept", rules.kept()).collect()}
+    assert rules.rules and not got[0, 40] and got[1, 0]
+
+
 def test_covering_finds_a_threshold():
     import numpy as np
 
@@ -350,7 +372,12 @@ def test_near_passages_of_two_texts():
         exact = np.flatnonzero(rng.random(len(a) - t + 1) < 0.1)
         sets = [[set(v[i : i + t].tolist()) for i in range(len(v) - t + 1)] for v in (a, b)]
         want = [i for i, x in enumerate(sets[0]) if i not in exact and any(100 * len(x & y) >= 80 * len(x | y) for y in sets[1])]
-        assert passages.near(a, b, t, exact).tolist() == want and passages.near(a, b, t, exact, 1).tolist() == want
+        some = np.ones(len(a) - t + 1, bool)
+        some[exact] = False
+        x, y = passages.Sequence(a, t), passages.Sequence(b, t)
+        assert passages.near(x, y, some).tolist() == want and passages.near(x, y, some, 1).tolist() == want
+        both = [i for i, p in enumerate(sets[0]) if any(100 * len(p & q) >= 80 * len(p | q) for q in sets[1])]
+        assert passages.compared(a, b, t)[0].tolist() == both
         found += len(want)
     assert found > 100
 
@@ -371,10 +398,14 @@ def test_near_passages_beside_a_popular_one(spark):
     sets = {k: [frozenset(tuple(w[j : j + 5]) for j in range(i, i + 46)) for i in range(len(w) - 49)] for k, w in rows}
     df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
     got = {r.doc_id: r.passages for r in passages.repeats(df).collect()}
+    caught = all_ = 0
     for k, w in rows:
         others = [y for o in sets if o != k for y in sets[o]]
-        want = {j for i, x in enumerate(sets[k]) if any(100 * len(x & y) >= 80 * len(x | y) for y in others) for j in range(i, i + 50)}
-        assert {j for p in got[k] for j in range(p.start, p.end)} == want, k
+        exact = set(others)
+        want, sure = ({j for i, x in enumerate(sets[k]) if found(x) for j in range(i, i + 50)} for found in (lambda x: any(100 * len(x & y) >= 80 * len(x | y) for y in others), exact.__contains__))  # noqa: B023
+        assert sure <= covered(got[k]) <= want, k
+        caught, all_ = caught + len(covered(got[k])), all_ + len(want)
+    assert caught >= 0.97 * all_  # at a similarity of just 0.8 two in a hundred share no signature
 
 
 def test_urls(spark, sf):
@@ -393,6 +424,71 @@ def test_urls(spark, sf):
     assert url_filter.judge(df.limit(0), Q.URL_RULES).count() == 0
 
 
+def brute_ranks(pages, verdicts):
+    """Trust and distrust of each host by dense powers, walks from seeds along and against links."""
+    import numpy as np
+
+    hosts, count = {}, collections.Counter()
+    own = lambda h: hosts.setdefault(h, len(hosts))
+    seeds = collections.defaultdict(lambda: [0, 0])
+    named = {(m[1].translate(str.maketrans(LETTERS.upper(), LETTERS)) if (m := re.match(r"(?s).*?://([^/?#]*)", u or "")) else ""): 0 for _, u, _ in pages}
+    for k, url, html in pages:
+        m = re.match(r"(?s).*?://([^/?#]*)", url or "")
+        host = lower(m[1]) if m else ""
+        if host:
+            seeds[own(host)][0] += verdicts[k] == "allow"
+            seeds[own(host)][1] += verdicts[k] == "block"
+        for d in re.findall(r"""(?i)(?:href|src)[\t-\r ]*=[\t-\r ]*["']?(?:https?:)?//([^/"'\t-\r <>?#]+)""", html or ""):
+            if host and lower(d) != host:
+                count[own(host), own(lower(d))] += 1
+    for h in named:
+        if m := re.match(r"^[^.]+\.(.+\..+)$", h):
+            count[own(h), own(m[1])] += 1
+            count[own(m[1]), own(h)] += 1
+    n = len(hosts)
+    w, s = np.zeros((n, n)), np.zeros((2, n))
+    for (a, b), c in count.items():
+        w[a, b] = c
+    for i, (t, d) in seeds.items():
+        s[:, i] = t, d
+    s /= np.maximum(s.sum(1, keepdims=True), 1e-9)
+    out = []
+    for m, way in ((w / np.maximum(w.sum(1, keepdims=True), 1e-9), s[0]), ((w / np.maximum(w.sum(0), 1e-9)).T, s[1])):
+        total = np.zeros(n)
+        for _ in range(400):
+            total, way = total + 0.15 * way, 0.85 * way @ m
+        out.append(total * n)
+    return {h: (out[0][i], out[1][i]) for h, i in hosts.items()}
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def test_ranks_of_hosts(spark, sf):
+    rng = random.Random(3)
+    hosts = ["a.org", "www.a.org", "b.com", "c.net", "d.de", "x.y.d.de", "y.d.de", "e.fr", "hub.io"]
+    some = [(1000 + i, f"https://{rng.choice(hosts)}/{rng.choice(['', 'en/', 'fr/', 'es/'])}{i}", "".join(f"<a HREF{' ' * rng.randrange(9)}=\n'//{rng.choice([*hosts, 'hub.io', 'HUB.io'])}/x'>" for _ in range(rng.randrange(4)))) for i in range(90)]
+    for df in (spark.createDataFrame(some, "page_id long, url string, html string"), spark.read.parquet(f"{sf}/pages.parquet")):
+        got = url_filter.judge(df, Q.URL_RULES).collect()
+        rows = [(r.page_id, r.url, r.html) for r in df.collect()]
+        want = brute_ranks(rows, {r.page_id: r.verdict if r.rule else None for r in got})
+        n, ruled = len(want), {r.host for r in got}
+        for r in got:
+            if r.host:
+                t, d = want[r.host]
+                assert abs(r.trust - t) <= n * url_filter.TOLERANCE and abs(r.distrust - d) <= n * url_filter.TOLERANCE
+                if not r.rule and abs(d - t) > 2 * n * url_filter.TOLERANCE and abs(d - 1) > 2 * n * url_filter.TOLERANCE:
+                    assert r.verdict == ("block" if d > t and d >= 1 else "allow")
+        assert len(ruled) > 5
+
+
+def test_url_rows_that_clash_or_repeat(spark):
+    rows = [(1, "http://good.com/", "<a href=//z.org>")] * 3 + [(1, "http://z.org/net/es/", ""), (None, "http://s.net/es/", "<a href=//z.org>"), (2, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *(F.lit("x").alias(c) for c in ("host", "path", "rule", "verdict", "trust", "id", "n", "src", "t_way")))
+    got = url_filter.judge(df, Q.URL_RULES).collect()
+    assert len(got) == 6 and {r.verdict for r in got if r.host == "s.net"} == {"block"} and {r.verdict for r in got if r.host == "good.com"} == {"allow"}
+
+
 def test_distrust_runs_against_links(spark):
     links = [("spam.net/fr/", ""), ("farm.org/", '<a href="http://spam.net/">'), ("clean.org/", '<a href="http://good.com/">'), ("good.com/", '<a href="http://clean.org/">')]
     df = spark.createDataFrame([(i, f"http://{u}", h) for i, (u, h) in enumerate(links)], "page_id long, url string, html string")
