@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlake.llm import decontaminate, jaccard, language, pii
-from readlake.llm.queries import bpe_digests, language_model
+from readlake.llm.derived import bpe_digests, language_model
 from readlake.llm.tables import checkpoint_dir, table
 
 #: A document stays if this share of its letters lies in words of the language that it is told to be in.
@@ -39,11 +39,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays, once. Rows without an id stay."""
-    groups = jaccard.join(docs)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(first, docs["doc_id"] == first["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """Of each group of linked documents one stays: that with the smallest id, any id before none, of several texts under it the
+    one with the smallest hash. Rows are told apart by id and text, so texts that only share an id all stay."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"), key.alias("key"))
+    first = jaccard.join(docs.select(key.alias("key"), "text"), id_col="key").where("key = component_id").select(F.col("key").alias("first")).distinct()
+    kept = rows.join(first, F.col("key") == F.col("first"), "left_semi").dropDuplicates(["key"])
+    return _back(kept, docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
