@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Letters of the nucleic alphabet with their ambiguity codes, and their complements.
-LETTERS = "ACGTURYMKSWBDHVNacgturymkswbdhvn"
-COMPLEMENTS = "TGCAAYRKMSWVHDBNtgcaayrkmswvhdbn"
-_COMPLEMENT = str.maketrans(LETTERS, COMPLEMENTS)
+from readlake.functions import flat
+from readlake.functions.flat import COMPLEMENTS, LETTERS
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -122,72 +118,12 @@ def flag_number(text: Column) -> Column:
     return F.when(text.rlike("^0[xX]"), F.conv(F.substring(text, 3, 20), 16, 10)).when(text.rlike("^0[0-7]"), F.conv(text, 8, 10)).otherwise(text).try_cast("int")
 
 
-def dust_score(seq: str, window: int = 64) -> float:
-    """How much a sequence repeats its three-letter words: 0 to 100; letters other than A, C, G, T are passed over.
+@F.arrow_udf(T.IntegerType())
+def dust(seq: pa.Array) -> pa.Array:
+    """flat.dust_scores, rounded to the nearest; null for a null."""
+    return pa.array(np.floor(0.5 + flat.dust_scores(flat.Flat(seq))).astype(np.int32), mask=seq.is_null().to_numpy(zero_copy_only=False))
 
-    Up to `window` words all are taken together; of more, the worst stretch of that many that ends after word
-    `window`. A stretch of n words with c of each kind scores 200 sum(c (c - 1) / 2) / (n (n - 1)).
-    """
-    codes = _CODES[np.frombuffer(seq.encode(), np.uint8)]
-    codes = codes[codes < 4]
-    n = len(codes) - 2
-    if n < 2:
-        return 0.0
-    words = codes[:-2] * 16 + codes[1:-1] * 4 + codes[2:]
-    if n <= window:
-        c = np.bincount(words, minlength=64)
-        return float(200 * (c * (c - 1) // 2).sum() / (n * (n - 1)))
-    # pairs of equal words less than `window` apart: those that the last word of a stretch makes
-    # with words before it come in, those that the word before the stretch makes with words after it go out
-    place = words.astype(np.int64) * (n + window) + np.arange(n)
-    sorted_ = np.sort(place)
-    at = np.searchsorted(sorted_, place)
-    before = at - np.searchsorted(sorted_, place - np.minimum(np.arange(n), window - 1))
-    after = np.searchsorted(sorted_, place + window - 1, "right") - at - 1
-    pairs = np.cumsum(before)[window:] - np.cumsum(after)[: n - window]
-    return float(200 * pairs.max() / (window * (window - 1)))
-
-
-_CODES = np.full(256, 4, np.int64)
-for _i, _c in enumerate(("Aa", "Cc", "Gg", "TtUu")):
-    for _x in _c:
-        _CODES[ord(_x)] = _i
-
-
-@F.pandas_udf(T.IntegerType())
-def dust(seq: pd.Series) -> pd.Series:
-    """dust_score, rounded to the nearest."""
-    return seq.map(lambda s: None if s is None else int(np.floor(0.5 + dust_score(s)))).astype("Int32")
-
-
-_OPS = re.compile(r"([0-9]+)([MIDNSHP=X])")
-_MD = re.compile(r"([0-9]+)|\^([A-Za-z]+)|([A-Za-z])")
-
-
-def match_line(cigar: str | None, md: str | None, reverse: bool) -> str | None:
-    """For each base of the read: `.` equal to the reference, a capital the reference's base, `-` none.
-
-    Inserted and clipped bases have no reference base; deleted ones leave no trace. Turned round and
-    complemented for reads on the reverse strand. Null without a CIGAR or an MD string.
-    """
-    if not cigar or cigar == "*" or md is None:
-        return None
-    reference: list[str | None] = []  # None: a deleted base stands here
-    for n, gone, base in _MD.findall(md):
-        reference.extend("." * int(n) if n else [None] * len(gone) if gone else base.upper())
-    kept = iter([r for r in reference if r is not None])
-    out: list[str] = []
-    for n, op in _OPS.findall(cigar):
-        if op in "M=X":
-            out.extend(next(kept, ".") for _ in range(int(n)))
-        elif op in "IS":
-            out.append("-" * int(n))
-    line = "".join(out)
-    return line.translate(_COMPLEMENT)[::-1] if reverse else line
-
-
-@F.pandas_udf(T.StringType())
-def mline(cigar: pd.Series, md: pd.Series, reverse: pd.Series) -> pd.Series:
-    """match_line over columns."""
-    nothing = lambda x: None if x is None or x != x else x
-    return pd.Series([match_line(nothing(c), nothing(m), bool(r)) for c, m, r in zip(cigar, md, reverse, strict=True)], dtype=object)
+
+@F.arrow_udf(T.StringType())
+def mline(cigar: pa.Array, md: pa.Array, reverse: pa.Array) -> pa.Array:
+    return flat.match_lines(cigar, md, reverse)

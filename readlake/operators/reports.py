@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from readlake.functions import flat
 from readlake.operators import taxonomy
 from readlake.schemas import need
 
@@ -13,9 +18,15 @@ K = 7
 ZONE = 15
 
 
-def in_reference_space(seq: Column, line: Column) -> Column:
-    """The reference's letter under each base, in capitals; `-` where it has none."""
-    return F.upper(F.array_join(F.zip_with(F.split(line, ""), F.split(seq, ""), lambda m, s: F.when(m == ".", s).otherwise(m)), ""))
+def over_reference(seq: flat.Flat, line: flat.Flat) -> np.ndarray:
+    """The reference's letter under each base, in capitals; `-` where it has none. Both strings of a row have the same length."""
+    return flat.UPPER[np.where(line.data == ord("."), seq.data, line.data)]
+
+
+def _lines(reads: DataFrame, *columns: str) -> DataFrame:
+    """(*columns, seq, mline) of reads that have both, seq as long as mline."""
+    need(reads, "seq", "mline")
+    return reads.where("mline is not null and seq is not null").select(*columns, F.rpad("seq", F.length("mline"), "-").alias("seq"), "mline")
 
 
 def placed(reads: DataFrame, nodes: DataFrame, rank: str | None = None, group: str | None = None, up: DataFrame | None = None) -> DataFrame:
@@ -31,19 +42,58 @@ def placed(reads: DataFrame, nodes: DataFrame, rank: str | None = None, group: s
     return rows
 
 
-def kmer_entropy(rows: DataFrame, key: str = "txid", seq: str = "ref", k: int = K) -> DataFrame:
-    """(key, hscore): entropy of the k-mers of A, C, G, T, each with its reverse complement, in thousandths of its maximum.
+#: Kinds of counts beside those of k-mers: letters, Cs of the reference under the first base, and such that read T.
+LETTER, FIRST_C, FIRST_C_AS_T = 0, 4, 5
+KMER = 8
 
-    K-mers are counted in two steps, and the sum over them needs no more than one row for each kind. Whole
-    sequences stay in their task; only partial counts are shuffled.
+
+def letter_counts(rows: DataFrame, key: str = "txid", k: int = K) -> DataFrame:
+    """(key, kind, n): how often each letter and each k-mer of the reference stands under the reads of a key.
+
+    A k-mer is a number, the smaller one of its own and its reverse complement's. Each batch is counted as a whole, so
+    a task gives out a row for each key and kind of a batch, and only counts are shuffled.
     """
-    kmers = rows.where(F.length(seq) >= k).select(key, F.explode(F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))).alias("kmer"))
-    counts = kmers.groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("c")).where(F.col("kmer").rlike("^[ACGT]+$"))
-    one = F.least("kmer", F.reverse(F.translate("kmer", "ACGT", "TGCA")))
-    counts = counts.groupBy(key, one.alias("kmer")).agg(F.sum("c").alias("c"))
-    sums = counts.groupBy(key).agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.log2("c")).alias("x"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def count(b: pa.RecordBatch) -> pa.RecordBatch:
+        number, names = b.column(0).dictionary_encode(), None
+        names, number = number.dictionary, number.indices.to_numpy()
+        seq, line = flat.Flat(b.column(1)), flat.Flat(b.column(2))
+        codes = flat.ACGT[over_reference(seq, line)]
+        row = seq.rows()
+        own = number[row]
+        found = [flat.counted(own[codes < 4], codes[codes < 4].astype(np.int64) + LETTER)]
+        full = np.flatnonzero(seq.lengths > 0)
+        first = seq.offsets[:-1][full]
+        c = codes[first] == 1
+        found.append(flat.counted(number[full][c], np.full(int(c.sum()), FIRST_C)))
+        c = (line.data[first] == ord("C")) & (flat.ACGT[seq.data[first]] == 3)
+        found.append(flat.counted(number[full][c], np.full(int(c.sum()), FIRST_C_AS_T)))
+        m = len(codes) - k + 1
+        if m > 0:
+            there, back, whole = np.zeros(m, np.int64), np.zeros(m, np.int64), row[:m] == row[k - 1 :]
+            for i in range(k):
+                x = codes[i : i + m].astype(np.int64)
+                whole &= x < 4
+                there, back = there * 4 + x, back + ((3 - x) << 2 * i)
+            found.append(flat.counted(own[:m][whole], np.minimum(there, back)[whole] + KMER))
+        keys, kinds = (np.concatenate([f[0][i] for f in found]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(keys)), pa.array(kinds.astype(np.int32)), pa.array(np.concatenate([f[1] for f in found]))], [key, "kind", "n"])
+
+    counts = _lines(rows, key).mapInArrow(flat.sliced(count, "seq"), f"{key} {types[key]}, kind int, n long")
+    return counts.groupBy(key, "kind").agg(F.sum("n").alias("n"))
+
+
+def entropy(k: int = K) -> Column:
+    """Of a group's (kind, n): the entropy of its k-mers in thousandths of its maximum; null without any."""
+    n = F.when(F.col("kind") >= KMER, F.col("n"))
     kinds = 2 * k - 1  # log2 of how many there are
-    return sums.select(key, F.floor(1000 * (F.log2("s") - F.col("x") / F.col("s")) / kinds + 1e-9).cast("int").alias("hscore"))
+    return F.floor(1000 * (F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n)) / kinds + 1e-9).cast("int")
+
+
+def kmer_entropy(rows: DataFrame, key: str = "txid", k: int = K) -> DataFrame:
+    """(key, hscore) of reads (key, seq, mline) by the k-mers of A, C, G, T of their reference; null without any."""
+    return letter_counts(rows, key, k).groupBy(key).agg(entropy(k).alias("hscore"))
 
 
 def by_taxon(reads: DataFrame, nodes: DataFrame, rank: str | None = None, group: str | None = None, up: DataFrame | None = None) -> DataFrame:
@@ -52,19 +102,17 @@ def by_taxon(reads: DataFrame, nodes: DataFrame, rank: str | None = None, group:
     nodes need family and grp (taxonomy.annotated). Reads without lca go; means are exact doubles.
     """
     need(nodes, "taxid", "name", "rank", "family", "grp")
-    rows = placed(reads, nodes, rank, group, up).withColumn("ref", in_reference_space(F.col("seq"), F.col("mline")))
-    first, base = F.substring("ref", 1, 1), F.upper(F.substring("seq", 1, 1))
-    edit = F.substring("mline", 1, 1)
-    counted = [F.length("ref") - F.length(F.translate("ref", b, "")) for b in ("A", "C", "G", "T")]
-    one = rows.groupBy("txid").agg(
-        F.count(F.lit(1)).alias("count"), F.avg(F.length("seq")).alias("av_len"), F.avg("max_score").alias("av_score"), F.avg("dust").alias("av_dust"),
-        *(F.sum(c).alias(f"n{b}") for b, c in zip("ACGT", counted, strict=True)),
-        F.sum((first == "C").cast("bigint")).alias("n_c1"), F.sum(((edit == "C") & (base == "T")).cast("bigint")).alias("n_c1_t"),
-    )
+    rows = placed(reads, nodes, rank, group, up).select("txid", "seq", "mline", "max_score", "dust")
+    one = rows.groupBy("txid").agg(F.count(F.lit(1)).alias("count"), F.avg(F.length("seq")).alias("av_len"), F.avg("max_score").alias("av_score"), F.avg("dust").alias("av_dust"))
+
+    def n(kind: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0).cast("bigint"))
+
+    letters = letter_counts(rows).groupBy("txid").agg(*(n(LETTER + i).alias(f"n{b}") for i, b in enumerate("ACGT")), n(FIRST_C).alias("n_c1"), n(FIRST_C_AS_T).alias("n_c1_t"), entropy().alias("hscore"))
     gc = (F.col("nC") + F.col("nG")) / F.nullif(F.col("nA") + F.col("nC") + F.col("nG") + F.col("nT"), F.lit(0))
     named = nodes.select(F.col("taxid").alias("txid"), F.col("name").alias("tax_name"), F.col("rank").alias("tax_rank"), "family")
     families = nodes.select(F.col("taxid").alias("family"), F.col("name").alias("family_name"))
-    out = one.join(kmer_entropy(rows), "txid", "left").join(named, "txid").join(families, "family", "left")
+    out = one.join(letters, "txid", "left").fillna(0, ["n_c1", "n_c1_t"]).join(named, "txid").join(families, "family", "left")
     return out.select(F.col("txid").alias("tax_id"), "tax_name", "tax_rank", "count", "av_len", "av_score", "av_dust", gc.alias("av_gc"), "n_c1", "n_c1_t", F.when(F.col("n_c1") > 0, F.col("n_c1_t") / F.col("n_c1")).otherwise(0.0).alias("c_to_t"), F.coalesce("hscore", F.lit(0)).alias("hscore"), F.coalesce("family_name", F.lit("-")).alias("family"))
 
 
@@ -72,24 +120,26 @@ def top_taxa(report: DataFrame, k: int) -> DataFrame:
     return report.orderBy(F.desc("count"), "tax_id").limit(k)
 
 
-def positions(reads: DataFrame) -> DataFrame:
-    """(i, len, base, edit): each base with its place from 0, its read's length and its letter of the match line."""
-    need(reads, "seq", "mline")
-    pairs = F.arrays_zip(F.split("seq", "").alias("base"), F.split("mline", "").alias("edit"))
-    return reads.where("mline is not null and seq <> ''").select(F.length("seq").alias("len"), F.posexplode(pairs).alias("i", "x")).select("i", "len", "x.base", "x.edit")
-
-
 def substitutions(reads: DataFrame, zone: int = ZONE) -> DataFrame:
     """(zone, pos, ref, base, n): bases over the reference's, by place within the first and last `zone` bases, else in the middle.
 
-    The start goes before the end in short reads; places count from 1 at either end, the middle's is 0.
+    The start goes before the end in short reads; places count from 1 at either end, the middle's is 0. Batches are counted
+    as wholes: a task gives out a row for each kind of a batch.
     """
-    rows = positions(reads).select("i", "len", F.upper("base").alias("base"), F.upper(F.when(F.col("edit") == ".", F.col("base")).otherwise(F.col("edit"))).alias("ref"))
-    rows = rows.where("base in ('A', 'C', 'G', 'T') and ref in ('A', 'C', 'G', 'T')")
-    back = F.col("len") - 1 - F.col("i")
-    where = F.when(F.col("i") < zone, "start").when(back < zone, "end").otherwise("mid")
-    pos = F.when(F.col("i") < zone, F.col("i") + 1).when(back < zone, back + 1).otherwise(0)
-    return rows.groupBy(where.alias("zone"), pos.cast("int").alias("pos"), "ref", "base").agg(F.count(F.lit(1)).alias("n"))
+    def count(b: pa.RecordBatch) -> pa.RecordBatch:
+        seq, line = flat.Flat(b.column(0)), flat.Flat(b.column(1))
+        base, ref = flat.ACGT[seq.data], flat.ACGT[over_reference(seq, line)]
+        some = (base < 4) & (ref < 4)
+        at = seq.places()[some]
+        back = np.repeat(seq.lengths, seq.lengths)[some] - 1 - at
+        where = np.where(at < zone, 0, np.where(back < zone, 1, 2))
+        pos = np.where(at < zone, at + 1, np.where(back < zone, back + 1, 0))
+        (where, pos, ref, base), n = flat.counted(where, pos, ref[some].astype(np.int64), base[some].astype(np.int64))
+        letters = pa.array(list("ACGT"))
+        return pa.RecordBatch.from_arrays([pa.array(["start", "end", "mid"]).take(pa.array(where)), pa.array(pos.astype(np.int32)), letters.take(pa.array(ref)), letters.take(pa.array(base)), pa.array(n)], ["zone", "pos", "ref", "base", "n"])
+
+    counts = _lines(reads).mapInArrow(flat.sliced(count, "seq"), "zone string, pos int, ref string, base string, n long")
+    return counts.groupBy("zone", "pos", "ref", "base").agg(F.sum("n").alias("n"))
 
 
 def damage(counts: DataFrame) -> DataFrame:
@@ -129,14 +179,29 @@ def lengths(df: DataFrame, length: Column) -> DataFrame:
     return total.crossJoin(n50).select("n", "min_len", "max_len", (F.col("tot_len") / F.col("n")).alias("mean_len"), "tot_len", "n50")
 
 
+def _characters(df: DataFrame, column: str) -> DataFrame:
+    """(c, n): the characters of all strings. Batches are counted as wholes; those beyond ASCII one by one."""
+    def count(b: pa.RecordBatch) -> pa.RecordBatch:
+        data = flat.Flat(b.column(0)).data
+        n = np.bincount(data[data < 128], minlength=128)
+        found = {chr(i): int(n[i]) for i in np.flatnonzero(n)}
+        if (data >= 128).any():
+            found.update(Counter(x for s in b.column(0).to_pylist() if s for x in s if ord(x) >= 128))
+        return pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([*found.values()], pa.int64())], ["c", "n"])
+
+    rows = df.select(F.col(column).alias("s")).where("s is not null")
+    return rows.mapInArrow(flat.sliced(count, "s"), "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))
+
+
 def composition(df: DataFrame, seq: str = "seq") -> DataFrame:
     """(base, n, percent): letters of all sequences, case kept."""
-    return histogram(df.select(F.explode(F.split(seq, "")).alias("base")).where("base <> ''"), "base")
+    counts = _characters(df, seq)
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select(F.col("c").alias("base"), "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
 
 
 def qualities(df: DataFrame, qual: str = "qual") -> DataFrame:
     """(q, n, percent, cum_percent) of phred values in strings."""
-    rows = df.select(F.explode(F.split(qual, "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count(F.lit(1)).alias("n")).select((F.ascii("c") - 33).alias("q"), "n")
+    rows = _characters(df, qual).select((F.ascii("c") - 33).alias("q"), "n")
     order = W.orderBy("q").rowsBetween(W.unboundedPreceding, 0)
     total = F.broadcast(rows.agg(F.sum("n").alias("total")))
     return rows.withColumn("sofar", F.sum("n").over(order)).crossJoin(total).select("q", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"), (100.0 * F.col("sofar") / F.col("total")).alias("cum_percent"))

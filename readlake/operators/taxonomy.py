@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlake.schemas import need
-from readlake.session import cut
+from readlake.session import cut, sized
 
 #: Names of the groups' seed taxa and of the groups.
 SEEDS = {"Metazoa": "animals", "Embryophyta": "plants", "Fungi": "fungi", "Bacteria <bacteria>": "bacteria", "Archaea": "archaea"}
@@ -27,11 +27,14 @@ def paths(nodes: DataFrame) -> DataFrame:
     """
     need(nodes, "taxid", "parent")
     up = cut(nodes.select("taxid", F.array("taxid").alias("path"), F.when(F.col("parent") != F.col("taxid"), F.col("parent")).alias("next")))
-    while not up.where("next is not null").isEmpty():
+    while True:
+        more, deep = up.agg(F.count("next"), F.max(F.size("path"))).first()
+        if deep is not None and deep > MOST_DEEP:
+            raise ValueError(f"a path of more than {MOST_DEEP} taxa: the parents go round")
+        if not more:
+            break
         above = up.select(F.col("taxid").alias("next"), F.col("path").alias("more"), F.col("next").alias("after"))
         up = cut(up.join(above, "next", "left").select("taxid", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path"), F.col("after").alias("next")))
-        if not up.where(F.size("path") > MOST_DEEP).isEmpty():
-            raise ValueError(f"a path of more than {MOST_DEEP} taxa: the parents go round")
     return up.select("taxid", "path")
 
 
@@ -66,17 +69,27 @@ def common(low: Column, high: Column) -> Column:
     return F.try_element_at(same, F.lit(-1))
 
 
+def numbered(nodes: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(taxid, place, path): nodes with their path from the root, and numbers in the order of paths, a preorder of the tree."""
+    down = (paths(nodes) if up is None else up).select("taxid", F.reverse("path").alias("path"))
+    return cut(down.orderBy("path").select("taxid", F.monotonically_increasing_id().alias("place"), "path"))
+
+
 def lca(taxa: DataFrame, nodes: DataFrame, key: str = "name", up: DataFrame | None = None) -> DataFrame:
     """(key, lca) of the taxa (key, taxid) of each key; null where none is a known node.
 
-    Taxon 0 and unknown ones are passed over. The common front of a set of paths is that of its
-    least and its greatest one, so a key needs two partial aggregates and no list of its taxa.
+    Taxon 0 and unknown ones are passed over. In preorder the lowest common ancestor of a set is that of its least and its
+    greatest node, so a key needs the partial minimum and maximum of a number, and no list of its taxa; paths are
+    compared once for each pair of such nodes.
     """
-    down = (paths(nodes) if up is None else up).select("taxid", F.reverse("path").alias("path"))
-    known = taxa.where("taxid <> 0").join(down, "taxid", "left")
-    ends = known.groupBy(key).agg(F.min("path").alias("low"), F.max("path").alias("high"))
-    found = ends.select(key, common(F.col("low"), F.col("high")).alias("lca"))
-    return taxa.select(key).distinct().join(found, key, "left")
+    order = numbered(nodes, up)
+    places = order.select("taxid", "place")
+    ends = taxa.join(sized(places), "taxid", "left").groupBy(key).agg(F.min(F.when(F.col("taxid") != 0, F.col("place"))).alias("low"), F.max(F.when(F.col("taxid") != 0, F.col("place"))).alias("high"))
+    pairs = ends.where("low is not null").select("low", "high").distinct()
+    for end in ("low", "high"):
+        pairs = pairs.join(order.select(F.col("place").alias(end), F.col("path").alias(f"path_{end}")), end)
+    found = pairs.select("low", "high", common(F.col("path_low"), F.col("path_high")).alias("lca"))
+    return ends.join(found, ["low", "high"], "left").select(key, "lca")
 
 
 def closure(taxa: DataFrame, nodes: DataFrame, up: DataFrame | None = None) -> DataFrame:

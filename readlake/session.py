@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -27,9 +28,24 @@ def session(app: str = "readlake", **settings: str) -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df behind a reliable checkpoint, in the folder that spark.checkpoint.dir names.
 
-    A temporary folder serves where the session names none, as in tests.
+    A temporary folder serves a local session that names none, as in tests; on a cluster, whose machines share no such
+    folder, that is an error.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="readlake-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="readlake-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+#: Rows of a few numbers each up to which a table may be sent to every task.
+MOST_SENT = 1_000_000
+
+
+def sized(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """df, marked to be sent to every task if it has at most so many rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= most else df
