@@ -4,7 +4,7 @@ Signatures are those of PartEnum. Two sets of at most t elements that are 0.8 si
 k = 2 t / 9 elements. Sizes fall into bands that grow by 1/0.8; each set takes part with its own
 band and the one below, and with its own and the one above, and k follows from the largest size of the two.
 The domain is dealt by hash into n1 > k / 2 parts, of which one at least has no more than one
-difference, and each part into two; leaving out either of the two gives signatures
+difference, and each part into three; leaving out one of the three in each way gives signatures
 of which such a pair shares one. A part with an empty signature proves nothing: n1 is larger
 than needed by a margin, and sets with more empty parts than that are paired among themselves by
 the shingles of their prefix (any two similar sets share one of the first of an order).
@@ -40,6 +40,8 @@ MARGIN = 1.12
 #: A histogram has as many bytes as this: so many cells, or four times as many for sets of up to SMALL elements.
 CELLS = 128
 FINE, SMALL = 4 * CELLS, 1000
+#: Of groups, one in so many is used to find each set's nearest.
+SOME = 8
 BLOCK = 1024
 _SEEDS = stream(3, 8)
 
@@ -120,20 +122,25 @@ def differences(h: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> n
     return out
 
 
-def sketches(values: np.ndarray, edges: np.ndarray) -> list[bytes | None]:
-    """Of each set of more than SMALL elements how many fall into each of n / 4 to n / 2 cells, a power of two, told up to 255."""
+def sketches(values: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Of each set whether an odd number of its elements falls into each of 2 n to 4 n cells, a power of two, a bit each."""
     h, out = mix(values ^ _SEEDS[6]), []
     for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        many = 1 << max(0, (z - a).bit_length() - 2)
-        out.append(np.minimum(np.bincount((h[a:z] & U64(many - 1)).astype(np.int64), minlength=many), 255).astype(np.uint8).tobytes() if z - a > SMALL else None)
+        many = max(8, 2 << (z - a).bit_length())
+        odd = np.bincount((h[a:z] & U64(many - 1)).astype(np.int64), minlength=many) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).tobytes())
     return out
 
 
 def sketch_differences(x: bytes, y: bytes) -> int:
-    """At least how many elements two sets of these sketches differ in; the larger sketch is folded to the smaller one's cells."""
-    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    """At least how many elements two sets of these sketches differ in: an element in one of them alone turns one cell.
+
+    The larger sketch is folded to the smaller one's cells.
+    """
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
     n = min(len(a), len(b))
-    return int(np.abs(a.reshape(-1, n).sum(0) - b.reshape(-1, n).sum(0)).sum())
+    fold = lambda v: v if len(v) == n else np.bitwise_xor.reduce(v.reshape(-1, n), axis=0)
+    return int(np.bitwise_count(fold(a) ^ fold(b)).sum())
 
 
 def most_differences(n: np.ndarray | int) -> np.ndarray | int:
@@ -171,19 +178,23 @@ def signatures(values: np.ndarray, edges: np.ndarray, owners: np.ndarray) -> tup
         v = values[at]
         h = mix(v ^ _SEEDS[3])
         first = np.cumsum(parts) - parts
-        cell = (first[row] + (h >> U64(16)).astype(np.int64) % parts[row]) * 2 + (h & U64(1)).astype(np.int64)
-        total = int(parts.sum()) * 2
+        cell = (first[row] + (h >> U64(16)).astype(np.int64) % parts[row]) * 3 + (h & U64(0xFFFF)).astype(np.int64) % 3
+        total = int(parts.sum()) * 3
         sums = np.zeros(total, U64)
         with np.errstate(over="ignore"):
             np.add.at(sums, cell, mix(v ^ _SEEDS[4]))
-        held = np.bincount(cell, minlength=total).reshape(-1, 2) > 0
-        sums = sums.reshape(-1, 2)
+        held = np.bincount(cell, minlength=total).reshape(-1, 3)
+        sums = sums.reshape(-1, 3)
         part_of = np.repeat(np.arange(len(some)), parts)
         place = (np.arange(len(part_of)) - first[part_of]).astype(U64) + (tag[some].astype(U64) << U64(40))[part_of]
-        empty = ~held.all(1)
-        for out in range(2):
-            full = held[:, out]
-            keys.append(mix(sums[:, out] ^ mix(place * U64(4) + U64(out)))[full])
+        empty = np.zeros(len(part_of), bool)
+        for out in range(3):
+            i, j = (out + 1) % 3, (out + 2) % 3
+            full = held[:, i] + held[:, j] > 0
+            empty |= ~full
+            with np.errstate(over="ignore"):
+                key = mix((sums[:, i] + sums[:, j]) ^ mix(place * U64(4) + U64(out)))
+            keys.append(key[full])
             of.append(some[part_of[full]])
         weak = np.flatnonzero(np.bincount(part_of[empty], minlength=len(some)) >= parts - k[some] // 2)
         for w in weak.tolist():
@@ -335,7 +346,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     measured = cut(rows.mapInArrow(lean(measure), f"id {key}, n long, sid long, hist binary, sketch binary"))
     # dealt by sid for good, so that no later join moves them again
     sets = dealt(measured.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("sketch").alias("sketch")), slots, "sid")
-    groups = stored(shared(rows.mapInArrow(lean(sign), "slot int, data binary"), slots, once=True).drop("first", "last"))
+    groups = stored(shared(rows.mapInArrow(lean(sign), "slot int, data binary"), slots, once=True).drop("last"))
     swept(docs.sparkSession)
 
     best = groups.where("owner <> leader").groupBy("leader", "owner").agg(F.sum("times").alias("n")).groupBy("owner").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
@@ -343,7 +354,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     links = cut(linked(pruned(tested, sets), sets, rows, width))
     for nearest in (1, 1, None):
         swept(docs.sparkSession)
-        pairs = cut(crossed(groups, components(links), sets, nearest).join(tested, ["a", "b"], "left_anti"))
+        some = groups if nearest is None else groups.where(F.pmod("g", F.lit(SOME)) == 0)
+        pairs = cut(crossed(some, components(links), sets, nearest).join(tested, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             tested, links = tested.unionByName(pairs), cut(links.unionByName(linked(pruned(pairs, sets), sets, rows, width)))
     parts = components(links)
@@ -368,20 +380,15 @@ def of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def pruned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes, histograms and sketches allow that they are similar."""
+    """Pairs (a, b) whose sizes and sketches allow that they are similar."""
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("hist").alias(f"h_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+        pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = np.frombuffer(b"".join(b.column("h_a").to_pylist() + b.column("h_b").to_pylist()), np.uint8).reshape(-1, CELLS)
-            n, at = np.concatenate([b.column("n_a").to_numpy(), b.column("n_b").to_numpy()]), np.arange(b.num_rows)
-            most = most_differences(n[at] + n[at + b.num_rows])
-            ok = differences(h, n, at, at + b.num_rows) <= most
-            for i in np.flatnonzero(ok).tolist():
-                x, y = b.column("s_a")[i].as_py(), b.column("s_b")[i].as_py()
-                ok[i] = x is None or y is None or sketch_differences(x, y) <= most[i]
-            yield b.select(["a", "b"]).filter(pa.array(ok))
+            most = most_differences(b.column("n_a").to_numpy() + b.column("n_b").to_numpy()).tolist()
+            ok = [sketch_differences(x, y) <= m for x, y, m in zip(b.column("s_a").to_pylist(), b.column("s_b").to_pylist(), most, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     small = pairs.where(f"least(n_a, n_b) * {OF} >= greatest(n_a, n_b) * {NEED}")
     return cut(small.mapInArrow(lean(prune), "a long, b long"))
@@ -400,23 +407,34 @@ def crossed(groups: DataFrame, parts: DataFrame, sets: DataFrame, nearest: int |
     blocks = F.ceil(F.col("m") / BLOCK).cast("long")
     rows = named.join(open_, "g", "left_semi").join(sets.select(F.col("sid").alias("owner"), "n", "hist"), "owner").withColumn("block", F.pmod(F.xxhash64("owner"), blocks))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "owner", "label", "n", "hist")
+    rows = rows.select("first", "g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "owner", "label", "n", "hist")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        told = np.zeros(0, U64)  # pairs that this task has given out; groups of one family have the same first set, so they come here
+
+        def fresh(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal told
+            for b in found:
+                key = mix(b.column(0).to_numpy().view(U64) ^ mix(b.column(1).to_numpy().view(U64)))
+                key, at = np.unique(key, return_index=True)
+                new = ~np.isin(key, told, assume_unique=True)
+                told = np.union1d(told, key[new]) if len(told) < MOST_HELD else key[new]  # a pair told twice does no harm
+                yield b.take(pa.array(at[new]))
+
         for b in batches:
             held.append(b)
             if sum(x.num_rows for x in held) >= 1 << 15:
                 t = one_each(pa.Table.from_batches(held))
                 last = group_numbers(t)
                 end = int(np.searchsorted(last, last[-1]))  # the last group may go on
-                yield from pairs_within(t.slice(0, end), nearest)
+                yield from fresh(pairs_within(t.slice(0, end), nearest))
                 held = t.slice(end).to_batches()
         if held:
-            yield from pairs_within(one_each(pa.Table.from_batches(held)), nearest)
+            yield from fresh(pairs_within(one_each(pa.Table.from_batches(held)), nearest))
 
-    dealt = rows.repartition(partitions(groups.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", "owner")
-    found = dealt.mapInArrow(lean(compare), "a long, b long")
+    dealt_ = rows.repartition(partitions(groups.sparkSession), "first", "i", "j").sortWithinPartitions("first", "g", "i", "j", "owner")
+    found = dealt_.mapInArrow(lean(compare), "a long, b long")
     if nearest is None:  # groups of two are one pair each, which their one row tells
         two = labelled(groups.where("m = 2 and owner <> leader"), parts).where("label <> leader_label")
         found = found.unionByName(two.select(F.least("leader", "owner").alias("a"), F.greatest("leader", "owner").alias("b")))
@@ -488,22 +506,43 @@ def linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int) -> Da
             data = [values[edges[i] : edges[i + 1]].tobytes() for i in right]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(right, pa.int64())), pa.array(data, pa.binary())], ["sid", "elements"])
 
-    held = dealt(texts.mapInArrow(lean(elements), "sid long, elements binary"), partitions(rows.sparkSession), "sid")
-    for side in ("a", "b"):
-        pairs = pairs.join(held.select(F.col("sid").alias(side), F.col("elements").alias(f"e_{side}")), side)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("e_a"), b.column("e_b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(OF * both >= NEED * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.mapInArrow(lean(compare), "a long, b long").distinct()
-
-
+    slots = partitions(rows.sparkSession)
+    held = dealt(texts.mapInArrow(lean(elements), "sid long, elements binary"), slots, "sid")
+    # sets that pairs connect lie together, in blocks, so that a set's elements go to each block once, however many pairs it has
+    named = sized(cut(components(pairs)))
+    at = F.pmod(F.xxhash64("sid"), F.col("blocks"))
+    named = named.select(F.col("node").alias("sid"), F.col("component").alias("c"))
+    blocks = named.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("blocks"))
+    placed = cut(named.join(sized(blocks), "c").select("sid", "c", at.alias("block")))
+    told = pairs.join(sized(placed.select(F.col("sid").alias("a"), "c", F.col("block").alias("x"))), "a").join(sized(placed.select(F.col("sid").alias("b"), F.col("block").alias("y"))), "b")
+    told = cut(told.select("c", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"))
+    wanted = told.select("c", "i", "j", F.explode(F.array("a", "b")).alias("sid")).distinct()
+    nothing = F.lit(None)
+    whole = wanted.join(held, "sid").select("c", "i", "j", F.col("sid").alias("a"), nothing.cast("long").alias("b"), "elements")
+    mixed = whole.unionByName(told.select("c", "i", "j", "a", "b", nothing.cast("binary").alias("elements")))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        for t in batches:
+            found: list[tuple[int, int]] = []
+            for c, i, j, a, b, data in zip(*(t.column(n).to_pylist() for n in ("c", "i", "j", "a", "b", "elements")), strict=True):
+                if (c, i, j) != now:
+                    now, known = (c, i, j), {}
+                if data is not None:
+                    known[a] = np.frombuffer(data, U64)
+                elif a in known and b in known:
+                    x, y = known[a], known[b]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if OF * both >= NEED * (len(x) + len(y) - both):
+                        found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    mixed = mixed.repartition(slots, "c", "i", "j").sortWithinPartitions("c", "i", "j", F.col("elements").isNull())
+    return mixed.mapInArrow(lean(verify), "a long, b long").distinct()
+
+
+#: Sets of a component of pairs that are compared together; of larger ones block with block.
+TOGETHER = 512
 #: Bits, at most, of the filter that keeps texts nobody asks for out of a shuffle.
 FILTER_BITS = 1 << 25
 
