@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.tables import cut
+from readlake.llm.tables import cut, swept
 
 LINK = r"""(?i)(?:href|src)[\t-\r ]*=[\t-\r ]*["']?(?:https?:)?//([^/"'\t-\r <>?#]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,7 +56,7 @@ def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, trust, distrust) of walks from seeds (host, trust, distrust), each host once, sums of 1.
+    """(host, trust, distrust) of walks from seeds (host, trust, distrust), every host once, sums of 1.
 
     A walk goes on with a chance of damping. Each round is one join of links with what is on its way, and one sum by host
     that also carries what has arrived; the lineage is cut every four, and rounds end when less than tolerance of what
@@ -64,19 +64,23 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     """
     out, into = links.groupBy("src").agg(F.sum("n").alias("all_out")), links.groupBy("dst").agg(F.sum("n").alias("all_in"))
     shares = links.join(out, "src").join(into, "dst")
-    arcs = cut(shares.selectExpr("src as host", "dst as next", "n / all_out as t", "0D as d").unionByName(shares.selectExpr("dst as host", "src as next", "0D as t", "n / all_in as d")))
-    nothing = F.lit(0.0)
-    state = seeds.select("host", nothing.alias("trust"), nothing.alias("distrust"), F.col("trust").alias("t_way"), F.col("distrust").alias("d_way"))
+    arcs = shares.selectExpr("src as host", "dst as next", "n / all_out as t", "0D as d", "0D as ends").unionByName(shares.selectExpr("dst as host", "src as next", "0D as t", "n / all_in as d", "0D as ends"))
+    arcs = cut(arcs.unionByName(seeds.selectExpr("host", "host as next", "0D as t", "0D as d", "1D as ends")))  # of each host one where its own sums go on
+    state = seeds.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"), F.col("trust").alias("t_way"), F.col("distrust").alias("d_way"))
+    ends = F.col("ends")
     while True:
         for _ in range(4):
-            moved = arcs.join(state.where("t_way > 0 or d_way > 0").select("host", "t_way", "d_way"), "host")
-            moved = moved.select(F.col("next").alias("host"), nothing.alias("trust"), nothing.alias("distrust"), (F.col("t") * F.col("t_way") * damping).alias("t_way"), (F.col("d") * F.col("d_way") * damping).alias("d_way"))
-            ended = state.select("host", (F.col("trust") + F.col("t_way") * (1 - damping)).alias("trust"), (F.col("distrust") + F.col("d_way") * (1 - damping)).alias("distrust"), nothing.alias("t_way"), nothing.alias("d_way"))
-            state = moved.unionByName(ended).groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust", "t_way", "d_way")))
+            moved = arcs.join(state, "host").select(
+                F.col("next").alias("host"),
+                (ends * (F.col("trust") + F.col("t_way") * (1 - damping))).alias("trust"), (ends * (F.col("distrust") + F.col("d_way") * (1 - damping))).alias("distrust"),
+                (F.col("t") * F.col("t_way") * damping).alias("t_way"), (F.col("d") * F.col("d_way") * damping).alias("d_way"),
+            )
+            state = moved.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust", "t_way", "d_way")))
         state = cut(state)
         t, d = state.agg(F.sum("t_way"), F.sum("d_way")).first()
         if max(t or 0.0, d or 0.0) < tolerance:
             return state.select("host", "trust", "distrust")
+        swept(links.sparkSession)
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], least: float = 1.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
