@@ -6,34 +6,44 @@ Tables are Parquet; names of outputs follow those of inputs unless -o gives one.
 from __future__ import annotations
 
 import argparse
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.operators import accessions, reads, reports, sorting
+from readlake.functions import sequences as S
+from readlake.operators import accessions, reads, reports, sorting, taxonomy
+from readlake.schemas import TAX
 from readlake.session import session
 from readlake.sources import bam, one, sinks, text
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".bam"):
-        spark.dataSource.register(bam.BamSource)
+        bam.register(spark)
         return spark.read.format("bam").load(path)
     return text.sam(spark, path)
 
 
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    return bam.headers(spark, path) if path.endswith(".bam") else text.sam_headers(spark, path)
+
+
 def sequences(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA, FASTQ, SAM or BAM, or a table of reads, by the file's first line or its name."""
-    if path.endswith(".bam"):
-        return alignments(spark, path).select(F.col("qname").alias("id"), F.lit(None).cast("string").alias("description"), "seq", "qual")
+    """(id, description, seq, qual) of FASTA, FASTQ, SAM, BAM, a container in text form or a table of reads, by name or first line."""
+    def flat(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(name).alias("id"), F.lit(None).cast("string").alias("description"), "seq", "qual")
+
     if path.endswith((".parquet", ".1read")):
-        return spark.read.parquet(path).select(F.col("name").alias("id"), F.lit(None).cast("string").alias("description"), "seq", "qual")
-    kind = text.kind_of((spark.read.text(path).first() or [""])[0] + "\t")
-    if kind == "sam":
-        return alignments(spark, path).select(F.col("qname").alias("id"), F.lit(None).cast("string").alias("description"), "seq", "qual")
+        return flat(spark.read.parquet(path), "name")
+    kind = "bam" if path.endswith(".bam") else text.kind_of((spark.read.text(path).first() or [""])[0] + "\t")
+    if kind in ("bam", "sam"):  # a row for each record, as it stands
+        return flat(alignments(spark, path), "qname")
     if kind == "one":
-        return one.reads(spark, path).select(F.col("name").alias("id"), F.lit(None).cast("string").alias("description"), "seq", "qual")
+        return flat(one.reads(spark, path), "name")
+    if kind == "packed":
+        raise ValueError(f"{path}: packed binary sequences aren't read; convert them to FASTQ first")
     return text.fasta(spark, path) if kind == "fasta" else text.fastq(spark, path)
 
 
@@ -44,58 +54,149 @@ def make_acc_tax(spark: SparkSession, a: argparse.Namespace) -> None:
 def bam_to_reads(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = alignments(spark, a.input)
     refs = accessions.with_taxa(rows.select(F.col("rname").alias("accession")).where("accession is not null").distinct(), spark.read.parquet(a.acctax))
-    reads.build(reads.with_taxa(rows, refs)).write.parquet(a.output or sinks.derived(a.input, "1read"))
+    sinks.written(reads.build(reads.with_taxa(rows, refs), a.mates_apart), a.output or sinks.derived(a.input, "1read"), "bam21read", a.input)
+
+
+def tag_formats(specs: Sequence[str]) -> list[tuple[str, str]]:
+    """(tag, format) of `TAG:FMT`; FMT is one of A, i, f, Z, H, B, or a type of BAM's whole numbers, which is i."""
+    out = []
+    for spec in specs:
+        tag, _, kind = spec.partition(":")
+        if not re.fullmatch("[A-Za-z][A-Za-z0-9]", tag) or kind not in set("AcCsSiIfZHB"):
+            raise ValueError(f"{spec}: not TAG:FMT")
+        out.append((tag, "i" if kind in "cCsSiI" else kind))
+    return out
+
+
+def bam_to_table(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Alignments with taxa of their references and chosen tags as columns, in order of reference accession and place."""
+    rows = alignments(spark, a.input)
+    for tag, kind in tag_formats(a.aux or []):
+        rows = rows.withColumn(f"tag_{tag}", text.tag(F.col("aux"), tag, kind))
+    if a.acc_tax:
+        refs = accessions.with_taxa(rows.select(F.col("rname").alias("accession")).where("accession is not null").distinct(), spark.read.parquet(a.acc_tax))
+        rows = reads.with_taxa(rows, refs)
+    rows.drop("aux").orderBy("rname", "pos", "file", "ord").write.parquet(a.output or sinks.derived(a.input, "1bam"))
 
 
 def merge(spark: SparkSession, a: argparse.Namespace) -> None:
-    reads.merged(*(spark.read.parquet(p) for p in a.inputs)).write.parquet(a.output or "merged.1read")
+    sinks.written(reads.merged(*(spark.read.parquet(p) for p in a.inputs)), a.output or "merged.1read", "merge1read", *a.inputs)
 
 
 def add_lca(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Reads with their lowest common ancestors, and beside them the part of the tree that their taxa make up."""
     nodes = text.taxonomy_dump(spark, a.taxonomy)
     rows = reads.with_lca(spark.read.parquet(a.input), nodes, a.score_threshold, a.max_divergence)
-    if a.output:
-        rows.write.parquet(a.output)
+    out = a.output or sinks.derived(a.input, "lca.1read") if a.output != "-" else a.input
+    if out == a.input:
+        sinks.rewritten(rows, out)
     else:
-        sinks.rewritten(rows, a.input)
+        sinks.written(rows, out, "addLCA", a.input)
+    taxonomy.write_subset(taxonomy.closure(reads.taxa(spark.read.parquet(out)), nodes), out + ".1tax")
+
+
+def tree(spark: SparkSession, path: str) -> DataFrame:
+    """A taxonomy dump, or the part of a tree that addLCA has written."""
+    return taxonomy.read_subset(spark, path) if path.endswith(".1tax") else text.taxonomy_dump(spark, path)
 
 
 def report_lca(spark: SparkSession, a: argparse.Namespace) -> None:
-    nodes = text.taxonomy_dump(spark, a.taxonomy)
-    sinks.report(reports.by_taxon(spark.read.parquet(a.input), nodes, a.rank, a.group), a.output or sinks.derived(a.input, "reportLCA"))
+    sinks.report(reports.by_taxon(spark.read.parquet(a.input), tree(spark, a.taxonomy), a.rank, a.group), a.output or sinks.derived(a.input, "reportLCA"))
 
 
 def extract_reads(spark: SparkSession, a: argparse.Namespace) -> None:
-    reads.below(spark.read.parquet(a.input), text.taxonomy_dump(spark, a.taxonomy), a.lca).write.parquet(a.output or sinks.derived(a.input, f"{a.lca}.1read"))
+    sinks.written(reads.below(spark.read.parquet(a.input), tree(spark, a.taxonomy), a.lca), a.output or sinks.derived(a.input, f"{a.lca}.1read"), f"extractReads {a.lca}", a.input)
 
 
 def report_reads(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = spark.read.parquet(a.input)
-    counts = reports.substitutions(rows)
-    for title, df in (("LENGTHS", reports.lengths(rows, F.length("seq"))), ("SCORES", reports.histogram(rows, "max_score")), ("EDITS", reports.edits(rows)), ("DAMAGE", reports.damage(counts)), ("COUNTS", counts)):
-        df.coalesce(1).write.csv(f"{a.output or sinks.derived(a.input, 'report1read')}/{title}", sep="\t", header=True)
+    """One folder with a table of each kind, and all of them as one text."""
+    rows, out = spark.read.parquet(a.input), a.output or sinks.derived(a.input, "report1read")
+    tables = reports.of_reads(rows)
+    for title, df in tables.items():
+        df.coalesce(1).write.csv(f"{out}/{title}", sep="\t", header=True)
+    lines = []
+    for title in tables:  # tables of a few hundred rows each, whatever the reads
+        told = spark.read.csv(f"{out}/{title}", sep="\t", header=True)
+        lines += [title, "\t".join(told.columns), *("\t".join("" if v is None else str(v) for v in r) for r in told.collect()), ""]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{out}/REPORT")
 
 
 def sort(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = sorting.by_name(*(alignments(spark, p) for p in a.inputs))
-    heads = [text.sam_headers(spark, p) for p in a.inputs if not p.endswith(".bam")]
-    if heads:
-        whole = heads[0]
-        for h in heads[1:]:
-            whole = whole.unionByName(h)
-        whole = whole if a.keep_header else sorting.used_references(whole, rows)
-        sinks.header_lines(sorting.united(whole)).coalesce(1).write.text(a.output + ".header")
-    sinks.sam_lines(rows).write.text(a.output, compression="gzip" if a.gz else "none")
+    """All alignments in order of name, under one header. Inputs in order stay as good as they are with --merge: only checked, not trimmed."""
+    inputs = [alignments(spark, p) for p in a.inputs]
+    if a.merge:
+        for p, rows in zip(a.inputs, inputs, strict=True):
+            if sorting.in_order(rows).first()["disordered"]:
+                raise ValueError(f"{p} isn't in order of name")
+    rows, out = sorting.by_name(*inputs), a.output or sinks.derived(a.inputs[0], "sorted.sam")
+    whole = None
+    for p in a.inputs:
+        whole = headers(spark, p) if whole is None else whole.unionByName(headers(spark, p))
+    whole = whole if a.keep_header or a.merge else sorting.used_references(whole, rows)
+    lines = sinks.header_lines(sorting.united(whole))
+    if out.endswith(".bam"):
+        bam.write(rows, out, lines)
+    else:
+        lines.coalesce(1).write.text(out + ".header")
+        sinks.sam_lines(rows).write.text(out, compression="gzip" if a.gz else "none")
 
 
 def convert(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = sequences(spark, a.input)
-    (sinks.fasta_lines(rows) if a.fasta else sinks.fastq_lines(rows)).write.text(a.output, compression="gzip" if a.gz else "none")
+    if a.quantise is not None:
+        rows = rows.withColumn("qual", F.array_join(F.transform(S.quantised(S.phred(F.col("qual")), a.quantise), lambda q: F.char(q + 33)), ""))
+    if a.upper:
+        rows = rows.withColumn("seq", F.upper("seq"))
+    if a.break_gaps is not None:
+        pieces = rows.select("*", F.posexplode(S.contigs(F.col("seq"), a.break_gaps)).alias("_k", "_contig"))
+        rows = pieces.select(F.concat_ws(".", "id", (F.col("_k") + 1).cast("string")).alias("id"), "description", F.col("_contig").alias("seq"), F.lit(None).cast("string").alias("qual"))
+    if a.collapse:
+        ends = F.concat(F.lit("runs="), F.array_join(S.run_ends(F.col("seq")).cast("array<string>"), ","))
+        rows = rows.select("id", F.concat_ws(" ", "description", ends).alias("description"), S.collapsed(F.col("seq")).alias("seq"), F.lit(None).cast("string").alias("qual"))
+    if a.expand:
+        ends = F.split(F.regexp_extract("description", "runs=([0-9,]*)$", 1), ",")
+        ends = F.filter(F.transform(ends, lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+        rows = rows.select("id", F.nullif(F.regexp_replace("description", " ?runs=[0-9,]*$", ""), F.lit("")).alias("description"), S.expanded(F.col("seq"), ends).alias("seq"), F.lit(None).cast("string").alias("qual"))
+    rows, out = sinks.named(rows), a.output or sinks.derived(a.input, "1read" if a.container else "fa" if a.fasta else "fq")
+    if a.container:
+        nothing = {c: F.lit(None) for c in ("max_score", "mline", "dust", "lca")}
+        one.write_reads(rows.select(F.col("id").alias("name"), "seq", "qual").withColumns({c: v.cast("string" if c == "mline" else "int") for c, v in nothing.items()}).withColumn("tax", F.array().cast(TAX)), out)
+    else:
+        (sinks.fasta_lines(rows) if a.fasta else sinks.fastq_lines(rows)).write.text(out, compression="gzip" if a.gz else "none")
+
+
+def view(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Reads of a table or container as lines: all, by number (i or i-j, the end excluded), or the head alone."""
+    if a.head:
+        for k, v in (sinks.about(spark, a.input) if a.input.endswith((".parquet", ".1read")) else {"head": one.HEAD}).items():
+            print(k, v)
+        return
+    rows = spark.read.parquet(a.input) if a.input.endswith((".parquet", ".1read")) else one.reads(spark, a.input)
+    if a.index:
+        ranges = [(int(x), int(y) if y else None) for x, _, y in (i.partition("-") for i in a.index)]
+        rows = sorting.slices(sorting.with_row_ids(rows, "name"), ranges).drop("row_id")
+    if a.output:
+        one.write_reads(rows, a.output)
+    else:
+        for r in one.read_lines(rows).toLocalIterator():
+            print(r["value"])
+
+
+def validate(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Statistics worked out anew beside the stored ones, and the bytes that each kind of line takes."""
+    rows = spark.read.parquet(a.input)
+    reads.validated(reads.statistics(rows), sinks.stored(spark, a.input)).orderBy("field").show(100, truncate=False)
+    if a.usage:
+        one.bytes_by_letter(rows).orderBy("letter").show(100, truncate=False)
 
 
 def statistics(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = sequences(spark, a.input)
-    told = [reports.lengths(rows, F.length("seq")), reports.composition(rows), reports.qualities(rows), reports.coarse_bins(reports.length_bins(rows, F.length("seq"))), reports.identifiers(rows, "id")]
+    told = [reports.lengths(rows, F.length("seq"))]
+    told += [reports.composition(rows)] if a.bases else []
+    told += [reports.qualities(rows)] if a.qualities else []
+    told += [reports.coarse_bins(reports.length_bins(rows, F.length("seq")))] if a.lengths else []
+    told += [reports.identifiers(rows, "id")] if a.identifiers else []
     for df in told:
         df.show(300, truncate=False)
 
@@ -115,15 +216,18 @@ def main(args: Sequence[str] | None = None) -> None:
 
     yes = {"action": "store_true"}
     command("makeAccTax", make_acc_tax, "input")
-    command("bam21read", bam_to_reads, "acctax", "input")
+    command("bam21read", bam_to_reads, "acctax", "input", mates_apart=yes)
+    command("bam21bam", bam_to_table, "input", acc_tax={}, aux={"action": "append", "metavar": "TAG:FMT"})
     command("merge1read", merge, "inputs")
     command("addLCA", add_lca, "taxonomy", "input", score_threshold={"type": int}, max_divergence={"type": float})
     command("reportLCA", report_lca, "taxonomy", "input", rank={}, group={})
     command("extractReads", extract_reads, "taxonomy", "input", lca={"type": int, "required": True})
     command("report1read", report_reads, "input")
-    command("bamsort", sort, "inputs", gz=yes, keep_header=yes)
-    command("seqconvert", convert, "input", fasta=yes, gz=yes)
-    command("seqstat", statistics, "input")
+    command("bamsort", sort, "inputs", gz=yes, keep_header=yes, merge=yes)
+    command("seqconvert", convert, "input", fasta=yes, container=yes, gz=yes, quantise={"type": int}, upper=yes, break_gaps={"type": int}, collapse=yes, expand=yes)
+    command("seqstat", statistics, "input", bases=yes, qualities=yes, lengths=yes, identifiers=yes)
+    command("view", view, "input", index={"action": "append"}, head=yes)
+    command("stat", validate, "input", usage=yes)
     a = p.parse_args(args)
     a.run(session(), a)
 

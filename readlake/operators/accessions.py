@@ -26,31 +26,45 @@ def parsed(df: DataFrame, column: str = "accession") -> DataFrame:
     return df.withColumn("prefix", prefix(F.col(column))).withColumn("n", number(F.col(column)))
 
 
-def intervals_in_file_order(rows: DataFrame) -> DataFrame:
-    """(prefix, start, count, taxid): consecutive rows (ord) of a prefix with one taxid and numbers that go up by 1."""
+def intervals_in_file_order(rows: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(prefix, start, count, taxid): consecutive rows (ord) of a prefix with one taxid and numbers that go up by 1.
+
+    Islands are found within pieces of ord first, so a prefix that holds most rows is spread; of a piece's islands only the
+    first and the last can go on in another piece, so the second window sees two rows of a prefix and piece.
+    """
     need(rows, "ord", "accession", "taxid")
-    order = W.partitionBy("prefix").orderBy("ord")
+    marked = parsed(rows).withColumn("piece", F.floor(F.col("ord") / piece))
+    order = W.partitionBy("prefix", "piece").orderBy("ord")
     goes_on = (F.lag("taxid").over(order) == F.col("taxid")) & (F.lag("n").over(order) + 1 == F.col("n"))
-    marked = parsed(rows).withColumn("new", F.when(goes_on, 0).otherwise(1))
     island = F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return marked.withColumn("island", island).groupBy("prefix", "island").agg(F.min("n").alias("start"), F.count(F.lit(1)).alias("count"), F.first("taxid").alias("taxid")).select("prefix", "start", "count", "taxid")
+    found = marked.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("island", island).groupBy("prefix", "piece", "island").agg(F.min("n").alias("start"), F.count(F.lit(1)).alias("count"), F.first("taxid").alias("taxid"))
+    ends = found.withColumn("end", (F.col("island") == 1) | (F.col("island") == F.max("island").over(W.partitionBy("prefix", "piece"))))
+    order = W.partitionBy("prefix").orderBy("piece", "island")
+    on = (F.lag("taxid").over(order) == F.col("taxid")) & (F.lag(F.col("start") + F.col("count")).over(order) == F.col("start")) & (F.lag("piece").over(order) != F.col("piece"))
+    whole = ends.where("end").withColumn("new", F.when(on, 0).otherwise(1)).withColumn("whole", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    joined = whole.groupBy("prefix", "taxid", "whole").agg(F.min("start").alias("start"), F.sum("count").alias("count"))
+    columns = ["prefix", "start", "count", "taxid"]
+    return ends.where("not end").select(*columns).unionByName(joined.select(*columns))
 
 
 def intervals(rows: DataFrame, piece: int = PIECE) -> DataFrame:
     """(prefix, start, count, taxid) whatever the order of the rows (accession, taxid).
 
     Equal rows count once; where an accession has several taxa each makes its own intervals. Islands
-    are found within pieces of the numbers first, so a prefix that holds most rows is spread; what
-    touches across pieces is joined then, on one row for each island.
+    are found within pieces of the numbers first, so a prefix that holds most rows is spread; of them only such
+    as touch the end of their piece can go on in another, so the second window sees two rows of a piece at most.
     """
     need(rows, "accession", "taxid")
     one = parsed(rows).select("prefix", "n", "taxid").distinct().withColumn("piece", F.floor(F.col("n") / piece))
     order = W.partitionBy("prefix", "taxid", "piece").orderBy("n")
     islands = one.withColumn("island", F.col("n") - F.row_number().over(order)).groupBy("prefix", "taxid", "piece", "island").agg(F.min("n").alias("start"), F.count(F.lit(1)).alias("count"))
+    touches = (F.col("start") % piece == 0) | ((F.col("start") + F.col("count")) % piece == 0)
     order = W.partitionBy("prefix", "taxid").orderBy("start")
     new = F.when(F.lag(F.col("start") + F.col("count")).over(order) == F.col("start"), 0).otherwise(1)
-    joined = islands.withColumn("new", new).withColumn("whole", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return joined.groupBy("prefix", "taxid", "whole").agg(F.min("start").alias("start"), F.sum("count").alias("count")).select("prefix", "start", "count", "taxid")
+    whole = islands.where(touches).withColumn("new", new).withColumn("whole", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    joined = whole.groupBy("prefix", "taxid", "whole").agg(F.min("start").alias("start"), F.sum("count").alias("count"))
+    columns = ["prefix", "start", "count", "taxid"]
+    return islands.where(~touches).select(*columns).unionByName(joined.select(*columns))
 
 
 def with_taxa(refs: DataFrame, acctax: DataFrame, column: str = "accession", piece: int = PIECE) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readlake.schemas import need
+from readlake.session import cut
 
 
 def by_name(*inputs: DataFrame, name: str = "qname", order: tuple[str, ...] = ("file", "ord")) -> DataFrame:
@@ -63,6 +64,13 @@ def united(headers: DataFrame) -> DataFrame:
     return rows.select("file", "ord", "kind", tags.alias("tags"), rank.alias("rank")).orderBy("rank", "file", "ord").drop("rank")
 
 
+def with_row_ids(rows: DataFrame, *order: str, row_id: str = "row_id") -> DataFrame:
+    """rows numbered from 0 on in the order of columns: sorted by ranges, numbered within, counts of ranges before added."""
+    part = cut(rows.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    before = part.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("_low")).withColumn("_before", F.coalesce(F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return part.join(F.broadcast(before.drop("n")), "_p").withColumn(row_id, F.col("_before") + F.col("_i") - F.col("_low")).drop("_p", "_i", "_low", "_before")
+
+
 def slices(rows: DataFrame, ranges: list[tuple[int, int | None]], row_id: str = "row_id") -> DataFrame:
     """Rows whose number lies in [x, y) of a range; (x, None) is the row x alone."""
     keep = F.lit(False)

@@ -7,7 +7,7 @@ number of joins that is the logarithm of the tree's depth.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlake.schemas import need
@@ -102,3 +102,19 @@ def closure(taxa: DataFrame, nodes: DataFrame, up: DataFrame | None = None) -> D
 def subtree(nodes: DataFrame, root: int, up: DataFrame | None = None) -> DataFrame:
     """(taxid) of the taxon and all below it."""
     return (paths(nodes) if up is None else up).where(F.array_contains("path", root)).select("taxid")
+
+
+def write_subset(nodes: DataFrame, path: str) -> None:
+    """A part of a tree as a table, ordered by taxid."""
+    nodes.orderBy("taxid").write.mode("overwrite").parquet(path)
+
+
+def read_subset(spark: SparkSession, path: str, gaps: bool = False) -> DataFrame:
+    """What write_subset has written. With gaps, numbers between the least and the greatest that are no taxa come
+    as nodes without a parent, under names of their own (z and the number)."""
+    nodes = spark.read.parquet(path)
+    if not gaps:
+        return nodes
+    ends = nodes.agg(F.min("taxid").alias("a"), F.max("taxid").alias("z")).where("a is not null")
+    free = ends.select(F.explode(F.sequence("a", "z")).alias("taxid")).join(nodes.select("taxid"), "taxid", "left_anti")
+    return nodes.unionByName(free.withColumn("name", F.concat(F.lit("z"), F.col("taxid").cast("string"))), allowMissingColumns=True)

@@ -370,13 +370,8 @@ def fn1_match_lines(spark, sf):
 @query("select qname, file, row_number() over (order by qname, file, ord) as place from ali", X.SQL_ALIGNMENTS)
 def srt1_by_name(spark, sf):
     """Places in the order of names: whole sort, then a number for each row within ranges of names."""
-    from pyspark.sql import Window as W
-
-    rows = sorting.by_name(X.alignments(spark, sf))
-    part = rows.select("qname", "file", "ord", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
-    before = part.groupBy("p").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)))
-    numbered = part.withColumn("k", F.row_number().over(W.partitionBy("p").orderBy("i"))).join(F.broadcast(before), "p")
-    return numbered.select("qname", "file", (F.col("k") + F.coalesce("before", F.lit(0))).alias("place"))
+    rows = sorting.with_row_ids(X.alignments(spark, sf).select("qname", "file", "ord"), "qname", "file", "ord")
+    return rows.select("qname", "file", (F.col("row_id") + 1).alias("place"))
 
 
 def _headers(spark, sf):

@@ -1,7 +1,9 @@
 """BAM as a Spark data source: blocks of a file are read by tasks apart from each other.
 
-    spark.dataSource.register(bam.BamSource)
+    bam.register(spark)
     spark.read.format("bam").load("file:///data/a.bam")
+    bam.headers(spark, "file:///data/a.bam")  # (file, ord, kind, tags)
+    bam.write(alignments, "file:///data/out", header_lines)
 
 A BAM file is a row of compressed blocks of at most 64 KiB. Each task finds the first block in its range of bytes,
 then the first record in it by the fields that a record must have, and reads to the first record past its range.
@@ -10,12 +12,17 @@ Files are opened through pyarrow's file systems, so stores other than local disk
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from readlake.schemas import ALIGNMENTS
 
@@ -23,6 +30,11 @@ from readlake.schemas import ALIGNMENTS
 MAGIC = b"\x1f\x8b\x08\x04"
 BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
+EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+_PAIRS = np.array([BASES[b >> 4] + BASES[b & 15] for b in range(256)]).astype("S2").view(np.uint8).reshape(256, 2)
+_CODES = np.full(256, 15, np.uint8)
+_CODES[np.frombuffer(BASES.encode(), np.uint8)] = np.arange(16)
+_CODES[np.frombuffer(BASES.lower().encode(), np.uint8)] = np.arange(16)
 NUMBERS = {b"c": "<b", b"C": "<B", b"s": "<h", b"S": "<H", b"i": "<i", b"I": "<I", b"f": "<f"}
 
 
@@ -37,19 +49,97 @@ class BamSource(DataSource):
     def reader(self, schema) -> BamReader:
         return BamReader(self.options["path"], int(self.options.get("split", 64 << 20)))
 
+    def writer(self, schema, overwrite: bool) -> BamWriter:
+        return BamWriter(self.options["path"], self.options["header"])
+
+
+class BamHeaderSource(DataSource):
+    """The header's lines (file, ord, value) of a BAM file, block after block."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bam_header"
+
+    def schema(self) -> str:
+        return "file string, ord long, value string"
+
+    def reader(self, schema) -> BamHeaderReader:
+        return BamHeaderReader(self.options["path"])
+
+
+def register(spark: SparkSession) -> None:
+    for source in (BamSource, BamHeaderSource):
+        spark.dataSource.register(source)
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ord, kind, tags) of the header's lines, as text.sam_headers gives them; references that only the binary
+    list names become @SQ lines behind them."""
+    from readlake.sources.text import header_tags
+
+    register(spark)
+    return header_tags(spark.read.format("bam_header").load(path))
+
+
+def write(alignments: DataFrame, path: str, header: DataFrame) -> None:
+    """A folder of parts, each a whole BAM file of its partition's rows under the same header.
+
+    header: one column `value`, lines in order, which is written beside the parts first and read there by each task.
+    Mandatory fields and tags are written as sinks.sam_lines would tell them.
+    """
+    from readlake.sources import sinks
+
+    register(alignments.sparkSession)
+    header.coalesce(1).write.text(path + "/_header")
+    sinks.sam_lines(alignments).write.format("bam").option("path", path).option("header", path + "/_header").mode("append").save()
+
 
 class Range(InputPartition):
     def __init__(self, path: str, start: int, end: int):
         self.path, self.start, self.end = path, start, end
 
 
-def opened(path: str):
+def system_of(path: str):
     from pyarrow import fs
 
-    system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), re.sub("^file:", "", path))
+
+
+def opened(path: str):
+    system, at = system_of(path)
     return system.open_input_file(at)
 
 
+#: Rows of an Arrow batch that a task hands over at once.
+ROWS = 4096
+_TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+_FIELDS = pa.schema([(n, _TYPES[t]) for n, t in (c.split(" ") for c in ALIGNMENTS.split(", "))])
+
+
+def batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array([[*v.items()] for v in c] if f.name == "aux" else c, f.type) for f, c in zip(_FIELDS, columns, strict=True)], schema=_FIELDS)
+
+
+class BamHeaderReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def read(self, part) -> Iterator[tuple]:
+        with opened(self.path) as f:
+            n, told = 0, set()
+            for line in header_lines(f):
+                if line.startswith("@SQ"):
+                    told.add(next((x[3:] for x in line.split("\t") if x.startswith("SN:")), ""))
+                if line:
+                    yield self.path, n, line
+                n += 1
+            names, _ = header(f)
+            for i, (name, length) in enumerate(names):
+                if name not in told:
+                    yield self.path, n + i, f"@SQ\tSN:{name}\tLN:{length}"
+
+
 class BamReader(DataSourceReader):
     def __init__(self, path: str, split: int):
         self.path, self.split = path, split
@@ -59,9 +149,20 @@ class BamReader(DataSourceReader):
             n = f.size()
         return [Range(self.path, a, min(a + self.split, n)) for a in range(0, n, self.split)]
 
-    def read(self, part: Range) -> Iterator[tuple]:
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for r in self.rows(part):
+            rows.append(r)
+            if len(rows) >= ROWS:
+                yield batch(rows)
+                rows = []
+        if rows:
+            yield batch(rows)
+
+    def rows(self, part: Range) -> Iterator[tuple]:
         with opened(part.path) as f:
-            names, first = header(f)
+            named, first = header(f)
+            names = [n for n, _ in named]
             at = (0, first) if part.start == 0 else resync(f, part.start, part.end, len(names))
             if at is None:
                 return
@@ -83,17 +184,44 @@ def block(f, at: int) -> tuple[bytes, int] | None:
     return zlib.decompress(body[:-8], -15), at + size
 
 
-def header(f) -> tuple[list[str], int]:
-    """Names of the references, and where in the unpacked file the first record begins."""
-    text, at = b"", 0
+def unpacked(f) -> Iterator[bytes]:
+    """The blocks of a file from its start, without those that hold nothing."""
+    at = 0
+    while (got := block(f, at)) is not None:
+        at = got[1]
+        if got[0]:
+            yield got[0]
+
+
+def header_lines(f) -> Iterator[str]:
+    """The lines of the header's text; no more than a block and a line are held."""
+    blocks = unpacked(f)
+    text = b""
+    while len(text) < 8:
+        text += next(blocks)
+    left, text = struct.unpack_from("<i", text, 4)[0], text[8:]
+    while True:
+        part = text[:left]
+        left -= len(part)
+        if not left:
+            yield from part.rstrip(b"\0").decode().splitlines()
+            return
+        lines = part.split(b"\n")
+        yield from (x.decode() for x in lines[:-1])
+        left += len(lines[-1])
+        text = lines[-1] + next(blocks)
+
+
+def header(f) -> tuple[list[tuple[str, int]], int]:
+    """Names and lengths of the references, and where in the unpacked file the first record begins."""
+    blocks, text = unpacked(f), bytearray()
 
     def need(n: int) -> None:
-        nonlocal text, at
         while len(text) < n:
-            got = block(f, at)
+            got = next(blocks, None)
             if got is None:
                 raise ValueError("the header ends early")
-            text, at = text + got[0], got[1]
+            text.extend(got)
 
     need(12)
     if text[:4] != b"BAM\1":
@@ -106,7 +234,7 @@ def header(f) -> tuple[list[str], int]:
         need(place + 4)
         size = struct.unpack_from("<i", text, place)[0]
         need(place + 8 + size)
-        names.append(text[place + 4 : place + 3 + size].decode())
+        names.append((text[place + 4 : place + 3 + size].decode(), struct.unpack_from("<i", text, place + 4 + size)[0]))
         place += 8 + size
     return names, place
 
@@ -220,7 +348,7 @@ def row(record: bytes, names: list[str]) -> tuple:
     ops = struct.unpack_from(f"<{n_ops}I", record, at)
     at += 4 * n_ops
     packed = record[at : at + (l_seq + 1) // 2]
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq]
+    seq = _PAIRS[np.frombuffer(packed, np.uint8)].tobytes()[:l_seq].decode()
     at += len(packed)
     qual = record[at : at + l_seq]
     at += l_seq
@@ -230,7 +358,7 @@ def row(record: bytes, names: list[str]) -> tuple:
     cigar = told(map(int, long[2:].split(","))) if long and long.startswith("I,") else told(ops)
     mate_name = None if mate < 0 else "=" if mate == ref else names[mate]
     score = aux.get("AS")
-    return (name, flag, names[ref] if ref >= 0 else None, pos + 1, mapq, cigar or None, mate_name, mate_pos + 1, tlen, seq or None, None if not l_seq or qual[0] == 255 else "".join(chr(q + 33) for q in qual), int(score) if score is not None else None, aux.get("MD"), aux)
+    return (name, flag, names[ref] if ref >= 0 else None, pos + 1, mapq, cigar or None, mate_name, mate_pos + 1, tlen, seq or None, None if not l_seq or qual[0] == 255 else (np.frombuffer(qual, np.uint8) + 33).tobytes().decode(), int(score) if score is not None else None, aux.get("MD"), aux)
 
 
 def tags(record: bytes, at: int) -> Iterator[tuple[str, str]]:
@@ -253,3 +381,139 @@ def tags(record: bytes, at: int) -> Iterator[tuple[str, str]]:
         else:
             raise ValueError(f"a tag of the unknown kind {kind!r}")
         yield tag, value
+
+
+class BamWriter(DataSourceWriter):
+    """Rows of one column of SAM lines as BAM files, one for each task."""
+
+    def __init__(self, path: str, header: str):
+        self.path, self.header = path, header
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        system, at = system_of(self.path)
+        name = f"{at}/part-{context.partitionId():05d}"
+        attempt = f"{at}/_attempt-{context.partitionId():05d}-{context.taskAttemptId()}"
+        with system.open_output_stream(attempt) as out:
+            names = self._head(out)
+            held = bytearray()
+            for r in rows:
+                held += packed_record(r[0].split("\t"), names)
+                while len(held) >= BLOCK:
+                    out.write(packed_block(bytes(held[:BLOCK])))
+                    del held[:BLOCK]
+            if held:
+                out.write(packed_block(bytes(held)))
+            out.write(EOF_BLOCK)
+        return Written(attempt, name + ".bam")
+
+    def _head(self, out) -> dict[str, int]:
+        """Writes the header; numbers of the references."""
+        from pyarrow import fs
+
+        system, at = system_of(self.header)
+        text, named = bytearray(), []
+        for info in sorted(system.get_file_info(fs.FileSelector(at)), key=lambda i: i.path):
+            if not os.path.basename(info.path).startswith(("_", ".")):
+                with system.open_input_stream(info.path) as f:
+                    text += f.read()
+        for line in text.decode().splitlines():
+            if line.startswith("@SQ"):
+                tags = dict(x.split(":", 1) for x in line.split("\t")[1:] if ":" in x)
+                named.append((tags.get("SN", "*"), int(tags.get("LN", 0))))
+        head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(named))
+        head += b"".join(struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in named)
+        for i in range(0, len(head), BLOCK):
+            out.write(packed_block(head[i : i + BLOCK]))
+        return {n: i for i, (n, _) in enumerate(named)}
+
+    def commit(self, messages: list) -> None:
+        """Only files of tasks that count get their names; what others left goes."""
+        from pyarrow import fs
+
+        system, at = system_of(self.path)
+        for m in messages:
+            if m is not None:
+                system.move(m.attempt, m.name)
+        for info in system.get_file_info(fs.FileSelector(at)):
+            if os.path.basename(info.path).startswith("_attempt-"):
+                system.delete_file(info.path)
+
+    def abort(self, messages: list) -> None:
+        system, _ = system_of(self.path)
+        for m in messages:
+            if m is not None:
+                system.delete_file(m.attempt)
+
+
+class Written(WriterCommitMessage):
+    def __init__(self, attempt: str, name: str):
+        self.attempt, self.name = attempt, name
+
+
+#: Bytes that one block of a file holds.
+BLOCK = 0xFF00
+
+
+def packed_block(data: bytes) -> bytes:
+    c = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = c.compress(data) + c.flush()
+    if len(body) + 26 > 1 << 16:  # data that don't compress are stored
+        c = zlib.compressobj(0, zlib.DEFLATED, -15)
+        body = c.compress(data) + c.flush()
+    return MAGIC + struct.pack("<IBBHBBHH", 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def bin_of(start: int, end: int) -> int:
+    """The number of the smallest bin of the format's index that holds the places from start to end, from 0."""
+    end -= 1
+    for level in range(5, 0, -1):
+        shift = 29 - 3 * level
+        if start >> shift == end >> shift:
+            return ((1 << 3 * level) - 1) // 7 + (start >> shift)
+    return 0
+
+
+def packed_record(f: list[str], names: dict[str, int]) -> bytes:
+    """A SAM line's fields as a record."""
+    name, cigar, seq, qual = f[0].encode() + b"\0", f[5], f[9], f[10]
+    ops = [(int(n), OPS.index(o)) for n, o in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar)] if cigar != "*" else []
+    pos, mate_pos = int(f[3]) - 1, int(f[7]) - 1
+    ref = names.get(f[2], -1)
+    mate = ref if f[6] == "=" else names.get(f[6], -1)
+    n = 0 if seq == "*" else len(seq)
+    codes = _CODES[np.frombuffer(seq.encode() if n else b"", np.uint8)]
+    pairs = np.append(codes, np.zeros(n % 2, np.uint8)).reshape(-1, 2)
+    packed = (pairs[:, 0] << 4 | pairs[:, 1]).tobytes()
+    scores = b"\xff" * n if qual == "*" or len(qual) != n else (np.frombuffer(qual.encode(), np.uint8) - 33).tobytes()
+    aux = b"".join(packed_tag(x) for x in f[11:])
+    span = sum(k for k, o in ops if OPS[o] in "MDN=X") or 1
+    told = ops
+    if len(ops) > 0xFFFF:  # more than the field holds: they stand in a tag, and two operations in their place
+        aux += b"CGBI" + struct.pack(f"<i{len(ops)}I", len(ops), *(k << 4 | o for k, o in ops))
+        told = [(n, OPS.index("S")), (span, OPS.index("N"))]
+    body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), int(f[4]), bin_of(max(pos, 0), max(pos, 0) + span) & 0xFFFF, len(told), int(f[1]), n, mate, mate_pos, int(f[8]))
+    body += name + struct.pack(f"<{len(told)}I", *(k << 4 | o for k, o in told)) + packed + scores + aux
+    return struct.pack("<i", len(body)) + body
+
+
+def packed_tag(text: str) -> bytes:
+    """`XX:T:value` as a tag; whole numbers in the smallest type that holds them."""
+    tag, kind, value = text[:2].encode(), text[3:4], text[5:]
+    if kind == "i":
+        n = int(value)
+        for code, low, high in (("c", -(1 << 7), 1 << 7), ("C", 0, 1 << 8), ("s", -(1 << 15), 1 << 15), ("S", 0, 1 << 16), ("i", -(1 << 31), 1 << 31), ("I", 0, 1 << 32)):
+            if low <= n < high:
+                return tag + code.encode() + struct.pack(NUMBERS[code.encode()], n)
+        raise ValueError(f"{text}: beyond 32 bits")
+    if kind == "f":
+        return tag + b"f" + struct.pack("<f", float(value))
+    if kind == "A":
+        return tag + b"A" + value.encode()[:1]
+    if kind == "B":
+        form, *some = value.split(",")
+        code = NUMBERS[form.encode()][1]
+        return tag + b"B" + form.encode() + struct.pack(f"<i{len(some)}{code}", len(some), *(float(x) if form == "f" else int(x) for x in some))
+    return tag + (b"H" if kind == "H" else b"Z") + value.encode() + b"\0"

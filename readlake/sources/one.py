@@ -40,11 +40,11 @@ def reads(spark: SparkSession, path: str) -> DataFrame:
     def one(letter: str) -> Column:
         return F.get(of(letter), F.lit(0))
 
-    runs = F.transform(of("N"), lambda x: F.struct(F.split(x, " ")[0].cast("int").alias("pos"), F.split(x, " ")[1].alias("base"), F.split(x, " ")[2].cast("int").alias("run")))
-    tax = F.transform(of("T"), lambda x: F.struct(F.split(x, " ")[0].cast("int").alias("taxid"), F.split(x, " ")[1].cast("int").alias("best_score"), F.split(x, " ")[2].cast("bigint").alias("cnt")))
+    runs = F.transform(of("N"), lambda x: F.struct(F.split(x, " ")[0].try_cast("int").alias("pos"), F.split(x, " ")[1].alias("base"), F.split(x, " ")[2].try_cast("int").alias("run")))
+    tax = F.transform(of("T"), lambda x: F.struct(F.split(x, " ")[0].try_cast("int").alias("taxid"), F.split(x, " ")[1].try_cast("int").alias("best_score"), F.split(x, " ")[2].try_cast("bigint").alias("cnt")))
     return objects.select(
         F.concat(F.coalesce("prefix", F.lit("")), _after_length(one("I"))).alias("name"), overlaid(_after_length(F.get("lines", F.lit(0))), runs).alias("seq"), _after_length(one("Q")).alias("qual"),
-        F.split(one("M"), " ")[0].cast("int").alias("max_score"), _after_length(F.regexp_replace(one("M"), "^-?[0-9]+ ", "")).alias("mline"), one("D").cast("int").alias("dust"), one("L").cast("int").alias("lca"), tax.cast(TAX).alias("tax"),
+        F.split(one("M"), " ")[0].try_cast("int").alias("max_score"), _after_length(F.regexp_replace(one("M"), "^-?[0-9]+ ", "")).alias("mline"), one("D").try_cast("int").alias("dust"), one("L").try_cast("int").alias("lca"), tax.cast(TAX).alias("tax"),
     )
 
 
@@ -64,34 +64,71 @@ def read_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.array_join(F.concat(one, odd, taxa), "\n").alias("value"))
 
 
-HEAD = "1 3 seq 2 1\n2 4 read"
+def bytes_by_letter(rows: DataFrame) -> DataFrame:
+    """(letter, lines, bytes) of a table of reads in text form, a line's end included."""
+    lines = read_lines(rows).select(F.explode(F.split("value", "\n")).alias("l"))
+    return lines.groupBy(F.substring("l", 1, 1).alias("letter")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("l") + 1).alias("bytes"))
 
 
-def write_reads(rows: DataFrame, path: str) -> None:
-    """A folder of parts, each a whole read file in text form."""
+#: The first lines of files of reads and of interval tables.
+HEAD, INTERVAL_HEAD = "1 3 seq 2 1\n2 4 read", "1 6 acctax 2 1"
+
+
+def _headed(lines: DataFrame, head: str) -> DataFrame:
+    """lines with the head before the first one of each partition."""
     def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = True
         for b in batches:
             if first and b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([HEAD])], ["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
                 first = False
             yield b
 
-    read_lines(rows).mapInArrow(headed, "value string").write.text(path)
+    return lines.mapInArrow(headed, "value string")
+
+
+def write_reads(rows: DataFrame, path: str) -> None:
+    """A folder of parts, each a whole read file in text form."""
+    _headed(read_lines(rows), HEAD).write.text(path)
 
 
 def intervals(spark: SparkSession, path: str) -> DataFrame:
     """(prefix, start, count, taxid) of an interval table in text form, whose prefixes are written as what is new in each.
 
-    A prefix depends on the one before it, so a file's rows are read in order, a fold over each file's own rows.
+    A prefix goes on from the one before it, so rows are read in order, by a fold that holds one prefix; a row that shares
+    nothing with the one before begins a stretch, and stretches are read apart from each other.
     """
     from pyspark.sql import Window as W
 
     rows = _objects(spark, path, "A").where("not is_head").select("file", "block", "i", F.split(F.get("lines", F.lit(0)), " ").alias("f"))
-    new = rows.select("file", "block", "i", F.get("f", F.lit(0)).cast("int").alias("taxid"), F.get("f", F.lit(1)).cast("bigint").alias("start"), F.get("f", F.lit(2)).cast("bigint").alias("count"), F.get("f", F.lit(3)).cast("int").alias("shared"), F.coalesce(F.get("f", F.lit(5)), F.lit("")).alias("suffix"))
-    # the prefix of a row is made of pieces of the rows before it: of each length the last one that still stands
-    order = W.partitionBy("file").orderBy("block", "i").rowsBetween(W.unboundedPreceding, 0)
-    changed = F.when((F.col("suffix") != ""), F.struct("shared", "suffix"))
-    pieces = new.withColumn("pieces", F.collect_list(changed).over(order))
-    prefix = F.aggregate("pieces", F.lit(""), lambda p, x: F.concat(F.substring(p, F.lit(1), x["shared"]), x["suffix"]))
-    return pieces.select(prefix.alias("prefix"), "start", "count", "taxid")
+    new = rows.select("file", "block", "i", F.get("f", F.lit(0)).try_cast("int").alias("taxid"), F.get("f", F.lit(1)).try_cast("bigint").alias("start"), F.get("f", F.lit(2)).try_cast("bigint").alias("count"), F.get("f", F.lit(3)).try_cast("int").alias("shared"), F.coalesce(F.get("f", F.lit(5)), F.lit("")).alias("suffix"))
+    begins = ((F.col("suffix") != "") & (F.col("shared") == 0)).cast("int")
+    counted = new.withColumn("k", F.sum(begins).over(W.partitionBy("file", "block").orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
+    before = new.groupBy("file", "block").agg(F.sum(begins).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    placed = counted.join(before.select("file", "block", "before"), ["file", "block"]).withColumn("stretch", F.col("before") + F.col("k"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, prefix = None, ""
+        for b in batches:
+            out = []
+            for of, shared, suffix in zip(zip(b.column("file").to_pylist(), b.column("stretch").to_pylist(), strict=True), b.column("shared").to_pylist(), b.column("suffix").to_pylist(), strict=True):
+                if of != now:
+                    now, prefix = of, ""
+                if suffix:
+                    prefix = prefix[: shared or 0] + suffix
+                out.append(prefix)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *(b.column(c) for c in ("start", "count", "taxid"))], ["prefix", "start", "count", "taxid"])
+
+    dealt = placed.repartition("file", "stretch").sortWithinPartitions("file", "stretch", "block", "i")
+    return dealt.mapInArrow(fold, "prefix string, start long, count long, taxid int")
+
+
+def interval_lines(rows: DataFrame) -> DataFrame:
+    """One column `value`: each interval of a table (prefix, start, count, taxid) as a line with its whole prefix."""
+    suffix = F.concat_ws(" ", F.length("prefix").cast("string"), "prefix")
+    return rows.select(F.concat_ws(" ", F.lit("A"), F.col("taxid").cast("string"), F.col("start").cast("string"), F.col("count").cast("string"), F.lit("0"), suffix).alias("value"))
+
+
+def write_intervals(rows: DataFrame, path: str) -> None:
+    """A folder of parts, each a whole interval table in text form, in order of prefix and start."""
+    _headed(interval_lines(rows.orderBy("prefix", "start")), INTERVAL_HEAD).write.text(path)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readlake.operators.reads import statistics
+from readlake.session import cut
+
 
 def sam_lines(alignments: DataFrame) -> DataFrame:
     """One column `value`: each alignment as a SAM line; nulls are `*` or 0."""
@@ -29,6 +33,21 @@ def header_lines(headers: DataFrame) -> DataFrame:
     return headers.select(F.concat_ws("\t", "kind", F.when(F.col("kind") == "@CO", F.col("tags")["text"]).otherwise(told)).alias("value"))
 
 
+def named(sequences: DataFrame) -> DataFrame:
+    """sequences, those without an id under their number from 1 on in the order of the rows' partitions."""
+    spark = sequences.sparkSession
+    if sequences.where("id is null or id = ''").isEmpty():
+        return sequences
+    rows = sequences.withColumn("_part", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    rows = cut(rows)
+    before, n = {}, 0
+    for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").toLocalIterator():  # a number for each partition
+        before[r["_part"]], n = n, n + r["n"]
+    first = spark.createDataFrame([*before.items()] or [(0, 0)], "_part int, _first long")
+    own = (F.col("_first") + F.col("_i") + 1).cast("string")
+    return rows.join(F.broadcast(first), "_part").withColumn("id", F.coalesce(F.nullif("id", F.lit("")), own)).select(*sequences.columns)
+
+
 def fasta_lines(sequences: DataFrame) -> DataFrame:
     head = F.concat_ws(" ", F.concat(F.lit(">"), F.col("id")), F.nullif("description", F.lit("")))
     return sequences.select(F.concat_ws("\n", head, "seq").alias("value"))
@@ -46,19 +65,52 @@ def report(df: DataFrame, path: str) -> None:
         F.col("tax_id").alias("#tax_id"), "tax_name", "tax_rank", "count", F.format_string("%.1f", "av_len").alias("av_len"), F.format_string("%.1f", F.coalesce("av_score", F.lit(0.0))).alias("av_score"), F.format_string("%.2f", "av_dust").alias("av_dust"),
         F.format_string("%.3f", F.coalesce("av_gc", F.lit(0.0))).alias("av_GC"), F.format_string("%.2f %d/%d", "c_to_t", "n_c1_t", "n_c1").alias("5'CtoT"), F.col("hscore").alias("Hscore"), "family",
     )
-    told.orderBy(F.desc("count"), "#tax_id").coalesce(1).write.csv(path, sep="\t", header=True, quote="")
+    # as text, since the CSV writer puts quotes around a name that begins with a sign for comments
+    head = df.sparkSession.createDataFrame([("\t".join(told.columns),)], "value string").select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("count"), F.lit(0).alias("tax"), "value")
+    lines = told.select(F.lit(1).alias("k"), "count", F.col("#tax_id").cast("int").alias("tax"), F.concat_ws("\t", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in told.columns)).alias("value"))
+    head.unionByName(lines).orderBy("k", F.desc("count"), "tax").select("value").coalesce(1).write.text(path)
 
 
 def rewritten(df: DataFrame, path: str) -> None:
-    """Replaces the table at path by df, which may read it: written beside it first, then renamed."""
+    """Replaces the table at path by df, which may read it: written beside it first, then renamed into its place.
+
+    The old table is put aside as path + ".old" before, and deleted last: whenever this is broken off, one of the two is whole.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(path + ".new")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at, new, old = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".new", ".old"))
     fs = at.getFileSystem(conf)
-    fs.delete(at, True)
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(path + ".new"), at):
-        raise OSError(f"can't rename {path}.new to {path}")
+    fs.delete(old, True)
+    for a, b in ((at, old), (new, at)):
+        if not fs.rename(a, b):
+            raise OSError(f"can't rename {a.toString()} to {b.toString()}")
+    fs.delete(old, True)
+
+
+def written(rows: DataFrame, path: str, command: str, *sources: str) -> None:
+    """A table of reads with what it comes from beside it, in a folder that readers pass over: the history of its sources,
+    this command and its date, and the table's statistics, which stored() gives back."""
+    spark = rows.sparkSession
+    rows.write.parquet(path)
+    history = [x for s in sources for x in about(spark, s)["history"]]
+    now = spark.sql("select cast(now() as string)").first()[0]
+    told = {"history": [*history, {"program": "readlake", "command": command, "sources": [*sources], "date": now}], "statistics": statistics(spark.read.parquet(path)).first().asDict()}
+    spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.text(path + "/_about")
+
+
+def about(spark: SparkSession, path: str) -> dict:
+    """history and statistics of a table, as written() has stored them; empty ones of a table that has none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path + "/_about")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return {"history": [], "statistics": {}}
+    return json.loads("".join(r[0] for r in spark.read.text(path + "/_about").collect()))
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The stored statistics of a table as one row; without any a row without columns that anyone asks for."""
+    told = about(spark, path)["statistics"] or {"nothing": None}
+    return spark.createDataFrame([tuple(told.values())], ", ".join(f"{k} long" for k in told))
 
 
 def derived(path: str, tag: str) -> str:

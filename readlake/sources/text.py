@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from readlake.functions.sequences import flag_number
 from readlake.operators.taxonomy import annotated
 from readlake.schemas import ALIGNMENTS
 
@@ -25,7 +26,7 @@ def accession_table(spark: SparkSession, path: str, strict: bool = False) -> Dat
     ok = (F.col("value") != "") & ~F.col("value").startswith(" ") & (F.col("accession") != "accession") & F.col("accession").rlike(r"^\S{1,63}$")
     ok &= F.col("version").startswith(F.concat("accession", F.lit("."))) & F.substring("version", F.length("accession") + 2, F.length("version")).rlike("^[0-9]+$")
     ok &= F.col("taxon").rlike("^[0-9]+$") & (F.size("f") == 3 if strict else F.size("f") <= 4)
-    return rows.where(F.coalesce(ok, F.lit(False))).select("ord", "accession", "version", F.col("taxon").cast("int").alias("taxid"))
+    return rows.where(F.coalesce(ok, F.lit(False))).select("ord", "accession", "version", F.col("taxon").try_cast("int").alias("taxid")).where("taxid is not null")
 
 
 def _dump(spark: SparkSession, path: str) -> DataFrame:
@@ -39,8 +40,8 @@ def taxonomy_dump(spark: SparkSession, folder: str, divisions: bool = False) ->
     in the place of numbers. The files may be in any order.
     """
     f = F.col("f")
-    nodes = _dump(spark, f"{folder}/nodes.dmp").select(f[0].cast("int").alias("taxid"), f[1].cast("int").alias("parent"), f[2].alias("rank"), f[4].alias("division"), f[6].cast("int").alias("genetic_code"), f[8].cast("int").alias("mito_code"))
-    names = _dump(spark, f"{folder}/names.dmp").where(f[3] == "scientific name").select(f[0].cast("int").alias("taxid"), F.when(f[2] != "", f[2]).otherwise(f[1]).alias("name"))
+    nodes = _dump(spark, f"{folder}/nodes.dmp").select(f[0].try_cast("int").alias("taxid"), f[1].try_cast("int").alias("parent"), f[2].alias("rank"), f[4].alias("division"), f[6].try_cast("int").alias("genetic_code"), f[8].try_cast("int").alias("mito_code")).where("taxid is not null")
+    names = _dump(spark, f"{folder}/names.dmp").where(f[3] == "scientific name").select(f[0].try_cast("int").alias("taxid"), F.when(f[2] != "", f[2]).otherwise(f[1]).alias("name"))
     out = nodes.join(names.groupBy("taxid").agg(F.min("name").alias("name")), "taxid", "left")
     if divisions:
         told = _dump(spark, f"{folder}/division.dmp").select(f[0].alias("division"), f[2].alias("division_name"))
@@ -48,19 +49,24 @@ def taxonomy_dump(spark: SparkSession, folder: str, divisions: bool = False) ->
     return annotated(out.select("taxid", "parent", "rank", "name", "division", "genetic_code", "mito_code"))
 
 
-def sam_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, kind, tags) of the header lines; a comment is the tag `text`."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), "value").where(F.col("value").rlike("^@(HD|SQ|RG|PG|CO)(\t|$)"))
+def header_tags(lines: DataFrame) -> DataFrame:
+    """(file, ord, kind, tags) of header lines (file, ord, value); a comment is the tag `text`; other lines go."""
+    lines = lines.where(F.col("value").rlike("^@(HD|SQ|RG|PG|CO)(\t|$)"))
     pairs = F.transform(F.slice(F.split("value", "\t"), F.lit(2), F.size(F.split("value", "\t"))), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.substring(x, F.lit(4), F.length(x)).alias("v")))
     kind = F.substring("value", 1, 3)
     tags = F.when(kind == "@CO", F.create_map(F.lit("text"), F.substring("value", F.lit(5), F.length("value")))).otherwise(F.map_from_entries(pairs))
     return lines.select("file", "ord", kind.alias("kind"), tags.alias("tags"))
 
 
+def sam_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ord, kind, tags) of the header lines of SAM text."""
+    return header_tags(spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), "value"))
+
+
 def query_length(cigar: Column) -> Column:
     """Letters of the read that a CIGAR string speaks of."""
     runs = F.regexp_extract_all(cigar, F.lit("([0-9]+)[MIS=X]"), F.lit(1))
-    return F.aggregate(runs, F.lit(0), lambda n, r: n + r.cast("int"))
+    return F.aggregate(runs, F.lit(0).cast("bigint"), lambda n, r: n + F.coalesce(r.try_cast("bigint"), F.lit(0)))
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
@@ -68,6 +74,7 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
 
     A reference that the headers don't name is none; without reference, place or CIGAR a read is unmapped (flag 4).
     A CIGAR of another length than the sequence is dropped with its place. Tags stay as text; CG takes the CIGAR's place.
+    Flags may be decimal, hexadecimal or octal; a field that should be a number and is none is null, as 0 for a flag.
     """
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), "value")
     known = sam_headers(spark, path).where("kind = '@SQ'").select(F.col("tags")["SN"].alias("sn")).distinct()
@@ -76,18 +83,32 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
     aux = F.map_from_entries(F.transform(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.substring(x, F.lit(6), F.length(x)).alias("v"))))
     star = lambda i: F.when(F.get("f", F.lit(i)) != "*", F.get("f", F.lit(i)))
     cols = rows.select(
-        F.get("f", F.lit(0)).alias("qname"), F.get("f", F.lit(1)).cast("int").alias("flag"), star(2).alias("rname"), F.get("f", F.lit(3)).cast("long").alias("pos"), F.get("f", F.lit(4)).cast("int").alias("mapq"),
-        star(5).alias("cigar"), star(6).alias("rnext"), F.get("f", F.lit(7)).cast("long").alias("pnext"), F.get("f", F.lit(8)).cast("int").alias("tlen"), star(9).alias("seq"), star(10).alias("qual"), aux.alias("aux"), "file", "ord",
+        F.get("f", F.lit(0)).alias("qname"), F.coalesce(flag_number(F.get("f", F.lit(1))), F.lit(0)).alias("flag"), star(2).alias("rname"), F.get("f", F.lit(3)).try_cast("long").alias("pos"), F.get("f", F.lit(4)).try_cast("int").alias("mapq"),
+        star(5).alias("cigar"), star(6).alias("rnext"), F.get("f", F.lit(7)).try_cast("long").alias("pnext"), F.get("f", F.lit(8)).try_cast("int").alias("tlen"), star(9).alias("seq"), star(10).alias("qual"), aux.alias("aux"), "file", "ord",
     )
     cols = cols.withColumn("cigar", F.coalesce(F.regexp_replace(F.col("aux")["CG"], "^I,", ""), "cigar"))
     cols = cols.join(known, F.col("rname") == F.col("sn"), "left").withColumn("rname", F.col("sn")).drop("sn")
     fits = F.col("seq").isNull() | (query_length(F.col("cigar")) == F.length("seq"))
-    mapped = F.col("rname").isNotNull() & (F.col("pos") > 0) & F.col("cigar").isNotNull() & fits
+    mapped = F.coalesce(F.col("rname").isNotNull() & (F.col("pos") > 0) & F.col("cigar").isNotNull() & fits, F.lit(False))
     cols = cols.withColumn("flag", F.when(mapped, F.col("flag")).otherwise(F.col("flag").bitwiseOR(4))).withColumn("cigar", F.when(mapped, F.col("cigar"))).withColumn("rname", F.when(F.col("pos") > 0, F.col("rname")))
     cols = cols.withColumn("score", F.col("aux")["AS"].try_cast("int")).withColumn("md", F.col("aux")["MD"])
     return cols.select(*(c.split()[0] for c in ALIGNMENTS.replace("map<string,string>", "map").split(", ")))
 
 
+def tag(aux: Column, name: str, kind: str) -> Column:
+    """A tag's value by its format: i as long, f as double, B as an array of doubles, A, Z and H as text; null where it isn't of the format."""
+    value = aux[name]
+    if kind == "i":
+        return value.try_cast("long")
+    if kind == "f":
+        return value.try_cast("double")
+    if kind == "B":
+        return F.when(value.rlike("^[cCsSiIf],"), F.transform(F.split(F.regexp_replace(value, "^[cCsSiIf],", ""), ","), lambda x: x.try_cast("double")))
+    if kind == "A":
+        return F.when(F.length(value) == 1, value)
+    return F.when(value.rlike("^([0-9A-Fa-f]{2})*$"), value) if kind == "H" else value
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(id, description, seq, qual) of FASTA: white space and signs other than letters and `-` go, case stays."""
     parts = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where("trim(value) <> ''")

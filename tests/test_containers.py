@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from readlake.operators import reads
 from readlake.schemas import READS
-from readlake.sources import bam, one
+from readlake.sources import bam, one, sinks, text
 from readlake.streaming.incremental import running_taxa
 
 ROWS = [("r1", "acgtn", "IIII!", -3, "..A.-", 12, 7, [(5, -3, 2), (7, -9, 1)]), ("r2", "nnacry", None, None, None, None, None, []), ("r3", "a", "S", 0, ".", 0, None, [(1, 0, 1)])]
@@ -54,7 +54,7 @@ def test_bam(spark, tmp_path):
         data += record(f"q{i:05d}", 16 * (i % 2), i % 2, i, [4 << 4, 1 << 4 | 4], "ACGTN", bytes([30, 31, 32, 33, 34]) if i % 3 else b"\xff" * 5, b"ASc" + struct.pack("<b", -(i % 100)) + b"MDZ4\0" + b"XBBS" + struct.pack("<iHH", 2, 7, i))
     path = tmp_path / "a.bam"
     path.write_bytes(bgzf(data, 5000))
-    spark.dataSource.register(bam.BamSource)
+    bam.register(spark)
     for split in (1 << 26, 7000, 2500):
         got = spark.read.format("bam").option("split", split).load(str(path)).orderBy("ord").collect()
         assert [r.qname for r in got] == [f"q{i:05d}" for i in range(n)]
@@ -62,6 +62,24 @@ def test_bam(spark, tmp_path):
     assert (r.flag, r.rname, r.pos, r.cigar, r.seq, r.qual, r.score, r.md, r.aux["XB"]) == (16, "r2", 8, "4M1S", "ACGTN", "?@ABC", -7, "4", "S,7,7") and got[3].qual is None
 
 
+def test_bam_to_sam_and_back(spark, tmp_path):
+    lines = ["@HD\tVN:1.6\tSO:queryname", *(f"@SQ\tSN:r{i}\tLN:{1000 + i}" for i in range(6000)), "@RG\tID:g\tSM:s", "@PG\tID:p", "@CO\tfree\ttext"]
+    rng = random.Random(8)
+    for i in range(400):
+        n = rng.choice([1, 7, 90])
+        lines.append(f"q{i:04d}\t{rng.choice([0, 16])}\tr{rng.randrange(6000)}\t{1 + rng.randrange(900)}\t{rng.randrange(60)}\t{n}M\t{rng.choice(['*', '=', 'r7'])}\t{rng.randrange(50)}\t{rng.randrange(-50, 50)}\t{''.join(rng.choices('ACGTN', k=n))}\t{''.join(rng.choices('!5IJ', k=n))}\tAS:i:{rng.choice([-300, -3, 0, 200, 70000])}\tMD:Z:{n}")
+    lines.append("q9999\t4\t*\t0\t0\t*\t*\t0\t0\tACG\t*")
+    (tmp_path / "a.sam").write_text("\n".join(lines) + "\n")
+    rows, heads = text.sam(spark, str(tmp_path / "a.sam")), text.sam_headers(spark, str(tmp_path / "a.sam"))
+    bam.write(rows.repartition(3, "qname"), str(tmp_path / "out"), sinks.header_lines(heads.orderBy("ord")))
+    parts = sorted(str(p) for p in (tmp_path / "out").glob("part-*.bam"))
+    assert len(parts) == 3 and not list((tmp_path / "out").glob("_attempt*"))
+    got = [r.value for p in parts for r in sinks.sam_lines(spark.read.format("bam").load(p)).collect()]
+    assert sorted(got) == sorted(r.value for r in sinks.sam_lines(rows).collect()) and len(got) == 401
+    for p in parts:
+        assert [r.value for r in sinks.header_lines(bam.headers(spark, p).orderBy("ord")).collect()] == [r.value for r in sinks.header_lines(heads.orderBy("ord")).collect()]
+
+
 def test_bam_of_long_records(tmp_path):
     rng = random.Random(3)
     data = b"BAM\1" + struct.pack("<ii", 0, 1) + struct.pack("<i", 3) + b"r1\0" + struct.pack("<i", 100)
@@ -72,7 +90,7 @@ def test_bam_of_long_records(tmp_path):
     path.write_bytes(bgzf(data, 20000))  # a record of 120,000 bases lies in ten blocks
     for split in (1 << 26, 100_000, 20_000):
         reader = bam.BamReader(str(path), split)
-        got = [r for part in reader.partitions() for r in reader.read(part)]
+        got = [r for part in reader.partitions() for r in reader.rows(part)]
         assert [(r[0], len(r[9])) for r in got] == [(f"q{i:05d}", n) for i, n in enumerate(sizes)]
 
 
