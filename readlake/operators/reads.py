@@ -83,20 +83,15 @@ def merged(*inputs: DataFrame) -> DataFrame:
 
 
 def _merge(rows: DataFrame) -> DataFrame:
-    """A read's arrays of taxa are short and of as many as there are tables, so they are added up within its row."""
-    def add(taxa):
-        ids = F.array_sort(F.array_distinct(F.transform(taxa, lambda t: t["taxid"])))
-        def total(i):
-            own = F.filter(taxa, lambda t: t["taxid"] == i)
-            return F.struct(i.alias("taxid"), F.array_max(F.transform(own, lambda t: t["best_score"])).alias("best_score"), F.aggregate(own, F.lit(0).cast("bigint"), lambda n, t: n + t["cnt"]).alias("cnt"))
-        return F.transform(ids, total).cast(TAX)
-
+    """Taxa are added up as rows before they are nested again, so a read that hits thousands costs no more than its rows."""
     one = rows.groupBy("name").agg(
         F.min_by(F.struct("seq", "qual"), "source").alias("first"), F.max("max_score").alias("max_score"),
         F.max_by("mline", F.when(F.col("max_score").isNotNull(), F.struct("max_score", -F.col("source")))).alias("mline"),
-        F.flatten(F.collect_list(F.coalesce("tax", F.array().cast(TAX)))).alias("taxa"),
     )
-    return one.select("name", F.col("first.seq").alias("seq"), F.col("first.qual").alias("qual"), "max_score", "mline", F.lit(None).cast("int").alias("dust"), F.lit(None).cast("int").alias("lca"), add(F.col("taxa")).alias("tax"))
+    summed = taxa(rows).groupBy("name", "taxid").agg(F.max("best_score").alias("best_score"), F.sum("cnt").alias("cnt"))
+    nested = summed.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("taxid", "best_score", "cnt"))).alias("tax"))
+    whole = one.join(nested, "name", "left")
+    return whole.select("name", F.col("first.seq").alias("seq"), F.col("first.qual").alias("qual"), "max_score", "mline", F.lit(None).cast("int").alias("dust"), F.lit(None).cast("int").alias("lca"), F.coalesce("tax", F.array().cast(TAX)).cast(TAX).alias("tax"))
 
 
 def taxa(reads: DataFrame) -> DataFrame:

@@ -64,6 +64,30 @@ def sequences(spark: SparkSession, sf: str) -> DataFrame:
     return seqs.crossJoin(F.broadcast(n)).select("name", "doc_id", "seq", F.array_join(at, "").alias("mline"), F.array_join(q, "").alias("qual"), (-(F.col("doc_id") % 50)).cast("int").alias("max_score"), F.when(F.col("doc_id") % 9 != 4, 1000 + F.col("doc_id") % F.col("n_su")).cast("int").alias("lca"))
 
 
+#: CIGAR, MD, and the match line of a forward and of a reverse read of eleven bases.
+LINES = (("11M", "11", "...........", "..........."), ("2S9M", "3A5", "--...A.....", ".....T...--"), ("4M1I6M", "0C9", "C...-......", "......-...G"), ("5M2D6M", "5^AC6", "...........", "..........."))
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """Alignments (schemas.ALIGNMENTS) of whole records: bases and qualities follow from the read's name, CIGAR and MD from LINES."""
+    def by_kind(i: int) -> str:
+        return "case l_suppkey % 4 " + " ".join(f"when {k} then '{line[i]}'" for k, line in enumerate(LINES)) + " end"
+
+    return table(spark, sf, "lineitem").selectExpr(
+        "concat('R', lpad(cast(l_orderkey as string), 9, '0')) as qname", "case when l_returnflag = 'R' then 16 else 0 end as flag",
+        "concat('SU', lpad(cast(l_suppkey as string), 6, '0'), '.1') as rname", "cast(1 + l_partkey as long) as pos", "cast(l_linenumber as int) as mapq", f"{by_kind(0)} as cigar",
+        "cast(null as string) as rnext", "0L as pnext", "0 as tlen", "concat(translate(lpad(cast(l_orderkey as string), 9, '0'), '0123456789', 'ACGTACGTAC'), 'AC') as seq",
+        "concat(translate(lpad(cast(l_orderkey as string), 9, '0'), '0123456789', 'ABCDEFGHIJ'), 'KL') as qual", "-cast(floor(l_quantity) as int) as score", f"{by_kind(1)} as md",
+        f"map('AS', cast(-cast(floor(l_quantity) as int) as string), 'MD', {by_kind(1)}, 'XB', concat('S,', l_linenumber, ',', l_suppkey % 7)) as aux",
+        "cast(l_suppkey % 3 as string) as file", "l_linenumber * 1000000000000L + l_partkey * 1000000L + l_suppkey as ord",
+    )
+
+
+SQL_RECORDS = f"""rec as (select 'R' || lpad(cast(l_orderkey as varchar), 9, '0') as qname, case when l_returnflag = 'R' then 16 else 0 end as flag,
+    'SU' || lpad(cast(l_suppkey as varchar), 6, '0') || '.1' as rname, cast(1 + l_partkey as bigint) as pos, cast(l_linenumber as integer) as mapq, l_suppkey % 4 as kind, k.cigar, k.md, k.forth, k.back,
+    translate(lpad(cast(l_orderkey as varchar), 9, '0'), '0123456789', 'ACGTACGTAC') || 'AC' as seq, translate(lpad(cast(l_orderkey as varchar), 9, '0'), '0123456789', 'ABCDEFGHIJ') || 'KL' as qual,
+    -cast(floor(l_quantity) as integer) as score, l_suppkey, l_linenumber, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey as ord, 1000 + l_suppkey as taxid
+  from lineitem join (values {', '.join(f"({i}, " + ', '.join(f"'{x}'" for x in line) + ')' for i, line in enumerate(LINES))}) k(kind, cigar, md, forth, back) on k.kind = l_suppkey % 4)"""
 SQL_NODES = """nodes as (
   select 1 as taxid, 1 as parent, 'no rank' as rank, 'root' as name
   union all select 10 + r_regionkey, 1, 'kingdom', r_name from region

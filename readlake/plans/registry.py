@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from readlake.functions import sequences as S
 from readlake.operators import accessions, reads, reports, sorting, taxonomy
 from readlake.plans import fixtures as X
+from readlake.schemas import TAX
+from readlake.session import cut, scratch
+from readlake.sources import bam, one, sinks, text
+from readlake.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -292,16 +296,196 @@ def fn15_identifiers(spark, sf):
     return reports.identifiers(X.sequences(spark, sf)).select(F.col("max_length").cast("bigint").alias("max_length"), "shared_prefix", "shared_prefix_length")
 
 
-@query("select count(*) as n_reads, cast(10 as bigint) as max_name_len, max(k) as max_tax from (select qname, count(*) as k from rt group by qname)", X.SQL_ALIGNMENTS)
+_WHOLE = "whole as (select qname as name, count(distinct taxid) as k, arg_min(seq, ord) as seq, arg_min(qual, ord) as qual, arg_min(flag, ord) as flag, max(score) as max_score, arg_min(case when flag = 16 then back else forth end, (-score, ord)) as mline, arg_min({'c': cigar, 'm': md}, (-score, ord)) as b from rec group by qname)"
+_STATISTICS = "count(*) as n_reads, cast(max(len(seq)) as bigint) as max_seq_len, cast(sum(len(seq)) as bigint) as tot_seq_len, cast(max(len(name)) as bigint) as max_name_len, max(k) as max_tax from whole"
+
+
+def _whole(spark, sf):
+    """Reads of whole records, their taxon a number of the supplier."""
+    return reads.build(X.records(spark, sf).withColumn("taxid", (1000 + F.substring("rname", 3, 6).cast("int"))))
+
+
+@query("select qname, cast(max(score) as integer) as max_score, arg_min(cigar, (-score, ord)) as cigar, arg_min(md, (-score, ord)) as md, arg_min(case when flag = 16 then back else forth end, (-score, ord)) as mline from rec group by qname", X.SQL_RECORDS)
+def agg2_match_lines_of_best_hits(spark, sf):
+    best = reads.best_hits(X.records(spark, sf), "cigar", "md", "flag")
+    return best.select("qname", "max_score", "cigar", "md", S.mline("cigar", "md", F.col("flag") == 16).alias("mline"))
+
+
+@query("""select w.name, case when flag = 16 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as seq, case when flag = 16 then reverse(qual) else qual end as qual, max_score, mline, t.tax from whole w
+  join (select qname, string_agg(taxid || ':' || s || ':' || c, ',' order by taxid) as tax from (select qname, taxid, max(score) as s, count(*) as c from rec group by all) group by qname) t on t.qname = w.name""", X.SQL_RECORDS, _WHOLE)
+def agg4_whole_reads_built(spark, sf):
+    return _whole(spark, sf).select("name", "seq", "qual", "max_score", "mline", _tax_text())
+
+
+@query(f"select {_STATISTICS}", X.SQL_RECORDS, _WHOLE)
 def agg13_read_statistics(spark, sf):
-    return reads.statistics(_built(spark, sf)).select("n_reads", "max_name_len", "max_tax")
+    return reads.statistics(_whole(spark, sf))
 
 
-@query("select 'max_name_len' as field, cast(10 as bigint) as actual, cast(11 as bigint) as stored, 'bad' as state union all select 'max_tax', max(k), null, 'missing' from (select qname, count(*) as k from rt group by qname) union all select 'n_reads', count(distinct qname), count(distinct qname), 'ok' from rt", X.SQL_ALIGNMENTS)
+@query("""select field, actual, case field when 'max_name_len' then actual + 1 when 'max_tax' then null else actual end as stored, case field when 'max_name_len' then 'bad' when 'max_tax' then 'missing' else 'ok' end as state
+  from (unpivot st on columns(*) into name field value actual)""", X.SQL_RECORDS, _WHOLE, f"st as (select {_STATISTICS})")
 def agg14_validation(spark, sf):
-    """Stored statistics of which one is right, one wrong and one missing."""
+    """Stored statistics of which one is wrong and one missing."""
     actual = agg13_read_statistics(spark, sf)
-    return reads.validated(actual, actual.select("n_reads", (F.col("max_name_len") + 1).alias("max_name_len")))
+    return reads.validated(actual, actual.withColumn("max_name_len", F.col("max_name_len") + 1).drop("max_tax"))
+
+
+@query("""select l as letter, count(*) as lines, cast(sum(strlen(t) + 1) as bigint) as bytes from (
+  select unnest(['S', 'I', 'Q', 'M']) as l, unnest(['S ' || len(seq) || ' ' || seq, 'I ' || len(name) || ' ' || name, 'Q ' || len(qual) || ' ' || qual, 'M ' || max_score || ' ' || len(mline) || ' ' || mline]) as t from whole
+  union all select 'T', 'T ' || taxid || ' ' || max(score) || ' ' || count(*) from rec group by qname, taxid) group by l""", X.SQL_RECORDS, _WHOLE)
+def agg14_bytes_by_letter(spark, sf):
+    return one.bytes_by_letter(_whole(spark, sf))
+
+
+@query("select count(*) as n_reads, count(*) as n_qualities, count(*) as n_match_lines, cast(min(max_score) as integer) as min_score, cast(max(max_score) as integer) as max_score from whole", X.SQL_RECORDS, _WHOLE)
+def agg17_what_reads_have(spark, sf):
+    return reports.of_reads(_whole(spark, sf))["READS"]
+
+
+def _put(lines: DataFrame, name: str) -> str:
+    path = scratch(lines.sparkSession, name)
+    lines.select("value").write.text(path)
+    return path
+
+
+@query("select 'PA' || lpad(cast(p_partkey as varchar), 6, '0') as accession, 'PA' || lpad(cast(p_partkey as varchar), 6, '0') || '.1' as version, cast(2000 + p_partkey // 7 as integer) as taxid from part where p_partkey % 11 <> 0 and p_partkey % 13 <> 0 and p_partkey % 17 <> 0")
+def src1_accession_table(spark, sf):
+    """A table written as text with a header, four columns in some lines, and lines that break a rule, read again."""
+    a = "concat('PA', lpad(cast(p_partkey as string), 6, '0'))"
+    lines = X.table(spark, sf, "part").selectExpr(f"""concat(if(p_partkey % 17 = 0, ' ', ''), {a}, '\t', if(p_partkey % 11 = 0, 'PB1', {a}), '.1\t', if(p_partkey % 13 = 0, 'x', cast(2000 + floor(p_partkey / 7) as string)), if(p_partkey % 5 = 0, '\t9', '')) as value""")
+    head = spark.sql("select 'accession\taccession.version\ttaxid' as value union all select ''")
+    return text.accession_table(spark, _put(lines.unionByName(head), "accessions")).select("accession", "version", "taxid")
+
+
+_SEEDED = "case n.name when 'AFRICA' then 'Metazoa' when 'AMERICA' then 'Embryophyta' when 'ASIA' then 'Fungi' when 'EUROPE' then 'Bacteria <bacteria>' when 'MIDDLE EAST' then 'Archaea' else n.name end"
+
+
+@query(f"""select n.taxid, n.parent, n.rank, {_SEEDED} as name, coalesce(f.family, 0) as family, g.grp from nodes n left join (select l.taxid, max_by(l.ancestor, l.depth) as family from lineage l join nodes x on x.taxid = l.ancestor where x.rank = 'family' group by all) f using (taxid)
+  left join (select l.taxid, case x.name when 'AFRICA' then 'animals' when 'AMERICA' then 'plants' when 'ASIA' then 'fungi' when 'EUROPE' then 'bacteria' else 'archaea' end as grp from lineage l join nodes x on x.taxid = l.ancestor where x.rank = 'kingdom') g using (taxid)""", X.SQL_LINEAGE)
+def src2_taxonomy_dump(spark, sf):
+    """A tree written as a dump, with synonyms and a unique name, read again."""
+    nodes, folder = X.nodes(spark, sf), scratch(spark, "dump")
+    seed = F.expr(_SEEDED.replace("n.name", "name"))
+    short = F.regexp_replace(seed, " <.*", "")
+    line = lambda *c: F.concat(F.concat_ws("\t|\t", *c), F.lit("\t|")).alias("value")
+    nodes.select(line(F.col("taxid").cast("string"), F.col("parent").cast("string"), "rank", F.lit(""), F.lit("1"), F.lit("1"), F.lit("11"), F.lit("1"), F.lit("4"), F.lit("1"), F.lit("1"), F.lit("0"), F.lit(""))).write.text(f"{folder}/nodes.dmp")
+    names = nodes.select(line(F.col("taxid").cast("string"), short, F.when(seed != short, seed).otherwise(F.lit("")), F.lit("scientific name")))
+    names.unionByName(nodes.select(line(F.col("taxid").cast("string"), F.lit("other"), F.lit(""), F.lit("synonym")))).write.text(f"{folder}/names.dmp")
+    return text.taxonomy_dump(spark, folder).select("taxid", "parent", "rank", "name", "family", "grp")
+
+
+def _record_headers(spark, sf):
+    return X.table(spark, sf, "supplier").select(F.concat(F.lit("@SQ\tSN:SU"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), F.lit(".1\tLN:"), (1000 + F.col("s_suppkey")).cast("string")).alias("value"))
+
+
+_RECORD = "qname, flag, rname, pos, mapq, cigar, seq, qual, score, md, 'S,' || l_linenumber || ',' || l_suppkey % 7 as xb"
+
+
+@query(f"select {_RECORD} from rec", X.SQL_RECORDS)
+def src4_sam_round_trip(spark, sf):
+    """Records written as SAM, flags in three notations, read again."""
+    lines = sinks.sam_lines(X.records(spark, sf))
+    for even, flag in (("02468", "0x10"), ("13", "020")):
+        lines = lines.select(F.regexp_replace("value", rf"^(R[0-9]*[{even}])\t16\t", f"$1\t{flag}\t").alias("value"))
+    rows = text.sam(spark, _put(_record_headers(spark, sf).unionByName(lines), "sam"))
+    return rows.select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual", "score", "md", F.col("aux")["XB"].alias("xb"))
+
+
+@query(f"select {_RECORD} from rec", X.SQL_RECORDS)
+def src6_bam_round_trip(spark, sf):
+    """Records written as BAM files, read again in small splits."""
+    path = scratch(spark, "bam")
+    bam.write(X.records(spark, sf).repartition(4, "qname"), path, _record_headers(spark, sf))
+    names = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*.bam").load(path).select("path").collect()]
+    rows = None
+    for name in names:
+        part = spark.read.format("bam").option("split", 1 << 18).load(name)
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual", "score", "md", F.col("aux")["XB"].alias("xb"))
+
+
+@query("select 'SU' || lpad(cast(s_suppkey as varchar), 6, '0') || '.1' as sn, cast(1000 + s_suppkey as varchar) as ln from supplier union all select null, null")
+def src5_bam_headers(spark, sf):
+    """A header written in a BAM file, with a comment."""
+    path = scratch(spark, "bam")
+    bam.write(X.records(spark, sf).limit(0).coalesce(1), path, _record_headers(spark, sf).unionByName(spark.sql("select '@CO\ta note' as value")))
+    return bam.headers(spark, path + "/part-00000.bam").select(F.col("tags")["SN"].alias("sn"), F.col("tags")["LN"].alias("ln"))
+
+
+@query("select name, seq, max_score, lca, edits as mline from seqs join (select doc_id, string_agg(edit, '' order by i) as edits from letters group by doc_id) using (doc_id)", X.SQL_SEQUENCES)
+def src8_container_round_trip(spark, sf):
+    """Reads written in the container's text form, read again."""
+    path = scratch(spark, "reads")
+    rows = X.sequences(spark, sf).withColumns({"dust": F.lit(None).cast("int"), "tax": F.array().cast(TAX)})
+    one.write_reads(rows.select("name", "seq", "qual", "max_score", "mline", "dust", "lca", "tax"), path)
+    return one.reads(spark, path).select("name", "seq", "max_score", "lca", "mline")
+
+
+@query("select prefix, start, count, taxid from iv", X.SQL_ACCESSIONS, _INTERVALS)
+def snk1_interval_table_round_trip(spark, sf):
+    path = scratch(spark, "intervals")
+    one.write_intervals(accessions.intervals(X.accession_taxa(spark, sf)), path)
+    return one.intervals(spark, path)
+
+
+@query("select name as id, 'of ' || doc_id as description, seq from seqs", X.SQL_SEQUENCES)
+def src11_fasta_round_trip(spark, sf):
+    rows = X.sequences(spark, sf).select(F.col("name").alias("id"), F.concat(F.lit("of "), F.col("doc_id").cast("string")).alias("description"), "seq")
+    return text.fasta(spark, _put(sinks.fasta_lines(rows), "fasta")).drop("qual")
+
+
+@query("select name as id, seq, string_agg_q as qual from seqs join (select doc_id, string_agg(chr(cast(33 + q as integer)), '' order by i) as string_agg_q from letters group by doc_id) using (doc_id)", X.SQL_SEQUENCES)
+def src12_fastq_round_trip(spark, sf):
+    rows = X.sequences(spark, sf).select(F.col("name").alias("id"), F.lit(None).cast("string").alias("description"), "seq", "qual")
+    return text.fastq(spark, _put(sinks.fastq_lines(rows), "fastq")).drop("description")
+
+
+@query("select n.taxid, n.parent, n.name from nodes n where taxid in (select ancestor from lineage where taxid in (1003, 1005)) union all select z, null, 'z' || z from (select cast(unnest(range(1, 1006)) as integer) as z) where z not in (select ancestor from lineage where taxid in (1003, 1005))", X.SQL_LINEAGE)
+def tre7_subset_of_the_tree(spark, sf):
+    """The part of the tree over two taxa, written, and read with names for the numbers between."""
+    nodes, path = X.nodes(spark, sf), scratch(spark, "subset")
+    taxonomy.write_subset(taxonomy.closure(nodes.where("taxid in (1003, 1005)"), nodes), path)
+    return taxonomy.read_subset(spark, path, gaps=True).select("taxid", "parent", "name")
+
+
+@query(f"select field, actual, actual as stored, 'ok' as state from (unpivot st on columns(*) into name field value actual)", X.SQL_RECORDS, _WHOLE, f"st as (select {_STATISTICS})")
+def snk2_stored_statistics(spark, sf):
+    """Reads written with their history and statistics, against which the table is held."""
+    path = scratch(spark, "table")
+    sinks.written(_whole(spark, sf), path, "build")
+    return reads.validated(reads.statistics(spark.read.parquet(path)), sinks.stored(spark, path))
+
+
+@query("select o_orderkey from orders where o_orderkey % 3 = 1")
+def snk3_table_rewritten(spark, sf):
+    path = scratch(spark, "table")
+    X.table(spark, sf, "orders").select("o_orderkey").write.parquet(path)
+    sinks.rewritten(spark.read.parquet(path).where("o_orderkey % 3 = 1"), path)
+    return spark.read.parquet(path)
+
+
+@query("select prefix, start, row_number() over (order by prefix, start, taxid) - 1 as place from iv", X.SQL_ACCESSIONS, _INTERVALS)
+def srt6_intervals_in_order(spark, sf):
+    rows = accessions.intervals(X.accession_taxa(spark, sf))
+    return sorting.with_row_ids(rows, "prefix", "start", "taxid", row_id="place").select("prefix", "start", "place")
+
+
+@query("select count(*) as n, cast(0 as bigint) as disordered from ali", X.SQL_ALIGNMENTS)
+def srt2_merged_inputs(spark, sf):
+    """Three sorted files merged; the order of what comes is looked at."""
+    rows = X.alignments(spark, sf)
+    whole = cut(sorting.by_name(*(sorting.by_name(rows.where(F.col("file") == i)) for i in range(3))))
+    return sorting.in_order(whole).select("disordered").crossJoin(whole.agg(F.count(F.lit(1)).alias("n"))).select("n", "disordered")
+
+
+@query("select * from rt", X.SQL_ALIGNMENTS)
+def agg1_read_taxa_of_a_stream(spark, sf):
+    """Alignments that arrive file by file, their taxa written batch by batch and summed up."""
+    source, path = scratch(spark, "arriving"), scratch(spark, "taxa")
+    X.read_taxa(spark, sf).select("qname", "taxid", "score").repartition(3).write.parquet(source)
+    stream = spark.readStream.schema("qname string, taxid int, score int").option("maxFilesPerTrigger", 1).parquet(source)
+    incremental.ingest(stream, path, scratch(spark, "ingest")).awaitTermination()
+    return incremental.current_taxa(spark, path)
 
 
 @query("select name, reverse(translate(seq, 'acgt', 'tgca')) as rc, reverse(string_agg_q) as q from seqs join (select doc_id, string_agg(chr(cast(33 + q as integer)), '' order by i) as string_agg_q from letters group by doc_id) using (doc_id)", X.SQL_SEQUENCES)
@@ -320,11 +504,12 @@ def prj4_exceptions_overlaid(spark, sf):
     return X.sequences(spark, sf).select("name", S.overlaid(F.translate("seq", "n", "a"), S.exceptions(F.col("seq"))).alias("seq"))
 
 
-@query("select 'p' || l_partkey as zp, cast(l_suppkey as varchar) as zs, count(*) as n from lineitem group by all")
+@query("select cast(score as bigint) as a, md as m, cast(null as double) as f, [cast(l_linenumber as double), cast(l_suppkey % 7 as double)] as b, count(*) as n from rec group by all", X.SQL_RECORDS)
 def prj6_tags(spark, sf):
-    """Tags of alignments taken out by name."""
-    rows = X.table(spark, sf, "lineitem").select(F.create_map(F.lit("ZP"), F.concat(F.lit("p"), "l_partkey"), F.lit("ZS"), F.col("l_suppkey").cast("string")).alias("aux"))
-    return rows.groupBy(F.col("aux")["ZP"].alias("zp"), F.col("aux")["ZS"].alias("zs")).agg(F.count(F.lit(1)).alias("n"))
+    """Tags of alignments by their formats: a whole number, a text, one that isn't there, an array."""
+    aux = F.col("aux")
+    rows = X.records(spark, sf).select(text.tag(aux, "AS", "i").alias("a"), text.tag(aux, "MD", "Z").alias("m"), text.tag(aux, "XF", "f").alias("f"), text.tag(aux, "XB", "B").alias("b"))
+    return rows.groupBy("a", "m", "f", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select name, string_agg(if(q >= 30, 'x', '.'), '' order by i) as q from letters group by name", X.SQL_SEQUENCES)

@@ -25,13 +25,13 @@ def session(app: str = "readlake", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df behind a reliable checkpoint, in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.
 
     A temporary folder serves a local session that names none, as in tests; on a cluster, whose machines share no such
     folder, that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -39,6 +39,17 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="readlake-checkpoint-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for what is written and read again."""
+    return f"{shared_folder(spark)}/{name}-{spark._jvm.java.util.UUID.randomUUID()}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df behind a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -80,7 +80,7 @@ def _headed(lines: DataFrame, head: str) -> DataFrame:
         first = True
         for b in batches:
             if first and b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([head])], schema=b.schema)
                 first = False
             yield b
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from readlake.operators.reads import taxa_of
 
@@ -10,6 +12,32 @@ from readlake.operators.reads import taxa_of
 def running_taxa(alignments: DataFrame, key: str = "qname") -> DataFrame:
     """(key, taxid, best_score, cnt) over all that a stream has brought; write it in update mode.
 
-    Counts add up and scores take the maximum, so each micro-batch needs only the state of the reads in it.
+    Counts add up and scores take the maximum, so each micro-batch needs only the state of the reads in it. The state
+    holds a row for every read and taxon for good: for streams without an end take windowed_taxa or ingest.
     """
     return taxa_of(alignments, key)
+
+
+def windowed_taxa(alignments: DataFrame, time: str, size: str, late: str, key: str = "qname") -> DataFrame:
+    """(start, key, taxid, best_score, cnt) of the alignments of each stretch of time; write it in append mode.
+
+    A stretch is given out, and its state let go, when the stream has come `late` past its end; what comes later still is left out.
+    """
+    rows = alignments.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), key, "taxid")
+    return rows.agg(F.max("score").alias("best_score"), F.count(F.lit(1)).alias("cnt")).select(F.col("w.start").alias("start"), key, "taxid", "best_score", "cnt")
+
+
+def ingest(alignments: DataFrame, path: str, checkpoint: str, key: str = "qname") -> StreamingQuery:
+    """Writes the taxa of each micro-batch beside each other under path, and holds no state at all.
+
+    A batch that is done again after a failure replaces what it has written. Ends when all that is there has been read.
+    """
+    def put(rows: DataFrame, i: int) -> None:
+        taxa_of(rows, key).write.mode("overwrite").parquet(f"{path}/batch={i}")
+
+    return alignments.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_taxa(spark: SparkSession, path: str, key: str = "qname") -> DataFrame:
+    """(key, taxid, best_score, cnt) of all that ingest() has written so far; equal to the taxa of all alignments at once."""
+    return spark.read.parquet(path).groupBy(key, "taxid").agg(F.max("best_score").alias("best_score"), F.sum("cnt").alias("cnt"))
