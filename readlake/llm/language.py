@@ -155,17 +155,18 @@ def train(docs: DataFrame, bound: int = 20_000, lang_col: str = "lang", text_col
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, lang_pred, score, spans) of every row; no shuffle.
+    """(id, *keep, lang_pred, score, known, spans) of every row; no shuffle.
 
     spans: array of (start, end, lang) in code points of the text. lang_pred is the language with
-    the most letters in spans, score the share of all letters that lie there in words that scored.
+    the most letters in spans, score the share of all letters that lie there in words that scored, known that of all
+    letters in words that scored, whatever the language.
     A text that is null or has no letter is `und` with score 0 and no spans; one in a script that no language
     was seen with gets a learned language with score 0. Repeated rows are labelled each.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("key"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
     kept = rows.columns[:-1]
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", lang_pred string, score double, spans array<struct<start int, end int, lang string>>"
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", lang_pred string, score double, known double, spans array<struct<start int, end int, lang string>>"
     shared = rows.sparkSession.sparkContext.broadcast((model.languages, model.table.astype(np.float32), model.allowed, model.penalty))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,18 +176,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             split = [WORD.findall(t.lower()) if t else [] for t in texts]
             m.learn(set(chain.from_iterable(split)))
             out = [labelled(m, t, w) for t, w in zip(texts, split, strict=True)]
-            lang, score, spans = zip(*out, strict=True)
+            lang, score, known, spans = zip(*out, strict=True)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], [*kept, "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64()), pa.array(spans, kind)], [*kept, "lang_pred", "score", "known", "spans"])
 
     out = rows.mapInArrow(lean(label), schema)
     return out.withColumnsRenamed({"key": id_col} | {f"keep_{i}": c for i, c in enumerate(keep)})
 
 
-def labelled(m: Model, text: str | None, words: list[str]) -> tuple[str, float, list[dict]]:
+def labelled(m: Model, text: str | None, words: list[str]) -> tuple[str, float, float, list[dict]]:
     spans, letters, scored = m.label(words) if words else ([], np.zeros(0), np.zeros(0))
     if not letters.any():
-        return "und", 0.0, []
+        return "und", 0.0, 0.0, []
     of = np.zeros(len(m.languages))
     sure = np.zeros(len(m.languages))
     for a, z, k in spans:
@@ -194,7 +195,7 @@ def labelled(m: Model, text: str | None, words: list[str]) -> tuple[str, float,
         sure[k] += (letters[a:z] * scored[a:z]).sum()
     best = int(of.argmax())
     places = places_of(text, words, {i for a, z, _ in spans for i in (a, z - 1)})
-    return m.languages[best], float(sure[best] / letters.sum()), [{"start": places[a][0], "end": places[z - 1][1], "lang": m.languages[k]} for a, z, k in spans]
+    return m.languages[best], float(sure[best] / letters.sum()), float(sure.sum() / letters.sum()), [{"start": places[a][0], "end": places[z - 1][1], "lang": m.languages[k]} for a, z, k in spans]
 
 
 def places_of(text: str, words: list[str], wanted: set[int]) -> dict[int, tuple[int, int]]:

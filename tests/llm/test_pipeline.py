@@ -1,5 +1,8 @@
 """The pipeline's stages on small tables: each does what its operator says to rows that its predecessor kept."""
 
+import collections
+import re
+
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
@@ -7,9 +10,39 @@ from readlake.llm import queries as Q
 from readlake.llm.pii import find
 
 
+def kept_of_groups(rows):
+    """Of rows (id, text) those that stay: one of each group of linked texts, any with the smallest id before others."""
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    sets, group = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]) and group[i] != group[j]:
+                x, y = sorted((group[i], group[j]))
+                group = [x if g == y else g for g in group]
+    first = {}
+    for i, g in enumerate(group):
+        first.setdefault(g, i)
+    return {rows[i] for i in first.values()}
+
+
+def test_near_duplicates_loses_no_text(spark, sf):
+    words = [f"w{i}" for i in range(40)]
+    long = " ".join(words)
+    rows = [(7, "one text of this id here"), (7, "and another one under it"), (3, long), (4, long + " more"), (4, long), (None, "without an id there is this"), (None, "without an id there is this"), (None, long), (8, None), (9, ""), (10, "x" * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("key"), F.lit(2).alias("id"), F.lit(3).alias("row"), F.lit("x").alias("first"), F.lit(0).alias("n_chars"))
+    after = P.near_duplicates(spark, docs, sf)
+    assert after.columns == docs.columns
+    got = collections.Counter((r.doc_id, r.text) for r in after.collect())
+    assert set(got.values()) == {1} and set(got) == kept_of_groups(rows) and {k for k, _ in got} == {None, 3, 7, 8, 9, 10}
+
+
 def test_stages(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
-    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, "12 34", "en", "s", 5), (None, "the words of that text", None, None, 22)], docs.schema))
+    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, "12 34", "en", "s", 5), (None, "the words of that text", None, None, 22), (9004, "these are long words " * 20_000, "en", "s", 420_000)], docs.schema))
     columns = docs.columns
     for i, (name, stage) in enumerate(P.STAGES):
         out = str(tmp_path / str(i))
@@ -20,10 +53,8 @@ def test_stages(spark, sf, tmp_path):
         if name == "language_id":
             assert after.where("doc_id in (9001, 9002, 9003)").count() == 0 and after.count() >= 0.9 * docs.count() - 3
         if name == "near_duplicates":
-            from readlake.llm.jaccard import join
-
-            ids = [r.doc_id for r in after.where("doc_id is not null").collect()]
-            assert len(ids) == len(set(ids)) and set(ids) == {r.component_id for r in join(docs).where("doc_id is not null").collect()}
+            kept = collections.Counter((r.doc_id, r.text) for r in after.collect())
+            assert set(kept.values()) == {1} and set(kept) == kept_of_groups([(r.doc_id, r.text) for r in docs.collect()])
         if name == "decontamination":
             from readlake.llm.decontaminate import search
 
