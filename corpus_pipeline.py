@@ -15,8 +15,8 @@ from readlake.llm import decontaminate, jaccard, language, pii
 from readlake.llm.derived import bpe_digests, language_model
 from readlake.llm.tables import checkpoint_dir, table
 
-#: A document stays if this share of its letters lies in words of the language that it is told to be in.
-LEAST_SCORE = 0.5
+#: A document stays if this share of its letters lies in words that one of the learned languages knows, in whatever mixture.
+LEAST_KNOWN = 0.5
 
 
 def _row(docs: DataFrame) -> DataFrame:
@@ -29,13 +29,13 @@ def _back(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language, or mostly in no one of the learned ones, go. Without any labelled text all with a letter stay."""
+    """Documents in no language, or mostly in none of the learned ones, go. Without any labelled text all with a letter stay."""
     try:
         model = language_model(docs)
     except ValueError:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language.predict(_row(docs), model, "row")
-    return _back(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs.columns)
+    return _back(found.where((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN)), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
