@@ -20,7 +20,7 @@ are compared pair by pair, its texts only where these leave it possible.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from readlake.llm.components import components
 from readlake.llm.ragged import LOWER, NOT_SPACE, U64, Texts, mix, powers, slices, stream, windows
-from readlake.llm.tables import cut, dealt, lean, partitions, sized, small_batches, stored, swept
+from readlake.llm.tables import cut, dealt, lean, partitions, sized, slots_of, small_batches, stored, swept
 
 WIDTH = 5
 #: Similar: NEED * |A and B| >= ... as integers, 100 * intersection >= 80 * union.
@@ -320,7 +320,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = rows.schema["id"].dataType.simpleString()
-    slots = partitions(docs.sparkSession)
+    slots = slots_of(docs.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -345,7 +345,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     measured = cut(rows.mapInArrow(lean(measure), f"id {key}, n long, sid long, hist binary, sketch binary"))
     # dealt by sid for good, so that no later join moves them again
-    sets = dealt(measured.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("sketch").alias("sketch")), slots, "sid")
+    sets = dealt(measured.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("sketch").alias("sketch")), partitions(docs.sparkSession), "sid")
     groups = stored(shared(rows.mapInArrow(lean(sign), "slot int, data binary"), slots, once=True).drop("last"))
     swept(docs.sparkSession)
 
@@ -404,8 +404,15 @@ def crossed(groups: DataFrame, parts: DataFrame, sets: DataFrame, nearest: int |
     """
     named = labelled(groups.where("m > 2"), parts)
     open_ = named.where("label <> leader_label").select("g").distinct()
+    rows = cut(named.join(open_, "g", "left_semi").select("first", "g", "owner", "label", "m"))
+    # signatures of one family differ in few of its sets: where all sets that share one with the first are fewer pairs, they are one group
+    members = rows.groupBy("first", "owner").agg(F.min("label").alias("label"))
+    dense = members.groupBy("first").agg(F.count(F.lit(1)).alias("d")).join(rows.groupBy("first").agg(F.sum("m").alias("work")), "first").where("d * d < work")
+    dense = sized(cut(dense.select("first", "d")))
+    whole = members.join(dense, "first").select("first", F.col("first").alias("g"), "owner", "label", F.col("d").alias("m"))
+    rows = rows.join(dense, "first", "left_anti").unionByName(whole)
     blocks = F.ceil(F.col("m") / BLOCK).cast("long")
-    rows = named.join(open_, "g", "left_semi").join(sets.select(F.col("sid").alias("owner"), "n", "hist"), "owner").withColumn("block", F.pmod(F.xxhash64("owner"), blocks))
+    rows = rows.join(sets.select(F.col("sid").alias("owner"), "n", "hist"), "owner").withColumn("block", F.pmod(F.xxhash64("owner"), blocks))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.select("first", "g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "owner", "label", "n", "hist")
 
@@ -506,39 +513,54 @@ def linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int) -> Da
             data = [values[edges[i] : edges[i + 1]].tobytes() for i in right]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(right, pa.int64())), pa.array(data, pa.binary())], ["sid", "elements"])
 
-    slots = partitions(rows.sparkSession)
-    held = dealt(texts.mapInArrow(lean(elements), "sid long, elements binary"), slots, "sid")
-    # sets that pairs connect lie together, in blocks, so that a set's elements go to each block once, however many pairs it has
-    named = sized(cut(components(pairs)))
-    at = F.pmod(F.xxhash64("sid"), F.col("blocks"))
-    named = named.select(F.col("node").alias("sid"), F.col("component").alias("c"))
+    held = dealt(texts.mapInArrow(lean(elements), "sid long, elements binary"), partitions(rows.sparkSession), "sid")
+    mixed = together(pairs, held.select("sid", F.col("elements").alias("data")))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in pairs_of_blocks(batches, lambda data: np.frombuffer(data, U64)):
+            out: list[tuple[int, int]] = []
+            for a, b, x, y in found:
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if OF * both >= NEED * (len(x) + len(y) - both):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return mixed.mapInArrow(lean(verify), "a long, b long").distinct()
+
+
+def together(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(c, i, j, a, b, data): what pairs (a, b) need of held (sid, data), dealt so that pairs_of_blocks can read it.
+
+    What pairs connect lies together, in blocks of about TOGETHER, so that data go to each block once, however many pairs name them.
+    """
+    slots = partitions(pairs.sparkSession)
+    named = sized(cut(components(pairs))).select(F.col("node").alias("sid"), F.col("component").alias("c"))
     blocks = named.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("blocks"))
-    placed = cut(named.join(sized(blocks), "c").select("sid", "c", at.alias("block")))
+    placed = cut(named.join(sized(blocks), "c").select("sid", "c", F.pmod(F.xxhash64("sid"), F.col("blocks")).alias("block")))
     told = pairs.join(sized(placed.select(F.col("sid").alias("a"), "c", F.col("block").alias("x"))), "a").join(sized(placed.select(F.col("sid").alias("b"), F.col("block").alias("y"))), "b")
     told = cut(told.select("c", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"))
     wanted = told.select("c", "i", "j", F.explode(F.array("a", "b")).alias("sid")).distinct()
-    nothing = F.lit(None)
-    whole = wanted.join(held, "sid").select("c", "i", "j", F.col("sid").alias("a"), nothing.cast("long").alias("b"), "elements")
-    mixed = whole.unionByName(told.select("c", "i", "j", "a", "b", nothing.cast("binary").alias("elements")))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known = None, {}
-        for t in batches:
-            found: list[tuple[int, int]] = []
-            for c, i, j, a, b, data in zip(*(t.column(n).to_pylist() for n in ("c", "i", "j", "a", "b", "elements")), strict=True):
-                if (c, i, j) != now:
-                    now, known = (c, i, j), {}
-                if data is not None:
-                    known[a] = np.frombuffer(data, U64)
-                elif a in known and b in known:
-                    x, y = known[a], known[b]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if OF * both >= NEED * (len(x) + len(y) - both):
-                        found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    mixed = mixed.repartition(slots, "c", "i", "j").sortWithinPartitions("c", "i", "j", F.col("elements").isNull())
-    return mixed.mapInArrow(lean(verify), "a long, b long").distinct()
+    whole = wanted.join(held, "sid").select("c", "i", "j", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "data")
+    mixed = whole.unionByName(told.select("c", "i", "j", "a", "b", F.lit(None).cast("binary").alias("data")))
+    return mixed.repartition(slots, "c", "i", "j").sortWithinPartitions("c", "i", "j", F.col("data").isNull(), "a")
+
+
+def pairs_of_blocks(batches: Iterator[pa.RecordBatch], read: Callable[[bytes], object]) -> Iterator[Iterator[tuple]]:
+    """Of each batch the pairs (a, b, read(data of a), read(data of b)); data are read once in a block."""
+    now, known = None, {}
+
+    def found(t: pa.RecordBatch) -> Iterator[tuple]:
+        nonlocal now, known
+        for c, i, j, a, b, data in zip(*(t.column(n).to_pylist() for n in ("c", "i", "j", "a", "b", "data")), strict=True):
+            if (c, i, j) != now:
+                now, known = (c, i, j), {}
+            if data is not None:
+                known[a] = read(data)
+            elif a in known and b in known:
+                yield a, b, known[a], known[b]
+
+    for t in batches:
+        yield found(t)
 
 
 #: Sets of a component of pairs that are compared together; of larger ones block with block.

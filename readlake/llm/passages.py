@@ -15,15 +15,16 @@ with the windows of all texts that share a signature with it: windows of equal c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.jaccard import NEED, OF, WIDTH, pack_keys, packed, shared, texts_of, unpack_keys
+from readlake.llm.jaccard import MOST_HELD, NEED, OF, WIDTH, pack_keys, packed, pairs_of_blocks, shared, texts_of, together, unpack_keys
 from readlake.llm.ragged import LOWER, NOT_SPACE, U64, Texts, mix, powers, slices, stream, windows
-from readlake.llm.tables import cut, dealt, lean, partitions, small_batches, stored, swept
+from readlake.llm.tables import cut, dealt, dropped, lean, partitions, slots_of, small_batches, stored, swept
 
 WORDS = 50
 #: Pairs of functions; passages are candidates where both of a pair agree.
@@ -154,6 +155,10 @@ class Sequence:
         #: how many values each passage has, repeated ones once
         self.n = self.distinct(np.ones(len(values), bool)) if same.any() else np.full(len(values) - t + 1, t)
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return _passage_hashes(self.values, self.t)
+
     def distinct(self, some: np.ndarray) -> np.ndarray:
         """How many values each passage has, repeated ones once, of those in some places."""
         n, at = len(self.first), np.flatnonzero(some)
@@ -192,16 +197,15 @@ def near(a: Sequence, b: Sequence, some: np.ndarray, most: int = 1 << 21) -> np.
     return np.concatenate(out) if out else rows[:0]
 
 
-def compared(a: np.ndarray, b: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the passages of a, and of b, that the other text repeats."""
+def compared(x: Sequence, y: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the passages of x, and of y, that the other text repeats."""
     nothing = np.zeros(0, np.int64)
-    if min(len(a), len(b)) < t:
+    if min(len(x.values), len(y.values)) < x.t:
         return nothing, nothing
-    x, y = Sequence(a, t), Sequence(b, t)
     may = [OF * u.distinct(np.subtract(*v.places(u.values)) < 0) >= NEED * u.n for u, v in ((x, y), (y, x))]
     if not may[0].any() or not may[1].any():
         return nothing, nothing
-    ha, hb = _passage_hashes(a, t), _passage_hashes(b, t)
+    ha, hb = x.hashes, y.hashes
     common = np.intersect1d(ha[may[0]], hb[may[1]])
     out = []
     for u, v, h, some in ((x, y, ha, may[0]), (y, x, hb, may[1])):
@@ -248,29 +252,39 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = rows.schema["id"].dataType.simpleString()
-    slots, t = partitions(docs.sparkSession), words - WIDTH + 1
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            _, _, n, tid = sequences(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(tid, mask=n < words)], ["id", "n", "tid"])
+    slots, t = slots_of(docs.sparkSession), words - WIDTH + 1
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def signed() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for b in slices(batches, "text"):
-                values, edges, _, tid = sequences(b.column(1))
-                _, _, doc, keys = signed_windows(values, edges, t)
-                yield keys, tid[doc]
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each row its id, words and text's number; then the task's signatures by slot."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        yield from packed(signed(), slots)
+        def packets() -> Iterator[pa.RecordBatch]:
+            for b in packed(iter(held), slots):
+                nothing = [pa.nulls(b.num_rows, k) for k in (kind, pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*nothing, *b.columns], names)
+            held.clear()
 
-    measured = cut(rows.mapInArrow(lean(measure), f"id {key}, n long, tid long"))
+        names, kind = ["id", "n", "tid", "slot", "data"], pa.null()
+        for b in slices(batches, "text"):
+            values, edges, n, tid = sequences(b.column(1))
+            kind = b.column(0).type
+            _, _, doc, keys = signed_windows(values, edges, t)
+            held.append((keys, tid[doc]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(tid, mask=n < words), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names)
+            if sum(len(k) for k, _ in held) >= MOST_HELD:
+                yield from packets()
+        if held:
+            yield from packets()
+
+    scanned = stored(rows.mapInArrow(lean(scan), f"id {key}, n long, tid long, slot int, data binary"))
+    measured = cut(scanned.where("slot is null").select("id", "n", "tid"))
     texts = measured.where("tid is not null").groupBy("tid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("many"))
-    groups = stored(shared(rows.mapInArrow(lean(sign), "slot int, data binary"), slots))
+    groups = stored(shared(scanned.where("slot is not null").select("slot", "data"), slots))
+    dropped(scanned)
     mine = groups.groupBy("owner").agg(F.collect_list("g").alias("gs"))  # as many as a text has windows at most
     wanted = cut(mine.join(texts, F.col("owner") == F.col("tid")).select("tid", "gs", "id"))
     # dealt by tid for good, so that no later join moves the sequences again but for those of the other text of a pair
-    held = dealt(texts_of(rows, wanted, "tid", "gs").mapInArrow(lean(fetcher(slots, t)), f"tid long, seq binary, runs {SPAN}").dropDuplicates(["tid"]), slots, "tid")
+    held = dealt(texts_of(rows, wanted, "tid", "gs").mapInArrow(lean(fetcher(slots, t)), f"tid long, seq binary, runs {SPAN}").dropDuplicates(["tid"]), partitions(docs.sparkSession), "tid")
 
     tested = cut(_leading_pairs(groups))
     swept(docs.sparkSession)
@@ -343,16 +357,14 @@ def _compared_pairs(pairs: DataFrame, held: DataFrame, t: int, words: int) -> Da
     """(tid, start, end): what the texts of each pair repeat of the other."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for found in pairs_of_blocks(batches, lambda data: Sequence(np.frombuffer(data, np.uint32), t)):
             tids, starts = [], []
-            for x, y, sx, sy in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("s_a"), b.column("s_b"), strict=True):
-                tids += [x, y]
-                starts += compared(*(np.frombuffer(s.as_buffer(), np.uint32) for s in (sx, sy)), t)
+            for a, b, x, y in found:
+                tids += [a, b]
+                starts += compared(x, y)
             yield _told(tids, starts, words)
 
-    for side in ("a", "b"):  # many texts may have one leader, so the other text comes last: by it they are compared
-        pairs = pairs.join(held.select(F.col("tid").alias(side), F.col("seq").alias(f"s_{side}")), side)
-    return pairs.mapInArrow(lean(compare), "tid long, start int, end int").distinct()
+    return together(pairs, held.select(F.col("tid").alias("sid"), F.col("seq").alias("data"))).mapInArrow(lean(compare), "tid long, start int, end int").distinct()
 
 
 def _exact_of_rest(held: DataFrame, spans: DataFrame, slots: int, t: int, words: int) -> DataFrame:
@@ -457,16 +469,30 @@ class Block:
         self.by_value = np.argsort(self.values, kind="stable")
         self.sorted, self.texts = self.values[self.by_value], set(self.tids.tolist())
 
+    def found(self, opens: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+        """(tid, starts) of those passages of opens (tid, at, values, starts) that are similar to one of another text.
+
+        First, for all opens at once: most passages of a popular signature have too much that no other text here has.
+        """
+        size = np.array([len(x[2]) for x in opens])
+        edges = np.r_[0, np.cumsum(size)]
+        values, of = np.concatenate([x[2] for x in opens]), np.repeat(np.arange(len(opens), dtype=U64), size)
+        own = np.array([x[0] in self.texts for x in opens])
+        n = np.maximum(self.t - size + np.bincount((np.unique(of << U64(32) | values) >> U64(32)).astype(np.int64), minlength=len(opens)), 1)
+        many = np.searchsorted(self.sorted, values, "right") - np.searchsorted(self.sorted, values)
+        common = np.r_[0, np.cumsum(many > np.repeat(own, size))]
+        which, start = np.repeat(np.arange(len(opens)), [len(x[3]) for x in opens]), np.concatenate([x[3] for x in opens])
+        first = edges[which] + start
+        may = (common[first + self.t] - common[first]) * (OF + NEED) >= NEED * (n[which] + self.least.min())
+        for i in np.unique(which[may]).tolist():
+            tid, at, a, _ = opens[i]
+            yield tid, at + self.similar(tid, a, start[may & (which == i)])
+
     def similar(self, tid: int, a: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Those of a's passages at starts that are similar to one of another text than tid."""
         t, own = self.t, Sequence(a, self.t)
         n = own.n
-        # what other parts have at all: most passages of a popular signature have too much of their own
         low, high = np.searchsorted(self.sorted, a), np.searchsorted(self.sorted, a, "right")
-        common = np.r_[0, np.cumsum(high - low > (tid in self.texts))]
-        starts = starts[(common[starts + t] - common[starts]) * (OF + NEED) >= NEED * (n[starts] + self.least.min())]
-        if not len(starts):
-            return starts
         new = np.r_[True, own.sorted[1:] != own.sorted[:-1]]
         low, many = low[own.order[new]], (high - low)[own.order[new]]
         held = self.by_value[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
@@ -496,18 +522,25 @@ def _near_of_rest(groups: DataFrame, tested: DataFrame, held: DataFrame, open_:
 
     Signatures of two texts that have been compared already tell nothing new and are left out.
     """
-    kind = "g long, tid long, at int, part binary, starts binary"
+    kind = "g long, blocks long, tid long, at int, part binary, starts binary"
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows of the signatures gs: the sequence that their passages cover, and which of them are open if starts are told."""
+        """Windows of the signatures gs: the sequence that their passages cover, and which of them are open if starts are told;
+        else windows of equal content once, as far as the task remembers."""
+        seen: set[tuple[int, bytes]] = set()
         for b in batches:
             values, edges = _sequences_of(b)
             first, last, doc, keys = signed_windows(values, edges, t)
             gs = b.column("gs")
             owner = np.repeat(np.arange(b.num_rows), np.diff(gs.offsets.to_numpy()))
-            asked = mix(gs.values[gs.offsets[0].as_py() : gs.offsets[len(gs)].as_py()].to_numpy().view(U64) ^ mix(owner))
+            wanted, blocks = (x.to_numpy() for x in gs.values.slice(gs.offsets[0].as_py(), len(owner)).flatten())
+            asked = mix(wanted.view(U64) ^ mix(owner))
+            order = np.argsort(asked)
+            asked, blocks = asked[order], blocks[order]
             g = number_of(keys, slots)
-            some = np.isin(mix(g ^ mix(doc)), asked)
+            mine = mix(g ^ mix(doc))
+            place = np.minimum(np.searchsorted(asked, mine), max(0, len(asked) - 1))
+            some = asked[place] == mine if len(asked) else np.zeros(len(mine), bool)
             if "starts" in b.schema.names:
                 at = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) + e for x, e in zip(b.column("starts"), edges, strict=False)])
                 a, z = np.searchsorted(at, first), np.searchsorted(at, last, "right")
@@ -518,36 +551,54 @@ def _near_of_rest(groups: DataFrame, tested: DataFrame, held: DataFrame, open_:
                 starts = [None] * len(some)
             first, end, doc = first[some], last[some] + t, doc[some]
             parts = [values[a:z].tobytes() for a, z in zip(first.tolist(), end.tolist(), strict=True)]
-            columns = [pa.array(g[some].view(np.int64)), b.column("tid").take(pa.array(doc)), pa.array((first - edges[doc]).astype(np.int32)), pa.array(parts, pa.binary()), pa.array(starts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["g", "tid", "at", "part", "starts"])
+            if "starts" not in b.schema.names:
+                new = []
+                for i, window in enumerate(zip(g[some].tolist(), parts, strict=True)):
+                    if window not in seen:
+                        seen.add(window)
+                        new.append(i)
+                if len(seen) > 1 << 18:
+                    seen.clear()
+                first, doc, some, parts, starts = first[new], doc[new], some[new], [parts[i] for i in new], [None] * len(new)
+            columns = [pa.array(g[some].view(np.int64)), pa.array(blocks[place[some]]), b.column("tid").take(pa.array(doc)), pa.array((first - edges[doc]).astype(np.int32)), pa.array(parts, pa.binary()), pa.array(starts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "blocks", "tid", "at", "part", "starts"])
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Open windows against the others of their block; rows are ordered by block, the others first."""
-        now, known = None, []
+        now, known, opens = None, {}, []
+
+        def found() -> Iterator[tuple[int, np.ndarray]]:
+            nonlocal known, opens
+            if opens and known:
+                known = known if isinstance(known, Block) else Block([(k, np.frombuffer(p, np.uint32)) for p, k in known.items()], t)
+                yield from known.found(opens)
+            opens = []
+
         for b in batches:
-            done: dict[int, list[np.ndarray]] = {}
+            done: list[tuple[int, np.ndarray]] = []
             for g, i, j, tid, at, part, starts in zip(*(b.column(c).to_pylist() for c in ("g", "i", "j", "tid", "at", "part", "starts")), strict=True):
                 if (g, i, j) != now:
-                    now, known = (g, i, j), []
+                    done += found()
+                    now, known = (g, i, j), {}
                 if starts is None:
-                    known.append((tid, np.frombuffer(part, np.uint32)))
-                elif known:
-                    known = known if isinstance(known, Block) else Block(known, t)
-                    done.setdefault(tid, []).append(at + known.similar(tid, np.frombuffer(part, np.uint32), np.frombuffer(starts, np.int32)))
-            yield _told(list(done), [np.unique(np.concatenate(x)) for x in done.values()], words)
+                    known.setdefault(part, tid)  # windows of equal content once
+                else:
+                    opens.append((tid, at, np.frombuffer(part, np.uint32), np.frombuffer(starts, np.int32)))
+                    if len(opens) >= 1024:
+                        done += found()
+            yield _told([k for k, _ in done], [x for _, x in done], words)
+        done = [*found()]
+        yield _told([k for k, _ in done], [x for _, x in done], words)
 
     told = tested.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("last"))
-    fresh = groups.where("m > 2").select("g", "owner").unionByName(groups.where("m = 2").join(told, ["first", "last"], "left_anti").select("g", "owner"))
-    gs = fresh.groupBy(F.col("owner").alias("tid")).agg(F.collect_list("g").alias("gs"))  # as many as a text has windows at most
+    fresh = groups.where("m > 2").select("g", "owner", "m").unionByName(groups.where("m = 2").join(told, ["first", "last"], "left_anti").select("g", "owner", "m"))
+    lists = F.collect_list(F.struct("g", F.ceil(F.col("m") / BLOCK).alias("blocks"))).alias("gs")  # as many as a text has windows at most
+    gs = fresh.groupBy(F.col("owner").alias("tid")).agg(lists)
     asked = cut(held.join(open_.join(gs, "tid"), "tid").select("tid", "seq", "starts", "gs").mapInArrow(lean(cut_out), kind))
-    gs = groups.join(asked.select("g").distinct(), "g", "left_semi").groupBy(F.col("owner").alias("tid")).agg(F.collect_list("g").alias("gs"))
+    gs = groups.join(asked.select("g").distinct(), "g", "left_semi").groupBy(F.col("owner").alias("tid")).agg(lists)
     known = held.join(gs, "tid").select("tid", "seq", "gs").mapInArrow(lean(cut_out), kind)
-    known = cut(known.groupBy("g", "part").agg(F.min("tid").alias("tid")))
-    swept(groups.sparkSession)
-    wide = known.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("wide"))
-    tall = asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("tall"))
-    sizes = cut(wide.join(tall, "g"))
-    right = known.join(sizes, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tall") - 1)).alias("i"), F.pmod(F.xxhash64("part"), "wide").alias("j"), "tid", F.lit(0).alias("at"), "part", F.lit(None).cast("binary").alias("starts"))
-    left = asked.join(sizes, "g").select("g", F.pmod(F.xxhash64("tid", "at"), "tall").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("j"), "tid", "at", "part", "starts")
-    blocks = right.unionByName(left).repartition(slots, "g", "i", "j").sortWithinPartitions("g", "i", "j", F.col("starts").isNotNull(), "tid", "at")
+    all_ = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = asked.select("g", F.pmod(F.xxhash64("tid", "at"), "blocks").alias("i"), all_.alias("j"), "tid", "at", "part", "starts")
+    right = known.select("g", all_.alias("i"), F.pmod(F.xxhash64("part"), "blocks").alias("j"), "tid", "at", "part", "starts")
+    blocks = right.unionByName(left).repartition(partitions(groups.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", F.col("starts").isNotNull(), "tid", "at")
     return blocks.mapInArrow(lean(hold), "tid long, start int, end int").distinct()

@@ -65,6 +65,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes what stored() has written for df, once nothing reads it any more: what was made of it is cut or stored itself."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if "/rows-" in folder:
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows of a few numbers each up to which a table may be sent to every task.
 MOST_SENT = 200_000
 
@@ -78,6 +87,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slots_of(spark: SparkSession) -> int:
+    """Into how many slots signatures are dealt: fewer than partitions, as an owner's name goes into each slot that it has a signature in."""
+    return max(8, -(-partitions(spark) // 4))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Fewer rows in an Arrow batch, as a text may be long; bounds what a Python worker holds at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")

@@ -291,7 +291,7 @@ def near_words(rows):
         told = set(range(n)) if len(ids) > 1 else set()
         for j, (b, _, _) in enumerate(texts):
             if i != j and len(sets[i] & sets[j]) > 20:
-                told.update(p + x for p in passages.compared(a, b, 46)[0].tolist() for x in range(50))
+                told.update(p + x for p in passages.compared(passages.Sequence(a, 46), passages.Sequence(b, 46))[0].tolist() for x in range(50))
         for k in ids:
             out[k] = told
     return out
@@ -377,7 +377,7 @@ def test_near_passages_of_two_texts():
         x, y = passages.Sequence(a, t), passages.Sequence(b, t)
         assert passages.near(x, y, some).tolist() == want and passages.near(x, y, some, 1).tolist() == want
         both = [i for i, p in enumerate(sets[0]) if any(100 * len(p & q) >= 80 * len(p | q) for q in sets[1])]
-        assert passages.compared(a, b, t)[0].tolist() == both
+        assert passages.compared(x, y)[0].tolist() == both
         found += len(want)
     assert found > 100
 
