@@ -64,6 +64,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *pii.counts(spans), F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.told(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op8_pii alone, which SQL can express."""
+    return op8_pii(spark, sf_dir).drop("spans", "n_spans")
+
+
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.repeats(table(spark, sf_dir, "documents"))
     size = F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["start"])
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": op6_quality_rules,
         "op7_token_counts": op7_token_counts,
         "op8_pii": op8_pii,
+        "pii_base": pii_base,
         "op9_passages": op9_passages,
         "op10_url_filter": op10_url_filter,
         "pipeline": pipeline,
@@ -135,6 +141,33 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from r group by conv_id"""
 
 
+#: Base kinds: expression, and which matches x count; d: their digits.
+_PII = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_bool_and([try_cast(p as hugeint) <= 255 for p in string_split(x, '.')])"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", "len({d}) between 16 and 19 and list_sum([case when (len({d}) - i) % 2 = 0 then ({d}[i])::int when ({d}[i])::int > 4 then 2 * ({d}[i])::int - 9 else 2 * ({d}[i])::int end for i in range(1, len({d}) + 1)]) % 10 = 0"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "len({d}) between 8 and 15"),
+}
+
+
+def _pii_sql() -> str:
+    """Matches and the pieces between them by expressions; a match starts where the pieces and matches before it end."""
+    t = "coalesce(text, '')"
+    hits = ", ".join(f"regexp_extract_all({t}, '{p}') as h_{k}, string_split_regex({t}, '{p}') as p_{k}" for k, (p, _) in _PII.items())
+    rows = " union all ".join(
+        f"select doc_id, row, {n} as o, '{k}' as kind, unnest(h_{k}) as x, unnest(list_transform(range(1, len(h_{k}) + 1), lambda i: list_sum(list_transform(p_{k}[1:i], lambda v: len(v))) + coalesce(list_sum(list_transform(h_{k}[1:i - 1], lambda v: len(v))), 0))) as a from t"
+        for n, k in enumerate(_PII)
+    )
+    right = " ".join(f"when '{k}' then {test.format(d=_DIGITS)}" for k, (_, test) in _PII.items())
+    counts = ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in _PII)
+    return rf"""with t as (select doc_id, row_number() over () as row, {hits} from documents), found as ({rows}),
+good as (select *, kind || ':' || a::bigint || ':' || (a + len(x))::bigint as s from found where case kind {right} end)
+select t.doc_id, {counts}, sha256(coalesce(string_agg(s, ',' order by o, a), '')) as base_sha256 from t left join good using (row) group by t.doc_id, row"""
+
+
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+
+
 def _op10_sql() -> str:
     """Rules by string functions, links by expressions, and as many rounds as leave less than the tolerance on its way."""
     fits = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}') then '{{{i}}}'" for i, (h, _, p) in enumerate(r.partition("/") for _, r in ordered_rules()))
@@ -168,4 +201,4 @@ def ordered_rules() -> list[tuple[str, str]]:
 
 def oracle_sql() -> dict[str, str]:
     """What SQL can express; the others rest on tokenizers, learned models or added spans and have brute-force tests."""
-    return {"op3_jaccard": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_chat": OP5_SQL, "op10_url_filter": _op10_sql()}
+    return {"op3_jaccard": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_chat": OP5_SQL, "pii_base": _pii_sql(), "op10_url_filter": _op10_sql()}

@@ -11,7 +11,7 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 
-from readlake.llm import byte_bpe, chat, decontaminate, jaccard, language, passages, pii, quality_rules, token_counts, url_filter
+from readlake.llm import byte_bpe, chat, components, decontaminate, jaccard, language, passages, pii, quality_rules, token_counts, url_filter
 from readlake.llm import queries as Q
 
 ODD = [None, "", " \n\t", "a" * 30000, "é" * 500, "word " * 3000, "One two THREE four five six", "one two three four five SIX", "日本語 текст 🎉 ​", "<|im_end|>", "\x00\x1c\x85 x"]
@@ -494,3 +494,46 @@ def test_distrust_runs_against_links(spark):
     df = spark.createDataFrame([(i, f"http://{u}", h) for i, (u, h) in enumerate(links)], "page_id long, url string, html string")
     got = {r.host: r.verdict for r in url_filter.judge(df, Q.URL_RULES, least=0.1).collect()}
     assert got == {"spam.net": "block", "farm.org": "block", "clean.org": "allow", "good.com": "allow"}
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_queries_equal_their_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations", "pages"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    cur = con.execute(Q.oracle_sql()[name])
+    columns = [d[0] for d in cur.description]
+    df = Q.queries()[name](spark, sf)
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(cur.fetchall(), key=str)
+
+
+def test_components_by_stars(spark, monkeypatch):
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    want = {x: root(x) for x in up}
+    df = spark.createDataFrame(links, "a long, b long")
+    assert {r.node: r.component for r in components.components(df).collect()} == want
+    monkeypatch.setattr(components, "MOST_SENT", 0)
+    assert {r.node: r.component for r in components.components(df).collect()} == want
+
+
+def test_chat_with_clashing_columns_from_a_table(spark, tmp_path):
+    rows = [(i % 7, i // 7, "assistant" if i % 2 else "user", f"text {i} " * 30) for i in range(70)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", *(F.lit("x").alias(c) for c in ("key", "piece", "formatted", "loss", "n_turns")))
+    at_once = {tuple(r) for r in chat.read_back(chat.format_conversations(df), in_order=True).collect()}
+    chat.format_conversations(df).repartition(5, F.rand(3)).write.parquet(str(tmp_path / "t"))
+    assert {tuple(r) for r in chat.read_back(spark.read.parquet(str(tmp_path / "t"))).collect()} == at_once and len(at_once) == 7
