@@ -156,9 +156,9 @@ def agg9_at_rank(spark, sf):
     return taxonomy.at_rank(X.nodes(spark, sf), "kingdom")
 
 
-@query("select n.* from nodes n where taxid in (select ancestor from lineage where taxid in (select taxid from rt where cnt > 2))", X.SQL_LINEAGE, X.SQL_ALIGNMENTS)
+@query("select n.* from nodes n where taxid in (select ancestor from lineage where taxid in (select taxid from rt))", X.SQL_LINEAGE, X.SQL_ALIGNMENTS)
 def agg15_used_taxa(spark, sf):
-    return taxonomy.closure(reads.taxa_of(X.read_taxa(spark, sf)).where("cnt > 2"), X.nodes(spark, sf))
+    return taxonomy.closure(reads.taxa_of(X.read_taxa(spark, sf)), X.nodes(spark, sf))
 
 
 @query("select taxid from lineage where ancestor = 12", X.SQL_LINEAGE)
@@ -273,20 +273,20 @@ def agg11_qualities(spark, sf):
     return reports.qualities(X.sequences(spark, sf))
 
 
-_BINS = "bins as (select cast(floor(10 * sqrt(n_chars)) as integer) as bin, count(*) as n, cast(sum(n_chars) as bigint) as tot_len from documents group by all)"
+_BINS = "bins as (select cast(floor(10 * sqrt(len(seq))) as integer) as bin, count(*) as n, cast(sum(len(seq)) as bigint) as tot_len from seqs group by all)"
 
 
-@query("select * from bins", _BINS)
+@query("select * from bins", X.SQL_SEQUENCES, _BINS)
 def agg11_length_bins(spark, sf):
-    return reports.length_bins(X.table(spark, sf, "documents"), F.col("n_chars"))
+    return reports.length_bins(X.sequences(spark, sf), F.length("seq"))
 
 
-@query("select cast(min(bin + 1) * (min(bin + 1) + 1) // 100 as bigint) as n50 from (select bin, sum(tot_len) over (order by bin) as s, sum(tot_len) over () as t from bins) where 2 * s >= t", _BINS)
+@query("select cast(min(bin + 1) * (min(bin + 1) + 1) // 100 as bigint) as n50 from (select bin, sum(tot_len) over (order by bin) as s, sum(tot_len) over () as t from bins) where 2 * s >= t", X.SQL_SEQUENCES, _BINS)
 def agg11_approximate_n50(spark, sf):
     return reports.approximate_n50(agg11_length_bins(spark, sf))
 
 
-@query("select cast(last * last // 100 as bigint) as len, cast(sum(n) as bigint) as n from (select n, cast(top - d * ((top - bin) // d) as bigint) as last from (select *, max(bin) over () as top, greatest(1, (max(bin) over () + 1) // 20) as d from bins)) group by all", _BINS)
+@query("select cast(last * last // 100 as bigint) as len, cast(sum(n) as bigint) as n from (select n, cast(top - d * ((top - bin) // d) as bigint) as last from (select *, max(bin) over () as top, greatest(1, (max(bin) over () + 1) // 20) as d from bins)) group by all", X.SQL_SEQUENCES, _BINS)
 def agg11_coarse_length_bins(spark, sf):
     return reports.coarse_bins(agg11_length_bins(spark, sf))
 
