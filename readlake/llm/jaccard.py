@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from readlake.llm.components import components
 from readlake.llm.ragged import LOWER, NOT_SPACE, U64, Texts, mix, powers, slices, stream, windows
-from readlake.llm.tables import cut, dealt, lean, partitions, sized, slots_of, small_batches, stored, swept
+from readlake.llm.tables import cut, dealt, lean, partitions, sized, small_batches, stored, swept
 
 WIDTH = 5
 #: Similar: NEED * |A and B| >= ... as integers, 100 * intersection >= 80 * union.
@@ -320,7 +320,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = rows.schema["id"].dataType.simpleString()
-    slots = slots_of(docs.sparkSession)
+    slots = partitions(docs.sparkSession)  # a slot's signatures are unpacked in one task: more of them would take too much of its memory
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
