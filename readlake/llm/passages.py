@@ -35,6 +35,8 @@ _INVERSE = pow(int(powers(2)[1]), -1, 1 << 64)
 BLOCK = 1 << 14
 #: A passage that is not yet confirmed: its hash, the text, where it starts.
 OPEN = np.dtype([("h", np.uint64), ("tid", np.int64), ("at", np.int32)])
+#: A window that a text shares: its group, and the first and the last start of its passages.
+WINDOW = np.dtype([("g", np.uint64), ("first", np.int32), ("last", np.int32)])
 SPAN = "array<struct<start int, end int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -48,11 +50,11 @@ def sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     values, at = windows(words, doc, WIDTH)
     edges = np.searchsorted(doc[at] if len(at) else at, np.arange(texts.n + 1))
     n = np.bincount(doc, minlength=texts.n)
-    place = (np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)).astype(U64)
-    tid = np.zeros(texts.n, U64)
+    first = np.cumsum(n) - n
+    place = (np.arange(len(words)) - np.repeat(first, n)).astype(U64)
     with np.errstate(over="ignore"):
-        np.add.at(tid, doc, mix(words ^ mix(place + _SEEDS[12])))
-        tid = mix(tid + n.astype(U64))
+        sums = np.r_[U64(0), np.cumsum(mix(words + place * _SEEDS[12]), dtype=U64)]
+        tid = mix(sums[first + n] - sums[first] + n.astype(U64))
     return (values >> U64(32)).astype(np.uint32), edges, n, tid.view(np.int64)
 
 
@@ -67,15 +69,19 @@ def sliding_minima(values: np.ndarray, t: int) -> np.ndarray:
     return np.minimum(behind[: n - t + 1], ahead[t - 1 : n])
 
 
-def compact_windows(values: np.ndarray, edges: np.ndarray, t: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def starts_of(edges: np.ndarray, t: int) -> np.ndarray:
+    """Where passages of t values start."""
+    n = np.maximum(np.diff(edges) - t + 1, 0)
+    return np.arange(int(n.sum())) + np.repeat(edges[:-1] - (np.cumsum(n) - n), n)
+
+
+def compact_windows(values: np.ndarray, start: np.ndarray, t: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(left, centre, right) of the Cartesian trees' nodes that span t values or more, and the values' hashes.
 
-    edges: the n + 1 offsets of texts. A node is the least value of all passages between left and right that hold the
+    start: where passages begin, as starts_of tells. A node is the least value of all passages between left and right that hold the
     centre; both ends are given as far as passages of t values reach. Of equal values the first is the least.
     """
-    h = mix(values.astype(U64) ^ seed)
-    n = np.maximum(np.diff(edges) - t + 1, 0)
-    start = np.arange(int(n.sum())) + np.repeat(edges[:-1] - (np.cumsum(n) - n), n)
+    h = mix(values ^ seed)
     if not len(start):
         return start, start, start, h
     least = sliding_minima(h & ~U64(0xFFFFFFFF) | np.arange(len(h), dtype=U64), t)[start]
@@ -86,11 +92,11 @@ def compact_windows(values: np.ndarray, edges: np.ndarray, t: int, seed: np.uint
 
 def signed_windows(values: np.ndarray, edges: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, last, text, signature) under each family: passages that start from first to last share the signature."""
-    out = []
+    out, start, values = [], starts_of(edges, t), values.astype(U64)
     for k in range(FAMILIES):
         of = []
         for seed in _SEEDS[2 * k : 2 * k + 2]:
-            left, centre, right, h = compact_windows(values, edges, t, seed)
+            left, centre, right, h = compact_windows(values, start, t, seed)
             of.append((left, right - t + 1, h[centre], centre))
         (f1, l1, v1, centre), (f2, l2, v2, _) = of
         if not len(f1):
@@ -147,8 +153,15 @@ class Sequence:
     def __init__(self, values: np.ndarray, t: int):
         self.values, self.t = values, t
         self.order = np.argsort(values, kind="stable")
-        self.sorted = values[self.order]
-        before, same = np.full(len(values), -1), self.sorted[1:] == self.sorted[:-1]
+        sorted_ = values[self.order]
+        new = np.r_[True, sorted_[1:] != sorted_[:-1]]
+        at = np.flatnonzero(new)
+        #: the different values in order, where each begins among the sorted ones, and how often it is there
+        self.uniq, self.begin, self.many = sorted_[at], at, np.diff(np.r_[at, len(values)])
+        #: for each place the number of its value
+        self.rank = np.empty(len(values), np.int64)
+        self.rank[self.order] = np.cumsum(new) - 1
+        before, same = np.full(len(values), -1), ~new[1:]
         before[self.order[1:][same]] = self.order[:-1][same]
         #: for each place the first of the passages in which nothing before it has its value; it is the last such passage's start itself
         self.first = np.maximum(before + 1, np.arange(len(values)) - t + 1)
@@ -164,18 +177,20 @@ class Sequence:
         n, at = len(self.first), np.flatnonzero(some)
         return np.cumsum(np.bincount(self.first[at], minlength=n + 1) - np.bincount(at + 1, minlength=n + 1))[: n - self.t + 1]
 
-    def places(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each of the values begins and ends in sorted."""
-        return np.searchsorted(self.sorted, values), np.searchsorted(self.sorted, values, "right")
+    def places(self, other: Sequence) -> tuple[np.ndarray, np.ndarray]:
+        """Where the value of each of other's places begins and ends in order."""
+        at = np.minimum(np.searchsorted(self.uniq, other.uniq), len(self.uniq) - 1)
+        low = np.where(self.uniq[at] == other.uniq, self.begin[at], -1)
+        return low[other.rank], np.where(low < 0, -1, low + self.many[at])[other.rank]
 
 
-def near(a: Sequence, b: Sequence, some: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+def near(a: Sequence, b: Sequence, some: np.ndarray, most: int = 1 << 21, places: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Those of a's passages that start at some places (a mask) and are similar to some passage of b.
 
     A value that both have, at a place of a and one of b, counts for a rectangle of passages of a and b: those in which
     both places are the value's first. So the sum of all rectangles is the intersection of each two passages.
     """
-    t, (low, high) = a.t, b.places(a.values)
+    t, (low, high) = a.t, places or b.places(a)
     rows, out = np.flatnonzero(some & (OF * a.distinct(high > low) >= NEED * a.n)), []  # else the similarity can't be reached
     for r in np.array_split(rows, -(-len(rows) // max(1, min(256, most // len(b.values) - t)))) if len(rows) else []:
         p = np.arange(r[0], r[-1] + t)
@@ -202,18 +217,19 @@ def compared(x: Sequence, y: Sequence) -> tuple[np.ndarray, np.ndarray]:
     nothing = np.zeros(0, np.int64)
     if min(len(x.values), len(y.values)) < x.t:
         return nothing, nothing
-    may = [OF * u.distinct(np.subtract(*v.places(u.values)) < 0) >= NEED * u.n for u, v in ((x, y), (y, x))]
+    at = [v.places(u) for u, v in ((x, y), (y, x))]
+    may = [OF * u.distinct(high > low) >= NEED * u.n for u, (low, high) in zip((x, y), at, strict=True)]
     if not may[0].any() or not may[1].any():
         return nothing, nothing
     ha, hb = x.hashes, y.hashes
     common = np.intersect1d(ha[may[0]], hb[may[1]])
     out = []
-    for u, v, h, some in ((x, y, ha, may[0]), (y, x, hb, may[1])):
+    for u, v, h, some, where in ((x, y, ha, may[0], at[0]), (y, x, hb, may[1], at[1])):
         exact = np.zeros(len(h), bool)
         if len(common):
             exact[some] = common[np.minimum(np.searchsorted(common, h[some]), len(common) - 1)] == h[some]
         left = some & ~exact
-        exact[near(u, v, left) if left.any() else nothing] = True
+        exact[near(u, v, left, places=where) if left.any() else nothing] = True
         out.append(np.flatnonzero(exact))
     return out[0], out[1]
 
@@ -284,7 +300,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     mine = groups.groupBy("owner").agg(F.collect_list("g").alias("gs"))  # as many as a text has windows at most
     wanted = cut(mine.join(texts, F.col("owner") == F.col("tid")).select("tid", "gs", "id"))
     # dealt by tid for good, so that no later join moves the sequences again but for those of the other text of a pair
-    held = dealt(texts_of(rows, wanted, "tid", "gs").mapInArrow(lean(fetcher(slots, t)), f"tid long, seq binary, runs {SPAN}").dropDuplicates(["tid"]), partitions(docs.sparkSession), "tid")
+    held = dealt(texts_of(rows, wanted, "tid", "gs").mapInArrow(lean(fetcher(slots, t)), f"tid long, seq binary, runs {SPAN}, wins binary").dropDuplicates(["tid"]), partitions(docs.sparkSession), "tid")
 
     tested = cut(_leading_pairs(groups))
     swept(docs.sparkSession)
@@ -294,7 +310,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     swept(docs.sparkSession)
     open_ = cut(held.join(_spans(found), "tid", "left").select("tid", "seq", "runs", "spans").mapInArrow(lean(opener(t, words)), "tid long, starts binary"))
     if not open_.isEmpty():
-        found.append(cut(_near_of_rest(groups, tested, held, open_, slots, t, words)))
+        found.append(cut(_near_of_rest(groups, tested, held, open_, t, words)))
 
     whole = texts.where("many > 1").select("tid", F.lit(0).alias("start"), F.col("n").cast("int").alias("end"))
     out = measured.join(_spans([*found, whole]).mapInArrow(lean(joined), f"tid long, passages {SPAN}"), "tid", "left")
@@ -324,7 +340,7 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fetcher(slots: int, t: int):
-    """Of texts (tid, gs, text): their sequences and where passages of the signatures gs start."""
+    """Of texts (tid, gs, text): their sequences, where passages of the signatures gs start, and the windows of these."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -332,16 +348,24 @@ def fetcher(slots: int, t: int):
             first, last, doc, keys = signed_windows(values, edges, t)
             gs = b.column(1)
             owner = np.repeat(np.arange(b.num_rows), np.diff(gs.offsets.to_numpy()))
-            held = mix(gs.values[gs.offsets[0].as_py() : gs.offsets[len(gs)].as_py()].to_numpy().view(U64) ^ mix(owner))
-            ok = np.isin(mix(number_of(keys, slots) ^ mix(doc)), held)
-            cover = np.cumsum(np.bincount(first[ok], minlength=len(values) + 1) - np.bincount(last[ok] + 1, minlength=len(values) + 1)) > 0
-            tids, seqs, runs = [], [], []
+            held = np.sort(mix(gs.values[gs.offsets[0].as_py() : gs.offsets[len(gs)].as_py()].to_numpy().view(U64) ^ mix(owner)))
+            g = number_of(keys, slots)
+            mine = mix(g ^ mix(doc))
+            ok = np.flatnonzero(held[np.minimum(np.searchsorted(held, mine), max(0, len(held) - 1))] == mine) if len(held) else np.zeros(0, np.int64)
+            ok = ok[np.argsort(doc[ok], kind="stable")]
+            first, last, doc = first[ok], last[ok], doc[ok]
+            cover = np.cumsum(np.bincount(first, minlength=len(values) + 1) - np.bincount(last + 1, minlength=len(values) + 1)) > 0
+            found = np.zeros(len(ok), WINDOW)
+            found["g"], found["first"], found["last"] = g[ok], first - edges[doc], last - edges[doc]
+            cuts = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            tids, seqs, runs, wins = [], [], [], []
             for i, (want, have) in enumerate(zip(b.column(0).to_pylist(), tid.tolist(), strict=True)):
                 if want == have:  # an id may come with several texts
                     tids.append(want)
                     seqs.append(values[edges[i] : edges[i + 1]].tobytes())
                     runs.append(_stretches(np.flatnonzero(cover[edges[i] : edges[i + 1]])))
-            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(seqs, pa.binary()), pa.array(runs, _SPANS)], ["tid", "seq", "runs"])
+                    wins.append(found[cuts[i] : cuts[i + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(seqs, pa.binary()), pa.array(runs, _SPANS), pa.array(wins, pa.binary())], ["tid", "seq", "runs", "wins"])
 
     return fetch
 
@@ -492,9 +516,8 @@ class Block:
         """Those of a's passages at starts that are similar to one of another text than tid."""
         t, own = self.t, Sequence(a, self.t)
         n = own.n
-        low, high = np.searchsorted(self.sorted, a), np.searchsorted(self.sorted, a, "right")
-        new = np.r_[True, own.sorted[1:] != own.sorted[:-1]]
-        low, many = low[own.order[new]], (high - low)[own.order[new]]
+        low = np.searchsorted(self.sorted, own.uniq)
+        many = np.searchsorted(self.sorted, own.uniq, "right") - low
         held = self.by_value[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
         both = np.bincount(self.part_of[held], minlength=len(self.parts))
         some = np.flatnonzero((both * (OF + NEED) >= NEED * (n[starts].min() + self.least)) & (self.tids != tid))
@@ -517,7 +540,7 @@ class Block:
         return np.flatnonzero(found)
 
 
-def _near_of_rest(groups: DataFrame, tested: DataFrame, held: DataFrame, open_: DataFrame, slots: int, t: int, words: int) -> DataFrame:
+def _near_of_rest(groups: DataFrame, tested: DataFrame, held: DataFrame, open_: DataFrame, t: int, words: int) -> DataFrame:
     """(tid, start, end) of open passages that are similar to one of another text in a window of the same signature.
 
     Signatures of two texts that have been compared already tell nothing new and are left out.
@@ -529,15 +552,19 @@ def _near_of_rest(groups: DataFrame, tested: DataFrame, held: DataFrame, open_:
         else windows of equal content once, as far as the task remembers."""
         seen: set[tuple[int, bytes]] = set()
         for b in batches:
+            if not b.num_rows:
+                continue
             values, edges = _sequences_of(b)
-            first, last, doc, keys = signed_windows(values, edges, t)
+            wins = [np.frombuffer(x.as_buffer(), WINDOW) for x in b.column("wins")]
+            doc = np.repeat(np.arange(b.num_rows), [len(x) for x in wins])
+            wins = np.concatenate([np.zeros(0, WINDOW), *wins])
+            g, first, last = wins["g"], wins["first"] + edges[doc], wins["last"] + edges[doc]
             gs = b.column("gs")
             owner = np.repeat(np.arange(b.num_rows), np.diff(gs.offsets.to_numpy()))
             wanted, blocks = (x.to_numpy() for x in gs.values.slice(gs.offsets[0].as_py(), len(owner)).flatten())
             asked = mix(wanted.view(U64) ^ mix(owner))
             order = np.argsort(asked)
             asked, blocks = asked[order], blocks[order]
-            g = number_of(keys, slots)
             mine = mix(g ^ mix(doc))
             place = np.minimum(np.searchsorted(asked, mine), max(0, len(asked) - 1))
             some = asked[place] == mine if len(asked) else np.zeros(len(mine), bool)
@@ -594,9 +621,9 @@ def _near_of_rest(groups: DataFrame, tested: DataFrame, held: DataFrame, open_:
     fresh = groups.where("m > 2").select("g", "owner", "m").unionByName(groups.where("m = 2").join(told, ["first", "last"], "left_anti").select("g", "owner", "m"))
     lists = F.collect_list(F.struct("g", F.ceil(F.col("m") / BLOCK).alias("blocks"))).alias("gs")  # as many as a text has windows at most
     gs = fresh.groupBy(F.col("owner").alias("tid")).agg(lists)
-    asked = cut(held.join(open_.join(gs, "tid"), "tid").select("tid", "seq", "starts", "gs").mapInArrow(lean(cut_out), kind))
+    asked = cut(held.join(open_.join(gs, "tid"), "tid").select("tid", "seq", "wins", "starts", "gs").mapInArrow(lean(cut_out), kind))
     gs = groups.join(asked.select("g").distinct(), "g", "left_semi").groupBy(F.col("owner").alias("tid")).agg(lists)
-    known = held.join(gs, "tid").select("tid", "seq", "gs").mapInArrow(lean(cut_out), kind)
+    known = held.join(gs, "tid").select("tid", "seq", "wins", "gs").mapInArrow(lean(cut_out), kind)
     all_ = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     left = asked.select("g", F.pmod(F.xxhash64("tid", "at"), "blocks").alias("i"), all_.alias("j"), "tid", "at", "part", "starts")
     right = known.select("g", all_.alias("i"), F.pmod(F.xxhash64("part"), "blocks").alias("j"), "tid", "at", "part", "starts")

@@ -34,21 +34,24 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 _BYTES = stream(1, 256)
 _BASE = int(stream(2, 1)[0]) | 1
-_powers = np.ones(1, U64)
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_tables = {_BASE: np.ones(1, U64), _INVERSE: np.ones(1, U64)}
+#: So many powers are kept.
+KEPT = (1 << 22) + (1 << 17)
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the polynomial's base."""
-    global _powers
-    if n > len(_powers):
-        grown = np.full(max(n, 2 * len(_powers), 1 << 12), _BASE, U64)
+def powers(n: int, base: int = _BASE) -> np.ndarray:
+    """The first n powers of the polynomial's base, or of its inverse."""
+    held = _tables[base]
+    if n > len(held):
+        grown = np.full(max(n, min(KEPT, 2 * len(held)), 1 << 12), base, U64)
         grown[0] = 1
         with np.errstate(over="ignore"):
             np.multiply.accumulate(grown, out=grown)
-        if n > 1 << 22:
+        if n > KEPT:
             return grown
-        _powers = grown
-    return _powers[:n]
+        held = _tables[base] = grown
+    return held[:n]
 
 
 class Texts:
@@ -89,11 +92,16 @@ class Texts:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span (start, end)."""
+    """A hash of the bytes of each span (start, end): of each byte's number times the base to its place in the span, the sum."""
     lengths = ends - starts
     out = np.zeros(len(starts), U64)
     if not len(starts):
         return out
+    if len(data) < KEPT:  # as differences of one running sum over all bytes, brought to the span's own powers
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(data) + 1, U64)
+            np.cumsum(_BYTES[data] * powers(len(data) + 1)[:-1], out=sums[1:])
+            return mix((sums[ends] - sums[starts]) * powers(len(data) + 1, _INVERSE)[starts] + lengths.astype(U64))
     firsts = np.cumsum(lengths) - lengths
     at = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
     full = lengths > 0

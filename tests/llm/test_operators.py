@@ -325,7 +325,7 @@ def test_compact_windows():
     rng, t = np.random.default_rng(7), 6
     sizes = [0, 3, 6, 40, 5, 90]
     values, edges = rng.integers(0, 50, sum(sizes)).astype(np.uint32), np.r_[0, np.cumsum(sizes)]
-    left, centre, right, h = passages.compact_windows(values, edges, t, np.uint64(5))
+    left, centre, right, h = passages.compact_windows(values.astype(np.uint64), passages.starts_of(edges, t), t, np.uint64(5))
     key = [(int(x) >> 32, i) for i, x in enumerate(h)]
     want = []
 
@@ -537,3 +537,18 @@ def test_chat_with_clashing_columns_from_a_table(spark, tmp_path):
     at_once = {tuple(r) for r in chat.read_back(chat.format_conversations(df), in_order=True).collect()}
     chat.format_conversations(df).repartition(5, F.rand(3)).write.parquet(str(tmp_path / "t"))
     assert {tuple(r) for r in chat.read_back(spark.read.parquet(str(tmp_path / "t"))).collect()} == at_once and len(at_once) == 7
+
+
+def test_span_hashes(monkeypatch):
+    import numpy as np
+
+    from readlake.llm import ragged
+
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    starts = np.sort(rng.integers(0, 4900, 300))
+    ends = starts + rng.integers(0, 90, 300)
+    at_once = ragged.span_hashes(data, starts, ends)
+    monkeypatch.setattr(ragged, "KEPT", 10)
+    assert (at_once == ragged.span_hashes(data, starts, ends)).all()
+    assert len({bytes(data[a:z]) for a, z in zip(starts, ends)}) == len(set(at_once.tolist()))
