@@ -222,7 +222,7 @@ def pack_keys(keys: np.ndarray, owners: np.ndarray, slots: int) -> Iterator[tupl
 
 
 #: Signatures that a task holds before it packs them: with many of a task together, packets stay few and large.
-MOST_HELD = 1 << 22
+MOST_HELD = 1 << 20
 
 
 def packed(found: Iterator[tuple[np.ndarray, np.ndarray]], slots: int) -> Iterator[pa.RecordBatch]:
@@ -426,7 +426,7 @@ def crossed(groups: DataFrame, parts: DataFrame, sets: DataFrame, nearest: int |
                 key = mix(b.column(0).to_numpy().view(U64) ^ mix(b.column(1).to_numpy().view(U64)))
                 key, at = np.unique(key, return_index=True)
                 new = ~np.isin(key, told, assume_unique=True)
-                told = np.union1d(told, key[new]) if len(told) < MOST_HELD else key[new]  # a pair told twice does no harm
+                told = np.union1d(told, key[new]) if len(told) < 1 << 22 else key[new]  # a pair told twice does no harm
                 yield b.take(pa.array(at[new]))
 
         for b in batches:
@@ -564,7 +564,7 @@ def pairs_of_blocks(batches: Iterator[pa.RecordBatch], read: Callable[[bytes], o
 
 
 #: Sets of a component of pairs that are compared together; of larger ones block with block.
-TOGETHER = 512
+TOGETHER = 256
 #: Bits, at most, of the filter that keeps texts nobody asks for out of a shuffle.
 FILTER_BITS = 1 << 25
 

@@ -480,6 +480,16 @@ def _sequences_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint32), *seqs]), np.r_[0, np.cumsum([len(x) for x in seqs], dtype=np.int64)]
 
 
+def few_windows(batches: Iterator[pa.RecordBatch], most: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each has about so many windows, a text of more alone: each is a stretch of its text when it leaves."""
+    for b in batches:
+        many = np.array([len(x.as_buffer()) // WINDOW.itemsize for x in b.column("wins")], np.int64)
+        part = (np.cumsum(many) - many) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows] if b.num_rows else []
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            yield b.slice(a, z - a)
+
+
 class Block:
     """Stretches of several texts, to find those that have passages similar to a given one's."""
 
@@ -551,9 +561,7 @@ def _near_of_rest(groups: DataFrame, tested: DataFrame, held: DataFrame, open_:
         """Windows of the signatures gs: the sequence that their passages cover, and which of them are open if starts are told;
         else windows of equal content once, as far as the task remembers."""
         seen: set[tuple[int, bytes]] = set()
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in few_windows(batches):
             values, edges = _sequences_of(b)
             wins = [np.frombuffer(x.as_buffer(), WINDOW) for x in b.column("wins")]
             doc = np.repeat(np.arange(b.num_rows), [len(x) for x in wins])
@@ -584,7 +592,7 @@ def _near_of_rest(groups: DataFrame, tested: DataFrame, held: DataFrame, open_:
                     if window not in seen:
                         seen.add(window)
                         new.append(i)
-                if len(seen) > 1 << 18:
+                if len(seen) > 1 << 16:
                     seen.clear()
                 first, doc, some, parts, starts = first[new], doc[new], some[new], [parts[i] for i in new], [None] * len(new)
             columns = [pa.array(g[some].view(np.int64)), pa.array(blocks[place[some]]), b.column("tid").take(pa.array(doc)), pa.array((first - edges[doc]).astype(np.int32)), pa.array(parts, pa.binary()), pa.array(starts, pa.binary())]
