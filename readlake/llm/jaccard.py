@@ -320,7 +320,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = rows.schema["id"].dataType.simpleString()
-    slots = partitions(docs.sparkSession)  # a slot's signatures are unpacked in one task: more of them would take too much of its memory
+    slots = 2 * partitions(docs.sparkSession)  # a slot's signatures are unpacked in one task, which bounds its memory
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
