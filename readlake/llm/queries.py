@@ -6,10 +6,10 @@ import math
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import chat, decontaminate, jaccard, language, passages, pii, quality_rules, token_counts, url_filter
+from readlake.llm import chat, decontaminate, jaccard, language, negatives, passages, pii, quality_rules, rule_ensemble, token_counts, url_filter, variants
 from readlake.llm.derived import bpe_digests, held_out, language_model, overlaps
 from readlake.llm.tables import table
 
@@ -84,6 +84,38 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Letters of a word, the least code points of one, and of how many occurrences, told by a hash, one loses a letter.
+LETTERS, LEAST_LETTERS, TYPED = "A-Za-z\u00C0-\u00FF", 6, 199
+
+
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = variants.runs(table(spark, sf_dir, "documents"), LETTERS, LEAST_LETTERS)
+    run = F.col("run")
+    low = found.select("id", F.when(run.rlike("[A-Z]"), F.translate(run, url_filter.UPPER, url_filter.LOWER)).otherwise(run).alias("run"))
+    h = F.crc32(F.concat("id", F.lit(":"), run).cast("binary"))
+    at = (h % F.length(run)).cast("int")
+    typed = low.select(F.when(h % TYPED == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run).alias("word"))
+    return variants.group(typed.where(F.length("word") >= LEAST_LETTERS))
+
+
+#: At this score or above a text is predicted to be good.
+GOOD_SCORE = 0.3
+
+
+def op12_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def held(doc_id: Column) -> Column:
+        return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+
+    seen = table(spark, sf_dir, "labels").where(~held(F.col("doc_id")))
+    found = rule_ensemble.score(table(spark, sf_dir, "documents"), seen)
+    return found.select("doc_id", F.coalesce(held(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # lies at the top of the repository
 
@@ -103,6 +135,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pii_base": pii_base,
         "op9_passages": op9_passages,
         "op10_url_filter": op10_url_filter,
+        "op11_variants": op11_variants,
+        "op12_rule_ensemble": op12_rule_ensemble,
+        "op13_hard_negatives": op13_hard_negatives,
         "pipeline": pipeline,
     }
 
@@ -195,10 +230,35 @@ judged as (select host, n * d > n * t + {url_filter.TOLERANCE} and n * d >= 1 as
 select page_id, host, path, rule, coalesce(verdict, case when bad then 'block' else 'allow' end) as verdict from p left join judged using (host)"""
 
 
+#: CRC-32 of a run behind its document's id, as the checksum is defined: a table of 256 entries, then byte after byte. All code points
+#: are below 256, so UTF-8 has one byte or two of each. Two words are near if deleting one place of both leaves the same, or of one the other.
+OP11_SQL = rf"""with recursive entries as (select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) order by i) as t from (select unnest(range(256)) as i)),
+runs as (select coalesce(doc_id::varchar, '') as id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{url_filter.UPPER}', '{url_filter.LOWER}') as run from documents),
+heads as (select id || ':' as head, run, count(*) as c from runs where len(run) >= {LEAST_LETTERS} group by all),
+bytes as (select *, flatten(list_transform(string_split(head || run, ''), lambda x: case when unicode(x) < 128 then [unicode(x)] else [195, unicode(x) - 64] end)) as b from heads),
+hashed as (select run, c, xor(list_reduce(b, lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), 4294967295::bigint), 4294967295::bigint) as h from bytes, entries),
+typed as (select case when h % {TYPED} = 0 then run[: h % len(run)] || run[h % len(run) + 2 :] else run end as word, c from hashed),
+known as (select word, sum(c)::bigint as n from typed where len(word) >= {LEAST_LETTERS} group by word having sum(c) >= 5),
+cuts as (select word, n, p, word[: p] || word[p + 2 :] as rest from (select *, unnest(range(len(word))) as p from known)),
+near as (select a.word, b.word as other, b.n from cuts a join cuts b on a.rest = b.rest and a.p = b.p and a.word <> b.word
+  union select a.word, b.word, b.n from cuts a join known b on a.rest = b.word union select b.word, a.word, a.n from cuts a join known b on a.rest = b.word),
+best as (select word, count(*) as n_near, arg_min(other, (-n, other)) as form, max(n) as top from near group by word),
+formed as (select known.word, known.n, coalesce(n_near, 0) as n_near, case when top >= 5 * known.n then form end as form, case when top >= 5 * known.n then top end as form_n from known left join best using (word)),
+way as (select word, word as root from formed union all select way.word, formed.form from way join formed on formed.word = way.root where formed.form is not null)
+select f.word, f.form, w.root, f.n, f.n_near, f.form_n from formed f join (select way.word, way.root from way join formed on formed.word = way.root where formed.form is null) w on w.word = f.word"""
+
+OP13_SQL = """with e as (select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.row, a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score from e a join e b on a.vec_id % 100 = 0 and (a.label <> b.label or a.vec_id <> b.vec_id)),
+p as (select row, anchor_id, id as positive_id, score as positive_score, row_number() over (partition by row order by score desc, id) as k from s where same qualify k <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.row, k order by score desc, id) as integer) as rank, id as negative_id, positive_score, score as negative_score
+from p join s on s.row = p.row and not same and 80 * positive_score <= 100 * score and score <= positive_score qualify rank <= 5"""
+
+
 def ordered_rules() -> list[tuple[str, str]]:
     return sorted(URL_RULES, key=lambda x: -len(x[1]))
 
 
 def oracle_sql() -> dict[str, str]:
     """What SQL can express; the others rest on tokenizers, learned models or added spans and have brute-force tests."""
-    return {"op3_jaccard": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_chat": OP5_SQL, "pii_base": _pii_sql(), "op10_url_filter": _op10_sql()}
+    return {"op3_jaccard": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_chat": OP5_SQL, "pii_base": _pii_sql(), "op10_url_filter": _op10_sql(), "op11_variants": OP11_SQL, "op13_hard_negatives": OP13_SQL}

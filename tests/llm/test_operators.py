@@ -501,7 +501,7 @@ def test_queries_equal_their_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "pages"):
+    for t in ("documents", "benchmark", "conversations", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     cur = con.execute(Q.oracle_sql()[name])
     columns = [d[0] for d in cur.description]
