@@ -5,11 +5,15 @@ value ranges and digit counts confirm them; words nearby adjust the score. A spa
 from the lengths of the matches and of the pieces between them, so nothing leaves the JVM.
 
 The expressions are written so that they take linear time: runs are possessive, and a match
-starts inside a run of its own characters only where the match before has ended.
+starts inside a run of its own characters only where the match before has ended. Places are running sums by doubling, and
+stretches of a text are taken from pieces of a fixed size, so a text of very many matches takes hardly more than their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,31 +107,53 @@ def find(docs: DataFrame, text_col: str = "text", into: str = "pii_spans") -> Da
     t, none = F.col("_pii_text"), F.array().cast("array<string>")
     # one projection after another, each reading what the one before has worked out
     df = df.select("*", *(F.when(may(t), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none).alias(f"_hits_{k}") for k, (p, may, _) in _RULES.items()))
-    df = df.select("*", *(F.when(F.size(f"_hits_{k}") > 0, F.transform(F.split(t, p, -1), F.length)).otherwise(F.array().cast("array<int>")).alias(f"_gaps_{k}") for k, (p, _, _) in _RULES.items()))
+    some = reduce(lambda a, b: a | b, (F.size(f"_hits_{k}") > 0 for k in _RULES))
+    df = df.select("*", F.when(some, chunks(t)).otherwise(none).alias("_chunks"), *(F.when(F.size(f"_hits_{k}") > 0, F.transform(F.split(t, p, -1), F.length)).otherwise(F.array().cast("array<int>")).alias(f"_gaps_{k}") for k, (p, _, _) in _RULES.items()))
     df = df.select("*", *(_placed(F.col(f"_hits_{k}"), F.col(f"_gaps_{k}")).alias(f"_at_{k}") for k in _RULES))
-    found = {kind: _scored(kind, F.col(f"_at_{k}"), t) for k, (_, _, kinds) in _RULES.items() for kind in kinds}
+    found = {kind: _scored(kind, F.col(f"_at_{k}"), F.col("_chunks")) for k, (_, _, kinds) in _RULES.items() for kind in kinds}
     return df.select("_pii_row", F.concat(*(found[k] for k in KINDS)).alias(into)).select(*(F.col(f"_pii_row.`{c}`") for c in own), into)
 
 
-def _placed(hits: Column, gaps: Column) -> Column:
-    """(match, start) of each match: the pieces before it and the matches before it lie in front."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+#: Code points of a piece that a text is cut into, so that a stretch of it is read without what lies before.
+CHUNK = 512
+
+
+def chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def between(cut: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end, end exclusive, of a text in chunks."""
+    first = F.floor(start / CHUNK).cast("int")
+    some = F.array_join(F.slice(cut, first + 1, F.greatest(F.floor(end / CHUNK).cast("int") - first + 1, F.lit(0))), "")
+    return F.substring(some, start - first * CHUNK + 1, end - start)
+
+
+def scanned(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Of each place of an array of numbers the sum (by add) of all up to it. Each round doubles how far a place sees, so the
+    work is the array's length times its logarithm, where a fold that appends copies what it has at each place."""
+    def step(acc: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= back, add(x, F.get(acc, i - back))).otherwise(x))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.get(gaps, i)
-        return F.struct((start + F.length(F.get(hits, i))).alias("at"), F.array_append(acc["starts"], start).alias("starts"))
+    rounds = F.sequence(F.lit(0), F.length(F.bin(F.size(values).cast("long"))))
+    return F.aggregate(rounds, values, step)
 
-    starts = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), empty, step, lambda acc: acc["starts"])
+
+def _placed(hits: Column, gaps: Column) -> Column:
+    """(match, start) of each match: the pieces before it and the matches before it lie in front."""
+    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: g + F.length(h))
+    starts = F.zip_with(scanned(both, lambda x, y: x + y), hits, lambda end, h: end - F.length(h))
     return F.when(F.size(hits) > 0, F.arrays_zip(hits.alias("match"), starts.alias("start"))).otherwise(F.array().cast("array<struct<match:string,start:int>>"))
 
 
-def _scored(kind: str, placed: Column, text: Column) -> Column:
+def _scored(kind: str, placed: Column, cut: Column) -> Column:
     plain, near = SCORES[kind]
 
     def span(x: Column) -> Column:
         start = x["start"]
         end = start + F.length(x["match"])
-        around = F.substring(text, F.greatest(start - NEAR + 1, F.lit(1)), end + NEAR - F.greatest(start - NEAR, F.lit(0)))
+        around = between(cut, F.greatest(start - NEAR, F.lit(0)), end + NEAR)
         if kind == "secret":  # its expression asks for a key word right before it, which may stand behind a letter or `_`
             return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.lit(near).alias("score"))
         return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.when(around.rlike(rf"(?i)\b(?:{CONTEXT[kind]})"), near).otherwise(plain).alias("score"))
@@ -148,28 +174,19 @@ def of_kind(spans: Column, *kinds: str) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span as its kind in angle brackets; spans that overlap become one, of the first's kind."""
-    kind = "array<struct<before:int,start:int,end:int,kind:string>>"
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
-
-    def merge(acc: Column, s: Column) -> Column:
-        """Spans that begin inside the one before only make it longer: the text between goes on after it."""
-        one = F.struct(acc["at"].alias("before"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        inside = (s["start"] < acc["at"]) & (F.size(acc["found"]) > 0)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["found"]).otherwise(F.array_append(acc["found"], one)).alias("found"))
 
-    def told(acc: Column) -> Column:
-        pieces = F.transform(acc["found"], lambda s: F.concat(_between(text, s["before"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return F.concat(F.array_join(pieces, ""), _between(text, acc["at"], F.length(text)))
+    def put(cut: Column, held: Column) -> Column:
+        """A span that begins inside the ones before only makes them longer: the text between goes on after them."""
+        told = F.filter(F.arrays_zip(held["spans"].alias("s"), held["ends"].alias("z"), F.concat(F.array(F.lit(0)), held["ends"]).alias("a")), lambda x: x["s"].isNotNull() & (x["s"]["start"] >= x["a"]))
+        pieces = F.transform(told, lambda x: F.concat(between(cut, x["a"], x["s"]["start"]), F.lit("<"), F.upper(x["s"]["kind"]), F.lit(">")))
+        return F.concat(F.array_join(pieces, ""), between(cut, F.get(held["ends"], F.size(held["ends"]) - 1), F.length(text)))
 
-    return F.when(F.size(spans) > 0, F.aggregate(order, empty, merge, told)).otherwise(text)
-
-
-def _between(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, start + 1, end - start)
+    ends = scanned(F.transform(order, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    # worked out once, as the only element of arrays that are transformed
+    whole = F.transform(F.array(F.struct(order.alias("spans"), ends.alias("ends"))), lambda held: F.get(F.transform(F.array(chunks(text)), lambda cut: put(cut, held)), F.lit(0)))
+    return F.when(F.size(spans) > 0, F.get(whole, F.lit(0))).otherwise(text)
 
 
 def counts(spans: Column) -> list[Column]:
     return [F.size(of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in BASE]
-
-
