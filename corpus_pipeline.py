@@ -8,24 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlake.llm import decontaminate, jaccard, language, pii
 from readlake.llm.derived import bpe_digests, language_model
 from readlake.llm.tables import checkpoint_dir, table
 
-#: A document stays if this share of its letters lies in words that one of the learned languages knows, in whatever mixture.
-LEAST_KNOWN = 0.5
+#: A document goes if less than this share of its letters lies in words that look like one of the learned languages, in whatever
+#: mixture, and at least so many letters lie in others: a few odd words are no evidence.
+LEAST_KNOWN, MOST_ODD = 0.5, 60
 
 
-def _row(docs: DataFrame) -> DataFrame:
-    """Each row as one value beside its text, so that operators carry it along whole."""
-    return docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"), "text")
+def _row(docs: DataFrame, *beside: Column) -> DataFrame:
+    """Each row as one value beside its text, so that operators carry it along whole and each text once."""
+    return docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text")).alias("row"), "text", *beside)
 
 
 def _back(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)))
+    return rows.select(*(F.col("text" if c == "text" else f"row.c{i}").alias(c) for i, c in enumerate(columns)))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +35,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         model = language_model(docs)
     except ValueError:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language.predict(_row(docs), model, "row")
-    return _back(found.where((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN)), docs.columns)
+    found = language.predict(_row(docs), model, "row", with_text=True)
+    odd = (F.col("known") < LEAST_KNOWN) & ((1 - F.col("known")) * F.col("letters") >= MOST_ODD)
+    return _back(found.where((F.col("lang_pred") != "und") & ~odd), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents one stays: that with the smallest id, any id before none, of several texts under it the
     one with the smallest hash. Rows are told apart by id and text, so texts that only share an id all stay."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"), key.alias("key"))
+    rows = _row(docs, key.alias("key"))
     first = jaccard.join(docs.select(key.alias("key"), "text"), id_col="key").where("key = component_id").select(F.col("key").alias("first")).distinct()
     kept = rows.join(first, F.col("key") == F.col("first"), "left_semi").dropDuplicates(["key"])
     return _back(kept, docs.columns)
@@ -50,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.search(_row(docs), table(spark, sf_dir, "benchmark"), id_col="row")
+    found = decontaminate.search(_row(docs), table(spark, sf_dir, "benchmark"), id_col="row", with_text=True)
     return _back(found.where(F.size("runs") == 0), docs.columns)
 
 

@@ -7,8 +7,8 @@ end; where it stands at an end, the patterns with that last block are compared w
 texts of a batch are searched in step with each other.
 
 The patterns are a stated query set. A task holds at most `most` of them; more are searched for
-block after block, each over all rows, and each block adds to what the blocks before have found. A pattern counts once for
-each of its items.
+block after block, each over all rows, and each block adds to what the blocks before have found, which is written between
+them: no stage searches for more than one block. A pattern counts once for each of its items.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.ragged import LOWER, Texts, mix, powers, slices, span_hashes
-from readlake.llm.tables import lean, small_batches
+from readlake.llm.tables import cut, dropped, lean, small_batches, stored
 
 #: 0-9, a-z and all bytes of characters beyond ASCII, after A-Z have become a-z.
 IS_WORD = np.zeros(256, bool)
@@ -39,8 +39,8 @@ def words_of(column: pa.Array) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarra
 
 
 def patterns(benchmark: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(pattern, m, item): each distinct window with its number of words and an item, as a string, that holds it."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
+    """(pattern, m, item): each distinct window with its number of words and an item, as a string, that holds it; null for a null one."""
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -52,7 +52,7 @@ def patterns(benchmark: DataFrame, width: int = WIDTH, id_col: str = "item_id",
                 m = min(width, z - a)
                 found = [b" ".join(words[i : i + m]) for i in range(a, z - m + 1)] if m else []
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(found)), pa.array([f.decode() for f in found]), pa.array([m] * len(found), pa.int32())], ["item", "pattern", "m"])
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array([f.decode() for f in found]), pa.array([m] * len(found), pa.int32())], ["item", "pattern", "m"])
 
     return rows.mapInArrow(lean(cut), "item string, pattern string, m int").select("pattern", "m", "item").distinct()
 
@@ -111,12 +111,12 @@ class Searcher:
         return start[same], which[same]
 
 
-def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most: int = MOST_PATTERNS) -> DataFrame:
-    """(id, n_words, runs, items) of every row; docs are not shuffled.
+def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most: int = MOST_PATTERNS, with_text: bool = False) -> DataFrame:
+    """(id, n_words, runs, items) of every row, with_text the text too; docs are not shuffled.
 
     runs: array of (start, end) word numbers of maximal stretches inside occurrences; items: the
     sorted ids, as strings, of items with an occurring window. A null or empty text has no words; a null
-    or wordless item has no window; items with equal windows are all named; repeated rows are
+    or wordless item text has no window, an item with a null id has windows and no name; items with equal windows are all named; repeated rows are
     searched each; other columns are left out; empty tables give empty results or no runs.
     """
     small_batches(docs.sparkSession)
@@ -126,11 +126,16 @@ def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: st
     # a pattern with its item is what a block holds; a pattern of very many items is searched for in several blocks
     n_blocks = -(-pairs.count() // most) or 1
     if n_blocks > 1:
-        pairs = pairs.withColumn("block", F.pmod(F.xxhash64("pattern", "item"), F.lit(n_blocks))).persist()
+        pairs = cut(pairs.withColumn("block", F.pmod(F.xxhash64("pattern", "item"), F.lit(n_blocks))))
     for i in range(n_blocks):
+        before = rows
         held = (pairs.where(F.col("block") == i) if n_blocks > 1 else pairs).groupBy("pattern", "m").agg(F.collect_list("item").alias("items")).collect()
-        rows = _searched(rows, [(r.pattern.encode(), r.m, list(r["items"])) for r in held], key, i == n_blocks - 1)
-    return rows.withColumnRenamed("key", id_col)
+        rows = _searched(rows, [(r.pattern.encode(), r.m, list(r["items"])) for r in held], key, i == n_blocks - 1 and not with_text)
+        if i < n_blocks - 1:
+            rows = stored(rows)
+            if i:
+                dropped(before)
+    return rows.withColumnsRenamed({"key": id_col, "text": text_col})
 
 
 def _searched(rows: DataFrame, held: list[tuple[bytes, int, list[str]]], key: str, last: bool) -> DataFrame:

@@ -26,6 +26,8 @@ from readlake.llm.tables import lean, small_batches
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
 PENALTY = 16.0
+#: A word is known if its mean trigram is no less likely than a text's own by so many standard errors.
+DOUBT = 3.0
 REMEMBER = 200_000
 
 #: First code points of runs of blocks, and the script of each (Unicode's block list).
@@ -62,15 +64,17 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 @dataclass
 class Model:
-    """Log probabilities of the trigram buckets and allowed scripts, by language."""
+    """Log probabilities of the trigram buckets, their mean and spread over a language's own text, and allowed scripts, by language."""
 
     languages: list[str]
     table: np.ndarray  # bucket, language
     allowed: np.ndarray  # script, language
+    usual: np.ndarray  # mean and standard deviation, language
     penalty: float = PENALTY
     place: dict = field(default_factory=dict, repr=False)
     scores: np.ndarray = field(default=None, repr=False)
     letters: np.ndarray = field(default=None, repr=False)
+    familiar: np.ndarray = field(default=None, repr=False)
 
     def learn(self, words: set[str]) -> None:
         """Scores of the words not yet known; what is known is bounded."""
@@ -81,23 +85,28 @@ class Model:
         if not new:
             return
         bucket, row, script, letters = features(new)
-        out = np.add.reduceat(self.table[bucket], np.searchsorted(row, np.arange(len(new))), axis=0)
+        firsts = np.searchsorted(row, np.arange(len(new)))
+        out = np.add.reduceat(self.table[bucket], firsts, axis=0)
         allowed = self.allowed[script]
+        # a word is known if in some language its trigrams are as likely as a text's own are, but for DOUBT standard errors
+        n = np.diff(np.r_[firsts, len(row)])[:, None]
+        familiar = (allowed & (out / n >= self.usual[0] - DOUBT * self.usual[1] / np.sqrt(n))).any(1)
         out = np.where(allowed.any(1)[:, None], np.where(allowed, out, -1e4), 0.0) * (letters > 0)[:, None]
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         self.scores = out if self.scores is None else np.concatenate([self.scores, out])
         self.letters = letters if len(self.place) == len(new) else np.concatenate([self.letters, letters])
+        self.familiar = familiar if len(self.place) == len(new) else np.concatenate([self.familiar, familiar])
 
-    def label(self, words: list[str]) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
-        """Spans (first word, word after the last, language), the words' letters and whether they score."""
+    def label(self, words: list[str]) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]:
+        """Spans (first word, word after the last, language), the words' letters, whether they score and whether they are known."""
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         s, letters = self.scores[at], self.letters[at]
         best = int(s.sum(0).argmax())
         against = np.cumsum(s - s[:, best : best + 1], axis=0)
         low = np.minimum.accumulate(np.vstack([np.zeros((1, s.shape[1])), against[:-1]]), axis=0)
         if (against - low).max() < self.penalty / 2:
-            return [(0, len(words), best)], letters, s.any(1)
-        return viterbi(s, self.penalty), letters, s.any(1)
+            return [(0, len(words), best)], letters, s.any(1), self.familiar[at]
+        return viterbi(s, self.penalty), letters, s.any(1), self.familiar[at]
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> list[tuple[int, int, int]]:
@@ -151,23 +160,25 @@ def train(docs: DataFrame, bound: int = 20_000, lang_col: str = "lang", text_col
     for r in found:
         n[r.bucket, languages.index(r.lang)] = r.n
     grams, scripts = n[:BUCKETS] + 0.5, n[BUCKETS:]
-    return Model(languages, np.log(grams / grams.sum(0)), scripts >= np.maximum(1, 0.01 * scripts.sum(0)))
+    table, share = np.log(grams / grams.sum(0)), n[:BUCKETS] / np.maximum(n[:BUCKETS].sum(0), 1)
+    mean = (share * table).sum(0)
+    return Model(languages, table, scripts >= np.maximum(1, 0.01 * scripts.sum(0)), np.stack([mean, np.sqrt((share * (table - mean) ** 2).sum(0))]))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, lang_pred, score, known, spans) of every row; no shuffle.
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """(id, *keep, lang_pred, score, letters, known, spans) of every row, with_text the text too; no shuffle.
 
     spans: array of (start, end, lang) in code points of the text. lang_pred is the language with
-    the most letters in spans, score the share of all letters that lie there in words that scored, known that of all
-    letters in words that scored, whatever the language.
+    the most letters in spans, score the share of all letters that lie there in words that scored. letters counts those of the
+    text, known is their share in words that look like one of the languages: whose trigrams are as likely there as a text's own.
     A text that is null or has no letter is `und` with score 0 and no spans; one in a script that no language
     was seen with gets a learned language with score 0. Repeated rows are labelled each.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("key"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), F.col(text_col).alias("text"))
     kept = rows.columns[:-1]
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", lang_pred string, score double, known double, spans array<struct<start int, end int, lang string>>"
-    shared = rows.sparkSession.sparkContext.broadcast((model.languages, model.table.astype(np.float32), model.allowed, model.penalty))
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", lang_pred string, score double, letters long, known double, spans array<struct<start int, end int, lang string>>" + ", text string" * with_text
+    shared = rows.sparkSession.sparkContext.broadcast((model.languages, model.table.astype(np.float32), model.allowed, model.usual, model.penalty))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
@@ -176,18 +187,19 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             split = [WORD.findall(t.lower()) if t else [] for t in texts]
             m.learn(set(chain.from_iterable(split)))
             out = [labelled(m, t, w) for t, w in zip(texts, split, strict=True)]
-            lang, score, known, spans = zip(*out, strict=True)
+            lang, score, letters, known, spans = zip(*out, strict=True)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64()), pa.array(spans, kind)], [*kept, "lang_pred", "score", "known", "spans"])
+            told = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(letters, pa.int64()), pa.array(known, pa.float64()), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *told, *[b.column(len(kept))] * with_text], [*kept, "lang_pred", "score", "letters", "known", "spans", *["text"] * with_text])
 
     out = rows.mapInArrow(lean(label), schema)
-    return out.withColumnsRenamed({"key": id_col} | {f"keep_{i}": c for i, c in enumerate(keep)})
+    return out.withColumnsRenamed({"key": id_col, "text": text_col} | {f"keep_{i}": c for i, c in enumerate(keep)})
 
 
-def labelled(m: Model, text: str | None, words: list[str]) -> tuple[str, float, float, list[dict]]:
-    spans, letters, scored = m.label(words) if words else ([], np.zeros(0), np.zeros(0))
+def labelled(m: Model, text: str | None, words: list[str]) -> tuple[str, float, int, float, list[dict]]:
+    spans, letters, scored, familiar = m.label(words) if words else ([], np.zeros(0), np.zeros(0), np.zeros(0))
     if not letters.any():
-        return "und", 0.0, 0.0, []
+        return "und", 0.0, 0, 0.0, []
     of = np.zeros(len(m.languages))
     sure = np.zeros(len(m.languages))
     for a, z, k in spans:
@@ -195,7 +207,7 @@ def labelled(m: Model, text: str | None, words: list[str]) -> tuple[str, float,
         sure[k] += (letters[a:z] * scored[a:z]).sum()
     best = int(of.argmax())
     places = places_of(text, words, {i for a, z, _ in spans for i in (a, z - 1)})
-    return m.languages[best], float(sure[best] / letters.sum()), float(sure.sum() / letters.sum()), [{"start": places[a][0], "end": places[z - 1][1], "lang": m.languages[k]} for a, z, k in spans]
+    return m.languages[best], float(sure[best] / letters.sum()), int(letters.sum()), float((letters * familiar).sum() / letters.sum()), [{"start": places[a][0], "end": places[z - 1][1], "lang": m.languages[k]} for a, z, k in spans]
 
 
 def places_of(text: str, words: list[str], wanted: set[int]) -> dict[int, tuple[int, int]]:

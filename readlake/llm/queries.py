@@ -208,7 +208,7 @@ def _op10_sql() -> str:
     fits = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}') then '{{{i}}}'" for i, (h, _, p) in enumerate(r.partition("/") for _, r in ordered_rules()))
     rule, verdict = (fits.format(*(x[k] for x in ordered_rules())) for k in (1, 0))
     link, d = url_filter.LINK.replace("'", "''"), url_filter.DAMPING
-    rounds = 4 * math.ceil(math.log(url_filter.TOLERANCE) / math.log(d) / 4)
+    rounds = url_filter.ROUNDS * math.ceil(math.log(url_filter.TOLERANCE) / math.log(d) / url_filter.ROUNDS)
     steps = "".join(f"""
 r{i + 1} as materialized (select host, sum(t) as t, sum(d) as d, sum(tw) as tw, sum(dw) as dw from (
   select next as host, 0.0 as t, 0.0 as d, a.t * tw * {d} as tw, a.d * dw * {d} as dw from arcs a join r{i} r on r.host = a.host

@@ -37,16 +37,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def dealt(df: DataFrame, n: int, *columns: str) -> DataFrame:
-    """The rows of df behind a checkpoint, dealt by columns: joins and groups by these don't shuffle them again.
+def dealt(df: DataFrame, n: int, *columns: str, in_order: bool = False) -> DataFrame:
+    """The rows of df behind a checkpoint, dealt by columns, in_order also sorted by them: joins and groups by these don't shuffle or sort them again."""
+    rows = df.repartition(n, *columns)
+    return as_dealt(rows.sortWithinPartitions(*columns) if in_order else rows)
 
-    An adaptive plan forgets how its rows are dealt when it is cut, so this one isn't adaptive.
+
+def as_dealt(df: DataFrame) -> DataFrame:
+    """The rows of df behind a checkpoint that knows how its last exchange has dealt them.
+
+    An adaptive plan forgets that when it is cut, so this one isn't adaptive.
     """
     conf = df.sparkSession.conf
     adaptive = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut(df.repartition(n, *columns))
+        return cut(df)
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 

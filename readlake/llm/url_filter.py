@@ -16,13 +16,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.tables import cut, swept
+from readlake.llm.tables import as_dealt, cut, dealt, partitions, swept
 
 LINK = r"""(?i)(?:href|src)[\t-\r ]*=[\t-\r ]*["']?(?:https?:)?//([^/"'\t-\r <>?#]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
 #: Of all trust, and of all distrust, less than this is still on its way at the end.
 TOLERANCE = 1e-3
+#: Rounds between two cuts of the lineage.
+ROUNDS = 11
 #: Up to so many hosts their verdicts are sent to every task of the last join.
 MOST_SENT = 100_000
 
@@ -59,24 +61,26 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     """(host, trust, distrust) of walks from seeds (host, trust, distrust), every host once, sums of 1.
 
     A walk goes on with a chance of damping. Each round is one join of links with what is on its way, and one sum by host
-    that also carries what has arrived; the lineage is cut every four, and rounds end when less than tolerance of what
-    set out is on its way. Walks end at hosts without links.
+    that also carries what has arrived; the lineage is cut every few, and rounds end when less than tolerance of what
+    set out is on its way. Walks end at hosts without links. Links are dealt and sorted by host once, so a round
+    shuffles what is on its way, and no link; what a host with very many links receives is summed before it travels.
     """
+    n = partitions(links.sparkSession)
     out, into = links.groupBy("src").agg(F.sum("n").alias("all_out")), links.groupBy("dst").agg(F.sum("n").alias("all_in"))
     shares = links.join(out, "src").join(into, "dst")
     arcs = shares.selectExpr("src as host", "dst as next", "n / all_out as t", "0D as d", "0D as ends").unionByName(shares.selectExpr("dst as host", "src as next", "0D as t", "n / all_in as d", "0D as ends"))
-    arcs = cut(arcs.unionByName(seeds.selectExpr("host", "host as next", "0D as t", "0D as d", "1D as ends")))  # of each host one where its own sums go on
+    arcs = dealt(arcs.unionByName(seeds.selectExpr("host", "host as next", "0D as t", "0D as d", "1D as ends")), n, "host", in_order=True)  # of each host one where its own sums go on
     state = seeds.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"), F.col("trust").alias("t_way"), F.col("distrust").alias("d_way"))
     ends = F.col("ends")
     while True:
-        for _ in range(4):
+        for _ in range(ROUNDS):
             moved = arcs.join(state, "host").select(
                 F.col("next").alias("host"),
                 (ends * (F.col("trust") + F.col("t_way") * (1 - damping))).alias("trust"), (ends * (F.col("distrust") + F.col("d_way") * (1 - damping))).alias("distrust"),
                 (F.col("t") * F.col("t_way") * damping).alias("t_way"), (F.col("d") * F.col("d_way") * damping).alias("d_way"),
             )
             state = moved.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust", "t_way", "d_way")))
-        state = cut(state)
+        state = as_dealt(state)
         t, d = state.agg(F.sum("t_way"), F.sum("d_way")).first()
         if max(t or 0.0, d or 0.0) < tolerance:
             return state.select("host", "trust", "distrust")
