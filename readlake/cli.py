@@ -8,7 +8,9 @@ from __future__ import annotations
 import argparse
 import re
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +18,11 @@ from readlake.functions import sequences as S
 from readlake.operators import accessions, reads, reports, sorting, taxonomy
 from readlake.schemas import TAX
 from readlake.session import session
-from readlake.sources import bam, one, sinks, text
+from readlake.sources import bam, merging, one, sinks, text
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:
-    if path.endswith(".bam"):
-        bam.register(spark)
-        return spark.read.format("bam").load(path)
-    return text.sam(spark, path)
+    return bam.alignments(spark, path) if path.endswith(".bam") else text.sam(spark, path)
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
@@ -89,7 +88,7 @@ def add_lca(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = reads.with_lca(spark.read.parquet(a.input), nodes, a.score_threshold, a.max_divergence)
     out = a.output or sinks.derived(a.input, "lca.1read") if a.output != "-" else a.input
     if out == a.input:
-        sinks.rewritten(rows, out)
+        sinks.rewritten(rows, out, "addLCA", a.input)
     else:
         sinks.written(rows, out, "addLCA", a.input)
     taxonomy.write_subset(taxonomy.closure(reads.taxa(spark.read.parquet(out)), nodes), out + ".1tax")
@@ -122,23 +121,28 @@ def report_reads(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def sort(spark: SparkSession, a: argparse.Namespace) -> None:
-    """All alignments in order of name, under one header. Inputs in order stay as good as they are with --merge: only checked, not trimmed."""
-    inputs = [alignments(spark, p) for p in a.inputs]
+    """All alignments in order of name, under one header. Inputs that are in order are merged, with --merge; the header isn't trimmed then.
+
+    What this writes can be read by every command and merged again: a folder of SAM parts with its header, or of BAM parts.
+    """
+    out = a.output or sinks.derived(a.inputs[0], "merged.sam" if a.merge else "sorted.sam")
+    heads = [headers(spark, p) for p in a.inputs]
+    whole = reduce(DataFrame.unionByName, heads)
     if a.merge:
-        for p, rows in zip(a.inputs, inputs, strict=True):
-            if sorting.in_order(rows).first()["disordered"]:
-                raise ValueError(f"{p} isn't in order of name")
-    rows, out = sorting.by_name(*inputs), a.output or sinks.derived(a.inputs[0], "sorted.sam")
-    whole = None
-    for p in a.inputs:
-        whole = headers(spark, p) if whole is None else whole.unionByName(headers(spark, p))
-    whole = whole if a.keep_header or a.merge else sorting.used_references(whole, rows)
-    lines = sinks.header_lines(sorting.united(whole))
-    if out.endswith(".bam"):
-        bam.write(rows, out, lines)
+        lines = merging.merged(spark, a.inputs).select("value")
     else:
-        lines.coalesce(1).write.text(out + ".header")
-        sinks.sam_lines(rows).write.text(out, compression="gzip" if a.gz else "none")
+        rows = sorting.by_name(*(alignments(spark, p) for p in a.inputs))
+        whole = whole if a.keep_header else sorting.used_references(whole, rows)
+        lines = sinks.sam_lines(rows)
+    header = sinks.header_lines(sorting.united(whole))
+    try:
+        if out.endswith(".bam"):
+            bam.write_lines(lines, out, header)
+        else:
+            sinks.sam(lines, header, out, "gzip" if a.gz else "none")
+    except PythonException as e:
+        said = re.search("[^ \n]+ isn't in order of name", str(e))
+        raise merging.Disordered(said[0]) from None if said else e
 
 
 def convert(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -1,30 +1,36 @@
 """BAM as a Spark data source: blocks of a file are read by tasks apart from each other.
 
-    bam.register(spark)
-    spark.read.format("bam").load("file:///data/a.bam")
+    bam.alignments(spark, "file:///data/a.bam")  # a file, or a folder of parts
     bam.headers(spark, "file:///data/a.bam")  # (file, ord, kind, tags)
-    bam.write(alignments, "file:///data/out", header_lines)
+    bam.write(alignments, "file:///data/out.bam", header_lines)  # a folder of parts
 
 A BAM file is a row of compressed blocks of at most 64 KiB. Each task finds the first block in its range of bytes,
 then the first record in it by the fields that a record must have, and reads to the first record past its range.
+Fields of all records of some blocks are decoded at once, from one buffer into Arrow columns; only the places of
+records are followed one by one. Records name references by number. The names are a table of their own, read once, and joined: no task
+holds the header. Parts of a folder that begin with the same blocks have the same header.
 Files are opened through pyarrow's file systems, so stores other than local disks do.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from readlake.schemas import ALIGNMENTS
+from readlake.session import MOST_SENT, cut, sized
 
 #: Fixed values of the format.
 MAGIC = b"\x1f\x8b\x08\x04"
@@ -38,7 +44,13 @@ _CODES[np.frombuffer(BASES.lower().encode(), np.uint8)] = np.arange(16)
 NUMBERS = {b"c": "<b", b"C": "<B", b"s": "<h", b"S": "<H", b"i": "<i", b"I": "<I", b"f": "<f"}
 
 
+#: Schema of records whose references are numbers, -1 for none.
+RECORDS = ALIGNMENTS.replace("rname string", "ref_id int").replace("rnext string", "mate_id int")
+
+
 class BamSource(DataSource):
+    """Alignments with names of references, which each task takes from the header: for files with few references."""
+
     @classmethod
     def name(cls) -> str:
         return "bam"
@@ -53,6 +65,34 @@ class BamSource(DataSource):
         return BamWriter(self.options["path"], self.options["header"])
 
 
+class BamRecordSource(DataSource):
+    """Alignments with numbers of references."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bam_records"
+
+    def schema(self) -> str:
+        return RECORDS
+
+    def reader(self, schema) -> BamReader:
+        return BamReader(self.options["path"], int(self.options.get("split", 64 << 20)), False)
+
+
+class BamReferenceSource(DataSource):
+    """(ref_id, sn, length) of the references that the binary list of a header names."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bam_references"
+
+    def schema(self) -> str:
+        return "ref_id int, sn string, length int"
+
+    def reader(self, schema) -> BamReferenceReader:
+        return BamReferenceReader(self.options["path"])
+
+
 class BamHeaderSource(DataSource):
     """The header's lines (file, ord, value) of a BAM file, block after block."""
 
@@ -68,7 +108,7 @@ class BamHeaderSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    for source in (BamSource, BamHeaderSource):
+    for source in (BamSource, BamRecordSource, BamReferenceSource, BamHeaderSource):
         spark.dataSource.register(source)
 
 
@@ -81,22 +121,58 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
     return header_tags(spark.read.format("bam_header").load(path))
 
 
+def alignments(spark: SparkSession, path: str, split: int = 64 << 20) -> DataFrame:
+    """Alignments (schemas.ALIGNMENTS) of a BAM file or of a folder of them.
+
+    The parts of a folder have one header; of others each is read by its own, and their alignments come together. Names
+    of references are joined to the records' numbers: all names, if they are few enough for every task, else those that occur.
+    """
+    register(spark)
+    heads: dict[bytes, list[str]] = {}
+    for name in files_of(path):
+        heads.setdefault(beginning(name), []).append(name)
+    read = [_named(spark, ",".join(some), split) for some in heads.values()]
+    return reduce(DataFrame.unionByName, read)
+
+
+def _named(spark: SparkSession, files: str, split: int) -> DataFrame:
+    rows = spark.read.format("bam_records").option("split", split).load(files)
+    refs = spark.read.format("bam_references").load(files)
+    if refs.count() > MOST_SENT:  # of very many references a run hits few
+        used = rows.select(F.explode(F.array_distinct(F.array("ref_id", "mate_id"))).alias("ref_id")).distinct()
+        refs = cut(refs.join(used, "ref_id", "left_semi"))
+    names = sized(refs.select("ref_id", "sn"))
+    rows = rows.join(names, "ref_id", "left").withColumnRenamed("sn", "rname")
+    mates = names.select(F.col("ref_id").alias("mate_id"), F.col("sn").alias("mate"))
+    mate = F.when(F.col("mate_id") < 0, None).when(F.col("mate_id") == F.col("ref_id"), "=").otherwise(F.col("mate"))
+    return rows.join(mates, "mate_id", "left").withColumn("rnext", mate).select(*(c.split()[0] for c in ALIGNMENTS.replace("map<string,string>", "map").split(", ")))
+
+
 def write(alignments: DataFrame, path: str, header: DataFrame) -> None:
-    """A folder of parts, each a whole BAM file of its partition's rows under the same header.
+    """A folder of parts, each a whole BAM file of its partition's rows under the same header; alignments() reads it back.
 
-    header: one column `value`, lines in order, which is written beside the parts first and read there by each task.
     Mandatory fields and tags are written as sinks.sam_lines would tell them.
     """
     from readlake.sources import sinks
 
-    register(alignments.sparkSession)
+    write_lines(sinks.sam_lines(alignments), path, header)
+
+
+def write_lines(lines: DataFrame, path: str, header: DataFrame) -> None:
+    """As write(), of SAM lines in a column `value`.
+
+    header: one column `value`, lines in order, which is written beside the parts first and read there by each task.
+    """
+    register(lines.sparkSession)
     header.coalesce(1).write.text(path + "/_header")
-    sinks.sam_lines(alignments).write.format("bam").option("path", path).option("header", path + "/_header").mode("append").save()
+    lines.write.format("bam").option("path", path).option("header", path + "/_header").mode("append").save()
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    """Bytes of a file; how many references its header names and where, as (block, place in it), its first record stands."""
+
+    def __init__(self, path: str, start: int, end: int, n_refs: int, first: tuple[int, int]):
+        self.path, self.start, self.end, self.n_refs, self.first = path, start, end, n_refs, first
 
 
 def system_of(path: str):
@@ -110,15 +186,33 @@ def opened(path: str):
     return system.open_input_file(at)
 
 
-#: Rows of an Arrow batch that a task hands over at once.
-ROWS = 4096
-_TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "map<string,string>": pa.map_(pa.string(), pa.string())}
-_FIELDS = pa.schema([(n, _TYPES[t]) for n, t in (c.split(" ") for c in ALIGNMENTS.split(", "))])
-
+def files_of(path: str, end: str = ".bam") -> list[str]:
+    """Several files, joined by commas; a file itself; of a folder the files with such an end, in order of name."""
+    from pyarrow import fs
 
-def batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array([[*v.items()] for v in c] if f.name == "aux" else c, f.type) for f, c in zip(_FIELDS, columns, strict=True)], schema=_FIELDS)
+    if "," in path:
+        return path.split(",")
+    system, at = system_of(path)
+    if system.get_file_info(at).type != fs.FileType.Directory:
+        return [path]
+    names = sorted(os.path.basename(i.path) for i in system.get_file_info(fs.FileSelector(at)) if i.type == fs.FileType.File)
+    found = [f"{path.rstrip('/')}/{n}" for n in names if n.endswith(end) and not n.startswith(("_", "."))]
+    if not found:
+        raise FileNotFoundError(f"{path}: no file that ends in {end}")
+    return found
+
+
+def beginning(path: str) -> bytes:
+    """The blocks of a file that hold its header, as a digest: files with an equal one have an equal header."""
+    with opened(path) as f:
+        _, (place, skip) = header(f)
+        digest, left = hashlib.sha256(block(f, place)[0][:skip] if skip else b""), place
+        f.seek(0)
+        while left > 0:
+            part = f.read(min(left, 1 << 20))
+            digest.update(part)
+            left -= len(part)
+    return digest.digest()
 
 
 class BamHeaderReader(DataSourceReader):
@@ -126,49 +220,58 @@ class BamHeaderReader(DataSourceReader):
         self.path = path
 
     def read(self, part) -> Iterator[tuple]:
-        with opened(self.path) as f:
+        path = files_of(self.path)[0]
+        with opened(path) as f:
             n, told = 0, set()
             for line in header_lines(f):
                 if line.startswith("@SQ"):
                     told.add(next((x[3:] for x in line.split("\t") if x.startswith("SN:")), ""))
                 if line:
-                    yield self.path, n, line
+                    yield path, n, line
                 n += 1
             names, _ = header(f)
             for i, (name, length) in enumerate(names):
                 if name not in told:
-                    yield self.path, n + i, f"@SQ\tSN:{name}\tLN:{length}"
+                    yield path, n + i, f"@SQ\tSN:{name}\tLN:{length}"
+
+
+class BamReferenceReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def read(self, part) -> Iterator[tuple]:
+        with opened(files_of(self.path)[0]) as f:
+            for i, (name, length) in enumerate(header(f)[0]):
+                yield i, name, length
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, path: str, split: int):
-        self.path, self.split = path, split
+    def __init__(self, path: str, split: int, named: bool = True):
+        self.path, self.split, self.named = path, split, named
 
     def partitions(self) -> list[Range]:
-        with opened(self.path) as f:
-            n = f.size()
-        return [Range(self.path, a, min(a + self.split, n)) for a in range(0, n, self.split)]
+        out, known = [], {}
+        for path in files_of(self.path):
+            with opened(path) as f:
+                n, front = f.size(), f.read(1 << 16)
+                # a part that begins as another does has its header, if that ends there
+                if front in known and known[front][1][0] < len(front):
+                    n_refs, first = known[front]
+                else:
+                    names, first = header(f)
+                    n_refs = len(names)
+                    known[front] = n_refs, first
+            out += [Range(path, a, min(a + self.split, n), n_refs, first) for a in range(0, n, self.split) if a + self.split > first[0]]
+        return out
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for r in self.rows(part):
-            rows.append(r)
-            if len(rows) >= ROWS:
-                yield batch(rows)
-                rows = []
-        if rows:
-            yield batch(rows)
-
-    def rows(self, part: Range) -> Iterator[tuple]:
         with opened(part.path) as f:
-            named, first = header(f)
-            names = [n for n, _ in named]
-            at = (0, first) if part.start == 0 else resync(f, part.start, part.end, len(names))
+            names = pa.array([n for n, _ in header(f)[0]], pa.string()) if self.named else None
+            at = part.first if part.start <= part.first[0] < part.end else resync(f, part.start, part.end, part.n_refs)
             if at is None:
                 return
-            # the header may be longer than the first range: then its records belong to a later one
-            for ord_, record in records(f, at, part.end):
-                yield (*row(record, names), part.path, ord_)
+            for data, starts, places in chunks(f, at, part.end):
+                yield columns(decoded(data, starts), places, part.path, names)
 
 
 def block(f, at: int) -> tuple[bytes, int] | None:
@@ -212,16 +315,19 @@ def header_lines(f) -> Iterator[str]:
         text = lines[-1] + next(blocks)
 
 
-def header(f) -> tuple[list[tuple[str, int]], int]:
-    """Names and lengths of the references, and where in the unpacked file the first record begins."""
-    blocks, text = unpacked(f), bytearray()
+def header(f) -> tuple[list[tuple[str, int]], tuple[int, int]]:
+    """Names and lengths of the references, and where, as (block, place in it), the first record begins."""
+    text, at, held = bytearray(), 0, []  # offset in text and place of each block
 
     def need(n: int) -> None:
+        nonlocal at
         while len(text) < n:
-            got = next(blocks, None)
+            got = block(f, at)
             if got is None:
                 raise ValueError("the header ends early")
-            text.extend(got)
+            held.append((len(text), at))
+            text.extend(got[0])
+            at = got[1]
 
     need(12)
     if text[:4] != b"BAM\1":
@@ -236,7 +342,10 @@ def header(f) -> tuple[list[tuple[str, int]], int]:
         need(place + 8 + size)
         names.append((text[place + 4 : place + 3 + size].decode(), struct.unpack_from("<i", text, place + 4 + size)[0]))
         place += 8 + size
-    return names, place
+    if place == len(text):
+        return names, (at, 0)
+    base, of = max(h for h in held if h[0] <= place)
+    return names, (of, place - base)
 
 
 def likely(text: bytes, at: int, n_refs: int) -> bool:
@@ -318,69 +427,182 @@ def resync(f, start: int, end: int, n_refs: int) -> tuple[int, int] | None:
             return None
 
 
-def records(f, at: tuple[int, int], end: int) -> Iterator[tuple[int, bytes]]:
-    """Records that begin in blocks before end; numbered by block and place."""
+#: Unpacked bytes whose records are decoded together.
+CHUNK = 1 << 20
+
+
+def chunks(f, at: tuple[int, int], end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Unpacked bytes, where in them records begin, and the records' numbers, made of block and place; records of blocks before end."""
     place, skip = at
-    text, starts = b"", []  # (offset in text, block) of the blocks held
+    text, held, want = bytearray(), [], CHUNK  # held: offset in text and place of each block
     while True:
-        while len(text) < skip + 4 or len(text) < skip + 4 + struct.unpack_from("<i", text, skip)[0]:
+        more = True
+        while len(text) < want and more:
             got = block(f, place)
-            if got is None:
-                return
-            starts.append((len(text), place))
-            text, place = text + got[0], got[1]
-        base, of = max(s for s in starts if s[0] <= skip)
-        if of >= end:
+            more = got is not None
+            if more:
+                held.append((len(text), place))
+                text += got[0]
+                place = got[1]
+        found, n = [], len(text)
+        while skip + 4 <= n:
+            after = skip + 4 + int.from_bytes(text[skip : skip + 4], "little")
+            if after > n:
+                break
+            found.append(skip)
+            skip = after
+        starts = np.array(found, np.int64)
+        base, of = (np.array(x, np.int64) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 2
+        which = np.searchsorted(base, starts, "right") - 1
+        inside = of[which] < end if len(starts) else np.zeros(0, bool)
+        if inside.any():
+            yield np.frombuffer(bytes(text), np.uint8), starts[inside], of[which][inside] << 16 | (starts - base[which])[inside]
+        if not inside.all() or not more or (skip < n and held and of[np.searchsorted(base, skip, "right") - 1] >= end):
             return
-        size = struct.unpack_from("<i", text, skip)[0]
-        yield of << 16 | skip - base, text[skip + 4 : skip + 4 + size]
-        skip += 4 + size
-        if skip > 1 << 20:
-            keep = base
-            text, skip = text[keep:], skip - keep
-            starts = [(a - keep, b) for a, b in starts if a >= keep]
-
-
-def row(record: bytes, names: list[str]) -> tuple:
-    ref, pos, l_name, mapq, _, n_ops, flag, l_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", record)
-    at = 32 + l_name
-    name = record[32 : at - 1].decode()
-    ops = struct.unpack_from(f"<{n_ops}I", record, at)
-    at += 4 * n_ops
-    packed = record[at : at + (l_seq + 1) // 2]
-    seq = _PAIRS[np.frombuffer(packed, np.uint8)].tobytes()[:l_seq].decode()
-    at += len(packed)
-    qual = record[at : at + l_seq]
-    at += l_seq
-    aux = dict(tags(record, at))
-    told = lambda some: "".join(f"{o >> 4}{OPS[o & 15]}" for o in some)
-    long = aux.pop("CG", None)  # more operations than the record's own field holds
-    cigar = told(map(int, long[2:].split(","))) if long and long.startswith("I,") else told(ops)
-    mate_name = None if mate < 0 else "=" if mate == ref else names[mate]
-    score = aux.get("AS")
-    return (name, flag, names[ref] if ref >= 0 else None, pos + 1, mapq, cigar or None, mate_name, mate_pos + 1, tlen, seq or None, None if not l_seq or qual[0] == 255 else (np.frombuffer(qual, np.uint8) + 33).tobytes().decode(), int(score) if score is not None else None, aux.get("MD"), aux)
-
-
-def tags(record: bytes, at: int) -> Iterator[tuple[str, str]]:
-    while at < len(record):
-        tag, kind = record[at : at + 2].decode(), record[at + 2 : at + 3]
-        at += 3
-        if kind in NUMBERS:
-            value = str(struct.unpack_from(NUMBERS[kind], record, at)[0])
-            at += struct.calcsize(NUMBERS[kind])
-        elif kind == b"A":
-            value, at = record[at : at + 1].decode(), at + 1
-        elif kind in (b"Z", b"H"):
-            end = record.index(b"\0", at)
-            value, at = record[at:end].decode(), end + 1
-        elif kind == b"B":
-            form = NUMBERS[record[at : at + 1]]
-            n = struct.unpack_from("<i", record, at + 1)[0]
-            got = struct.unpack_from(f"<{n}{form[1]}", record, at + 5)
-            value, at = ",".join([record[at : at + 1].decode(), *map(str, got)]), at + 5 + n * struct.calcsize(form)
+        want = max(CHUNK, 2 * (n - skip))
+        keep = np.searchsorted(base, skip, "right") - 1 if held else 0
+        del text[:skip]
+        held = [(int(b) - skip, int(o)) for b, o in zip(base[keep:], of[keep:], strict=True) if b < n]
+        skip = 0
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of data behind each other, and where each begins and the last ends."""
+    ends = np.r_[0, np.cumsum(lengths)]
+    return data[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)], ends
+
+
+def strings(data: np.ndarray, ends: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
+    """Stretches of bytes as an Arrow column; null where there is none."""
+    out = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data, np.uint8).tobytes()))
+    return out if there is None or there.all() else pc.if_else(pa.array(there), out, None)
+
+
+def joined(values: pa.Array, ends: np.ndarray, by: str) -> pa.Array:
+    """The strings of each stretch as one."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values), by)
+
+
+#: Bytes that a value of a type takes.
+_WIDTH = np.zeros(256, np.int64)
+for _kind, _form in NUMBERS.items():
+    _WIDTH[_kind[0]] = struct.calcsize(_form)
+_WIDTH[ord("A")] = 1
+_OPS = pa.array(list(OPS) + ["?"] * (16 - len(OPS)))
+
+
+def operations(words: np.ndarray) -> pa.Array:
+    """Operations of a CIGAR as text: a number and a letter each."""
+    return pc.binary_join_element_wise(pa.array(words >> 4).cast(pa.string()), _OPS.take(pa.array((words & 15).astype(np.int32))), "")
+
+
+def decoded(data: np.ndarray, starts: np.ndarray) -> dict:
+    """Arrow columns of the records that begin at starts, references as numbers; tags as flat columns with their row."""
+    size = data[starts[:, None] + np.arange(4)].view("<i4").ravel().astype(np.int64)
+    fixed = data[starts[:, None] + np.arange(4, 36)].view("<i4")
+    at, end = starts + 36, starts + 4 + size
+    l_name, n_ops, l_seq = fixed[:, 2] & 255, fixed[:, 3] & 0xFFFF, fixed[:, 4].astype(np.int64)
+    out = {"ref_id": fixed[:, 0], "pos": fixed[:, 1].astype(np.int64) + 1, "mapq": fixed[:, 2] >> 8 & 255, "flag": fixed[:, 3] >> 16 & 0xFFFF, "mate_id": fixed[:, 5], "pnext": fixed[:, 6].astype(np.int64) + 1, "tlen": fixed[:, 7].astype(np.int64)}
+    out = {k: pa.array(v) for k, v in out.items()}
+    out["qname"] = strings(*gathered(data, at, l_name - 1))
+    at = at + l_name
+    words, ends = gathered(data, at, 4 * n_ops.astype(np.int64))
+    cigar = joined(operations(words.view("<u4")), ends // 4, "")
+    out["cigar"] = pc.if_else(pa.array(n_ops > 0), cigar, None)
+    at = at + 4 * n_ops
+    packed, ends = gathered(data, at, (l_seq + 1) // 2)
+    out["seq"] = strings(*gathered(_PAIRS[packed].ravel(), 2 * ends[:-1], l_seq), l_seq > 0)
+    at = at + (l_seq + 1) // 2
+    scores, ends = gathered(data, at, l_seq)
+    known = l_seq > 0
+    known[known] = scores[ends[:-1][known]] != 255
+    out["qual"] = strings(np.where(scores > 93, 0, scores) + 33, ends, known)
+    out["tag_row"], out["tag"], out["tag_kind"], out["tag_value"] = tags(data, at + l_seq, end)
+    return out
+
+
+def tags(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
+    """Rows, names, types (those of SAM) and values of all tags, in the order of rows: the first tag of every row, then the second."""
+    at, zeros = at.copy(), np.flatnonzero(data == 0)
+    live, found = np.flatnonzero(at < end), []
+    while len(live):
+        c = at[live]
+        kind, value = data[c + 2], c + 3
+        width = _WIDTH[kind].copy()
+        text = (kind == ord("Z")) | (kind == ord("H"))
+        width[text] = zeros[np.searchsorted(zeros, value[text])] - value[text] + 1
+        many = kind == ord("B")
+        width[many] = 5 + data[value[many, None] + np.arange(1, 5)].view("<i4").ravel() * _WIDTH[data[value[many]]]
+        if not width.all():
+            raise ValueError(f"a tag of the unknown kind {chr(kind[width == 0][0])!r}")
+        found.append((live, c, kind, value, width))
+        at[live] = value + width
+        live = live[at[live] < end[live]]
+    if not found:
+        return np.zeros(0, np.int64), *(pa.array([], pa.string()) for _ in range(3))
+    row, c, kind, value, width = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(row, kind="stable")
+    row, c, kind, value, width = (x[order] for x in (row, c, kind, value, width))
+    told = np.where(_WIDTH[kind] > 0, np.where(kind == ord("A"), ord("A"), np.where(kind == ord("f"), ord("f"), ord("i"))), kind).astype(np.uint8)
+    ones = np.arange(len(row) + 1)
+    return row, strings(data[c[:, None] + np.arange(2)].ravel(), 2 * ones), strings(told, ones), _values(data, kind, value, width)
+
+
+def _values(data: np.ndarray, kind: np.ndarray, value: np.ndarray, width: np.ndarray) -> pa.Array:
+    """Values of tags as text, type by type."""
+    parts, places = [], []
+    for k in np.unique(kind):
+        at = np.flatnonzero(kind == k)
+        places.append(at)
+        if bytes([k]) in NUMBERS:
+            parts.append(pa.array(gathered(data, value[at], width[at])[0].view(NUMBERS[bytes([k])])).cast(pa.string()))
+        elif k == ord("B"):
+            subs = data[value[at]]
+            at_sub = [np.flatnonzero(subs == s) for s in np.unique(subs)]
+            lists = []
+            for some in at_sub:
+                form = NUMBERS[bytes([subs[some[0]]])]
+                flat, ends = gathered(data, value[at][some] + 5, width[at][some] - 5)
+                listed = joined(pa.array(flat.view(form)).cast(pa.string()), ends // struct.calcsize(form), ",")
+                lists.append(pc.binary_join_element_wise(pa.scalar(chr(subs[some[0]])), listed, ","))
+            parts.append(pa.concat_arrays(lists).take(pa.array(np.argsort(np.concatenate(at_sub), kind="stable"))))
         else:
-            raise ValueError(f"a tag of the unknown kind {kind!r}")
-        yield tag, value
+            parts.append(strings(*gathered(data, value[at], width[at] - (k != ord("A")))))
+    return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(places), kind="stable")))
+
+
+def columns(got: dict, places: np.ndarray, path: str, names: pa.Array | None) -> pa.RecordBatch:
+    """A batch of ALIGNMENTS of decoded records, or of RECORDS without names of references."""
+    n, row, tag, value = len(places), got["tag_row"], got["tag"], got["tag_value"]
+    score = np.full(n, -1, np.int64)
+    whole = pc.and_(pc.equal(tag, "AS"), pc.equal(got["tag_kind"], "i")).to_numpy(zero_copy_only=False)
+    scores = value.filter(pa.array(whole)).cast(pa.int64())
+    score[row[whole]] = np.arange(len(scores))
+    md = np.full(n, -1, np.int64)
+    is_md = pc.equal(tag, "MD").to_numpy(zero_copy_only=False)
+    md[row[is_md]] = np.arange(is_md.sum())
+    pick = lambda values, at: values.take(pa.array(np.where(at < 0, 0, at), mask=at < 0)) if len(values) else pa.nulls(n, values.type)
+    cigar = got["cigar"]
+    long = pc.and_(pc.equal(tag, "CG"), pc.starts_with(value, "I,")).to_numpy(zero_copy_only=False)
+    if long.any():  # more operations than a record's own field holds
+        told = dict(zip(row[long].tolist(), value.filter(pa.array(long)).to_pylist(), strict=True))
+        cigar = pa.array(["".join(operations(np.array(told[i][2:].split(","), np.uint32)).to_pylist()) if i in told else c for i, c in enumerate(cigar.to_pylist())], pa.string())
+        keep = pa.array(~long)
+        row, tag, value = row[~long], tag.filter(keep), value.filter(keep)
+    aux = pa.MapArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), tag, value)
+    out = {k: got[k] for k in ("qname", "flag", "ref_id", "pos", "mapq", "mate_id", "pnext", "tlen", "seq", "qual")}
+    out |= {"cigar": cigar, "score": pick(scores, score).cast(pa.int32()), "md": pick(value.filter(pc.equal(tag, "MD")), md), "aux": aux, "file": pa.array([path] * n), "ord": pa.array(places)}
+    if names is not None:
+        ref, mate = got["ref_id"].to_numpy(), got["mate_id"].to_numpy()
+        out["rname"] = named(names, ref)
+        out["rnext"] = pc.if_else(pa.array((mate == ref) & (mate >= 0)), "=", named(names, mate))
+    fields = [c.split()[0] for c in (RECORDS if names is None else ALIGNMENTS).replace("map<string,string>", "map").split(", ")]
+    return pa.RecordBatch.from_arrays([out[f] for f in fields], fields)
+
+
+def named(names: pa.Array, at: np.ndarray) -> pa.Array:
+    """Names of references by number, null for -1."""
+    return names.take(pa.array(np.maximum(at, 0), mask=at < 0)) if len(names) else pa.nulls(len(at), pa.string())
 
 
 class BamWriter(DataSourceWriter):

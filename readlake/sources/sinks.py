@@ -33,6 +33,23 @@ def header_lines(headers: DataFrame) -> DataFrame:
     return headers.select(F.concat_ws("\t", "kind", F.when(F.col("kind") == "@CO", F.col("tags")["text"]).otherwise(told)).alias("value"))
 
 
+def sam(lines: DataFrame, header: DataFrame, path: str, compression: str = "none") -> None:
+    """A folder of SAM text: the header in a file of its own, whose name stands before those of the parts; then parts of lines.
+
+    lines and header have one column `value`. Together in order of name they are one SAM file; text.sam reads the folder.
+    """
+    spark = lines.sparkSession
+    lines.write.text(path, compression=compression)
+    header.coalesce(1).write.text(path + "/_head", compression=compression)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path + "/_head")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith("part-"))
+    end = part.getName()[part.getName().index(".txt") :]
+    if not fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/header{end}")):
+        raise OSError(f"can't name the header of {path}")
+    fs.delete(at, True)
+
+
 def named(sequences: DataFrame) -> DataFrame:
     """sequences, those without an id under their number from 1 on in the order of the rows' partitions."""
     spark = sequences.sparkSession
@@ -71,16 +88,24 @@ def report(df: DataFrame, path: str) -> None:
     head.unionByName(lines).orderBy("k", F.desc("count"), "tax").select("value").coalesce(1).write.text(path)
 
 
-def rewritten(df: DataFrame, path: str) -> None:
+def rewritten(df: DataFrame, path: str, command: str | None = None, *sources: str) -> None:
     """Replaces the table at path by df, which may read it: written beside it first, then renamed into its place.
 
+    With a command the table is written() with its history, else what stands beside the old table goes on standing beside the new one.
     The old table is put aside as path + ".old" before, and deleted last: whenever this is broken off, one of the two is whole.
     """
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path + ".new")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at, new, old = (jvm.org.apache.hadoop.fs.Path(path + end) for end in ("", ".new", ".old"))
     fs = at.getFileSystem(conf)
+    fs.delete(new, True)
+    if command is not None:
+        written(df, path + ".new", command, *sources)
+    else:
+        df.write.mode("overwrite").parquet(path + ".new")
+        beside = jvm.org.apache.hadoop.fs.Path(path + "/_about")
+        if fs.exists(beside):
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, beside, fs, jvm.org.apache.hadoop.fs.Path(path + ".new/_about"), False, conf)
     fs.delete(old, True)
     for a, b in ((at, old), (new, at)):
         if not fs.rename(a, b):
@@ -91,12 +116,16 @@ def rewritten(df: DataFrame, path: str) -> None:
 def written(rows: DataFrame, path: str, command: str, *sources: str) -> None:
     """A table of reads with what it comes from beside it, in a folder that readers pass over: the history of its sources,
     this command and its date, and the table's statistics, which stored() gives back."""
-    spark = rows.sparkSession
     rows.write.parquet(path)
+    noted(rows.sparkSession, path, command, *sources)
+
+
+def noted(spark: SparkSession, path: str, command: str, *sources: str) -> None:
+    """Writes the history of a table that stands at path, and its statistics, beside it."""
     history = [x for s in sources for x in about(spark, s)["history"]]
     now = spark.sql("select cast(now() as string)").first()[0]
     told = {"history": [*history, {"program": "readlake", "command": command, "sources": [*sources], "date": now}], "statistics": statistics(spark.read.parquet(path)).first().asDict()}
-    spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.text(path + "/_about")
+    spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(path + "/_about")
 
 
 def about(spark: SparkSession, path: str) -> dict:

@@ -59,8 +59,10 @@ def header_tags(lines: DataFrame) -> DataFrame:
 
 
 def sam_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, kind, tags) of the header lines of SAM text."""
-    return header_tags(spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), "value"))
+    """(file, ord, kind, tags) of the header lines of SAM text; of a folder that holds a header as a file of its own, that file alone is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path + "/header*")
+    own = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return header_tags(spark.read.text([str(x.getPath()) for x in own] if own else path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), "value"))
 
 
 def query_length(cigar: Column) -> Column:

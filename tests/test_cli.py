@@ -70,19 +70,63 @@ def test_from_alignments_to_reports(spark, files, capsys):
     assert "extractReads 11" in capsys.readouterr().out
 
 
+def names_of(files, name):
+    """Names in the order of a folder's files."""
+    out = []
+    for p in sorted((files / name).glob("[hp]*")):
+        out += [x.split("\t")[0] for x in p.read_text().splitlines() if not x.startswith("@")]
+    return out
+
+
+def told(df):
+    return sorted((r.qname, r.flag, r.rname, r.pos, r.cigar, r.seq, r.qual, r.score, r.md, r.aux["XB"]) for r in df.collect())
+
+
 def test_bamsort(spark, files):
     run(files, "bamsort", "/a.sam", "/b.sam", "-o", "/s.bam")
-    parts = sorted(str(p) for p in (files / "s.bam").glob("part-*.bam"))
-    run(files, "bamsort", *parts, "/a.sam", "--keep-header")  # from both formats, under a name of its own
-    heads = [r.value for r in spark.read.text(parts[0][:-4] + ".sorted.sam.header").collect()]
+    run(files, "bamsort", "/s.bam", "/a.sam", "--keep-header")  # from both formats, under a name of its own
+    heads = [x for p in (files / "s.sorted.sam").glob("header*") for x in p.read_text().splitlines()]
     assert heads[0] == "@HD\tVN:1.6\tSO:queryname" and sum(h.startswith("@SQ") for h in heads) == 94 and sum(h.startswith("@PG") for h in heads) >= 3
+    parts = sorted(str(p) for p in (files / "s.bam").glob("part-*.bam"))
     names = [r.qname for p in parts for r in spark.read.format("bam").load(p).orderBy("ord").collect()]
     assert names == sorted(names) and len(names) == text.sam(spark, str(files / "a.sam")).count() + text.sam(spark, str(files / "b.sam")).count()
     run(files, "bamsort", *parts, "--merge", "-o", "/merged.sam")
-    assert spark.read.text(str(files / "merged.sam")).count() == len(names)
+    assert names_of(files, "merged.sam") == names
     with pytest.raises(ValueError, match="order"):
         (files / "bad.sam").write_text("@SQ\tSN:x\tLN:5\nb\t0\tx\t1\t0\t1M\t*\t0\t0\tA\tI\na\t0\tx\t1\t0\t1M\t*\t0\t0\tA\tI\n")
         run(files, "bamsort", "/bad.sam", "--merge", "-o", "/never")
+    assert not (files / "never/_SUCCESS").exists()
+
+
+def test_what_bamsort_writes_is_read_again(spark, files, capsys):
+    both = told(text.sam(spark, str(files / "a.sam")).unionByName(text.sam(spark, str(files / "b.sam"))))
+    for out in ("x.sam", "x.bam"):
+        run(files, "bamsort", "/a.sam", "/b.sam", "-o", f"/{out}")
+        assert told(cli.alignments(spark, str(files / out))) == both
+        assert cli.headers(spark, str(files / out)).where("kind = '@SQ'").count() == 94
+        run(files, "bamsort", "--merge", f"/{out}", "-o", f"/again.{out}")  # takes its own output, of many parts
+        assert told(cli.alignments(spark, str(files / f"again.{out}"))) == both
+        run(files, "seqstat", f"/{out}")
+        assert f"|{len(both)}" in capsys.readouterr().out
+    run(files, "makeAccTax", "/acc.tsv", "-o", "/again.1acctax")
+    tables = []
+    for source in ("x.sam", "x.bam"):
+        run(files, "bam21read", "/again.1acctax", f"/{source}", "-o", f"/{source}.1read")
+        tables.append(sorted(map(str, spark.read.parquet(str(files / f"{source}.1read")).collect())))
+    assert tables[0] == tables[1] and len(tables[0]) == 240
+    run(files, "bamsort", "--merge", "/x.sam", "/x.bam", "-o", "/both.bam")  # both formats; each name twice as often
+    assert told(cli.alignments(spark, str(files / "both.bam"))) == sorted(both + both)
+
+
+def test_history_of_a_table_rewritten_in_place(spark, files):
+    spark.range(3).selectExpr("cast(id as string) as name", "'acgt' as seq", "'IIII' as qual", "1 as max_score", "'....' as mline", "cast(null as int) as dust", "cast(null as int) as lca", "array(named_struct('taxid', 11, 'best_score', 1, 'cnt', 1L)) as tax").write.parquet(str(files / "h.1read"))
+    sinks.noted(spark, str(files / "h.1read"), "made")
+    run(files, "addLCA", "/tax", "/h.1read", "-o", "-")
+    about = sinks.about(spark, str(files / "h.1read"))
+    assert [x["command"] for x in about["history"]] == ["made", "addLCA"] and about["statistics"]["n_reads"] == 3
+    assert {r.lca for r in spark.read.parquet(str(files / "h.1read")).collect()} == {11}
+    sinks.rewritten(spark.read.parquet(str(files / "h.1read")).where("name <> '1'"), str(files / "h.1read"))
+    assert len(sinks.about(spark, str(files / "h.1read"))["history"]) == 2
 
 
 def test_tags_as_columns(spark, files):

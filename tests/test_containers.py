@@ -90,8 +90,8 @@ def test_bam_of_long_records(tmp_path):
     path.write_bytes(bgzf(data, 20000))  # a record of 120,000 bases lies in ten blocks
     for split in (1 << 26, 100_000, 20_000):
         reader = bam.BamReader(str(path), split)
-        got = [r for part in reader.partitions() for r in reader.rows(part)]
-        assert [(r[0], len(r[9])) for r in got] == [(f"q{i:05d}", n) for i, n in enumerate(sizes)]
+        got = [r for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+        assert [(r["qname"], len(r["seq"])) for r in got] == [(f"q{i:05d}", n) for i, n in enumerate(sizes)]
 
 
 def test_running_taxa_equal_those_at_once(spark, tmp_path):
