@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
 from itertools import islice
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.merging import Pairs, merge
-from readlake.llm.ragged import slices
+from readlake.llm.ragged import PIECE_BYTES, slices
 from readlake.llm.tables import lean, partitions, small_batches
 
 BLOCK_CHARS = 32 << 20
@@ -155,6 +155,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     are put together again. Other columns are left out; an empty table gives an empty one.
     ranks_path must be readable on executors.
     """
+    blocks, assemble, key = _encoded(docs, ranks_path, pattern, id_col, text_col)
+    return blocks.mapInArrow(lean(assemble), f"key {key}, ids array<int>").withColumnRenamed("key", id_col)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded) of every row: decode() of encode(), by one worker of a task where each of both takes one of its own."""
+    blocks, assemble, key = _encoded(docs, ranks_path, pattern, id_col, text_col)
+    back = _decoder(ranks_path)
+    return blocks.mapInArrow(lean(lambda batches: back(assemble(batches))), f"key {key}, ids array<int>, decoded binary").withColumnRenamed("key", id_col)
+
+
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]:
+    """Texts and ids of their words block by block, what puts them together, and the type of the id."""
     slots = partitions(docs.sparkSession)
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
@@ -163,7 +176,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern)
         block, number, kind = Block(), TaskContext.get().partitionId() << 32, None
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", PIECE_BYTES):
             kind = b.column(0).type
             for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 block.add(k, t.as_py(), find)
@@ -224,7 +237,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     exploded = rows.mapInArrow(lean(explode), _EXPLODED.format(key=key))
     encoded = exploded.repartition(slots, "slot").mapInArrow(lean(encode_words), _ENCODED.format(key=key))
     blocks = encoded.repartition(slots, "block").sortWithinPartitions("block", F.desc("kind"), "ord")  # the words first
-    return blocks.mapInArrow(lean(assemble), f"key {key}, ids array<int>").withColumnRenamed("key", id_col)
+    return blocks, assemble, key
 
 
 def take(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,13 +258,16 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     small_batches(encoded.sparkSession)
     rows = encoded.select(F.col(id_col).alias("key"), F.col(ids_col).alias("ids"))
     key = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(lean(_decoder(ranks_path)), f"key {key}, ids array<int>, decoded binary").withColumnsRenamed({"key": id_col, "ids": ids_col})
+
 
+def _decoder(ranks_path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary(ranks_path).token_bytes
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([decoded(table, ids.values) for ids in b.column(1)], pa.binary())], ["key", "ids", "decoded"])
 
-    return rows.mapInArrow(lean(join), f"key {key}, ids array<int>, decoded binary").withColumnsRenamed({"key": id_col, "ids": ids_col})
+    return join
 
 
 def decoded(table: pa.Array, ids: pa.Array | None) -> bytes:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.ragged import LOWER, Texts, mix, powers, slices, span_hashes
+from readlake.llm.ragged import LOWER, PIECE_BYTES, Texts, mix, powers, slices, span_hashes
 from readlake.llm.tables import cut, dropped, lean, small_batches, stored
 
 #: 0-9, a-z and all bytes of characters beyond ASCII, after A-Z have become a-z.
@@ -43,7 +43,7 @@ def patterns(benchmark: DataFrame, width: int = WIDTH, id_col: str = "item_id",
     rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", PIECE_BYTES):
             texts, starts, ends, doc, _ = words_of(b.column(1))
             data, items = texts.data.tobytes(), b.column(0).to_pylist()
             words = [data[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -147,7 +147,7 @@ def _searched(rows: DataFrame, held: list[tuple[bytes, int, list[str]]], key: st
         for p, m, items in shared.value:
             by_length.setdefault(m, []).append((p, items))
         searchers = [Searcher(found, m) for m, found in by_length.items()]
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", PIECE_BYTES):
             texts, starts, ends, doc, h = words_of(b.column(1))
             edges = np.searchsorted(doc, np.arange(texts.n + 1))
             cover = np.zeros(len(h) + 1, np.int64)

@@ -12,7 +12,7 @@ from readlake.llm import byte_bpe, language
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encoded by the operator, decoded from its ids, and told in digests."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    both = byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.components import components
-from readlake.llm.ragged import LOWER, NOT_SPACE, U64, Texts, mix, powers, slices, stream, windows
+from readlake.llm.ragged import LOWER, NOT_SPACE, PIECE_BYTES, U64, Texts, mix, powers, slices, stream, windows
 from readlake.llm.tables import cut, dealt, lean, partitions, sized, small_batches, stored, swept
 
 WIDTH = 5
@@ -323,7 +323,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     slots = 2 * partitions(docs.sparkSession)  # a slot's signatures are unpacked in one task, which bounds its memory
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", PIECE_BYTES):
             values, edges = shingle_sets(b.column(1), width)
             n, sid = np.diff(edges), set_ids(values, edges)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sid, mask=n == 0), pa.array(histograms(values, edges), pa.binary()), pa.array(sketches(values, edges), pa.binary())], ["id", "n", "sid", "hist", "sketch"])
@@ -331,7 +331,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def signed() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             seen: set[int] = set()
-            for b in slices(batches, "text"):
+            for b in slices(batches, "text", PIECE_BYTES):
                 values, edges = shingle_sets(b.column(1), width)
                 sid = set_ids(values, edges)
                 new = np.array([s not in seen for s in sid.tolist()], bool) & np.isin(np.arange(len(sid)), np.unique(sid, return_index=True)[1])
@@ -503,7 +503,7 @@ def linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int) -> Da
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", PIECE_BYTES):
             values, edges = shingle_sets(b.column(1), width)
             right = []
             for i, (have, want) in enumerate(zip(set_ids(values, edges).tolist(), b.column(0).to_pylist(), strict=True)):

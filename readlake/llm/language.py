@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.ragged import mix, slices
+from readlake.llm.ragged import PIECE_BYTES, mix, slices
 from readlake.llm.tables import lean, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -142,27 +142,30 @@ def train(docs: DataFrame, bound: int = 20_000, lang_col: str = "lang", text_col
     taken = rows.where(F.col("draw") < share[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {k: np.zeros(BUCKETS + len(NAMES), np.int64) for k in languages}
-        for b in slices(batches, "text"):
-            by: dict[str, list[str]] = {}
+        sums = {k: np.zeros(2 * BUCKETS + len(NAMES), np.int64) for k in languages}  # trigrams, scripts, trigrams of each text's distinct words
+        for b in slices(batches, "text", PIECE_BYTES):
+            by: dict[str, tuple[list[str], list[str]]] = {}
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(k, []).extend(WORD.findall(t.lower()))
-            for k, words in by.items():
+                words = WORD.findall(t.lower())
+                for some, more in zip(by.setdefault(k, ([], [])), (words, set(words)), strict=True):
+                    some.extend(more)
+            for k, (words, distinct) in by.items():
                 if words:
                     bucket, _, script, letters = features(words)
-                    sums[k] += np.r_[np.bincount(bucket, minlength=BUCKETS), np.bincount(script, letters, len(NAMES)).astype(np.int64)]
+                    sums[k] += np.r_[np.bincount(bucket, minlength=BUCKETS), np.bincount(script, letters, len(NAMES)).astype(np.int64), np.bincount(features(distinct)[0], minlength=BUCKETS)]
         for k, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
     found = taken.mapInArrow(lean(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros((BUCKETS + len(NAMES), len(languages)))
+    n = np.zeros((2 * BUCKETS + len(NAMES), len(languages)))
     for r in found:
         n[r.bucket, languages.index(r.lang)] = r.n
-    grams, scripts = n[:BUCKETS] + 0.5, n[BUCKETS:]
-    table, share = np.log(grams / grams.sum(0)), n[:BUCKETS] / np.maximum(n[:BUCKETS].sum(0), 1)
-    mean = (share * table).sum(0)
-    return Model(languages, table, scripts >= np.maximum(1, 0.01 * scripts.sum(0)), np.stack([mean, np.sqrt((share * (table - mean) ** 2).sum(0))]))
+    grams, scripts, distinct = n[:BUCKETS] + 0.5, n[BUCKETS : BUCKETS + len(NAMES)], n[BUCKETS + len(NAMES) :]
+    # what the trigrams of a text's words are like if it isn't learned from, each with one occurrence less; a word repeated in a text counts once
+    own, share = np.log(np.maximum(grams - 1, 0.5) / (grams.sum(0) - 1)), distinct / np.maximum(distinct.sum(0), 1)
+    mean = (share * own).sum(0)
+    return Model(languages, np.log(grams / grams.sum(0)), scripts >= np.maximum(1, 0.01 * scripts.sum(0)), np.stack([mean, np.sqrt((share * (own - mean) ** 2).sum(0))]))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
@@ -182,7 +185,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", PIECE_BYTES):
             texts = b.column(len(kept)).to_pylist()
             split = [WORD.findall(t.lower()) if t else [] for t in texts]
             m.learn(set(chain.from_iterable(split)))

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 SLICE_BYTES = 4 << 20
+#: As much where a worker stands beside others of its task: tables of powers are kept as long as slices are.
+PIECE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

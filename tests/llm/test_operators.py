@@ -49,6 +49,7 @@ def test_bpe(docs, odd):
         got = byte_bpe.decode(byte_bpe.encode(df, path, public_tokenizers.PATTERN), path).collect()
         want = collections.Counter((k, tuple(library.encode_ordinary(t or "")), (t or "").encode()) for k, t in texts_of(df))
         assert collections.Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in got) == want
+        assert collections.Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in byte_bpe.round_trip(df, path, public_tokenizers.PATTERN).collect()) == want
     assert byte_bpe.encode(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
@@ -72,6 +73,11 @@ def test_language(spark, docs, odd):
     assert [s.lang for s in row.spans] == ["en", "de"] and 0 <= row.score <= 1
     with pytest.raises(ValueError, match="no labelled text"):
         language.train(docs.limit(0))
+    gibberish = " ".join("".join(random.Random(i).choices(LETTERS, k=7)) for i in range(60))
+    strange = [(1, gibberish), (2, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto"), (3, "привет как дела " * 9), (4, None), (5, "12")]
+    found = {r.doc_id: r for r in language.predict(spark.createDataFrame(strange, "doc_id long, text string"), model, with_text=True).collect()}
+    assert all(found[i].known < 0.3 for i in found) and [found[i].text for i in sorted(found)] == [t for _, t in strange]
+    assert language.predict(docs, model).where("letters > 200 and known < 0.6").count() == 0
 
 
 def test_viterbi_is_the_best_labelling():
@@ -162,6 +168,15 @@ def test_decontamination(spark, sf, docs, odd):
     assert decontaminate.search(odd, bench.limit(0)).where("size(runs) > 0").count() == 0
 
 
+def test_decontamination_by_items_without_id_and_in_blocks(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (7, "three four"), (8, None)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "zero one two three four"), (2, "four three"), (3, None)], "doc_id long, text string")
+    for most in (100, 1):
+        found = decontaminate.search(df, bench, most=most, with_text=True)
+        assert {(r.doc_id, r.text, tuple(tuple(x) for x in r.runs), tuple(r["items"])) for r in found.collect()} == {(1, "zero one two three four", ((1, 5),), ("7",)), (2, "four three", (), ()), (3, None, (), ())}
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # a block's search alone in its stage
+
+
 def test_chat(spark):
     random.seed(6)
     bits = ["<", "|", "\\", "<|im_end|>", "<|im_start|>", "\n", "a", "é", "assistant"]
@@ -270,6 +285,22 @@ def test_pii(spark, docs, odd):
     assert [r.t for r in got] == ["iban <IBAN>, password: <SECRET> me <EMAIL>@d.e", "iban GB83 WEST 1234 5698 7654 32", None]
 
 
+def test_pii_of_very_many_matches(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "".join(f"mail ann{i % 7}@b.com or 10.0.0.{i % 300} " for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        r = pii.find(df).select(F.size("pii_spans").alias("n"), F.element_at("pii_spans", -1).alias("last"), pii.redacted(F.col("text"), F.col("pii_spans")).alias("r"), "text").first()
+        took = time.time() - began
+        assert r.n == n + sum(i % 300 < 256 for i in range(n))
+        assert r.r == re.sub("ann[0-9]@b.com", "<EMAIL>", re.sub(r"10\.0\.0\.([0-9]+)", lambda m: "<IP>" if int(m[1]) < 256 else m[0], r.text))
+        return took
+
+    seconds(10)
+    assert seconds(50_000) < 30  # a fold that copies what it has would take minutes
+
+
 def test_secrets_behind_longer_names(spark):
     names = ["db_password=", "client_secret: ", "my_api_key: ", "AWS_SECRET_ACCESS_KEY=", "authtoken='", "token="]
     df = spark.createDataFrame([(f"x {n}abcdef0123456789 y",) for n in names] + [("abcdef0123456789",)], "text string")

@@ -1,6 +1,7 @@
 """The pipeline's stages on small tables: each does what its operator says to rows that its predecessor kept."""
 
 import collections
+import random
 import re
 
 import corpus_pipeline as P
@@ -67,6 +68,15 @@ def test_stages(spark, sf, tmp_path):
     assert set(docs.columns) >= {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
 
 
+def test_language_id_drops_what_no_learned_language_is_like(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(2)
+    strange = [(9101, " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(50))), (9102, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto"), (9103, "zzqxk")]
+    after = P.language_id(spark, docs.unionByName(spark.createDataFrame([(k, t, None, None, 1) for k, t in strange], docs.schema)), sf)
+    ids = {r.doc_id for r in after.collect()}
+    assert not ids & {9101, 9102} and 9103 in ids and ids - {9103} == {r.doc_id for r in docs.collect()}  # a word or two is no evidence
+
+
 def test_empty_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
