@@ -18,7 +18,7 @@ from readlake.functions import sequences as S
 from readlake.operators import accessions, reads, reports, sorting, taxonomy
 from readlake.schemas import TAX
 from readlake.session import session
-from readlake.sources import bam, merging, one, sinks, text
+from readlake.sources import bam, bucketed, merging, one, sinks, text
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +35,7 @@ def sequences(spark: SparkSession, path: str) -> DataFrame:
         return df.select(F.col(name).alias("id"), F.lit(None).cast("string").alias("description"), "seq", "qual")
 
     if path.endswith((".parquet", ".1read")):
-        return flat(spark.read.parquet(path), "name")
+        return flat(bucketed.read(spark, path), "name")
     kind = "bam" if path.endswith(".bam") else text.kind_of((spark.read.text(path).first() or [""])[0] + "\t")
     if kind in ("bam", "sam"):  # a row for each record, as it stands
         return flat(alignments(spark, path), "qname")
@@ -53,7 +53,7 @@ def make_acc_tax(spark: SparkSession, a: argparse.Namespace) -> None:
 def bam_to_reads(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = alignments(spark, a.input)
     refs = accessions.with_taxa(rows.select(F.col("rname").alias("accession")).where("accession is not null").distinct(), spark.read.parquet(a.acctax))
-    sinks.written(reads.build(reads.with_taxa(rows, refs), a.mates_apart), a.output or sinks.derived(a.input, "1read"), "bam21read", a.input)
+    sinks.written(reads.build(reads.with_taxa(rows, refs), a.mates_apart), a.output or sinks.derived(a.input, "1read"), "bam21read", a.input, buckets=a.buckets)
 
 
 def tag_formats(specs: Sequence[str]) -> list[tuple[str, str]]:
@@ -79,19 +79,24 @@ def bam_to_table(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def merge(spark: SparkSession, a: argparse.Namespace) -> None:
-    sinks.written(reads.merged(*(spark.read.parquet(p) for p in a.inputs)), a.output or "merged.1read", "merge1read", *a.inputs)
+    """Tables with the same buckets are merged bucket by bucket, without a shuffle, into as many; others are shuffled once."""
+    rows, out = bucketed.together(spark, a.inputs), a.output or "merged.1read"
+    if rows is None:
+        sinks.written(reads.merged(*(bucketed.read(spark, p) for p in a.inputs)), out, "merge1read", *a.inputs, buckets=a.buckets)
+    else:
+        sinks.written(reads.merged_sources(rows), out, "merge1read", *a.inputs, buckets=bucketed.buckets_of(spark, a.inputs[0])[0], dealt=True)
 
 
 def add_lca(spark: SparkSession, a: argparse.Namespace) -> None:
     """Reads with their lowest common ancestors, and beside them the part of the tree that their taxa make up."""
     nodes = text.taxonomy_dump(spark, a.taxonomy)
-    rows = reads.with_lca(spark.read.parquet(a.input), nodes, a.score_threshold, a.max_divergence)
+    rows = reads.with_lca(bucketed.read(spark, a.input), nodes, a.score_threshold, a.max_divergence)
     out = a.output or sinks.derived(a.input, "lca.1read") if a.output != "-" else a.input
     if out == a.input:
         sinks.rewritten(rows, out, "addLCA", a.input)
     else:
         sinks.written(rows, out, "addLCA", a.input)
-    taxonomy.write_subset(taxonomy.closure(reads.taxa(spark.read.parquet(out)), nodes), out + ".1tax")
+    taxonomy.write_subset(taxonomy.closure(reads.taxa(bucketed.read(spark, out)), nodes), out + ".1tax")
 
 
 def tree(spark: SparkSession, path: str) -> DataFrame:
@@ -100,16 +105,16 @@ def tree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def report_lca(spark: SparkSession, a: argparse.Namespace) -> None:
-    sinks.report(reports.by_taxon(spark.read.parquet(a.input), tree(spark, a.taxonomy), a.rank, a.group), a.output or sinks.derived(a.input, "reportLCA"))
+    sinks.report(reports.by_taxon(bucketed.read(spark, a.input), tree(spark, a.taxonomy), a.rank, a.group), a.output or sinks.derived(a.input, "reportLCA"))
 
 
 def extract_reads(spark: SparkSession, a: argparse.Namespace) -> None:
-    sinks.written(reads.below(spark.read.parquet(a.input), tree(spark, a.taxonomy), a.lca), a.output or sinks.derived(a.input, f"{a.lca}.1read"), f"extractReads {a.lca}", a.input)
+    sinks.written(reads.below(bucketed.read(spark, a.input), tree(spark, a.taxonomy), a.lca), a.output or sinks.derived(a.input, f"{a.lca}.1read"), f"extractReads {a.lca}", a.input)
 
 
 def report_reads(spark: SparkSession, a: argparse.Namespace) -> None:
     """One folder with a table of each kind, and all of them as one text."""
-    rows, out = spark.read.parquet(a.input), a.output or sinks.derived(a.input, "report1read")
+    rows, out = bucketed.read(spark, a.input), a.output or sinks.derived(a.input, "report1read")
     tables = reports.of_reads(rows)
     for title, df in tables.items():
         df.coalesce(1).write.csv(f"{out}/{title}", sep="\t", header=True)
@@ -175,10 +180,12 @@ def view(spark: SparkSession, a: argparse.Namespace) -> None:
         for k, v in (sinks.about(spark, a.input) if a.input.endswith((".parquet", ".1read")) else {"head": one.HEAD}).items():
             print(k, v)
         return
-    rows = spark.read.parquet(a.input) if a.input.endswith((".parquet", ".1read")) else one.reads(spark, a.input)
+    table = a.input.endswith((".parquet", ".1read"))
+    rows = bucketed.read(spark, a.input) if table else one.reads(spark, a.input)
     if a.index:
         ranges = [(int(x), int(y) if y else None) for x, _, y in (i.partition("-") for i in a.index)]
-        rows = sorting.slices(sorting.with_row_ids(rows, "name"), ranges).drop("row_id")
+        indexed = table and bucketed.indexed(spark, a.input)
+        rows = (bucketed.slices(spark, a.input, ranges) if indexed else sorting.slices(sorting.with_row_ids(rows, "name"), ranges)).drop("row_id")
     if a.output:
         one.write_reads(rows, a.output)
     else:
@@ -188,7 +195,7 @@ def view(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def validate(spark: SparkSession, a: argparse.Namespace) -> None:
     """Statistics worked out anew beside the stored ones, and the bytes that each kind of line takes."""
-    rows = spark.read.parquet(a.input)
+    rows = bucketed.read(spark, a.input)
     reads.validated(reads.statistics(rows), sinks.stored(spark, a.input)).orderBy("field").show(100, truncate=False)
     if a.usage:
         one.bytes_by_letter(rows).orderBy("letter").show(100, truncate=False)
@@ -218,11 +225,11 @@ def main(args: Sequence[str] | None = None) -> None:
             c.add_argument("--" + k.replace("_", "-"), **kw)
         c.set_defaults(run=f)
 
-    yes = {"action": "store_true"}
+    yes, dealt = {"action": "store_true"}, {"type": int, "default": bucketed.BUCKETS}
     command("makeAccTax", make_acc_tax, "input")
-    command("bam21read", bam_to_reads, "acctax", "input", mates_apart=yes)
+    command("bam21read", bam_to_reads, "acctax", "input", mates_apart=yes, buckets=dealt)
     command("bam21bam", bam_to_table, "input", acc_tax={}, aux={"action": "append", "metavar": "TAG:FMT"})
-    command("merge1read", merge, "inputs")
+    command("merge1read", merge, "inputs", buckets=dealt)
     command("addLCA", add_lca, "taxonomy", "input", score_threshold={"type": int}, max_divergence={"type": float})
     command("reportLCA", report_lca, "taxonomy", "input", rank={}, group={})
     command("extractReads", extract_reads, "taxonomy", "input", lca={"type": int, "required": True})

@@ -70,7 +70,7 @@ def build(alignments: DataFrame, mates_apart: bool = False) -> DataFrame:
 
 
 def merged(*inputs: DataFrame) -> DataFrame:
-    """One row for each read name of several tables of reads.
+    """One row for each read name of several tables of reads, which one shuffle by name brings together.
 
     Counts of a taxon add up, its best scores and the reads' take the maximum; the match line is that of the
     highest score, the sequence that of the first table that has the read. dust and lca are left to be worked out anew.
@@ -79,19 +79,25 @@ def merged(*inputs: DataFrame) -> DataFrame:
     for i, reads in enumerate(inputs):
         one = reads.select(F.lit(i).alias("source"), "name", "seq", "qual", "max_score", "mline", "tax")
         rows = one if rows is None else rows.unionByName(one)
-    return _merge(rows)
+    return merged_sources(rows.repartition("name"))
 
 
-def _merge(rows: DataFrame) -> DataFrame:
-    """Taxa are added up as rows before they are nested again, so a read that hits thousands costs no more than its rows."""
-    one = rows.groupBy("name").agg(
-        F.min_by(F.struct("seq", "qual"), "source").alias("first"), F.max("max_score").alias("max_score"),
-        F.max_by("mline", F.when(F.col("max_score").isNotNull(), F.struct("max_score", -F.col("source")))).alias("mline"),
+def merged_sources(rows: DataFrame) -> DataFrame:
+    """As merged(), of the rows of all tables with the number of their table as source.
+
+    Rows that lie together by name, as bucketed.together() reads them, are merged where they lie. Taxa are added up as rows before they are
+    nested again, so a read that hits thousands costs no more than its rows; the rest of a read goes with its first taxon.
+    """
+    flat = rows.select("name", "source", "seq", "qual", "max_score", "mline", F.posexplode_outer("tax").alias("at", "t"))
+    head, scored = F.coalesce(F.col("at"), F.lit(0)) == 0, F.when(F.col("max_score").isNotNull(), F.struct(F.col("max_score").alias("s"), (-F.col("source")).alias("o")))
+    by_taxon = flat.groupBy("name", F.col("t.taxid").alias("taxid")).agg(
+        F.max("t.best_score").alias("best_score"), F.sum("t.cnt").alias("cnt"), F.max("max_score").alias("max_score"),
+        F.min_by(F.struct("seq", "qual"), F.when(head, F.col("source"))).alias("first"), F.min(F.when(head, F.col("source"))).alias("source"),
+        F.max_by("mline", F.when(head, scored)).alias("mline"), F.max(F.when(head, scored)).alias("best"),
     )
-    summed = taxa(rows).groupBy("name", "taxid").agg(F.max("best_score").alias("best_score"), F.sum("cnt").alias("cnt"))
-    nested = summed.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("taxid", "best_score", "cnt"))).alias("tax"))
-    whole = one.join(nested, "name", "left")
-    return whole.select("name", F.col("first.seq").alias("seq"), F.col("first.qual").alias("qual"), "max_score", "mline", F.lit(None).cast("int").alias("dust"), F.lit(None).cast("int").alias("lca"), F.coalesce("tax", F.array().cast(TAX)).cast(TAX).alias("tax"))
+    taxon = F.when(F.col("taxid").isNotNull(), F.struct("taxid", "best_score", "cnt"))
+    whole = by_taxon.groupBy("name").agg(F.min_by("first", "source").alias("first"), F.max("max_score").alias("max_score"), F.max_by("mline", "best").alias("mline"), F.array_sort(F.collect_list(taxon)).alias("tax"))
+    return whole.select("name", F.col("first.seq").alias("seq"), F.col("first.qual").alias("qual"), "max_score", "mline", F.lit(None).cast("int").alias("dust"), F.lit(None).cast("int").alias("lca"), F.col("tax").cast(TAX).alias("tax"))
 
 
 def taxa(reads: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from readlake.operators.reads import statistics
 from readlake.session import cut
+from readlake.sources import bucketed
 
 
 def sam_lines(alignments: DataFrame) -> DataFrame:
@@ -113,10 +114,19 @@ def rewritten(df: DataFrame, path: str, command: str | None = None, *sources: st
     fs.delete(old, True)
 
 
-def written(rows: DataFrame, path: str, command: str, *sources: str) -> None:
+def written(rows: DataFrame, path: str, command: str, *sources: str, buckets: int = 0, dealt: bool = False) -> None:
     """A table of reads with what it comes from beside it, in a folder that readers pass over: the history of its sources,
-    this command and its date, and the table's statistics, which stored() gives back."""
-    rows.write.parquet(path)
+    this command and its date, and the table's statistics, which stored() gives back.
+
+    Rows are numbered as they are written, and which file holds which numbers stands beside them too, for bucketed.slices().
+    With buckets they are dealt and sorted by name, so that tables are merged without a shuffle; dealt: they lie so already.
+    """
+    rows = rows.drop(bucketed.PLACE)
+    if buckets:
+        bucketed.write(rows, path, buckets, dealt=dealt)
+    else:
+        rows.withColumn(bucketed.PLACE, F.monotonically_increasing_id()).write.parquet(path)
+    bucketed.index(rows.sparkSession, path)
     noted(rows.sparkSession, path, command, *sources)
 
 
@@ -124,7 +134,7 @@ def noted(spark: SparkSession, path: str, command: str, *sources: str) -> None:
     """Writes the history of a table that stands at path, and its statistics, beside it."""
     history = [x for s in sources for x in about(spark, s)["history"]]
     now = spark.sql("select cast(now() as string)").first()[0]
-    told = {"history": [*history, {"program": "readlake", "command": command, "sources": [*sources], "date": now}], "statistics": statistics(spark.read.parquet(path)).first().asDict()}
+    told = {"history": [*history, {"program": "readlake", "command": command, "sources": [*sources], "date": now}], "statistics": statistics(bucketed.plain(spark, path)).first().asDict()}
     spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(path + "/_about")
 
 
