@@ -18,7 +18,7 @@ from readlake.functions import sequences as S
 from readlake.operators import accessions, reads, reports, sorting, taxonomy
 from readlake.schemas import TAX
 from readlake.session import session
-from readlake.sources import bam, bucketed, merging, one, sinks, text
+from readlake.sources import bam, blocked, bucketed, merging, one, sinks, text
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:
@@ -171,7 +171,8 @@ def convert(spark: SparkSession, a: argparse.Namespace) -> None:
         nothing = {c: F.lit(None) for c in ("max_score", "mline", "dust", "lca")}
         one.write_reads(rows.select(F.col("id").alias("name"), "seq", "qual").withColumns({c: v.cast("string" if c == "mline" else "int") for c, v in nothing.items()}).withColumn("tax", F.array().cast(TAX)), out)
     else:
-        (sinks.fasta_lines(rows) if a.fasta else sinks.fastq_lines(rows)).write.text(out, compression="gzip" if a.gz else "none")
+        lines = sinks.fasta_lines(rows) if a.fasta else sinks.fastq_lines(rows)
+        blocked.write(lines, out) if a.gz else lines.write.text(out)
 
 
 def view(spark: SparkSession, a: argparse.Namespace) -> None:

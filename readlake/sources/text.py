@@ -1,6 +1,6 @@
 """Text formats: accession tables, taxonomy dumps, SAM, FASTA, FASTQ.
 
-All read with Spark's own readers, which open compressed files too, so large ones are split among tasks.
+Uncompressed text is read and split by Spark's own reader, blocked gzip is split by blocked.py; an ordinary gzip file is one task's.
 """
 
 from __future__ import annotations
@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from readlake.functions.sequences import flag_number
 from readlake.operators.taxonomy import annotated
 from readlake.schemas import ALIGNMENTS
+from readlake.sources import blocked
 
 
-def accession_table(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def accession_table(spark: SparkSession, path: str, strict: bool = False, split: int = blocked.SPLIT) -> DataFrame:
     """(ord, accession, version, taxid) of an accession-to-taxon table; lines that break a rule go.
 
     Header and empty lines and lines that begin with a space go; the version is the accession, a dot and digits;
     the taxon is digits. A fourth column is allowed, unless strict. ord grows along each file.
     """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ord"))
+    lines = blocked.lines(spark, path, split).select("value", "ord")
     f = F.split("value", "\t")
     rows = lines.select("ord", "value", f.alias("f"), F.get(f, F.lit(0)).alias("accession"), F.get(f, F.lit(1)).alias("version"), F.get(f, F.lit(2)).alias("taxon"))
     ok = (F.col("value") != "") & ~F.col("value").startswith(" ") & (F.col("accession") != "accession") & F.col("accession").rlike(r"^\S{1,63}$")
@@ -62,7 +63,9 @@ def sam_headers(spark: SparkSession, path: str) -> DataFrame:
     """(file, ord, kind, tags) of the header lines of SAM text; of a folder that holds a header as a file of its own, that file alone is read."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path + "/header*")
     own = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
-    return header_tags(spark.read.text([str(x.getPath()) for x in own] if own else path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), "value"))
+    if own:
+        return header_tags(spark.read.text([str(x.getPath()) for x in own]).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), "value"))
+    return header_tags(blocked.lines(spark, path))
 
 
 def query_length(cigar: Column) -> Column:
@@ -71,14 +74,14 @@ def query_length(cigar: Column) -> Column:
     return F.aggregate(runs, F.lit(0).cast("bigint"), lambda n, r: n + F.coalesce(r.try_cast("bigint"), F.lit(0)))
 
 
-def sam(spark: SparkSession, path: str) -> DataFrame:
+def sam(spark: SparkSession, path: str, split: int = blocked.SPLIT) -> DataFrame:
     """Alignments of SAM text, with what the format leaves open put right.
 
     A reference that the headers don't name is none; without reference, place or CIGAR a read is unmapped (flag 4).
     A CIGAR of another length than the sequence is dropped with its place. Tags stay as text; CG takes the CIGAR's place.
     Flags may be decimal, hexadecimal or octal; a field that should be a number and is none is null, as 0 for a flag.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), "value")
+    lines = blocked.lines(spark, path, split)
     known = sam_headers(spark, path).where("kind = '@SQ'").select(F.col("tags")["SN"].alias("sn")).distinct()
     f = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("@") & (F.col("value") != "")).select("file", "ord", f.alias("f")).where(F.size("f") >= 11)
@@ -111,23 +114,22 @@ def tag(aux: Column, name: str, kind: str) -> Column:
     return F.when(value.rlike("^([0-9A-Fa-f]{2})*$"), value) if kind == "H" else value
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
+def fasta(spark: SparkSession, path: str, split: int = blocked.SPLIT) -> DataFrame:
     """(id, description, seq, qual) of FASTA: white space and signs other than letters and `-` go, case stays."""
-    parts = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where("trim(value) <> ''")
+    parts = blocked.pieces(spark, path, "\n>", split).select(F.regexp_replace("value", "^>", "").alias("value")).where("trim(value) <> ''")
     head, body = F.regexp_extract("value", "^([^\n]*)", 1), F.regexp_replace("value", "^[^\n]*", "")
     text = F.regexp_extract(head, r"^\S*\s+(.*\S)\s*$", 1)
     return parts.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.when(text != "", text).alias("description"), F.regexp_replace(body, "[^A-Za-z-]", "").alias("seq"), F.lit(None).cast("string").alias("qual"))
 
 
-def fastq(spark: SparkSession, path: str) -> DataFrame:
+def fastq(spark: SparkSession, path: str, split: int = blocked.SPLIT) -> DataFrame:
     """(id, description, seq, qual) of FASTQ of four lines each; a record that breaks the format is an error.
 
     Files are cut at lines that begin with `@`. A piece with a `+` line two below begins a record; any other
     is part of the quality, which may begin with `@` too, of the record before it, perhaps in the block of the
     file before. Pieces are numbered within blocks, and blocks by how many records begin in them.
     """
-    at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
-    pieces = spark.read.option("lineSep", "\n@").text(path).select("value", F.monotonically_increasing_id().alias("i"), *at)
+    pieces = blocked.pieces(spark, path, "\n@", split)
     lines = F.split(F.regexp_replace("value", "\n$", ""), "\n")
     begins = (F.size(lines) >= 3) & F.get(lines, F.lit(2)).startswith("+")
     in_block = W.partitionBy("file", "block").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
