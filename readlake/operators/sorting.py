@@ -66,7 +66,12 @@ def united(headers: DataFrame) -> DataFrame:
 
 def with_row_ids(rows: DataFrame, *order: str, row_id: str = "row_id") -> DataFrame:
     """rows numbered from 0 on in the order of columns: sorted by ranges, numbered within, counts of ranges before added."""
-    part = cut(rows.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    return numbered(rows.orderBy(*order), row_id)
+
+
+def numbered(rows: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """rows numbered from 0 on as they lie, partition after partition."""
+    part = cut(rows.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     before = part.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("_low")).withColumn("_before", F.coalesce(F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return part.join(F.broadcast(before.drop("n")), "_p").withColumn(row_id, F.col("_before") + F.col("_i") - F.col("_low")).drop("_p", "_i", "_low", "_before")
 

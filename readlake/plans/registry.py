@@ -12,7 +12,7 @@ from readlake.operators import accessions, reads, reports, sorting, taxonomy
 from readlake.plans import fixtures as X
 from readlake.schemas import TAX
 from readlake.session import cut, scratch
-from readlake.sources import bam, one, sinks, text
+from readlake.sources import bam, blocked, bucketed, merging, one, sinks, text
 from readlake.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,16 @@ def agg5_merged_reads(spark, sf):
     return reads.merged(*(reads.build(rows.where(F.col("file") == i)) for i in range(3))).select("name", "max_score", _tax_text())
 
 
+@query(_SQL["agg5_merged_reads"])
+def joi4_merged_buckets(spark, sf):
+    """As agg5, of three tables written in buckets: they are merged bucket by bucket, and nothing is shuffled."""
+    rows = X.read_taxa(spark, sf).withColumn("seq", F.col("cigar")).withColumn("qual", F.lit(None).cast("string")).withColumn("md", F.lit(None).cast("string"))
+    folder = scratch(spark, "buckets")
+    for i in range(3):
+        bucketed.write(reads.build(rows.where(F.col("file") == i)), f"{folder}/{i}", 8)
+    return reads.merged_sources(bucketed.together(spark, [f"{folder}/{i}" for i in range(3)])).select("name", "max_score", _tax_text())
+
+
 _ISLANDS = "parsed as (select *, regexp_extract(accession, '^(.*?)([0-9]*)$', 1) as prefix, cast(regexp_extract(accession, '^(.*?)([0-9]*)$', 2) as bigint) as n from acc)"
 _INTERVALS = _ISLANDS + ", iv as (select prefix, taxid, min(n) as start, count(*) as count from (select *, n - row_number() over (partition by prefix, taxid order by n) as g from (select distinct prefix, n, taxid from parsed)) group by prefix, taxid, g)"
 
@@ -546,10 +556,21 @@ def fn11_scaffolds(spark, sf):
     return X.sequences(spark, sf).select("name", S.scaffold(S.contigs(F.col("seq"), 2), S.gaps(F.col("seq"), 2)).alias("seq"))
 
 
-@query("select * from (values ('5M', '5', false, '.....'), ('5M', '2A2', false, '..A..'), ('5M', '2A2', true, '..T..'), ('5M', '0C4', true, '....G'), ('2S3M', '3', false, '--...'), ('2M1I2M', '4', false, '..-..'), ('2M1D2M', '2^A2', false, '....'), ('3H4M', '4', false, '....'), ('3M2N3M', '6', false, '......'), ('4M', cast(null as varchar), false, cast(null as varchar))) t(cigar, md, reverse, mline)")
+#: CIGAR, MD, whether reversed, and the match line.
+_CASES = [("5M", "5", False, "....."), ("5M", "2A2", False, "..A.."), ("5M", "2A2", True, "..T.."), ("5M", "0C4", True, "....G"), ("2S3M", "3", False, "--..."), ("2M1I2M", "4", False, "..-.."), ("2M1D2M", "2^A2", False, "...."), ("3H4M", "4", False, "...."), ("3M2N3M", "6", False, "......"), ("4M", None, False, None)]
+
+
+def _case(c: tuple, i: int) -> str:
+    return f"({i}, " + ", ".join("cast(null as varchar)" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" for v in c) + ")"
+
+
+@query(f"select cigar, md, reverse, mline, count(*) as n from lineitem join (values {', '.join(_case(c, i) for i, c in enumerate(_CASES))}) t(k, cigar, md, reverse, mline) on k = (l_orderkey + l_linenumber) % {len(_CASES)} group by all")
 def fn1_match_lines(spark, sf):
-    rows = [("5M", "5", False), ("5M", "2A2", False), ("5M", "2A2", True), ("5M", "0C4", True), ("2S3M", "3", False), ("2M1I2M", "4", False), ("2M1D2M", "2^A2", False), ("3H4M", "4", False), ("3M2N3M", "6", False), ("4M", None, False)]
-    return spark.createDataFrame(rows, "cigar string, md string, reverse boolean").withColumn("mline", S.mline("cigar", "md", "reverse"))
+    """Each line item as an alignment of one of ten kinds."""
+    kinds = F.array(*(F.struct(F.lit(c).alias("cigar"), F.lit(m).cast("string").alias("md"), F.lit(r).alias("reverse")) for c, m, r, _ in _CASES))
+    k = F.get(kinds, ((F.col("l_orderkey") + F.col("l_linenumber")) % len(_CASES)).cast("int"))
+    rows = X.table(spark, sf, "lineitem").select(k.alias("k")).select("k.*").withColumn("mline", S.mline("cigar", "md", "reverse"))
+    return rows.groupBy("cigar", "md", "reverse", "mline").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select qname, file, row_number() over (order by qname, file, ord) as place from ali", X.SQL_ALIGNMENTS)
@@ -585,3 +606,124 @@ def agg16_used_references(spark, sf):
 @query("select doc_id as row_id, n_chars from documents where doc_id in (0, 5) or (doc_id >= 10 and doc_id < 20)")
 def flt4_slices(spark, sf):
     return sorting.slices(X.table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "n_chars"), [(0, None), (5, None), (10, 20)])
+
+
+@query("select row_number() over (order by qname, l_suppkey % 3, ord) - 1 as place, qname, pos, mapq, score from rec", X.SQL_RECORDS)
+def srt2_merged_files(spark, sf):
+    """Three sorted inputs, two of SAM and one of BAM, in parts of different sizes, merged by ranges; rows numbered as they come."""
+    folder, inputs = scratch(spark, "sorted"), []
+    for i in range(3):
+        rows = X.records(spark, sf).where(F.col("file") == str(i)).repartitionByRange(i + 2, "qname", "ord").sortWithinPartitions("qname", "ord")
+        inputs.append(f"{folder}/{i}" + (".bam" if i == 2 else ".sam"))
+        if i == 2:
+            bam.write(rows, inputs[-1], _record_headers(spark, sf))
+        else:
+            sinks.sam(sinks.sam_lines(rows), _record_headers(spark, sf), inputs[-1])
+    f = F.split("value", "\t")
+    rows = merging.merged(spark, inputs, 1 << 20).select("qname", F.get(f, F.lit(3)).cast("long").alias("pos"), F.get(f, F.lit(4)).cast("int").alias("mapq"), F.regexp_extract("value", "\tAS:i:(-?[0-9]+)", 1).cast("int").alias("score"))
+    return sorting.numbered(rows, "place").select("place", "qname", "pos", "mapq", "score")
+
+
+@query(f"select {_RECORD} from rec", X.SQL_RECORDS)
+def src3_bam_of_parts(spark, sf):
+    """Records written as a folder of BAM parts, read as one input in small splits, names of references joined."""
+    path = scratch(spark, "parts") + ".bam"
+    bam.write(X.records(spark, sf).repartition(5, "qname"), path, _record_headers(spark, sf))
+    rows = bam.alignments(spark, path, split=1 << 18)
+    return rows.select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual", "score", "md", F.col("aux")["XB"].alias("xb"))
+
+
+@query(_SQL["src1_accession_table"])
+def src1_blocked_accession_table(spark, sf):
+    """An accession table in blocked gzip, read in small splits."""
+    a, path = "concat('PA', lpad(cast(p_partkey as string), 6, '0'))", scratch(spark, "blocked")
+    blocked.write(X.table(spark, sf, "part").where("p_partkey % 11 <> 0 and p_partkey % 13 <> 0 and p_partkey % 17 <> 0").selectExpr(f"concat({a}, '\t', {a}, '.1\t', cast(2000 + floor(p_partkey / 7) as string)) as value"), path)
+    return text.accession_table(spark, path, split=5000).select("accession", "version", "taxid")
+
+
+@query(_SQL["src12_fastq_round_trip"])
+def src12_blocked_fastq(spark, sf):
+    """FASTQ in blocked gzip, whose qualities may begin with a record's sign, read in small splits."""
+    rows, path = X.sequences(spark, sf).select(F.col("name").alias("id"), F.lit(None).cast("string").alias("description"), "seq", "qual"), scratch(spark, "blocked")
+    blocked.write(sinks.fastq_lines(rows), path)
+    return text.fastq(spark, path, split=1 << 18).drop("description")
+
+
+@query("select row_id, name from (select row_number() over (order by name) - 1 as row_id, name from seqs) where row_id in (0, 5) or row_id between 10 and 19 or row_id between 40 and 90", X.SQL_SEQUENCES)
+def src9_stored_slices(spark, sf):
+    """Rows by number from a table of many files: only files that hold them are opened."""
+    path = scratch(spark, "indexed")
+    rows = X.sequences(spark, sf).select("name", "seq").withColumn("tax", F.array().cast(TAX))
+    sinks.written(rows.repartitionByRange(16, "name").sortWithinPartitions("name"), path, "sequences")
+    return bucketed.slices(spark, path, [(0, None), (5, None), (10, 20), (40, 91)]).select("row_id", "name")
+
+
+@query("select kind, count(*) as n, cast(sum(len(seq)) as bigint) as letters, cast(sum(case when kind = 'fastq' then len(seq) end) as bigint) as qualities from seqs, (values ('fasta'), ('fastq'), ('one')) t(kind) group by kind", X.SQL_SEQUENCES)
+def src16_detected_sequences(spark, sf):
+    """The same sequences as FASTA, FASTQ and a container, each told by its first characters."""
+    from readlake import cli
+
+    rows = X.sequences(spark, sf).select(F.col("name").alias("id"), F.lit(None).cast("string").alias("description"), "seq", "qual")
+    nothing = {"max_score": "int", "mline": "string", "dust": "int", "lca": "int"}
+    reads_ = rows.select(F.col("id").alias("name"), "seq", F.lit(None).cast("string").alias("qual"), *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()), F.array().cast(TAX).alias("tax"))
+    container = scratch(spark, "one")
+    one.write_reads(reads_, container)
+    out = None
+    for kind, path in (("fasta", _put(sinks.fasta_lines(rows), "fasta")), ("fastq", _put(sinks.fastq_lines(rows), "fastq")), ("one", container)):
+        told = cli.sequences(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("letters"), F.sum(F.length("qual")).alias("qualities")).select(F.lit(kind).alias("kind"), "*")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+@query("select qname as id, seq, qual from rec", X.SQL_RECORDS)
+def src15_sequences_of_bam(spark, sf):
+    """Sequences of BAM, a row for each record as it stands."""
+    from readlake import cli
+
+    path = scratch(spark, "sequences") + ".bam"
+    bam.write(X.records(spark, sf).repartition(3, "qname"), path, _record_headers(spark, sf))
+    return cli.sequences(spark, path).select("id", "seq", "qual")
+
+
+@query("select name as id, seq from seqs", X.SQL_SEQUENCES)
+def src14_sequences_of_a_container(spark, sf):
+    """Sequences of a container in text form, letters beyond a, c, g and t put back."""
+    from readlake import cli
+
+    path = scratch(spark, "container")
+    rows = X.sequences(spark, sf).withColumns({"dust": F.lit(None).cast("int"), "tax": F.array().cast(TAX)})
+    one.write_reads(rows.select("name", "seq", "qual", "max_score", "mline", "dust", "lca", "tax"), path)
+    return cli.sequences(spark, path).select("id", "seq")
+
+
+@query(f"select tax_id, tax_name, tax_rank, count, cast(n_c1 as bigint) as n_c1, cast(n_c1_t as bigint) as n_c1_t, hscore, family from ({_report_sql('')})", X.SQL_LINEAGE, X.SQL_SEQUENCES, _DUST_SQL, _REPORT)
+def snk8_report_file(spark, sf):
+    """The report by taxon as it stands in its file."""
+    path = scratch(spark, "report")
+    sinks.report(_report(spark, sf), path)
+    told, c = spark.read.csv(path, sep="\t", header=True), F.split(F.regexp_extract("5'CtoT", " ([0-9]+/[0-9]+)$", 1), "/")
+    return told.select(F.col("#tax_id").cast("int").alias("tax_id"), "tax_name", "tax_rank", F.col("count").cast("long").alias("count"), c[1].cast("long").alias("n_c1"), c[0].cast("long").alias("n_c1_t"), F.col("Hscore").cast("int").alias("hscore"), "family")
+
+
+@query(_SQL["agg17_what_reads_have"])
+def snk9_report_of_reads(spark, sf):
+    """The report of a table of reads as its command writes it."""
+    from argparse import Namespace
+
+    from readlake import cli
+
+    path = scratch(spark, "reads")
+    sinks.written(_whole(spark, sf), path, "build")
+    cli.report_reads(spark, Namespace(input=path, output=path + "-report"))
+    told = spark.read.csv(path + "-report/READS", sep="\t", header=True)
+    return told.select(*(F.col(c).cast("int" if c.endswith("score") else "long").alias(c) for c in ("n_reads", "n_qualities", "n_match_lines", "min_score", "max_score")))
+
+
+@query("select n_name as qname, 65536 + 2 * n_nationkey as operations, md5(repeat('1M1I', cast(32768 + n_nationkey as integer))) as cigar from nation")
+def fn17_long_cigars(spark, sf):
+    """Alignments of more operations than a record's own field holds, written as BAM and read again."""
+    path = scratch(spark, "long") + ".bam"
+    nothing = {"rnext": "string", "pnext": "long", "tlen": "int", "seq": "string", "qual": "string", "score": "int", "md": "string"}
+    rows = X.table(spark, sf, "nation").selectExpr("n_name as qname", "0 as flag", "'SU000000.1' as rname", "1L as pos", "9 as mapq", "repeat('1M1I', 32768 + n_nationkey) as cigar", *(f"cast(null as {t}) as {c}" for c, t in nothing.items()), "cast(map() as map<string,string>) as aux")
+    bam.write(rows.repartition(2, "qname"), path, _record_headers(spark, sf))
+    return bam.alignments(spark, path).select("qname", F.size(F.regexp_extract_all("cigar", F.lit("[MI]"), F.lit(0))).alias("operations"), F.md5(F.col("cigar").cast("binary")).alias("cigar"))
