@@ -30,12 +30,12 @@ def _lines(reads: DataFrame, *columns: str) -> DataFrame:
     return reads.where("mline is not null and seq is not null").select(*columns, F.rpad("seq", F.length("mline"), "-").alias("seq"), "mline")
 
 
-def placed(reads: DataFrame, nodes: DataFrame, rank: str | None = None, group: str | None = None, up: DataFrame | None = None) -> DataFrame:
+def placed(reads: DataFrame, nodes: DataFrame, rank: str | None = None, group: str | None = None) -> DataFrame:
     """reads with txid, their lca lifted to the rank; without one, or outside the group, they go."""
     rows = reads.withColumn("txid", F.col("lca"))
     if rank is not None:
-        up = taxonomy.at_rank(nodes, rank, up).select(F.col("taxid").alias("lca"), F.col("at_rank").alias("txid"))
-        rows = reads.join(up, "lca")
+        lifted = taxonomy.at_rank(nodes, rank).select(F.col("taxid").alias("lca"), F.col("at_rank").alias("txid"))
+        rows = reads.join(lifted, "lca")
     rows = rows.where("txid is not null and txid <> 0")
     if group is not None:
         inside = nodes.where(F.col("grp") == group).select(F.col("taxid").alias("txid"))
@@ -97,13 +97,13 @@ def kmer_entropy(rows: DataFrame, key: str = "txid", k: int = K) -> DataFrame:
     return letter_counts(rows, key, k).groupBy(key).agg(entropy(k).alias("hscore"))
 
 
-def by_taxon(reads: DataFrame, nodes: DataFrame, rank: str | None = None, group: str | None = None, up: DataFrame | None = None) -> DataFrame:
+def by_taxon(reads: DataFrame, nodes: DataFrame, rank: str | None = None, group: str | None = None) -> DataFrame:
     """One row for each taxon: reads, means of length, score, dust and GC, C to T at the first base, hscore, family.
 
     nodes need family and grp (taxonomy.annotated). Reads without lca go; means are exact doubles.
     """
     need(nodes, "taxid", "name", "rank", "family", "grp")
-    rows = placed(reads, nodes, rank, group, up).select("txid", "seq", "mline", "max_score", "dust")
+    rows = placed(reads, nodes, rank, group).select("txid", "seq", "mline", "max_score", "dust")
     one = rows.groupBy("txid").agg(F.count(F.lit(1)).alias("count"), F.avg(F.length("seq")).alias("av_len"), F.avg("max_score").alias("av_score"), F.avg("dust").alias("av_dust"))
 
     def n(kind: int) -> Column:

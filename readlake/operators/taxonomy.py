@@ -1,15 +1,18 @@
 """Taxonomy trees: lineages, ranks, groups, lowest common ancestors, subtrees, closures.
 
-A tree is a table (taxid, parent, rank, name); a root is its own parent. Everything derives from
-paths: for each taxon the array of its ancestors, which doubling of the known part builds in a
-number of joins that is the logarithm of the tree's depth.
+A tree is a table (taxid, parent, rank, name); a root is its own parent. coded() numbers its nodes in preorder and gives
+each the last number below it, once, and stored trees keep both. What lies below a node is then a stretch of whole
+numbers: subtrees, ranks, groups, closures and common ancestors are joins of places with the stretches that hold them, cut at
+multiples of a piece so that they are equi-joins, and no operator handles lists of ancestors. Coding itself derives from paths: for each
+taxon the array of its ancestors, which doubling of the known part builds in a number of joins that is the logarithm of the tree's depth.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readlake.operators.sorting import with_row_ids
 from readlake.schemas import need
 from readlake.session import cut, sized
 
@@ -23,7 +26,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     """(taxid, path): the taxon, its parent and so on up to a root or to a parent that is no node.
 
     Each round doubles what is known of the paths and cuts the lineage, so the plan stays as small as one
-    join however deep the tree; it ends when no path goes on. Operators take the result as `up`, to share it.
+    join however deep the tree; it ends when no path goes on.
     """
     need(nodes, "taxid", "parent")
     up = cut(nodes.select("taxid", F.array("taxid").alias("path"), F.when(F.col("parent") != F.col("taxid"), F.col("parent")).alias("next")))
@@ -38,74 +41,89 @@ def paths(nodes: DataFrame) -> DataFrame:
     return up.select("taxid", "path")
 
 
-def lineage(nodes: DataFrame, up: DataFrame | None = None) -> DataFrame:
-    """(taxid, ancestor, depth): every ancestor-or-self; depth counts from the root."""
-    up = paths(nodes) if up is None else up
-    return up.select("taxid", F.size("path").alias("n"), F.posexplode("path").alias("up", "ancestor")).select("taxid", "ancestor", (F.col("n") - 1 - F.col("up")).alias("depth"))
+def coded(nodes: DataFrame) -> DataFrame:
+    """nodes with place, their number in preorder from 0 on, and last, the greatest place below them or their own; behind a checkpoint.
 
+    Nodes that have both already come back as they are; so operators take coded trees and uncoded ones.
+    """
+    if {"place", "last"} <= set(nodes.columns):
+        return nodes
+    order = with_row_ids(paths(nodes).select("taxid", F.reverse("path").alias("path")), "path", row_id="place")
+    last = order.select("place", F.explode("path").alias("taxid")).groupBy("taxid").agg(F.max("place").alias("last"))
+    return cut(nodes.join(order.select("taxid", "place"), "taxid").join(last, "taxid"))
 
-def at_rank(nodes: DataFrame, rank: str, up: DataFrame | None = None) -> DataFrame:
-    """(taxid, at_rank): the nearest ancestor-or-self of the rank; 0 without one."""
-    wanted = nodes.where(F.col("rank") == rank).select(F.col("taxid").alias("ancestor"))
-    found = lineage(nodes, up).join(wanted, "ancestor").groupBy("taxid").agg(F.max_by("ancestor", "depth").alias("at_rank"))
-    return nodes.select("taxid").join(found, "taxid", "left").select("taxid", F.coalesce("at_rank", F.lit(0)).alias("at_rank"))
 
+def holding(points: DataFrame, spans: DataFrame, at: str = "place") -> DataFrame:
+    """points with each of the spans (place, last, ...) that holds their place, as columns span_*.
 
-def annotated(nodes: DataFrame, seeds: dict[str, str] = SEEDS, up: DataFrame | None = None) -> DataFrame:
-    """nodes with family (nearest of that rank, or 0) and grp (that of the nearest seed, or null)."""
-    by_name = F.create_map(*(F.lit(x) for pair in seeds.items() for x in pair))
-    marked = nodes.select(F.col("taxid").alias("ancestor"), (F.col("rank") == "family").alias("is_family"), by_name[F.col("name")].alias("seed"))
-    marked = marked.where("is_family or seed is not null")
-    found = lineage(nodes, up).join(marked, "ancestor").groupBy("taxid").agg(
-        F.max_by("ancestor", F.when(F.col("is_family"), F.col("depth"))).alias("family"),
-        F.max_by("seed", F.when(F.col("seed").isNotNull(), F.col("depth"))).alias("grp"),
-    )
-    return nodes.join(found, "taxid", "left").withColumn("family", F.coalesce("family", F.lit(0)))
+    Spans are cut at multiples of a piece, so it is an equi-join on the piece, whatever share of the places one span holds. The piece
+    is about as long as places stand from one span to the next: then as many rows are compared as there are points and spans, and a few
+    for each level of spans in spans.
+    """
+    n, top = spans.agg(F.count(F.lit(1)), F.max("last")).first()
+    piece = min(max((top or 0) // max(n, 1), 8), 1 << 16)
+    pieces = spans.select(*(F.col(c).alias(f"span_{c}") for c in spans.columns)).withColumn("_piece", F.explode(F.sequence(F.floor(F.col("span_place") / piece), F.floor(F.col("span_last") / piece))))
+    return points.withColumn("_piece", F.floor(F.col(at) / piece)).join(pieces, "_piece").where(F.col(at).between(F.col("span_place"), F.col("span_last"))).drop("_piece")
 
 
-def common(low: Column, high: Column) -> Column:
-    """The last value of the common front of two arrays from the root; null if there is none."""
-    same = F.filter(F.zip_with(low, high, lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    return F.try_element_at(same, F.lit(-1))
+def lineage(nodes: DataFrame) -> DataFrame:
+    """(taxid, ancestor, depth): every ancestor-or-self; depth counts from the root."""
+    tree = coded(nodes).select("taxid", "place", "last")
+    found = holding(tree.select("taxid", "place"), tree)
+    depth = found.groupBy("taxid").agg((F.count(F.lit(1)) - 1).cast("int").alias("depth"))
+    return found.join(depth.select(F.col("taxid").alias("span_taxid"), "depth"), "span_taxid").select("taxid", F.col("span_taxid").alias("ancestor"), "depth")
 
 
-def numbered(nodes: DataFrame, up: DataFrame | None = None) -> DataFrame:
-    """(taxid, place, path): nodes with their path from the root, and numbers in the order of paths, a preorder of the tree."""
-    down = (paths(nodes) if up is None else up).select("taxid", F.reverse("path").alias("path"))
-    return cut(down.orderBy("path").select("taxid", F.monotonically_increasing_id().alias("place"), "path"))
+def at_rank(nodes: DataFrame, rank: str) -> DataFrame:
+    """(taxid, at_rank): the nearest ancestor-or-self of the rank; 0 without one."""
+    tree = coded(nodes)
+    found = holding(tree.select("taxid", "place"), tree.where(F.col("rank") == rank).select("taxid", "place", "last"))
+    nearest = found.groupBy("taxid").agg(F.max_by("span_taxid", "span_place").alias("at_rank"))
+    return tree.select("taxid").join(nearest, "taxid", "left").select("taxid", F.coalesce("at_rank", F.lit(0)).alias("at_rank"))
 
 
-def lca(taxa: DataFrame, nodes: DataFrame, key: str = "name", up: DataFrame | None = None) -> DataFrame:
+def annotated(nodes: DataFrame, seeds: dict[str, str] = SEEDS) -> DataFrame:
+    """nodes, coded, with family (nearest of that rank, or 0) and grp (that of the nearest seed, or null)."""
+    tree = coded(nodes)
+    by_name = F.create_map(*(F.lit(x) for pair in seeds.items() for x in pair))
+    marked = tree.select("taxid", "place", "last", (F.col("rank") == "family").alias("is_family"), by_name[F.col("name")].alias("seed")).where("is_family or seed is not null")
+    found = holding(tree.select("taxid", "place"), marked).groupBy("taxid").agg(
+        F.max_by("span_taxid", F.when(F.col("span_is_family"), F.col("span_place"))).alias("family"),
+        F.max_by("span_seed", F.when(F.col("span_seed").isNotNull(), F.col("span_place"))).alias("grp"),
+    )
+    return tree.join(found, "taxid", "left").withColumn("family", F.coalesce("family", F.lit(0)))
+
+
+def lca(taxa: DataFrame, nodes: DataFrame, key: str = "name") -> DataFrame:
     """(key, lca) of the taxa (key, taxid) of each key; null where none is a known node.
 
     Taxon 0 and unknown ones are passed over. In preorder the lowest common ancestor of a set is that of its least and its
-    greatest node, so a key needs the partial minimum and maximum of a number, and no list of its taxa; paths are
-    compared once for each pair of such nodes.
+    greatest node, so a key needs the partial minimum and maximum of a number, and no list of its taxa. Of each pair of such
+    nodes it is the last node up to the one whose stretch holds the other too, looked up once for the pair.
     """
-    order = numbered(nodes, up)
-    places = order.select("taxid", "place")
-    ends = taxa.join(sized(places), "taxid", "left").groupBy(key).agg(F.min(F.when(F.col("taxid") != 0, F.col("place"))).alias("low"), F.max(F.when(F.col("taxid") != 0, F.col("place"))).alias("high"))
+    tree = coded(nodes).select("taxid", "place", "last")
+    ends = taxa.join(sized(tree.select("taxid", "place")), "taxid", "left").groupBy(key).agg(F.min(F.when(F.col("taxid") != 0, F.col("place"))).alias("low"), F.max(F.when(F.col("taxid") != 0, F.col("place"))).alias("high"))
     pairs = ends.where("low is not null").select("low", "high").distinct()
-    for end in ("low", "high"):
-        pairs = pairs.join(order.select(F.col("place").alias(end), F.col("path").alias(f"path_{end}")), end)
-    found = pairs.select("low", "high", common(F.col("path_low"), F.col("path_high")).alias("lca"))
+    found = holding(pairs, tree, "low").where("span_last >= high").groupBy("low", "high").agg(F.max_by("span_taxid", "span_place").alias("lca"))
     return ends.join(found, ["low", "high"], "left").select(key, "lca")
 
 
-def closure(taxa: DataFrame, nodes: DataFrame, up: DataFrame | None = None) -> DataFrame:
-    """The nodes that the taxa (taxid) and their ancestors make up; 0 and unknown taxa are none."""
-    used = taxa.where("taxid <> 0").select("taxid").distinct().join(paths(nodes) if up is None else up, "taxid")
-    wanted = used.select(F.explode("path").alias("taxid")).distinct()
-    return nodes.join(wanted, "taxid", "left_semi")
+def closure(taxa: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes, coded, that the taxa (taxid) and their ancestors make up; 0 and unknown taxa are none."""
+    tree = coded(nodes)
+    used = taxa.where("taxid <> 0").select("taxid").distinct().join(tree.select("taxid", "place"), "taxid").select("place")
+    return tree.join(holding(used, tree.select("taxid", "place", "last")).select(F.col("span_taxid").alias("taxid")).distinct(), "taxid", "left_semi")
 
 
-def subtree(nodes: DataFrame, root: int, up: DataFrame | None = None) -> DataFrame:
-    """(taxid) of the taxon and all below it."""
-    return (paths(nodes) if up is None else up).where(F.array_contains("path", root)).select("taxid")
+def subtree(nodes: DataFrame, root: int) -> DataFrame:
+    """(taxid) of the taxon and all below it: a stretch of places."""
+    tree = coded(nodes)
+    own = tree.where(F.col("taxid") == root).select(F.col("place").alias("_a"), F.col("last").alias("_z"))
+    return tree.join(F.broadcast(own), F.col("place").between(F.col("_a"), F.col("_z"))).select("taxid")  # a row for the root
 
 
 def write_subset(nodes: DataFrame, path: str) -> None:
-    """A part of a tree as a table, ordered by taxid."""
+    """A part of a tree as a table, ordered by taxid; the places of a coded one stay right."""
     nodes.orderBy("taxid").write.mode("overwrite").parquet(path)
 
 
@@ -115,6 +133,8 @@ def read_subset(spark: SparkSession, path: str, gaps: bool = False) -> DataFrame
     nodes = spark.read.parquet(path)
     if not gaps:
         return nodes
-    ends = nodes.agg(F.min("taxid").alias("a"), F.max("taxid").alias("z")).where("a is not null")
-    free = ends.select(F.explode(F.sequence("a", "z")).alias("taxid")).join(nodes.select("taxid"), "taxid", "left_anti")
+    a, z = nodes.agg(F.min("taxid"), F.max("taxid")).first()
+    if a is None:
+        return nodes
+    free = spark.range(a, z + 1).select(F.col("id").cast("int").alias("taxid")).join(nodes.select("taxid"), "taxid", "left_anti")
     return nodes.unionByName(free.withColumn("name", F.concat(F.lit("z"), F.col("taxid").cast("string"))), allowMissingColumns=True)

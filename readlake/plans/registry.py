@@ -53,11 +53,10 @@ fam as (select l.taxid, max_by(l.ancestor, l.depth) as family from lineage l joi
 @query("select n.name as family, count(*) as n_reads from lcas join fam on fam.taxid = lcas.lca join nodes n on n.taxid = fam.family group by all", X.SQL_LINEAGE, X.SQL_ALIGNMENTS, _LCA)
 def flagship_family_counts(spark, sf):
     """Alignments to reads, to their lowest common ancestors, to counts by family."""
-    nodes = X.nodes(spark, sf)
+    nodes = taxonomy.coded(X.nodes(spark, sf))
     hits = reads.taxa_of(X.read_taxa(spark, sf)).select(F.col("qname").alias("name"), "taxid")
-    up = taxonomy.paths(nodes)
-    rows = taxonomy.lca(hits, nodes, up=up).where("lca is not null")
-    families = taxonomy.at_rank(nodes, "family", up).where("at_rank <> 0")
+    rows = taxonomy.lca(hits, nodes).where("lca is not null")
+    families = taxonomy.at_rank(nodes, "family").where("at_rank <> 0")
     named = rows.join(families, rows["lca"] == families["taxid"]).groupBy("at_rank").agg(F.count(F.lit(1)).alias("n_reads"))
     return named.join(nodes, named["at_rank"] == nodes["taxid"]).select(F.col("name").alias("family"), "n_reads")
 
@@ -147,7 +146,7 @@ def joi7_lineage(spark, sf):
 @query("""select n.*, coalesce(f.family, 0) as family, g.grp from nodes n left join (select l.taxid, max_by(l.ancestor, l.depth) as family from lineage l join nodes x on x.taxid = l.ancestor where x.rank = 'family' group by all) f using (taxid)
   left join (select l.taxid, case x.name when 'AFRICA' then 'animals' when 'AMERICA' then 'plants' when 'ASIA' then 'fungi' when 'EUROPE' then 'bacteria' else 'archaea' end as grp from lineage l join nodes x on x.taxid = l.ancestor where x.rank = 'kingdom') g using (taxid)""", X.SQL_LINEAGE)
 def tre2_annotated_nodes(spark, sf):
-    return taxonomy.annotated(X.nodes(spark, sf), X.GROUPS)
+    return taxonomy.annotated(X.nodes(spark, sf), X.GROUPS).drop("place", "last")
 
 
 @query("select qname as name, lca from lcas", X.SQL_LINEAGE, X.SQL_ALIGNMENTS, _LCA)
@@ -168,7 +167,7 @@ def agg9_at_rank(spark, sf):
 
 @query("select n.* from nodes n where taxid in (select ancestor from lineage where taxid in (select taxid from rt))", X.SQL_LINEAGE, X.SQL_ALIGNMENTS)
 def agg15_used_taxa(spark, sf):
-    return taxonomy.closure(reads.taxa_of(X.read_taxa(spark, sf)), X.nodes(spark, sf))
+    return taxonomy.closure(reads.taxa_of(X.read_taxa(spark, sf)), X.nodes(spark, sf)).drop("place", "last")
 
 
 @query("select taxid from lineage where ancestor = 12", X.SQL_LINEAGE)
@@ -219,9 +218,8 @@ kmers as (select txid, ref || lead(ref) over w || lead(ref, 2) over w || lead(re
 
 
 def _report(spark, sf, **options):
-    nodes = X.nodes(spark, sf)
-    up = taxonomy.paths(nodes)
-    return reports.by_taxon(X.sequences(spark, sf).withColumn("dust", S.dust("seq")), taxonomy.annotated(nodes, X.GROUPS, up), rank="family", up=up, **options)
+    nodes = cut(taxonomy.annotated(X.nodes(spark, sf), X.GROUPS))  # read several times
+    return reports.by_taxon(X.sequences(spark, sf).withColumn("dust", S.dust("seq")), nodes, rank="family", **options)
 
 
 @query(_report_sql(""), X.SQL_LINEAGE, X.SQL_SEQUENCES, _DUST_SQL, _REPORT)

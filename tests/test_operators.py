@@ -137,3 +137,36 @@ def test_sorted_by_name(spark):
 def test_slices(spark):
     got = sorting.slices(spark.range(30).withColumnRenamed("id", "row_id"), [(0, None), (5, 8)]).collect()
     assert [r.row_id for r in got] == [0, 5, 6, 7]
+
+
+def test_a_coded_tree_of_many_shapes(spark):
+    rng = random.Random(8)
+    t = lambda i: 10 * (i + 1)
+    parents = {i: i if i < 3 else rng.choice([max(0, i - 1), rng.randrange(i), rng.randrange(min(i, 4))]) for i in range(160)}  # three trees: chains, bushes, nodes with very many below
+    ranks = {i: rng.choice(["genus", "family", "x", "y"]) for i in parents}
+    nodes = spark.createDataFrame([(t(i), t(p), ranks[i], f"n{i}") for i, p in parents.items()], "taxid int, parent int, rank string, name string")
+    tree = taxonomy.coded(nodes)
+
+    def ups(i):
+        return [i] if parents[i] == i else [i, *ups(parents[i])]
+
+    assert {(r.taxid, r.ancestor, r.depth) for r in taxonomy.lineage(tree).collect()} == {(t(i), t(a), len(ups(a)) - 1) for i in parents for a in ups(i)}
+    assert {r.taxid: r.at_rank for r in taxonomy.at_rank(tree, "family").collect()} == {t(i): next((t(a) for a in ups(i) if ranks[a] == "family"), 0) for i in parents}
+    for root in (0, 1, 5, 99):
+        assert {r.taxid for r in taxonomy.subtree(tree, t(root)).collect()} == {t(i) for i in parents if root in ups(i)}
+    sets = {f"k{k}": rng.sample(range(160), rng.randrange(1, 5)) for k in range(200)}
+
+    def common(some):
+        shared = [a for a in ups(some[0]) if all(a in ups(i) for i in some)]
+        return t(shared[0]) if shared else None
+
+    taxa = spark.createDataFrame([(k, t(i)) for k, some in sets.items() for i in some], "name string, taxid int")
+    assert {r.name: r.lca for r in taxonomy.lca(taxa, tree).collect()} == {k: common(some) for k, some in sets.items()}
+    some = spark.createDataFrame([(t(150),), (t(77),), (7,), (0,)], "taxid int").where("taxid <> 0")
+    part = taxonomy.closure(some, tree)
+    assert {r.taxid for r in part.collect()} == {t(a) for i in (150, 77) for a in ups(i)}
+    assert {r.taxid: r.at_rank for r in taxonomy.at_rank(part, "genus").collect()} == {t(i): next((t(a) for a in ups(i) if ranks[a] == "genus"), 0) for i in {a for i in (150, 77) for a in ups(i)}}
+    for df in (taxonomy.at_rank(tree, "family"), taxonomy.annotated(tree), taxonomy.subtree(tree, 50), taxonomy.closure(some, tree), taxonomy.lca(taxa, tree)):
+        plan = df._jdf.queryExecution().toString()
+        assert "path" not in plan and "array_contains" not in plan and "posexplode" not in plan
+    assert taxonomy.coded(nodes.limit(0)).count() == 0 and taxonomy.at_rank(nodes.limit(0), "x").count() == 0
