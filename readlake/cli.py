@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlake.functions import sequences as S
-from readlake.operators import accessions, reads, reports, sorting, taxonomy
+from readlake.operators import accessions, reads, reports, scaffolds, sorting, taxonomy
 from readlake.schemas import TAX
 from readlake.session import session
-from readlake.sources import bam, blocked, bucketed, merging, one, sinks, text
+from readlake.sources import bam, blocked, bucketed, container, merging, one, packed, sinks, text
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:
@@ -42,7 +42,7 @@ def sequences(spark: SparkSession, path: str) -> DataFrame:
     if kind == "one":
         return flat(one.reads(spark, path), "name")
     if kind == "packed":
-        raise ValueError(f"{path}: packed binary sequences aren't read; convert them to FASTQ first")
+        return packed.sequences(spark, path)
     return text.fasta(spark, path) if kind == "fasta" else text.fastq(spark, path)
 
 
@@ -157,8 +157,9 @@ def convert(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.upper:
         rows = rows.withColumn("seq", F.upper("seq"))
     if a.break_gaps is not None:
-        pieces = rows.select("*", F.posexplode(S.contigs(F.col("seq"), a.break_gaps)).alias("_k", "_contig"))
-        rows = pieces.select(F.concat_ws(".", "id", (F.col("_k") + 1).cast("string")).alias("id"), "description", F.col("_contig").alias("seq"), F.lit(None).cast("string").alias("qual"))
+        rows = scaffolds.broken(sinks.named(rows), a.break_gaps)
+    if a.join:
+        rows = scaffolds.joined(rows)
     if a.collapse:
         ends = F.concat(F.lit("runs="), F.array_join(S.run_ends(F.col("seq")).cast("array<string>"), ","))
         rows = rows.select("id", F.concat_ws(" ", "description", ends).alias("description"), S.collapsed(F.col("seq")).alias("seq"), F.lit(None).cast("string").alias("qual"))
@@ -166,22 +167,28 @@ def convert(spark: SparkSession, a: argparse.Namespace) -> None:
         ends = F.split(F.regexp_extract("description", "runs=([0-9,]*)$", 1), ",")
         ends = F.filter(F.transform(ends, lambda x: x.try_cast("int")), lambda x: x.isNotNull())
         rows = rows.select("id", F.nullif(F.regexp_replace("description", " ?runs=[0-9,]*$", ""), F.lit("")).alias("description"), S.expanded(F.col("seq"), ends).alias("seq"), F.lit(None).cast("string").alias("qual"))
-    rows, out = sinks.named(rows), a.output or sinks.derived(a.input, "1read" if a.container else "fa" if a.fasta else "fq")
+    rows, out = sinks.named(rows), a.output or sinks.derived(a.input, "1read" if a.container else "bin" if a.packed else "fa" if a.fasta else "fq")
     if a.container:
         nothing = {c: F.lit(None) for c in ("max_score", "mline", "dust", "lca")}
         one.write_reads(rows.select(F.col("id").alias("name"), "seq", "qual").withColumns({c: v.cast("string" if c == "mline" else "int") for c, v in nothing.items()}).withColumn("tax", F.array().cast(TAX)), out)
+    elif a.packed:
+        packed.write(rows, out, 30 if a.quantise is None else a.quantise)
     else:
         lines = sinks.fasta_lines(rows) if a.fasta else sinks.fastq_lines(rows)
         blocked.write(lines, out) if a.gz else lines.write.text(out)
 
 
 def view(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Reads of a table or container as lines: all, by number (i or i-j, the end excluded), or the head alone."""
-    if a.head:
-        for k, v in (sinks.about(spark, a.input) if a.input.endswith((".parquet", ".1read")) else {"head": one.HEAD}).items():
+    """Reads of a table or container as lines: all, by number (i or i-j, the end excluded), or the head, or the schema, alone."""
+    table = a.input.endswith((".parquet", ".1read"))
+    if a.head and table:
+        for k, v in sinks.about(spark, a.input).items():
             print(k, v)
         return
-    table = a.input.endswith((".parquet", ".1read"))
+    if a.head or a.schema:
+        told = container.head(a.input) if not table else []
+        print("\n".join(container.schema_lines(told) if a.schema else told) if not table else bucketed.plain(spark, a.input).schema.simpleString())
+        return
     rows = bucketed.read(spark, a.input) if table else one.reads(spark, a.input)
     if a.index:
         ranges = [(int(x), int(y) if y else None) for x, _, y in (i.partition("-") for i in a.index)]
@@ -195,7 +202,27 @@ def view(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def validate(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Statistics worked out anew beside the stored ones, and the bytes that each kind of line takes."""
+    """Statistics worked out anew beside the stored ones, and the bytes that each kind of line takes. --header stores them: beside a
+    table, or as a container's header, which is told or written to -o. --check SCHEMA refuses a container that a schema file doesn't fit."""
+    if not a.input.endswith((".parquet", ".1read")):
+        if a.check:
+            wanted = [r.value.split(" ")[:-1] if r.value.endswith(" ") else r.value.split(" ") for r in spark.read.text(a.check).collect()]  # a few lines
+            own = container.Schema(container.head(a.input)).fields
+            for f in (w for w in wanted if w and w[0] in "OD" and len(w) > 2):
+                types = [f[4 + 2 * i] for i in range(int(f[2]))]
+                if f[1] in own and own[f[1]] != types:
+                    raise ValueError(f"{a.input}: lines {f[1]} hold {own[f[1]]}, not {types}")
+        if a.header:
+            lines = container.regenerated(spark, a.input)
+            if a.output:
+                spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(a.output)
+            else:
+                print("\n".join(lines))
+        else:
+            container.validated(spark, a.input).orderBy("letter", "field").show(300, truncate=False)
+        return
+    if a.header:
+        sinks.restated(spark, a.input)
     rows = bucketed.read(spark, a.input)
     reads.validated(reads.statistics(rows), sinks.stored(spark, a.input)).orderBy("field").show(100, truncate=False)
     if a.usage:
@@ -236,10 +263,10 @@ def main(args: Sequence[str] | None = None) -> None:
     command("extractReads", extract_reads, "taxonomy", "input", lca={"type": int, "required": True})
     command("report1read", report_reads, "input")
     command("bamsort", sort, "inputs", gz=yes, keep_header=yes, merge=yes)
-    command("seqconvert", convert, "input", fasta=yes, container=yes, gz=yes, quantise={"type": int}, upper=yes, break_gaps={"type": int}, collapse=yes, expand=yes)
+    command("seqconvert", convert, "input", fasta=yes, container=yes, gz=yes, quantise={"type": int}, upper=yes, break_gaps={"type": int, "nargs": "?", "const": 20}, join=yes, packed=yes, collapse=yes, expand=yes)
     command("seqstat", statistics, "input", bases=yes, qualities=yes, lengths=yes, identifiers=yes)
-    command("view", view, "input", index={"action": "append"}, head=yes)
-    command("stat", validate, "input", usage=yes)
+    command("view", view, "input", index={"action": "append"}, head=yes, schema=yes)
+    command("stat", validate, "input", usage=yes, header=yes, check={"metavar": "SCHEMA"})
     a = p.parse_args(args)
     a.run(session(), a)
 

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlake.functions import sequences as S
-from readlake.operators import accessions, reads, reports, sorting, taxonomy
+from readlake.operators import accessions, reads, reports, scaffolds, sorting, taxonomy
 from readlake.plans import fixtures as X
 from readlake.schemas import TAX
 from readlake.session import cut, scratch
-from readlake.sources import bam, blocked, bucketed, merging, one, sinks, text
+from readlake.sources import bam, blocked, bucketed, container, merging, one, packed, sinks, text
 from readlake.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -725,3 +725,63 @@ def fn17_long_cigars(spark, sf):
     rows = X.table(spark, sf, "nation").selectExpr("n_name as qname", "0 as flag", "'SU000000.1' as rname", "1L as pos", "9 as mapq", "repeat('1M1I', 32768 + n_nationkey) as cigar", *(f"cast(null as {t}) as {c}" for c, t in nothing.items()), "cast(map() as map<string,string>) as aux")
     bam.write(rows.repartition(2, "qname"), path, _record_headers(spark, sf))
     return bam.alignments(spark, path).select("qname", F.size(F.regexp_extract_all("cigar", F.lit("[MI]"), F.lit(0))).alias("operations"), F.md5(F.col("cigar").cast("binary")).alias("cigar"))
+
+
+@query("select name as id, 'of ' || doc_id as description, translate(seq, 'n', 'a') as seq, (select string_agg(case when q >= 30 then '?' else '!' end, '' order by i) from letters l where l.name = seqs.name) as qual from seqs", X.SQL_SEQUENCES)
+def src13_packed_sequences(spark, sf):
+    """Sequences written two bits a base and one bit a quality, read again in small splits."""
+    path = scratch(spark, "packed")
+    packed.write(X.sequences(spark, sf).repartition(3, "name").select(F.col("name").alias("id"), F.concat(F.lit("of "), F.col("doc_id").cast("string")).alias("description"), "seq", "qual"), path, 30)
+    return packed.sequences(spark, path, split=1 << 16)
+
+
+_PARTS = ["1 4 part 1 1", "~ O G 1 6 STRING", "~ G P 0", "~ O P 2 3 INT 6 STRING", "~ D L 4 3 INT 3 INT 4 REAL 11 STRING_LIST", "~ D Z 1 8 INT_LIST"]
+
+
+@query("""select p.p_partkey, p.p_name, p.p_brand, count(l.l_orderkey) as n, coalesce(cast(sum(l.l_quantity) as double), 0.0) as quantity, coalesce(string_agg(l.l_returnflag || ' ' || l.l_linestatus, ',' order by l.l_orderkey, l.l_linenumber, l.l_quantity, l.l_returnflag, l.l_linestatus), '') as flags, p.p_size as size
+from part p left join lineitem l on l.l_partkey = p.p_partkey group by all""")
+def src8_container_of_any_schema(spark, sf):
+    """Parts with their line items as a container of types of its own, grouped by brand, written and read by the header's schema in small splits."""
+    items = X.table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_orderkey").alias("f0"), F.col("l_linenumber").alias("f1"), F.col("l_quantity").alias("f2"), F.array("l_returnflag", "l_linestatus").alias("f3")))).alias("L"))
+    rows = X.table(spark, sf, "part").join(items, F.col("p_partkey") == F.col("l_partkey"), "left")
+    plain = F.transform("L", lambda x: F.struct(x["f0"], x["f1"], x["f2"], x["f3"]).cast("struct<f0:bigint,f1:bigint,f2:double,f3:array<string>>"))
+    table = rows.select(F.struct(F.col("p_partkey").alias("f0"), F.col("p_name").alias("f1")).alias("P"), plain.alias("L"), F.array(F.struct(F.array(F.col("p_size").cast("bigint")).alias("f0"))).alias("Z"), F.struct(F.col("p_brand").alias("f0")).alias("group"), "p_brand")
+    path = scratch(spark, "parts")
+    container.write(table.repartitionByRange(3, "p_brand").sortWithinPartitions("p_brand"), path, _PARTS)
+    back = container.objects(spark, path)
+    flags = F.array_join(F.transform("L", lambda x: F.array_join(x["f3"], " ")), ",")
+    total = F.aggregate("L", F.lit(0.0), lambda n, x: n + x["f2"])
+    return back.select(F.col("P.f0").alias("p_partkey"), F.col("P.f1").alias("p_name"), F.col("group.f0").alias("p_brand"), F.size("L").cast("long").alias("n"), total.alias("quantity"), flags.alias("flags"), F.get("Z", F.lit(0))["f0"][0].cast("int").alias("size"))
+
+
+@query("""select letter, field, actual, case when letter = 'P' then actual end as stored, case when letter = 'P' then 'ok' else 'missing' end as state from (
+  select unnest(['P', 'P', 'P', 'G', 'G', 'G']) as letter, unnest(['count', 'max', 'total', 'count', 'max', 'total']) as field, unnest([count(*), max(len(p_name)), cast(sum(len(p_name)) as bigint), count(distinct p_brand), max(len(p_brand)), (select cast(sum(len(b)) as bigint) from (select distinct p_brand as b from part))]) as actual from part)""")
+def agg14_header_counts(spark, sf):
+    """Counts, longest and total lists of each letter of a container in one pass, against a header that tells those of one letter."""
+    head = _PARTS[:4]
+    part = X.table(spark, sf, "part")
+    n, most, total = part.agg(F.count(F.lit(1)), F.max(F.length("p_name")), F.sum(F.length("p_name"))).first()
+    table = part.select(F.struct(F.col("p_partkey").alias("f0"), F.col("p_name").alias("f1")).alias("P"), F.struct(F.col("p_brand").alias("f0")).alias("group"), "p_brand")
+    path = scratch(spark, "counted")
+    container.write(table.coalesce(1).sortWithinPartitions("p_brand"), path, head)  # one part, so that each group is told once
+    stored = scratch(spark, "stored")
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^(~ O P .*)$", f"$1\n# P {n}\n@ P {most}\n+ P {total}").alias("value"))
+    lines.coalesce(1).write.text(stored)
+    return container.validated(spark, stored)
+
+
+@query("select name as id, seq, len(seq) as n from seqs", X.SQL_SEQUENCES)
+def fn11_joined_contigs(spark, sf):
+    """Broken into contigs that know their place, with their qualities, and joined again."""
+    rows = X.sequences(spark, sf).select(F.col("name").alias("id"), F.lit(None).cast("string").alias("description"), "seq", "qual")
+    return scaffolds.joined(scaffolds.broken(rows, 2)).select("id", "seq", F.length("qual").cast("long").alias("n"))
+
+
+@query("select * from rt", X.SQL_ALIGNMENTS)
+def agg1_folded_taxa_of_a_stream(spark, sf):
+    """As agg1_read_taxa_of_a_stream, with batches folded into buckets on the way: one file for each bucket is read."""
+    source, path = scratch(spark, "arriving"), scratch(spark, "taxa")
+    X.read_taxa(spark, sf).select("qname", "taxid", "score").repartition(5).write.parquet(source)
+    stream = spark.readStream.schema("qname string, taxid int, score int").option("maxFilesPerTrigger", 1).parquet(source)
+    incremental.ingest(stream, path, scratch(spark, "ingest"), every=2, buckets=4).awaitTermination()
+    return incremental.current_taxa(spark, path)

@@ -138,6 +138,12 @@ def noted(spark: SparkSession, path: str, command: str, *sources: str) -> None:
     spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(path + "/_about")
 
 
+def restated(spark: SparkSession, path: str) -> None:
+    """Stores the statistics of a table as it stands beside it; its history stays."""
+    told = {"history": about(spark, path)["history"], "statistics": statistics(bucketed.plain(spark, path)).first().asDict()}
+    spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(path + "/_about")
+
+
 def about(spark: SparkSession, path: str) -> dict:
     """history and statistics of a table, as written() has stored them; empty ones of a table that has none."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path + "/_about")

@@ -64,6 +64,11 @@ def test_from_alignments_to_reports(spark, files, capsys):
     run(files, "stat", "/l.11.1read", "--usage")
     out = capsys.readouterr().out
     assert out.count("|ok") == 5 and "|S     |" in out
+    spark.read.parquet(str(files / "l.11.1read")).drop("place").write.parquet(str(files / "bare.1read"))  # a table without statistics gets them
+    run(files, "stat", "/bare.1read")
+    assert "|missing" in capsys.readouterr().out
+    run(files, "stat", "/bare.1read", "--header")
+    assert capsys.readouterr().out.count("|ok") == 5
     run(files, "view", "/l.11.1read", "--index", "0", "--index", "1-3")
     assert capsys.readouterr().out.count("\nI ") + 0 == 3
     run(files, "view", "/l.11.1read", "--head")
@@ -148,12 +153,24 @@ def test_sequences(spark, files, capsys):
     assert seqs("h.fa") == {"a": "ACnGT", "2": "g"} and seqs("e.fa") == {"a": "AACCnnnnGT", "2": "ggg"}
     run(files, "seqconvert", "/s.fa", "--fasta", "--break-gaps", "3", "--upper", "-o", "/b.fa")
     assert sorted(seqs("b.fa").values()) == ["AACC", "GGG", "GT"]
+    run(files, "seqconvert", "/b.fa", "--fasta", "--join", "-o", "/j.fa")
+    assert seqs("j.fa") == {"a": "AACCnnnnGT", "2": "GGG"}
+    run(files, "seqconvert", "/s.fa", "--packed", "-o", "/p.bin")
+    run(files, "seqconvert", "/p.bin", "--fasta", "-o", "/pp.fa")
+    assert seqs("pp.fa") == {"a": "aaccaaaagt", "2": "ggg"}
     run(files, "seqconvert", "/a.sam", "--quantise", "30", "--container", "-o", "/c.1txt")
     rows = one.reads(spark, str(files / "c.1txt"))
     assert rows.where(F.col("qual") != F.lit("?" * 50)).count() == 0 and rows.count() == text.sam(spark, str(files / "a.sam")).count()
     run(files, "view", "/c.1txt", "--index", "0", "-o", "/one.1txt")
     assert one.reads(spark, str(files / "one.1txt")).count() == 1
     capsys.readouterr()
+    (files / "own.1txt").write_text("1 3 abc 1 1\n~ O S 1 3 DNA\n~ D X 2 3 INT 11 STRING_LIST\nS 3 acg\nX 7 2 2 ab 1 c\nS 2 gg\n")
+    run(files, "view", "/own.1txt", "--head")
+    assert capsys.readouterr().out == "1 3 abc 1 1\n~ O S 1 3 DNA\n~ D X 2 3 INT 11 STRING_LIST\n"
+    run(files, "view", "/own.1txt", "--schema")
+    assert capsys.readouterr().out == "P 3 abc\nO S 1 3 DNA\nD X 2 3 INT 11 STRING_LIST\n"
+    run(files, "stat", "/own.1txt", "--header")
+    assert "# S 2\n@ S 3\n+ S 5\n# X 1\n@ X 2\n+ X 2" in capsys.readouterr().out
     run(files, "seqstat", "/a.sam", "--bases", "--qualities", "--lengths", "--identifiers")
     out = capsys.readouterr().out
     assert "n50" in out and "shared_prefix" in out and json.dumps(0) in out
