@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readlake.llm.ragged import U64, mix, slices
-from readlake.llm.tables import cut, lean, sized, small_batches
+from readlake.llm.tables import cut, lean, small_batches
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -111,7 +111,7 @@ def roots(forms: DataFrame) -> DataFrame:
     so rounds are the logarithm of the longest path; the lineage is cut in each."""
     links = cut(forms.select("word", F.col("form").alias("root")))
     while True:
-        on = sized(links.select(F.col("word").alias("_at"), F.col("root").alias("_next")))
+        on = links.select(F.col("word").alias("_at"), F.col("root").alias("_next"))
         step = links.join(on, F.col("root") == F.col("_at"), "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved"))
         links = cut(step)
         if links.where("moved").isEmpty():
