@@ -101,3 +101,20 @@ def test_running_taxa_equal_those_at_once(spark, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("running").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {tuple(r) for r in spark.table("running").collect()} == {tuple(r) for r in reads.taxa_of(df).collect()}
+
+
+def test_names_of_very_many_references(spark, tmp_path, monkeypatch):
+    lines = [*(f"@SQ\tSN:r{i}\tLN:9" for i in range(300)), *(f"q{i}\t0\tr{i % 7}\t1\t9\t1M\t{'=' if i % 2 else 'r299'}\t3\t0\tA\tI\tXX:Z:a b\tXF:f:0.5\tXA:A:c\tXC:B:c,-1,2\tXI:B:f,1.5" for i in range(60))]
+    (tmp_path / "a.sam").write_text("\n".join(lines) + "\n")
+    rows = text.sam(spark, str(tmp_path / "a.sam"))
+    for k in range(2):  # parts under two headers in one folder
+        bam.write(rows.where(F.col("pos") == 1).coalesce(1), str(tmp_path / f"{k}.bam"), spark.sql(f"select '@CO\ta{k}' as value").unionByName(spark.read.text(str(tmp_path / "a.sam")).where("value like '@%'")))
+    (tmp_path / "both.bam").mkdir()
+    for k in range(2):
+        (tmp_path / f"{k}.bam/part-00000.bam").rename(tmp_path / f"both.bam/part-{k}.bam")
+    want = sorted(2 * [(r.qname, r.rname, r.rnext, r.aux["XX"], r.aux["XC"]) for r in rows.collect()])
+    for most in (bam.MOST_SENT, 3):  # names that occur are looked up, if there are too many to send
+        monkeypatch.setattr(bam, "MOST_SENT", most)
+        got = bam.alignments(spark, str(tmp_path / "both.bam"), split=400)
+        assert sorted((r.qname, r.rname, r.rnext, r.aux["XX"], r.aux["XC"]) for r in got.collect()) == want
+    assert got.where("aux['XF'] = '0.5' and aux['XA'] = 'c' and aux['XI'] = 'f,1.5'").count() in (0, 120)
