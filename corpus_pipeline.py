@@ -42,12 +42,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents one stays: that with the smallest id, any id before none, of several texts under it the
-    one with the smallest hash. Rows are told apart by id and text, so texts that only share an id all stay."""
+    one with the smallest hash. Rows are told apart by id and text, so texts that only share an id are judged each; of rows that share
+    both, that with the smallest hash of its other columns stays."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
     rows = _row(docs, key.alias("key"))
     first = jaccard.join(docs.select(key.alias("key"), "text"), id_col="key").where("key = component_id").select(F.col("key").alias("first")).distinct()
-    kept = rows.join(first, F.col("key") == F.col("first"), "left_semi").dropDuplicates(["key"])
-    return _back(kept, docs.columns)
+    kept = rows.join(first, F.col("key") == F.col("first"), "left_semi")
+    one = kept.groupBy("key").agg(F.min_by(F.struct("row", "text"), F.xxhash64(F.to_json("row"))).alias("kept"))
+    return _back(one.select("kept.row", "kept.text"), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

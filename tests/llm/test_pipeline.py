@@ -41,6 +41,16 @@ def test_near_duplicates_loses_no_text(spark, sf):
     assert set(got.values()) == {1} and set(got) == kept_of_groups(rows) and {k for k, _ in got} == {None, 3, 7, 8, 9, 10}
 
 
+def test_near_duplicates_takes_the_same_row_of_repeated_ones(spark, sf):
+    rows = [(1, "a text that stands here often", f"s{i}", {"n": i}) for i in range(12)] + [(1, "a text that stands here often", None, None), (2, "", "x", None), (2, "", "y", None)]
+    found = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string, more map<string, int>").repartition(3, "source")
+        found.append(sorted((r.doc_id, r.text, r.source, r.more) for r in P.near_duplicates(spark, docs, sf).collect()))
+    assert found[0] == found[1] and [r[0] for r in found[0]] == [1, 2] and set((a, b, c) for a, b, c, _ in found[0]) <= {(a, b, c) for a, b, c, _ in rows}
+    assert P.near_duplicates(spark, docs.limit(0), sf).count() == 0
+
+
 def test_stages(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
     docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, "12 34", "en", "s", 5), (None, "the words of that text", None, None, 22), (9004, "these are long words " * 20_000, "en", "s", 420_000)], docs.schema))
