@@ -105,11 +105,13 @@ def fold(spark: SparkSession, path: str, upto: int, key: str = "qname", buckets:
 def current_taxa(spark: SparkSession, path: str, key: str = "qname") -> DataFrame:
     """(key, taxid, best_score, cnt) of all that ingest() has written so far; equal to the taxa of all alignments at once.
 
-    One file for each bucket, and the batches since the last fold, if there are any.
+    One file for each bucket, and the batches since the last fold, if there are any. No rows, with keys as text, if nothing has come yet.
     """
     now = folded(spark, path)
     new = _unfolded(spark, path, now["upto"])
     parts = [f"{path}/_fold={f}/bucket={b}" for b, f in now["at"].items()]
+    if not new and not parts:
+        return spark.createDataFrame([], f"`{key}` string, taxid int, best_score int, cnt long")
     if not new:
         return spark.read.parquet(*parts)
     return _summed(spark.read.parquet(*new, *parts), key)

@@ -130,6 +130,21 @@ def test_a_replayed_batch_counts_once(spark, tmp_path):
         assert {tuple(r) for r in incremental.current_taxa(spark, path).collect()} == {tuple(r) for r in reads.taxa_of(df).collect()}
 
 
+def test_a_stream_that_has_brought_nothing(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "qname string, taxid int, score int"
+    nothing = reads.taxa_of(spark.createDataFrame([], schema))
+    for step in ("no batch", "an empty batch", "an empty batch that is folded"):
+        if step == "an empty batch":
+            nothing.write.parquet(f"{path}/batch=0")
+        elif step == "an empty batch that is folded":
+            incremental.fold(spark, path, 0)
+        got = incremental.current_taxa(spark, path)
+        assert got.count() == 0 and [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in nothing.schema], step
+    reads.taxa_of(spark.createDataFrame([("q", 1, -2)], schema)).write.parquet(f"{path}/batch=1")
+    incremental.fold(spark, path, 1)
+    assert [tuple(r) for r in incremental.current_taxa(spark, path).collect()] == [("q", 1, -2, 1)]
+
+
 def test_windows_leave_late_rows_out(spark, tmp_path):
     schema = "at timestamp, qname string, taxid int, score int"
     rows = [[("2024-01-01 00:01:00", "a", 1, -3), ("2024-01-01 00:04:00", "a", 1, -1)], [("2024-01-01 00:21:00", "b", 2, None)], [("2024-01-01 00:02:00", "a", 1, 0), ("2024-01-01 00:40:00", "c", 3, -2)], [("2024-01-01 01:30:00", "d", 4, -2)]]
