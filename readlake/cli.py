@@ -29,8 +29,11 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
     return bam.headers(spark, path) if path.endswith(".bam") else text.sam_headers(spark, path)
 
 
-def sequences(spark: SparkSession, path: str) -> DataFrame:
-    """(id, description, seq, qual) of FASTA, FASTQ, SAM, BAM, a container in text form or a table of reads, by name or first line."""
+def sequences(spark: SparkSession, path: str, placed: bool = False) -> DataFrame:
+    """(id, description, seq, qual) of FASTA, FASTQ, SAM, BAM, a container in text form or a table of reads, by name or first line.
+
+    placed: with text.PLACE too where the format is FASTA or FASTQ, whose records may lack an id.
+    """
     def flat(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.col(name).alias("id"), F.lit(None).cast("string").alias("description"), "seq", "qual")
 
@@ -43,7 +46,7 @@ def sequences(spark: SparkSession, path: str) -> DataFrame:
         return flat(one.reads(spark, path), "name")
     if kind == "packed":
         return packed.sequences(spark, path)
-    return text.fasta(spark, path) if kind == "fasta" else text.fastq(spark, path)
+    return text.fasta(spark, path, placed=placed) if kind == "fasta" else text.fastq(spark, path, placed=placed)
 
 
 def make_acc_tax(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -151,13 +154,14 @@ def sort(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def convert(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = sequences(spark, a.input)
+    rows = sequences(spark, a.input, placed=True)
+    rows = sinks.named(rows, *(c for c in text.PLACE if c in rows.columns))
     if a.quantise is not None:
         rows = rows.withColumn("qual", F.array_join(F.transform(S.quantised(S.phred(F.col("qual")), a.quantise), lambda q: F.char(q + 33)), ""))
     if a.upper:
         rows = rows.withColumn("seq", F.upper("seq"))
     if a.break_gaps is not None:
-        rows = scaffolds.broken(sinks.named(rows), a.break_gaps)
+        rows = scaffolds.broken(rows, a.break_gaps)
     if a.join:
         rows = scaffolds.joined(rows)
     if a.collapse:
@@ -167,7 +171,7 @@ def convert(spark: SparkSession, a: argparse.Namespace) -> None:
         ends = F.split(F.regexp_extract("description", "runs=([0-9,]*)$", 1), ",")
         ends = F.filter(F.transform(ends, lambda x: x.try_cast("int")), lambda x: x.isNotNull())
         rows = rows.select("id", F.nullif(F.regexp_replace("description", " ?runs=[0-9,]*$", ""), F.lit("")).alias("description"), S.expanded(F.col("seq"), ends).alias("seq"), F.lit(None).cast("string").alias("qual"))
-    rows, out = sinks.named(rows), a.output or sinks.derived(a.input, "1read" if a.container else "bin" if a.packed else "fa" if a.fasta else "fq")
+    out = a.output or sinks.derived(a.input, "1read" if a.container else "bin" if a.packed else "fa" if a.fasta else "fq")
     if a.container:
         nothing = {c: F.lit(None) for c in ("max_score", "mline", "dust", "lca")}
         one.write_reads(rows.select(F.col("id").alias("name"), "seq", "qual").withColumns({c: v.cast("string" if c == "mline" else "int") for c, v in nothing.items()}).withColumn("tax", F.array().cast(TAX)), out)

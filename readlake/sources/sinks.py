@@ -8,8 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readlake.operators import sorting
 from readlake.operators.reads import statistics
-from readlake.session import cut
 from readlake.sources import bucketed
 
 
@@ -51,19 +51,12 @@ def sam(lines: DataFrame, header: DataFrame, path: str, compression: str = "none
     fs.delete(at, True)
 
 
-def named(sequences: DataFrame) -> DataFrame:
-    """sequences, those without an id under their number from 1 on in the order of the rows' partitions."""
-    spark = sequences.sparkSession
+def named(sequences: DataFrame, *order: str) -> DataFrame:
+    """sequences, those without an id under their number from 1 on in the order of columns, which go; without any, as the rows lie."""
     if sequences.where("id is null or id = ''").isEmpty():
-        return sequences
-    rows = sequences.withColumn("_part", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    rows = cut(rows)
-    before, n = {}, 0
-    for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").toLocalIterator():  # a number for each partition
-        before[r["_part"]], n = n, n + r["n"]
-    first = spark.createDataFrame([*before.items()] or [(0, 0)], "_part int, _first long")
-    own = (F.col("_first") + F.col("_i") + 1).cast("string")
-    return rows.join(F.broadcast(first), "_part").withColumn("id", F.coalesce(F.nullif("id", F.lit("")), own)).select(*sequences.columns)
+        return sequences.drop(*order)
+    rows = sorting.with_row_ids(sequences, *order, row_id="_n") if order else sorting.numbered(sequences, "_n")
+    return rows.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), (F.col("_n") + 1).cast("string"))).drop("_n", *order)
 
 
 def fasta_lines(sequences: DataFrame) -> DataFrame:

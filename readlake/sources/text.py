@@ -114,16 +114,20 @@ def tag(aux: Column, name: str, kind: str) -> Column:
     return F.when(value.rlike("^([0-9A-Fa-f]{2})*$"), value) if kind == "H" else value
 
 
-def fasta(spark: SparkSession, path: str, split: int = blocked.SPLIT) -> DataFrame:
-    """(id, description, seq, qual) of FASTA: white space and signs other than letters and `-` go, case stays."""
-    parts = blocked.pieces(spark, path, "\n>", split).select(F.regexp_replace("value", "^>", "").alias("value")).where("trim(value) <> ''")
+#: Where a record stands: its file, and two numbers that grow along it.
+PLACE = ("file", "at", "beside")
+
+
+def fasta(spark: SparkSession, path: str, split: int = blocked.SPLIT, placed: bool = False) -> DataFrame:
+    """(id, description, seq, qual) of FASTA: white space and signs other than letters and `-` go, case stays. placed: PLACE too."""
+    parts = blocked.pieces(spark, path, "\n>", split).select(F.regexp_replace("value", "^>", "").alias("value"), "file", F.col("block").alias("at"), F.col("i").alias("beside")).where("trim(value) <> ''")
     head, body = F.regexp_extract("value", "^([^\n]*)", 1), F.regexp_replace("value", "^[^\n]*", "")
     text = F.regexp_extract(head, r"^\S*\s+(.*\S)\s*$", 1)
-    return parts.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.when(text != "", text).alias("description"), F.regexp_replace(body, "[^A-Za-z-]", "").alias("seq"), F.lit(None).cast("string").alias("qual"))
+    return parts.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.when(text != "", text).alias("description"), F.regexp_replace(body, "[^A-Za-z-]", "").alias("seq"), F.lit(None).cast("string").alias("qual"), *(PLACE if placed else ()))
 
 
-def fastq(spark: SparkSession, path: str, split: int = blocked.SPLIT) -> DataFrame:
-    """(id, description, seq, qual) of FASTQ of four lines each; a record that breaks the format is an error.
+def fastq(spark: SparkSession, path: str, split: int = blocked.SPLIT, placed: bool = False) -> DataFrame:
+    """(id, description, seq, qual) of FASTQ of four lines each; a record that breaks the format is an error. placed: PLACE too.
 
     Files are cut at lines that begin with `@`. A piece with a `+` line two below begins a record; any other
     is part of the quality, which may begin with `@` too, of the record before it, perhaps in the block of the
@@ -135,14 +139,14 @@ def fastq(spark: SparkSession, path: str, split: int = blocked.SPLIT) -> DataFra
     in_block = W.partitionBy("file", "block").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     counted = pieces.withColumn("begins", begins.cast("int")).withColumn("k", F.sum("begins").over(in_block))
     before = counted.groupBy("file", "block").agg(F.sum("begins").alias("n")).withColumn("before", F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)))
-    placed = counted.join(before.select("file", "block", F.coalesce("before", F.lit(0)).alias("before")), ["file", "block"]).withColumn("record", F.col("before") + F.col("k"))
-    whole = placed.groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "i", "value"))), lambda x: x["value"]), "\n@").alias("value"))
+    records = counted.join(before.select("file", "block", F.coalesce("before", F.lit(0)).alias("before")), ["file", "block"]).withColumn("record", F.col("before") + F.col("k"))
+    whole = records.groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "i", "value"))), lambda x: x["value"]), "\n@").alias("value"))
     text = F.regexp_replace(F.when(F.col("record") == 1, F.substring("value", F.lit(2), F.length("value"))).otherwise(F.col("value")), "\n$", "")
     f = F.split(text, "\n")
     ok = (F.size(f) == 4) & (F.length(F.get(f, F.lit(1))) == F.length(F.get(f, F.lit(3))))
-    checked = whole.where(text != "").select(F.when(ok, f).otherwise(F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.substring("value", 1, 80)))).alias("f"))
+    checked = whole.where(text != "").select(F.when(ok, f).otherwise(F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.substring("value", 1, 80)))).alias("f"), "file", F.col("record").alias("at"), F.lit(0).alias("beside"))
     told = F.regexp_extract(F.get("f", F.lit(0)), r"^\S*\s+(.*\S)\s*$", 1)
-    return checked.select(F.regexp_extract(F.get("f", F.lit(0)), r"^(\S*)", 1).alias("id"), F.when(told != "", told).alias("description"), F.get("f", F.lit(1)).alias("seq"), F.get("f", F.lit(3)).alias("qual"))
+    return checked.select(F.regexp_extract(F.get("f", F.lit(0)), r"^(\S*)", 1).alias("id"), F.when(told != "", told).alias("description"), F.get("f", F.lit(1)).alias("seq"), F.get("f", F.lit(3)).alias("qual"), *(PLACE if placed else ()))
 
 
 def kind_of(first: str) -> str:

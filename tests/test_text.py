@@ -67,3 +67,24 @@ def test_names_and_kinds(spark, tmp_path):
     spark.range(5).write.parquet(path)
     sinks.rewritten(spark.read.parquet(path).where("id > 2"), path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_default_ids_follow_the_files(spark, tmp_path):
+    seqs = ["ACGT"[i % 4] * 3 + format(i, "09b").replace("0", "A").replace("1", "C") for i in range(300)]
+    ids = ["" if i % 3 else f"s{i}" for i in range(300)]
+    for form, read in (("fasta", text.fasta), ("fastq", text.fastq)):
+        lines = [f">{k}\n{s}" if form == "fasta" else f"@{k}\n{s}\n+\n{'@' * len(s)}" for k, s in zip(ids, seqs, strict=True)]
+        folder = tmp_path / form
+        folder.mkdir()
+        for i in range(2):
+            (folder / f"{i}.txt").write_text("\n".join(lines[150 * i : 150 * (i + 1)]) + "\n")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        try:
+            rows = read(spark, str(folder), placed=True)
+            got = {r.seq: r.id for r in sinks.named(rows, *text.PLACE).collect()}
+            assert read(spark, str(folder)).columns == ["id", "description", "seq", "qual"] == sinks.named(rows, *text.PLACE).columns
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == {s: k or str(i + 1) for i, (k, s) in enumerate(zip(ids, seqs, strict=True))}
+    given = rows.where("id <> ''")
+    assert sorted(r.id for r in sinks.named(given, *text.PLACE).collect()) == sorted(k for k in ids if k) and sinks.named(rows.limit(0), *text.PLACE).count() == 0
