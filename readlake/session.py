@@ -60,3 +60,12 @@ MOST_SENT = 1_000_000
 def sized(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
     """df, marked to be sent to every task if it has at most so many rows; else joins shuffle it."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+#: Rows that a task writes into a part of its own.
+PART = 1_000_000
+
+
+def parts(df: DataFrame, least: int, each: int = PART) -> int:
+    """Into how many parts to write df, so that a part stays as large as it is however many rows there are."""
+    return max(least, -(-df.count() // each))

@@ -90,35 +90,31 @@ def head(path: str) -> list[str]:
 def parsed(text: str, types: list[str]) -> dict | None:
     """A line's fields without its letter; strings stand behind their lengths, so they may hold spaces."""
     at, out = 0, {}
-
-    def word() -> str:
-        nonlocal at
-        end = text.find(" ", at)
-        got, at = (text[at:], len(text)) if end < 0 else (text[at:end], end + 1)
-        return got
-
-    def string() -> str:
-        nonlocal at
-        n = int(word())
-        got, at = text[at : at + n], at + n + 1
-        return got
-
     for i, t in enumerate(types):
-        if t == "INT":
-            value = int(word())
-        elif t == "REAL":
-            value = float(word())
-        elif t == "CHAR":
-            value = word()
+        if t in ("INT", "REAL", "CHAR"):
+            value, at = _word(text, at)
+            out[f"f{i}"] = value if t == "CHAR" else int(value) if t == "INT" else float(value)
         elif t in ("STRING", "DNA"):
-            value = string()
+            out[f"f{i}"], at = _string(text, at)
         else:
-            read = {"INT_LIST": lambda: int(word()), "REAL_LIST": lambda: float(word()), "STRING_LIST": string}[t]
-            value = [read() for _ in range(int(word()))]
-        out[f"f{i}"] = value
+            n, at = _word(text, at)
+            some = out[f"f{i}"] = []
+            for _ in range(int(n)):
+                value, at = _string(text, at) if t == "STRING_LIST" else _word(text, at)
+                some.append(int(value) if t == "INT_LIST" else float(value) if t == "REAL_LIST" else value)
     return out
 
 
+def _word(text: str, at: int) -> tuple[str, int]:
+    end = text.find(" ", at)
+    return (text[at:], len(text)) if end < 0 else (text[at:end], end + 1)
+
+
+def _string(text: str, at: int) -> tuple[str, int]:
+    n, at = _word(text, at)
+    return text[at : at + int(n)], at + int(n) + 1
+
+
 def objects(spark: SparkSession, path: str, letter: str | None = None, split: int = blocked.SPLIT) -> DataFrame:
     """A row for each object of a letter (the schema's main one), in columns named like the letters; `group` if the schema has groups.
 
@@ -127,34 +123,43 @@ def objects(spark: SparkSession, path: str, letter: str | None = None, split: in
     schema = Schema(head(path))
     own = letter or schema.main
     inner, group = schema.parts(own), next((g for g, o in schema.groups.items() if o == own), None)
-    rows = blocked.pieces(spark, path, f"\n{own} ", split).select("value", "file", "block", "i", F.monotonically_increasing_id().alias("_at"))
+    rows = blocked.pieces(spark, path, f"\n{own} ", split).select("value", "file", "block", "i")
     front, *more = schema.lines  # what stands before a file's first object begins with its header
     first = F.startswith(F.col("value"), F.lit(front + "\n")) & F.contains(F.col("value"), F.lit("\n" + (more or [""])[0]))
-    if group:
-        rows = rows.withColumn("group", F.regexp_extract("value", f"(?s).*(?:^|\n){group} ([^\n]*)", 1)).withColumn("group", F.nullif("group", F.lit("")))
-        within = F.last("group", True).over(W.partitionBy("file", "block").orderBy("i").rowsBetween(W.unboundedPreceding, -1))
-        ends = rows.groupBy("file", "block").agg(F.max_by("group", F.when(F.col("group").isNotNull(), F.col("i"))).alias("_last"))
-        before = F.last("_last", True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))  # a row for each block
-        rows = rows.withColumn("_within", within).join(ends.select("file", "block", before.alias("_before")), ["file", "block"]).withColumn("group", F.coalesce("_within", "_before"))
+    if group:  # a piece's last group line counts for the objects after it; each block needs the last one of the blocks before it
+        text = F.concat(F.lit("\n"), "value")
+        told = F.when(F.contains(text, F.lit(f"\n{group} ")), F.nullif(F.substring_index(F.substring_index(text, f"\n{group} ", -1), "\n", 1), F.lit("")))
+        rows = rows.withColumn("told", told)
+        ends = rows.where("told is not null").groupBy("file", "block").agg(F.max_by("told", "i").alias("last"))
+        every = rows.select("file", "block").distinct().join(ends, ["file", "block"], "left")  # a row for each block
+        before = F.last("last", True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+        rows = rows.join(F.broadcast(every.select("file", "block", before.alias("before"))), ["file", "block"])  # the rows stay in order
     else:
-        rows = rows.withColumn("group", F.lit(None).cast("string"))
-    rows = rows.where(~first).select("value", "group")
+        rows = rows.withColumns({"told": F.lit(None).cast("string"), "before": F.lit(None).cast("string")})
+    rows = rows.select("value", first.alias("first"), "file", "block", "told", "before")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now = None, None
         for b in batches:
             out: dict[str, list] = {x: [] for x in (own, *inner, "group")}
-            for text, of in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines = text.split("\n")
-                out[own].append(parsed(lines[0], schema.fields[own]))
-                out["group"].append(parsed(of, schema.fields[group]) if of is not None else None)
-                found: dict[str, list] = {x: [] for x in inner}
-                for x in lines[1:]:
-                    if x[:1] in schema.objects:  # another object has begun
-                        break
-                    if x[:1] in found:
-                        found[x[0]].append(parsed(x[2:], schema.fields[x[0]]))
-                for k, v in found.items():
-                    out[k].append(v)
+            for text, skip, file, block, told, before in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != (file, block):
+                    at = file, block
+                    now = parsed(before, schema.fields[group]) if before is not None else None
+                if not skip:
+                    lines = text.split("\n")
+                    out[own].append(parsed(lines[0], schema.fields[own]))
+                    out["group"].append(now)
+                    found: dict[str, list] = {x: [] for x in inner}
+                    for x in lines[1:]:
+                        if x[:1] in schema.objects:  # another object has begun
+                            break
+                        if x[:1] in found:
+                            found[x[0]].append(parsed(x[2:], schema.fields[x[0]]))
+                    for k, v in found.items():
+                        out[k].append(v)
+                if told is not None:
+                    now = parsed(told, schema.fields[group])
             yield pa.RecordBatch.from_arrays([pa.array(out[k], types[k]) for k in out], list(out))
 
     columns = {own: schema.struct(own)} | {x: f"array<{schema.struct(x)}>" for x in inner} | {"group": schema.struct(group) if group else "string"}
