@@ -63,7 +63,7 @@ def sized(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
 
 
 #: Rows that a task writes into a part of its own.
-PART = 1_000_000
+PART = 500_000
 
 
 def parts(df: DataFrame, least: int, each: int = PART) -> int:

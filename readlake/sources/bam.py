@@ -14,20 +14,21 @@ Files are opened through pyarrow's file systems, so stores other than local disk
 
 from __future__ import annotations
 
+import binascii
 import hashlib
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from readlake.schemas import ALIGNMENTS
 from readlake.session import MOST_SENT, cut, sized
@@ -38,9 +39,10 @@ BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 _PAIRS = np.array([BASES[b >> 4] + BASES[b & 15] for b in range(256)]).astype("S2").view(np.uint8).reshape(256, 2)
-_CODES = np.full(256, 15, np.uint8)
-_CODES[np.frombuffer(BASES.encode(), np.uint8)] = np.arange(16)
-_CODES[np.frombuffer(BASES.lower().encode(), np.uint8)] = np.arange(16)
+_DIGITS = bytes.maketrans((BASES + BASES.lower()).encode(), b"0123456789abcdef" * 2)  # two bases make a byte as two hexadecimal digits do
+_OTHERS = bytes(c for c in range(256) if chr(c) not in BASES + BASES.lower())
+_DIGITS = bytes(ord("f") if c in _OTHERS else _DIGITS[c] for c in range(256))
+_SCORES = bytes((c - 33) & 255 for c in range(256))
 NUMBERS = {b"c": "<b", b"C": "<B", b"s": "<h", b"S": "<H", b"i": "<i", b"I": "<I", b"f": "<f"}
 
 
@@ -128,9 +130,10 @@ def alignments(spark: SparkSession, path: str, split: int = 64 << 20) -> DataFra
     of references are joined to the records' numbers: all names, if they are few enough for every task, else those that occur.
     """
     register(spark)
-    heads: dict[bytes, list[str]] = {}
+    heads, known = {}, Heads()
     for name in files_of(path):
-        heads.setdefault(beginning(name), []).append(name)
+        with opened(name) as f:
+            heads.setdefault(known.of(f)[0], []).append(name)
     read = [_named(spark, ",".join(some), split) for some in heads.values()]
     return reduce(DataFrame.unionByName, read)
 
@@ -202,16 +205,34 @@ def files_of(path: str, end: str = ".bam") -> list[str]:
     return found
 
 
-def beginning(path: str) -> bytes:
-    """The blocks of a file that hold its header, as a digest: files with an equal one have an equal header."""
-    with opened(path) as f:
-        _, (place, skip) = header(f)
+class Heads:
+    """Headers of files, of which each is read as names once: others are held against the bytes in which it stands."""
+
+    def __init__(self):
+        self.known: list[tuple[bytes, int, tuple[int, int]]] = []  # digest, number of references, place of the first record
+
+    def of(self, f) -> tuple[int, int, tuple[int, int]]:
+        """Which of the headers seen so far a file has, how many references it names, and where its first record begins."""
+        for i, (digest, n_refs, first) in enumerate(self.known):
+            if f.size() >= first[0] and beginning(f, first) == digest:
+                return i, n_refs, first
+        names, first = header(f)
+        self.known.append((beginning(f, first), len(names), first))
+        return len(self.known) - 1, len(names), first
+
+
+def beginning(f, first: tuple[int, int]) -> bytes | None:
+    """The bytes before the block and the place in it as a digest, None if no block stands there."""
+    place, skip = first
+    try:
         digest, left = hashlib.sha256(block(f, place)[0][:skip] if skip else b""), place
-        f.seek(0)
-        while left > 0:
-            part = f.read(min(left, 1 << 20))
-            digest.update(part)
-            left -= len(part)
+    except (TypeError, ValueError, zlib.error, struct.error):
+        return None
+    f.seek(0)
+    while left > 0:
+        part = f.read(min(left, 1 << 20))
+        digest.update(part)
+        left -= len(part)
     return digest.digest()
 
 
@@ -250,17 +271,10 @@ class BamReader(DataSourceReader):
         self.path, self.split, self.named = path, split, named
 
     def partitions(self) -> list[Range]:
-        out, known = [], {}
+        out, known = [], Heads()
         for path in files_of(self.path):
             with opened(path) as f:
-                n, front = f.size(), f.read(1 << 16)
-                # a part that begins as another does has its header, if that ends there
-                if front in known and known[front][1][0] < len(front):
-                    n_refs, first = known[front]
-                else:
-                    names, first = header(f)
-                    n_refs = len(names)
-                    known[front] = n_refs, first
+                n, (_, n_refs, first) = f.size(), known.of(f)
             out += [Range(path, a, min(a + self.split, n), n_refs, first) for a in range(0, n, self.split) if a + self.split > first[0]]
         return out
 
@@ -605,13 +619,13 @@ def named(names: pa.Array, at: np.ndarray) -> pa.Array:
     return names.take(pa.array(np.maximum(at, 0), mask=at < 0)) if len(names) else pa.nulls(len(at), pa.string())
 
 
-class BamWriter(DataSourceWriter):
-    """Rows of one column of SAM lines as BAM files, one for each task."""
+class BamWriter(DataSourceArrowWriter):
+    """Batches of one column of SAM lines as BAM files, one for each task."""
 
     def __init__(self, path: str, header: str):
         self.path, self.header = path, header
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         context = TaskContext.get()
@@ -621,11 +635,12 @@ class BamWriter(DataSourceWriter):
         with system.open_output_stream(attempt) as out:
             names = self._head(out)
             held = bytearray()
-            for r in rows:
-                held += packed_record(r[0].split("\t"), names)
-                while len(held) >= BLOCK:
-                    out.write(packed_block(bytes(held[:BLOCK])))
-                    del held[:BLOCK]
+            for b in batches:
+                for line in b.column(0).to_pylist():
+                    held += packed_record(line.split("\t"), names)
+                    while len(held) >= BLOCK:
+                        out.write(packed_block(bytes(held[:BLOCK])))
+                        del held[:BLOCK]
             if held:
                 out.write(packed_block(bytes(held)))
             out.write(EOF_BLOCK)
@@ -698,20 +713,37 @@ def bin_of(start: int, end: int) -> int:
     return 0
 
 
+def _cigar(text: str) -> tuple[list[tuple[int, int]], int]:
+    """Operations, and how many bases of the reference they span."""
+    ops = [(int(n), OPS.index(o)) for n, o in re.findall(r"([0-9]+)([MIDNSHP=X])", text)] if text != "*" else []
+    return ops, sum(k for k, o in ops if OPS[o] in "MDN=X") or 1
+
+
+#: Letters below which a CIGAR or a tag is kept when it has been packed, as many recur.
+SHORT = 64
+
+
+@lru_cache(4096)
+def _short_cigar(text: str) -> tuple[list[tuple[int, int]], int]:
+    return _cigar(text)
+
+
+@lru_cache(4096)
+def _short_tag(text: str) -> bytes:
+    return packed_tag(text)
+
+
 def packed_record(f: list[str], names: dict[str, int]) -> bytes:
     """A SAM line's fields as a record."""
     name, cigar, seq, qual = f[0].encode() + b"\0", f[5], f[9], f[10]
-    ops = [(int(n), OPS.index(o)) for n, o in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar)] if cigar != "*" else []
+    ops, span = _short_cigar(cigar) if len(cigar) < SHORT else _cigar(cigar)
     pos, mate_pos = int(f[3]) - 1, int(f[7]) - 1
     ref = names.get(f[2], -1)
     mate = ref if f[6] == "=" else names.get(f[6], -1)
     n = 0 if seq == "*" else len(seq)
-    codes = _CODES[np.frombuffer(seq.encode() if n else b"", np.uint8)]
-    pairs = np.append(codes, np.zeros(n % 2, np.uint8)).reshape(-1, 2)
-    packed = (pairs[:, 0] << 4 | pairs[:, 1]).tobytes()
-    scores = b"\xff" * n if qual == "*" or len(qual) != n else (np.frombuffer(qual.encode(), np.uint8) - 33).tobytes()
-    aux = b"".join(packed_tag(x) for x in f[11:])
-    span = sum(k for k, o in ops if OPS[o] in "MDN=X") or 1
+    packed = binascii.unhexlify(seq.encode().translate(_DIGITS) + b"0" * (n % 2)) if n else b""
+    scores = b"\xff" * n if qual == "*" or len(qual) != n else qual.encode().translate(_SCORES)
+    aux = b"".join([_short_tag(x) if len(x) < SHORT else packed_tag(x) for x in f[11:]])
     told = ops
     if len(ops) > 0xFFFF:  # more than the field holds: they stand in a tag, and two operations in their place
         aux += b"CGBI" + struct.pack(f"<i{len(ops)}I", len(ops), *(k << 4 | o for k, o in ops))

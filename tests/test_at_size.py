@@ -5,7 +5,8 @@ import time
 import duckdb
 
 from readlake.plans import registry
-from readlake.sources import container
+from readlake.session import parts
+from readlake.sources import bam, container
 
 
 def test_accessions_beyond_six_digits(spark, tmp_path):
@@ -30,3 +31,24 @@ def test_long_objects_of_groups(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == [(0, "x", 40_000), (1, "y", 40_000), (2, "z", 40_000), (10, "x", 0), (11, "y", 0), (12, "z", 0)]
     assert time.time() - begun < 20
+
+
+def test_a_header_of_many_parts_is_read_once(spark, tmp_path, monkeypatch):
+    """Names of references that take more than a file's first bytes, in parts that are as many as their rows ask for."""
+    import base64
+    import random
+
+    rng, path = random.Random(3), str(tmp_path / "a.bam")
+    names = [base64.b32encode(rng.randbytes(10)).decode() for _ in range(8000)]
+    lines = [(f"r{i}\t0\t{names[i]}\t{i + 1}\t9\t3M\t*\t0\t0\tACg\tABC\tXA:i:{i}",) for i in range(40)]
+    rows = spark.createDataFrame(lines, "value string")
+    n = parts(rows, 3, 10)
+    assert (n, parts(rows, 5, 10)) == (4, 5)
+    bam.write_lines(rows.repartition(n), path, spark.createDataFrame([(f"@SQ\tSN:{x}\tLN:1000",) for x in names], "value string"))
+    calls, real = [], bam.header
+    monkeypatch.setattr(bam, "header", lambda f: calls.append(1) or real(f))
+    ranges = bam.BamReader(path, 1 << 20, False).partitions()
+    assert (len(ranges), len(calls), {r.n_refs for r in ranges}) == (4, 1, {8000})
+    monkeypatch.undo()
+    got = bam.alignments(spark, path).collect()
+    assert sorted((r.qname, r.rname, r.seq, r.qual, r.aux["XA"]) for r in got) == sorted((f"r{i}", names[i], "ACG", "ABC", str(i)) for i in range(40))
