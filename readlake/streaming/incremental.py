@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from readlake.operators.reads import taxa_of
+from readlake.session import parts
 
 #: Buckets of a folded table, and batches after which new ones are folded into it.
 BUCKETS, EVERY = 16, 8
@@ -75,7 +76,7 @@ def _summed(rows: DataFrame, key: str, *more: str) -> DataFrame:
 
 
 def fold(spark: SparkSession, path: str, upto: int, key: str = "qname", buckets: int = BUCKETS) -> None:
-    """Folds the batches up to one into hash buckets of the key; only buckets that they touch are written anew, each as one file.
+    """Folds the batches up to one into hash buckets of the key; only buckets that they touch are written anew, each as one file, or as several if it has grown large.
 
     A fold writes its buckets beside the old ones and then its list of all buckets under the number of its last batch: with that the
     fold counts, once. What is broken off before counts for nothing and is written over by the next try. Batches and buckets that
@@ -92,7 +93,9 @@ def fold(spark: SparkSession, path: str, upto: int, key: str = "qname", buckets:
     old = [f"{path}/_fold={now['at'][str(b)]}/bucket={b}" for b in touched if str(b) in now["at"]]
     if old:
         rows = rows.unionByName(spark.read.parquet(*old).withColumn("bucket", bucket))
-    _summed(rows, key, "bucket").repartition(n, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/_fold={upto}")
+    many = parts(rows, n)  # more than one file of a bucket, where it holds too many rows for one task
+    piece = F.pmod(F.shiftrightunsigned(F.xxhash64(key), 32), F.lit(-(-many // n)))
+    _summed(rows, key, "bucket").repartition(many, "bucket", piece).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/_fold={upto}")
     told = {"upto": upto, "buckets": n, "at": now["at"] | {str(b): upto for b in touched}}
     spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_folds/_{upto}")
     at, fs = _fs(spark, f"{path}/_folds/_{upto}")
@@ -105,7 +108,7 @@ def fold(spark: SparkSession, path: str, upto: int, key: str = "qname", buckets:
 def current_taxa(spark: SparkSession, path: str, key: str = "qname") -> DataFrame:
     """(key, taxid, best_score, cnt) of all that ingest() has written so far; equal to the taxa of all alignments at once.
 
-    One file for each bucket, and the batches since the last fold, if there are any. No rows, with keys as text, if nothing has come yet.
+    The files of buckets, and the batches since the last fold, if there are any. No rows, with keys as text, if nothing has come yet.
     """
     now = folded(spark, path)
     new = _unfolded(spark, path, now["upto"])

@@ -4,9 +4,11 @@ import time
 
 import duckdb
 
+from readlake.operators import reads
 from readlake.plans import registry
 from readlake.session import parts
 from readlake.sources import bam, container
+from readlake.streaming import incremental
 
 
 def test_accessions_beyond_six_digits(spark, tmp_path):
@@ -52,3 +54,15 @@ def test_a_header_of_many_parts_is_read_once(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     got = bam.alignments(spark, path).collect()
     assert sorted((r.qname, r.rname, r.seq, r.qual, r.aux["XA"]) for r in got) == sorted((f"r{i}", names[i], "ACG", "ABC", str(i)) for i in range(40))
+
+
+def test_a_large_bucket_is_folded_into_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "parts", lambda df, least: parts(df, least, 50), raising=False)
+    rows = spark.range(400).selectExpr("concat('r', id % 150) as qname", "cast(id % 3 as int) as taxid", "cast(-id as int) as score")
+    source, path = str(tmp_path / "source"), str(tmp_path / "taxa")
+    rows.repartition(4).write.parquet(source)
+    stream = spark.readStream.schema("qname string, taxid int, score int").option("maxFilesPerTrigger", 1).parquet(source)
+    incremental.ingest(stream, path, str(tmp_path / "checkpoint"), every=2, buckets=2).awaitTermination()
+    files = list((tmp_path / "taxa").glob("_fold=3/bucket=*/*.parquet"))
+    assert len(files) > 2 and incremental.folded(spark, path)["buckets"] == 2
+    assert sorted(map(tuple, incremental.current_taxa(spark, path).collect())) == sorted(map(tuple, reads.taxa_of(rows).collect()))
