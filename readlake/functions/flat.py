@@ -40,15 +40,19 @@ def sliced(f: Callable[[pa.RecordBatch], pa.RecordBatch], column: str) -> Callab
         for b in batches:
             if not b.num_rows:
                 continue
-            size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            part = (np.cumsum(size) - size) // SLICE
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
-            for a, z in zip(cuts, cuts[1:], strict=False):
+            for a, z in stretches(b.column(column), SLICE):
                 yield f(b.slice(a, z - a))
 
     return run
 
 
+def stretches(column: pa.Array, size: int) -> list[tuple[int, int]]:
+    """Stretches of rows, each of about so many bytes of a column of strings."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // size)) + 1).tolist(), len(column)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def counted(*keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct rows of small non-negative keys, and how many rows, or how much weight, each has."""
     wide = [int(k.max()) + 1 if len(k) else 1 for k in keys]

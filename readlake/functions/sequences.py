@@ -127,10 +127,15 @@ def flag_number(text: Column) -> Column:
     return F.when(text.rlike("^0[xX]"), F.conv(F.substring(text, 3, 20), 16, 10)).when(text.rlike("^0[0-7]"), F.conv(text, 8, 10)).otherwise(text).try_cast("int")
 
 
+#: Letters that are scored at once: some hundred bytes of arrays stand for each of them.
+DUST = 1 << 20
+
+
 @F.arrow_udf(T.IntegerType())
 def dust(seq: pa.Array) -> pa.Array:
     """flat.dust_scores, rounded to the nearest; null for a null."""
-    return pa.array(np.floor(0.5 + flat.dust_scores(flat.Flat(seq))).astype(np.int32), mask=seq.is_null().to_numpy(zero_copy_only=False))
+    scores = np.concatenate([flat.dust_scores(flat.Flat(seq.slice(a, z - a))) for a, z in flat.stretches(seq, DUST)])
+    return pa.array(np.floor(0.5 + scores).astype(np.int32), mask=seq.is_null().to_numpy(zero_copy_only=False))
 
 
 @F.arrow_udf(T.StringType())

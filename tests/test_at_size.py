@@ -3,6 +3,8 @@
 import time
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 
 from readlake.operators import reads
 from readlake.plans import registry
@@ -66,3 +68,17 @@ def test_a_large_bucket_is_folded_into_several_files(spark, tmp_path, monkeypatc
     files = list((tmp_path / "taxa").glob("_fold=3/bucket=*/*.parquet"))
     assert len(files) > 2 and incremental.folded(spark, path)["buckets"] == 2
     assert sorted(map(tuple, incremental.current_taxa(spark, path).collect())) == sorted(map(tuple, reads.taxa_of(rows).collect()))
+
+
+def test_dust_takes_a_batch_in_stretches(spark, monkeypatch):
+    from readlake.functions import flat, sequences
+
+    column = pa.array(["acgt" * 30, None, "", "a" * 500, "acgtn" * 90, "ca" * 70] * 5)
+    want = np.floor(0.5 + flat.dust_scores(flat.Flat(column))).astype(int).tolist()
+    most, real = [], flat.dust_scores
+    monkeypatch.setattr(sequences, "DUST", 600, raising=False)
+    monkeypatch.setattr(flat, "dust_scores", lambda x: most.append(len(x.data)) or real(x))
+    got = sequences.dust.func(column)
+    assert got.to_pylist() == [None if x is None else w for x, w in zip(column.to_pylist(), want, strict=True)]
+    assert max(most) < 600 + 500
+    assert sequences.dust.func(pa.array([], pa.string())).to_pylist() == []
