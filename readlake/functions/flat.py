@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,44 @@ def stretches(column: pa.Array, size: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
+def in_stretches(f: Callable[..., pa.Array], size: int, column: pa.Array, *beside: pa.Array) -> pa.Array:
+    """f over a column of strings and others beside it, taken in stretches of about so many bytes."""
+    return pa.concat_arrays([f(*(x.slice(a, z - a) for x in (column, *beside))) for a, z in stretches(column, size)])
+
+
+def codes(text: Flat) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all strings behind each other, and where each string begins among them; of ASCII these are the bytes."""
+    if not len(text.data) or text.data.max() < 128:
+        return text.data, text.offsets
+    begins = np.r_[0, np.cumsum((text.data & 0xC0) != 0x80)]
+    return np.frombuffer(text.data.tobytes().decode().encode("utf-32-le"), np.uint32), begins[text.offsets]
+
+
+def strings(found: np.ndarray, offsets: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """Strings of code points that stand behind each other; null where told."""
+    if found.dtype != np.uint8:
+        found = found.astype(np.uint32)
+        offsets = np.r_[0, np.cumsum(1 + (found > 0x7F) + (found > 0x7FF) + (found > 0xFFFF))][offsets]
+        found = np.frombuffer(found.tobytes().decode("utf-32-le").encode(), np.uint8)
+    there = None if null is None or not null.any() else pa.py_buffer(np.packbits(~null, bitorder="little"))
+    text = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [there, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(found))])
+    return text.cast(pa.string())
+
+
+def nulls(column: pa.Array) -> np.ndarray:
+    return column.is_null().to_numpy(zero_copy_only=False)
+
+
+def listed(values: pa.Array, counts: np.ndarray, null: np.ndarray) -> pa.Array:
+    """Values that stand behind each other as lists of so many."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), values, mask=pa.array(null))
+
+
+def odd(found: np.ndarray) -> np.ndarray:
+    """Which code points are other than A, C, G, T of either case."""
+    return ACGT[found] == 4 if found.dtype == np.uint8 else (found > 0xFF) | (ACGT[np.minimum(found, 0xFF)] == 4)
+
+
 def counted(*keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct rows of small non-negative keys, and how many rows, or how much weight, each has."""
     wide = [int(k.max()) + 1 if len(k) else 1 for k in keys]
@@ -125,6 +163,92 @@ def dust_scores(seq: Flat, window: int = 64) -> np.ndarray:
     return out
 
 
+def exceptions(seq: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Runs (pos, base, run) of one letter other than A, C, G, T of all sequences behind each other, and how many each has."""
+    letters, offsets = codes(Flat(seq))
+    at = np.flatnonzero(odd(letters))
+    first = np.zeros(len(letters) + 1, bool)
+    first[offsets] = True
+    new = np.flatnonzero(first[at] | (letters[at] != letters[at - 1]))
+    begins = at[new]
+    row = np.searchsorted(offsets, begins, "right") - 1
+    base = strings(letters[begins], np.arange(len(begins) + 1))
+    run = np.diff(np.r_[new, len(at)])
+    runs = pa.StructArray.from_arrays([pa.array((begins - offsets[row]).astype(np.int32)), base, pa.array(run.astype(np.int32))], ["pos", "base", "run"])
+    return runs, np.bincount(row, minlength=len(seq))
+
+
+def put_back(seq: str, found: Iterable[tuple[int, str, int]]) -> str:
+    """A sequence with runs laid over its letters one after the other; runs beyond its end make it longer."""
+    letters = list(seq)
+    for pos, base, run in found:
+        letters[pos : pos + run] = base if run == 1 else base * run
+    return "".join(letters)
+
+
+def overlaid(seq: pa.Array, found: pa.Array) -> pa.Array:
+    """Sequences with runs (pos, base, run) laid over their letters; null where a run tells no number or base."""
+    null = nulls(seq) | nulls(found)
+    counts = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row, runs = np.repeat(np.arange(len(seq)), counts), found.flatten()
+    pos, base, run = (runs.field(i) for i in range(3))
+    lacking = nulls(runs) | nulls(pos) | nulls(base) | nulls(run)
+    null[row[lacking]] = True
+    pos, run = (pc.fill_null(x, 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (pos, run))
+    signs, where = codes(Flat(base))
+    letters, offsets = codes(Flat(seq))
+    plain = (pos >= 0) & (run >= 0) & (pos + run <= np.diff(offsets)[row]) & (np.diff(where) == 1) & ~lacking
+    irregular = np.unique(row[~plain])
+    use = ~np.isin(row, irregular)
+    group, place = _spread(np.where(use, run, 0))
+    sign = signs[where[:-1][use]] if use.any() else signs[:0]
+    letters = letters.astype(np.result_type(letters, signs))
+    letters[(offsets[row] + pos)[group] + place] = np.repeat(sign, run[use])  # of runs that overlap the last one stands
+    out = strings(letters, offsets, null)
+    if not (~null[irregular]).any():
+        return out
+    some = out.to_pylist()
+    for i in irregular[~null[irregular]]:
+        some[i] = put_back(seq[i].as_py(), ((x["pos"], x["base"], x["run"]) for x in found[i].as_py()))
+    return pa.array(some, pa.string())
+
+
+def contigs(seq: pa.Array, qual: pa.Array, gap: int) -> pa.Array:
+    """(contigs, lead, end) of each sequence: its pieces between runs of at least gap letters other than A, C, G, T as (seq, qual, gap before it),
+    how long the run at its begin is, and the one at its end; without contigs all of it is the run at its begin.
+    """
+    letters, offsets = codes(Flat(seq))
+    at, null = np.flatnonzero(~odd(letters)), nulls(seq)
+    of = np.searchsorted(offsets, at, "right") - 1
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(of) > 0) | (np.diff(at) > gap)
+    starts, row = at[new], of[new]
+    ends = at[np.r_[new[1:], True]] + 1 if len(at) else at
+    counts = np.bincount(row, minlength=len(seq))
+    alone = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+    before = starts - np.where(alone, offsets[row], np.r_[0, ends[:-1]] if len(ends) else ends)
+    some, size = counts > 0, np.diff(offsets)
+    last, lead = np.cumsum(counts) - 1, size.copy()
+    lead[some] = before[(last - counts + 1)[some]]
+    end = np.zeros(len(seq), np.int64)
+    end[some] = offsets[1:][some] - ends[last[some]]
+    edges = np.zeros(len(letters) + 1, np.int8)
+    edges[starts] += 1
+    edges[ends] -= 1
+    kept, cuts = np.cumsum(edges, dtype=np.int8)[:-1] > 0, np.r_[0, np.cumsum(ends - starts)]
+    without = nulls(qual)
+    signs, where = codes(Flat(qual))
+    if (np.diff(where) == size)[~without].all():
+        whole = np.full(len(letters), ord("!"), signs.dtype)
+        whole[np.repeat(~without, size)] = signs[np.repeat(~(without | null), np.diff(where))]
+        quals = strings(whole[kept], cuts, without[row])
+    else:
+        told = qual.to_pylist()
+        quals = pa.array([None if without[r] else told[r][a : a + n] for r, a, n in zip(row, starts - offsets[row], ends - starts, strict=True)], pa.string())
+    pieces = pa.StructArray.from_arrays([strings(letters[kept], cuts), quals, pa.array(before.astype(np.int32))], ["seq", "qual", "gap"])
+    return pa.StructArray.from_arrays([listed(pieces, counts, null), pa.array(lead.astype(np.int32), mask=null), pa.array(end.astype(np.int32), mask=null)], ["contigs", "lead", "end"])
+
+
 def _numbers(text: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of digits within a string, and their values."""
     digit = (text.data >= 48) & (text.data <= 57)

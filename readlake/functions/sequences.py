@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,30 +92,6 @@ def contig_starts(pieces: Column, spaces: Column) -> Column:
     return F.transform(pieces, at)
 
 
-def exceptions(seq: Column) -> Column:
-    """(pos, base, run) of each run of one letter other than A, C, G, T, positions from 0."""
-    letters, n = F.split(seq, ""), F.length(seq)
-    nothing = F.array(F.lit(None).cast("string"))
-    beside = F.concat(nothing, F.slice(letters, F.lit(1), F.greatest(n - 1, F.lit(0)))), F.concat(F.slice(letters, F.lit(2), F.greatest(n, F.lit(1))), nothing)
-
-    def edges(other: Column) -> Column:
-        """(letter, place) of letters other than A, C, G, T that differ from the one beside them."""
-        pairs = F.arrays_zip(letters.alias("c"), other.alias("o"))
-        found = F.transform(pairs, lambda x, i: F.when(x["c"].rlike("^[^ACGTacgt]$") & ~x["c"].eqNullSafe(x["o"]), F.struct(x["c"].alias("c"), i.alias("i"))))
-        return F.filter(found, lambda x: x.isNotNull())
-
-    runs = F.zip_with(edges(beside[0]), edges(beside[1]), lambda a, z: F.struct(a["i"].alias("pos"), a["c"].alias("base"), (z["i"] - a["i"] + 1).alias("run")))
-    return F.when(n == 0, F.array().cast("array<struct<pos:int,base:string,run:int>>")).otherwise(runs)
-
-
-def overlaid(seq: Column, found: Column) -> Column:
-    """The sequence with exceptions() put back over its letters."""
-    def step(s: Column, e: Column) -> Column:
-        return F.concat(F.substring(s, F.lit(1), e["pos"]), F.repeat(e["base"], e["run"]), F.substring(s, e["pos"] + e["run"] + 1, F.length(s)))
-
-    return F.aggregate(found, seq, step)
-
-
 def common_prefix(low: Column, high: Column) -> Column:
     """The common front of two strings; of many strings it is that of the least and the greatest."""
     n = F.least(F.length(low), F.length(high))
@@ -130,6 +107,41 @@ def flag_number(text: Column) -> Column:
 #: Letters that are scored at once: some hundred bytes of arrays stand for each of them.
 DUST = 1 << 20
 
+RUNS = T.ArrayType(T.StructType().add("pos", "integer").add("base", "string").add("run", "integer"))
+
+
+@F.arrow_udf(RUNS)
+def exceptions(seq: pa.Array) -> pa.Array:
+    """(pos, base, run) of each run of one letter other than A, C, G, T, positions from 0."""
+    return flat.in_stretches(lambda x: flat.listed(*flat.exceptions(x), flat.nulls(x)), DUST, seq)
+
+
+@F.arrow_udf(T.StringType())
+def overlaid(seq: pa.Array, found: pa.Array) -> pa.Array:
+    """The sequence with exceptions() put back over its letters."""
+    return flat.in_stretches(flat.overlaid, DUST, seq, found)
+
+
+@F.arrow_udf(T.StructType().add("plain", "string").add("odd", "string"))
+def plain_and_odd(seq: pa.Array) -> pa.Array:
+    """The sequence in small letters with `a` for all but a, c, g, t, and its exceptions as lines `N pos base run`, empty if it has none."""
+    def told(x: pa.Array) -> pa.Array:
+        letters, offsets = flat.codes(flat.Flat(x))
+        small = np.where(flat.odd(letters), ord("a"), letters | 0x20).astype(np.uint8)
+        runs, counts = flat.exceptions(x)
+        pos, base, run = (runs.field(i) for i in range(3))
+        lines = pc.binary_join_element_wise("N", pos.cast(pa.string()), base, run.cast(pa.string()), " ")
+        return pa.StructArray.from_arrays([flat.strings(small, offsets, flat.nulls(x)), pc.binary_join(flat.listed(lines, counts, flat.nulls(x)), "\n")], ["plain", "odd"])
+
+    return flat.in_stretches(told, DUST, seq)
+
+
+@F.arrow_udf(T.StructType().add("contigs", T.ArrayType(T.StructType().add("seq", "string").add("qual", "string").add("gap", "integer"))).add("lead", "integer").add("end", "integer"))
+def pieces(seq: pa.Array, qual: pa.Array, gap: pa.Array) -> pa.Array:
+    """The contigs of a sequence with their qualities and the gaps before them, and the gaps at its two ends: as contigs() and gaps() give them."""
+    least = gap[0].as_py() if len(gap) else 1
+    return flat.in_stretches(lambda s, q: flat.contigs(s, q, least), DUST, seq, qual)
+
 
 @F.arrow_udf(T.IntegerType())
 def dust(seq: pa.Array) -> pa.Array:

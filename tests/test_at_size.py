@@ -6,6 +6,10 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
+from readlake.functions import flat
+from readlake.functions import sequences as S
 from readlake.operators import reads
 from readlake.plans import registry
 from readlake.session import parts
@@ -82,3 +86,32 @@ def test_dust_takes_a_batch_in_stretches(spark, monkeypatch):
     assert got.to_pylist() == [None if x is None else w for x, w in zip(column.to_pylist(), want, strict=True)]
     assert max(most) < 600 + 500
     assert sequences.dust.func(pa.array([], pa.string())).to_pylist() == []
+
+
+ODD = ["", "n", "nn", "acgt", "nACGTnnnACnnGTn", "aénn𝄞𝄞c", "éé", "UuTtRRy-*"]
+
+
+def brute_exceptions(seq):
+    out = []
+    for i, c in enumerate(seq):
+        if c not in "ACGTacgt":
+            if out and out[-1][1] == c and out[-1][0] + out[-1][2] == i:
+                out[-1] = (out[-1][0], c, out[-1][2] + 1)
+            else:
+                out.append((i, c, 1))
+    return out
+
+
+def test_exceptions_of_long_sequences(spark):
+    long = "an" * 150_000
+    begun = time.time()
+    df = spark.createDataFrame([(s,) for s in [*ODD, long, None]], "s string")
+    plain = F.regexp_replace("s", "[^ACGTacgt]", "a")
+    for r in df.select("s", S.exceptions("s").alias("e"), S.overlaid(plain, S.exceptions("s")).alias("back")).collect():
+        assert r.back == r.s and (r.e if r.s is None else [tuple(e) for e in r.e]) == (None if r.s is None else brute_exceptions(r.s))
+    assert time.time() - begun < 20
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("base", pa.string()), ("run", pa.int32())]))
+    runs = [[(1, "n", 2), (2, "r", 1)], [(2, "é", 1), (4, "n", 3)], [(0, "n", None)], None, []]
+    found = pa.array([None if r is None else [dict(zip(("pos", "base", "run"), x, strict=True)) for x in r] for r in runs], kind)
+    assert flat.overlaid(pa.array(["acgt"] * 5), found).to_pylist() == ["anrt", "acétnnn", None, None, "acgt"]
+    assert flat.overlaid(pa.array(["acgt"] * 5).slice(1), found.slice(1)).to_pylist() == ["acétnnn", None, None, "acgt"]
