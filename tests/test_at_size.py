@@ -13,7 +13,7 @@ from readlake.functions import sequences as S
 from readlake.operators import reads
 from readlake.plans import registry
 from readlake.session import parts
-from readlake.sources import bam, container
+from readlake.sources import bam, container, one
 from readlake.streaming import incremental
 
 
@@ -102,6 +102,20 @@ def brute_exceptions(seq):
     return out
 
 
+def test_reads_of_many_exceptions_in_a_container(spark, tmp_path):
+    """Each exception copied the whole sequence when it was put back."""
+    long = "acgtn" * 60_000
+    rows = [(f"r{i}", s, "q", 3 - i, "..", None, 7, [(5, -1, 2)]) for i, s in enumerate([*ODD, long])]
+    df = spark.createDataFrame(rows, "name string, seq string, qual string, max_score int, mline string, dust int, lca int, tax array<struct<taxid:int,best_score:int,cnt:bigint>>")
+    begun = time.time()
+    one.write_reads(df.repartition(3), str(tmp_path / "a"))
+    got = {r.name: (r.name, r.seq, r.qual, r.max_score, r.mline, r.dust, r.lca, [tuple(t) for t in r.tax]) for r in one.reads(spark, str(tmp_path / "a")).collect()}
+    assert [got[r[0]] for r in rows] == [(r[0], "".join(c.lower() if c in "ACGT" else c for c in r[1]), *r[2:]) for r in rows]
+    assert time.time() - begun < 30
+    (tmp_path / "b").write_text("1 3 seq 2 1\nS 4 acgt\nI 1 x\nN 1 n 2\nN 2 R 3\nL 9\nS 4 acgt\nN q n 1\nI 1 y\nS 9 acgt\nI 1 z")
+    assert sorted((r.name, r.seq, r.lca) for r in one.reads(spark, str(tmp_path / "b")).collect()) == [("x", "anRRR", 9), ("y", None, None), ("z", "acgt", None)]
+
+
 def test_exceptions_of_long_sequences(spark):
     long = "an" * 150_000
     begun = time.time()
