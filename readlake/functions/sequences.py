@@ -83,15 +83,6 @@ def scaffold(pieces: Column, spaces: Column) -> Column:
     return F.when(F.size(pieces) == 0, F.repeat(F.lit("n"), F.get(spaces, F.lit(0)))).otherwise(F.concat(F.array_join(joined, ""), tail))
 
 
-def contig_starts(pieces: Column, spaces: Column) -> Column:
-    """Where each contig begins, from 0: behind the gaps and the contigs before it."""
-    def at(_: Column, i: Column) -> Column:
-        gone = F.aggregate(F.slice(spaces, F.lit(1), i + 1), F.lit(0), lambda n, g: n + g)
-        return F.aggregate(F.slice(pieces, F.lit(1), i), gone, lambda n, c: n + F.length(c))
-
-    return F.transform(pieces, at)
-
-
 def common_prefix(low: Column, high: Column) -> Column:
     """The common front of two strings; of many strings it is that of the least and the greatest."""
     n = F.least(F.length(low), F.length(high))

@@ -17,13 +17,13 @@ def broken(sequences: DataFrame, gap: int = 20) -> DataFrame:
     Each description ends in a note of the contig's place, from which joined() puts the sequence together. Qualities are cut along. A
     sequence without any contig stays as one empty one, so that none is lost.
     """
-    pieces = sequences.select("id", "description", "seq", "qual", S.contigs(F.col("seq"), gap).alias("_c"), S.gaps(F.col("seq"), gap).alias("_g"))
-    rows = pieces.select("*", F.size("_c").alias("_n"), F.posexplode_outer(F.arrays_zip(F.col("_c").alias("c"), S.contig_starts(F.col("_c"), F.col("_g")).alias("a"))).alias("_k", "_x"))
+    taken = sequences.select("id", "description", "qual", S.pieces("seq", "qual", F.lit(gap)).alias("_p"))
+    rows = taken.select("id", "description", F.col("qual").isNotNull().alias("_q"), "_p.lead", "_p.end", F.size("_p.contigs").alias("_n"), F.posexplode_outer("_p.contigs").alias("_k", "_x"))
     k = F.coalesce(F.col("_k"), F.lit(0))
-    end = F.when((k + 1 >= F.col("_n")) & (F.col("_n") > 0), F.element_at("_g", -1)).otherwise(0)
-    note = F.format_string("scaffold=%s part=%d/%d gap=%d end=%d", F.col("id"), k + 1, F.greatest("_n", F.lit(1)), F.get("_g", k), end)
-    qual = F.when(F.col("qual").isNotNull(), F.coalesce(F.substring("qual", F.col("_x.a") + 1, F.length("_x.c")), F.lit("")))
-    return rows.select(F.concat_ws(".", "id", (k + 1).cast("string")).alias("id"), F.concat_ws(" ", F.nullif("description", F.lit("")), note).alias("description"), F.coalesce("_x.c", F.lit("")).alias("seq"), qual.alias("qual"))
+    end = F.when((k + 1 >= F.col("_n")) & (F.col("_n") > 0), F.col("end")).otherwise(0)
+    note = F.format_string("scaffold=%s part=%d/%d gap=%d end=%d", F.col("id"), k + 1, F.greatest("_n", F.lit(1)), F.when(F.col("_n") > 0, F.col("_x.gap")).otherwise(F.col("lead")), end)
+    qual = F.when(F.col("_q"), F.coalesce("_x.qual", F.lit("")))
+    return rows.select(F.concat_ws(".", "id", (k + 1).cast("string")).alias("id"), F.concat_ws(" ", F.nullif("description", F.lit("")), note).alias("description"), F.coalesce("_x.seq", F.lit("")).alias("seq"), qual.alias("qual"))
 
 
 def joined(contigs: DataFrame) -> DataFrame:
@@ -31,9 +31,12 @@ def joined(contigs: DataFrame) -> DataFrame:
 
     Contigs whose description has no note come back as they are. A scaffold that lacks a contig is an error.
     """
-    of = lambda i: F.regexp_extract("description", _NOTE, i)
+    told = F.regexp_extract("description", _NOTE, 0)  # one search for each contig; the note's words are cut from what it found
     noted = F.coalesce(F.col("description").rlike(_NOTE), F.lit(False))
-    rows = contigs.where(noted).select(of(1).alias("id"), F.struct(of(2).cast("int").alias("k"), of(3).cast("int").alias("n"), of(4).cast("int").alias("gap"), of(5).cast("int").alias("end"), "seq", "qual", F.nullif(F.regexp_replace("description", " ?" + _NOTE, ""), F.lit("")).alias("description")).alias("c"))
+    word = lambda name: F.substring_index(F.substring_index("_t", f" {name}=", -1), " ", 1)
+    number = lambda x: x.cast("int")
+    parts = contigs.select("*", told.alias("_t")).where("_t <> ''").select(F.substring_index(F.substring("_t", F.lit(len("scaffold=") + 1), F.length("_t")), " ", 1).alias("id"), F.split(word("part"), "/").alias("_p"), number(word("gap")).alias("gap"), number(word("end")).alias("end"), "seq", "qual", "description")
+    rows = parts.select("id", F.struct(number(F.get("_p", F.lit(0))).alias("k"), number(F.get("_p", F.lit(1))).alias("n"), "gap", "end", "seq", "qual", F.when(F.get("_p", F.lit(0)) == "1", F.col("description")).alias("description")).alias("c"))
     whole = rows.groupBy("id").agg(F.array_sort(F.collect_list("c")).alias("c"))
     right = (F.size("c") == F.get("c", F.lit(0))["n"]) & (F.element_at("c", -1)["k"] == F.size("c"))
 
@@ -42,5 +45,6 @@ def joined(contigs: DataFrame) -> DataFrame:
         return F.concat(F.array_join(F.transform("c", lambda x: F.concat(filled(x["gap"]), x[column])), ""), filled(F.element_at("c", -1)["end"]))
 
     checked = whole.withColumn("c", F.when(right, F.col("c")).otherwise(F.raise_error(F.concat(F.lit("contigs are lacking of "), F.col("id")))))
-    back = checked.select("id", F.get("c", F.lit(0))["description"].alias("description"), put("n", "seq").alias("seq"), F.when(F.forall("c", lambda x: x["qual"].isNotNull()), put("!", "qual")).alias("qual"))
+    description = F.nullif(F.regexp_replace(F.get("c", F.lit(0))["description"], " ?" + _NOTE, ""), F.lit(""))
+    back = checked.select("id", description.alias("description"), put("n", "seq").alias("seq"), F.when(F.forall("c", lambda x: x["qual"].isNotNull()), put("!", "qual")).alias("qual"))
     return contigs.where(~noted).select("id", "description", "seq", "qual").unionByName(back)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from readlake.functions import flat
 from readlake.functions import sequences as S
-from readlake.operators import reads
+from readlake.operators import reads, scaffolds
 from readlake.plans import registry
 from readlake.session import parts
 from readlake.sources import bam, container, one
@@ -129,3 +129,31 @@ def test_exceptions_of_long_sequences(spark):
     found = pa.array([None if r is None else [dict(zip(("pos", "base", "run"), x, strict=True)) for x in r] for r in runs], kind)
     assert flat.overlaid(pa.array(["acgt"] * 5), found).to_pylist() == ["anrt", "acétnnn", None, None, "acgt"]
     assert flat.overlaid(pa.array(["acgt"] * 5).slice(1), found.slice(1)).to_pylist() == ["acétnnn", None, None, "acgt"]
+
+
+def test_long_scaffolds_of_many_contigs(spark):
+    """Each contig's row held the whole scaffold, and its place was a sum over all contigs before it."""
+    begun, long = time.time(), "nn" + "acgtnnn" * 20_000
+    seqs = [*ODD, long, "nnnn"]
+    rows = [(f"s{i}", None, s, q) for i, s in enumerate(seqs) for q in [None if i % 3 == 2 else "".join(chr(35 + j % 50) for j in range(len(s)))]]
+    df = spark.createDataFrame(rows, "id string, description string, seq string, qual string")
+    parts_ = scaffolds.broken(df, 2)
+    back = {r.id: r for r in scaffolds.joined(parts_).collect()}
+    for name, _, seq, qual in rows:
+        here, q = brute_joined(seq, qual, 2)
+        assert (back[name].seq, back[name].qual) == (here, q)
+    assert time.time() - begun < 30
+
+
+def brute_joined(seq, qual, gap):
+    """seq with n, and qual with !, in the runs of at least gap letters other than A, C, G, T, and at both ends."""
+    import re
+
+    seq, qual = list(seq), None if qual is None else list(qual)
+    for m in re.finditer("[^ACGTacgt]+", "".join(seq)):
+        if m.end() - m.start() >= gap or m.start() == 0 or m.end() == len(seq):
+            for i in range(*m.span()):
+                seq[i] = "n"
+                if qual is not None:
+                    qual[i] = "!"
+    return "".join(seq), None if qual is None else "".join(qual)
