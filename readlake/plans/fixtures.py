@@ -7,8 +7,13 @@ sequence. Reads of the sequences are placed on suppliers by number.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from readlake.functions import flat
 
 GROUPS = {"AFRICA": "animals", "AMERICA": "plants", "ASIA": "fungi", "EUROPE": "bacteria", "MIDDLE EAST": "archaea"}
 
@@ -55,13 +60,58 @@ def read_taxa(spark: SparkSession, sf: str) -> DataFrame:
     return reads.with_taxa(alignments(spark, sf), refs)
 
 
+#: Letters of which the fixture makes match lines and qualities at once.
+LETTERS = 1 << 20
+OTHER = np.full(256, ord("."), np.uint8)
+OTHER[np.frombuffer(b"acgtn", np.uint8)] = np.frombuffer(b"CGTAN", np.uint8)
+
+
+#: The letters of a sequence by the byte of a text; 0: none.
+KEPT = np.zeros(256, np.uint8)
+KEPT[np.frombuffer(b"acgtnACGTN", np.uint8)] = np.frombuffer(b"acgtnacgtn", np.uint8)
+
+
+@F.arrow_udf(T.StringType())
+def _seq(text: pa.Array) -> pa.Array:
+    """The letters a, c, g, t and n of a text, in small letters."""
+    def told(t: pa.Array) -> pa.Array:
+        x = flat.Flat(t)
+        letters = KEPT[x.data]
+        kept = letters > 0
+        return flat.strings(letters[kept], np.r_[0, np.cumsum(kept)][x.offsets], flat.nulls(t))
+
+    return flat.in_stretches(told, LETTERS, text)
+
+
+@F.arrow_udf(T.StringType())
+def _mline(seq: pa.Array, doc_id: pa.Array) -> pa.Array:
+    """`-` at each 97th place and another letter at each 11th one seven on, counted from the document's number; else `.`."""
+    def told(s: pa.Array, d: pa.Array) -> pa.Array:
+        x, of = flat.Flat(s), d.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at, counted = x.places() + 1, ~flat.nulls(d)[x.rows()]
+        edit = np.where((at * 7 + of[x.rows()]) % 11 == 0, OTHER[x.data], ord("."))
+        line = np.where(counted, np.where((at + of[x.rows()]) % 97 == 0, ord("-"), edit), ord(".")).astype(np.uint8)
+        return flat.strings(line, x.offsets, flat.nulls(s))
+
+    return flat.in_stretches(told, LETTERS, seq, doc_id)
+
+
+@F.arrow_udf(T.StringType())
+def _qual(seq: pa.Array) -> pa.Array:
+    """A quality of 0 to 40 for each letter, by the letter and its place."""
+    def told(s: pa.Array) -> pa.Array:
+        x = flat.Flat(s)
+        return flat.strings((33 + (x.data + x.places()) % 41).astype(np.uint8), x.offsets, flat.nulls(s))
+
+    return flat.in_stretches(told, LETTERS, seq)
+
+
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     """(name, doc_id, seq, mline, qual, max_score, lca) of every document with a letter of a sequence."""
-    seqs = table(spark, sf, "documents").selectExpr("doc_id", "concat('D', lpad(cast(doc_id as string), 9, '0')) as name", "regexp_replace(lower(text), '[^acgtn]', '') as seq").where("seq <> ''")
+    some = table(spark, sf, "documents").where(F.col("text").rlike("[acgtnACGTN]"))
+    seqs = some.selectExpr("doc_id", "concat('D', lpad(cast(doc_id as string), 9, '0')) as name", "text").select("doc_id", "name", _seq("text").alias("seq"))
     n = table(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("n_su"))
-    at = F.transform(F.split("seq", ""), lambda c, i: F.when((i + 1 + F.col("doc_id")) % 97 == 0, "-").when(((i + 1) * 7 + F.col("doc_id")) % 11 == 0, F.upper(F.translate(c, "acgtn", "cgtan"))).otherwise("."))
-    q = F.transform(F.split("seq", ""), lambda c, i: F.char(33 + ((F.ascii(c) + i) % 41).cast("int")))
-    return seqs.crossJoin(F.broadcast(n)).select("name", "doc_id", "seq", F.array_join(at, "").alias("mline"), F.array_join(q, "").alias("qual"), (-(F.col("doc_id") % 50)).cast("int").alias("max_score"), F.when(F.col("doc_id") % 9 != 4, 1000 + F.col("doc_id") % F.col("n_su")).cast("int").alias("lca"))
+    return seqs.crossJoin(F.broadcast(n)).select("name", "doc_id", "seq", _mline("seq", "doc_id").alias("mline"), _qual("seq").alias("qual"), (-(F.col("doc_id") % 50)).cast("int").alias("max_score"), F.when(F.col("doc_id") % 9 != 4, 1000 + F.col("doc_id") % F.col("n_su")).cast("int").alias("lca"))
 
 
 #: CIGAR, MD, and the match line of a forward and of a reverse read of eleven bases.
