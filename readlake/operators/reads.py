@@ -48,12 +48,12 @@ def as_sequenced(df: DataFrame) -> DataFrame:
 def build(alignments: DataFrame, mates_apart: bool = False) -> DataFrame:
     """Reads of alignments (qname, flag, seq, qual, cigar, md, score, taxid, ord).
 
-    One grouping by name does it all: partial results by taxon meet the first record and the best one in one
-    shuffle by name. mates_apart keeps the two reads of a pair apart, which share their name.
+    Alignments are dealt by name once; in each part one sort by name and taxon serves the grouping by both and the one by
+    name, so partial results by taxon meet the first record and the best one without another shuffle. mates_apart keeps the two reads of a pair apart, which share their name.
     """
     need(alignments, "qname", "flag", "seq", "qual", "cigar", "md", "score", "taxid", "ord")
     key = F.when(F.lit(mates_apart) & (F.col("flag").bitwiseAND(0xC0) != 0), F.concat("qname", F.lit("/"), F.shiftright(F.col("flag").bitwiseAND(0xC0), 6).cast("string"))).otherwise(F.col("qname"))
-    rows = alignments.withColumn("name", key)
+    rows = alignments.withColumn("name", key).repartition("name")
     by_taxon = rows.groupBy("name", "taxid").agg(
         F.coalesce(F.max("score"), F.lit(NO_SCORE)).alias("best_score"), F.count(F.lit(1)).alias("cnt"), F.max("score").alias("score"),
         F.min_by(F.struct("seq", "qual", "flag"), "ord").alias("first"), F.min("ord").alias("first_ord"),

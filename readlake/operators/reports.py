@@ -162,12 +162,16 @@ def edits(reads: DataFrame) -> DataFrame:
     return reads.where("mline is not null").groupBy(F.length(F.translate("mline", ".", "")).alias("n_edits")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def present(reads: DataFrame) -> DataFrame:
+    """How many reads there are, how many have qualities and match lines, and the range of their scores."""
+    return reads.agg(F.count(F.lit(1)).alias("n_reads"), F.count("qual").alias("n_qualities"), F.count("mline").alias("n_match_lines"), F.min("max_score").alias("min_score"), F.max("max_score").alias("max_score"))
+
+
 def of_reads(reads: DataFrame) -> dict[str, DataFrame]:
     """The report of a table of reads by title: what there is, lengths, scores, edits, damage, substitutions."""
     need(reads, "seq", "mline", "qual", "max_score")
-    there = reads.agg(F.count(F.lit(1)).alias("n_reads"), F.count("qual").alias("n_qualities"), F.count("mline").alias("n_match_lines"), F.min("max_score").alias("min_score"), F.max("max_score").alias("max_score"))
     counts = cut(substitutions(reads))
-    return {"READS": there, "LENGTHS": lengths(reads, F.length("seq")), "SCORES": histogram(reads, "max_score").orderBy(F.desc("max_score")), "EDITS": edits(reads).orderBy("n_edits"), "DAMAGE": damage(counts).orderBy("zone", "pos"), "COUNTS": counts.orderBy("zone", "pos", "ref", "base")}
+    return {"READS": present(reads), "LENGTHS": lengths(reads, F.length("seq")), "SCORES": histogram(reads, "max_score").orderBy(F.desc("max_score")), "EDITS": edits(reads).orderBy("n_edits"), "DAMAGE": damage(counts).orderBy("zone", "pos"), "COUNTS": counts.orderBy("zone", "pos", "ref", "base")}
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:

@@ -174,3 +174,24 @@ def test_sequences_of_the_fixture(spark, tmp_path):
     plan = fixtures.sequences(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and "regexp_replace" not in plan
     assert time.time() - begun < 20
+
+
+def test_reads_are_built_in_one_exchange_and_one_sort(spark):
+    """Alignments were dealt by name and taxon, their partial results once more by name."""
+    columns = ("concat('r', id % 40) as qname", "0 as flag", "concat('AC', id) as seq", "'II' as qual", "'2M' as cigar", "'2' as md", "cast(if(id % 3 = 0, null, id % 7) as int) as score", "cast(id % 5 as int) as taxid", "id as ord")
+    rows = reads.build(spark.range(400).selectExpr(*columns))
+    plan = rows.drop("tax")._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange "), plan.count("Sort [")) == (1, 1)
+    got = {r.name: r for r in rows.collect()}
+    for k in range(40):
+        mine = [i for i in range(400) if i % 40 == k]
+        assert got[f"r{k}"].seq == f"AC{k}" and got[f"r{k}"].max_score == max(i % 7 for i in mine if i % 3)
+        assert {(t.taxid, t.cnt) for t in got[f"r{k}"].tax} == {(x, sum(i % 5 == x for i in mine)) for x in {i % 5 for i in mine}}
+
+
+def test_what_reads_have_runs_nothing_else(spark, sf, monkeypatch):
+    """The report's other tables were worked out and checkpointed too, so reads were built twice."""
+    from readlake.operators import reports
+
+    monkeypatch.setattr(reports, "cut", lambda df: 1 / 0)
+    assert registry.queries()["agg17_what_reads_have"](spark, sf).first().n_reads > 0
