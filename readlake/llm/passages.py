@@ -147,6 +147,11 @@ def _passage_hashes(values: np.ndarray, t: int) -> np.ndarray:
         return mix((sums[t:] - sums[:-t]) * np.multiply.accumulate(back))
 
 
+def _counted(first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each place how many of the places at count for the passage that begins there: those count from first to themselves."""
+    return np.cumsum(np.bincount(first[at], minlength=len(first) + 1) - np.bincount(at + 1, minlength=len(first) + 1))[:-1]
+
+
 class Sequence:
     """Values of a text and what comparisons of its passages of t values need."""
 
@@ -174,8 +179,7 @@ class Sequence:
 
     def distinct(self, some: np.ndarray) -> np.ndarray:
         """How many values each passage has, repeated ones once, of those in some places."""
-        n, at = len(self.first), np.flatnonzero(some)
-        return np.cumsum(np.bincount(self.first[at], minlength=n + 1) - np.bincount(at + 1, minlength=n + 1))[: n - self.t + 1]
+        return _counted(self.first, np.flatnonzero(some))[: len(self.first) - self.t + 1]
 
     def places(self, other: Sequence) -> tuple[np.ndarray, np.ndarray]:
         """Where the value of each of other's places begins and ends in order."""
@@ -490,18 +494,36 @@ def few_windows(batches: Iterator[pa.RecordBatch], most: int = 1 << 14) -> Itera
             yield b.slice(a, z - a)
 
 
+def enough(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether passages of n and m different values or more can be similar, if they have at most so many in common."""
+    return (both * (OF + NEED) >= NEED * (n + m)) & (OF * both >= NEED * np.maximum(n, m))
+
+
 class Block:
     """Stretches of several texts, to find those that have passages similar to a given one's."""
 
     def __init__(self, known: list[tuple[int, np.ndarray]], t: int):
         self.tids, self.parts, self.t = np.array([k for k, _ in known]), [p for _, p in known], t
         size = np.array([len(p) for p in self.parts])
-        self.own = np.unique(np.repeat(np.arange(len(known), dtype=U64), size) << U64(32) | np.concatenate(self.parts))
-        self.part_of, self.values = (self.own >> U64(32)).astype(np.int64), self.own.astype(np.uint32)
+        self.flat, self.edges = np.concatenate(self.parts), np.r_[0, np.cumsum(size)]
+        keys = np.repeat(np.arange(len(known), dtype=U64), size) << U64(32) | self.flat
+        order = np.argsort(keys, kind="stable")
+        new = np.r_[True, keys[order[1:]] != keys[order[:-1]]]
+        own = keys[order[new]]
+        before = np.full(len(keys), -1)
+        before[order[1:][~new[1:]]] = order[:-1][~new[1:]]
+        #: as in Sequence, but for the places of all parts behind each other: the first of the passages that count a place's value there
+        self.first = np.maximum(np.maximum(before + 1, np.arange(len(keys)) - t + 1), np.repeat(self.edges[:-1], size))
+        #: how many values the passage from each place on has, repeated ones once; past a part's last passage it means nothing
+        self.n = _counted(self.first, np.arange(len(keys)))
         #: distinct values that each passage of a part has at least
-        self.least = np.maximum(t - size + np.bincount(self.part_of, minlength=len(known)), 1)
-        self.by_value = np.argsort(self.values, kind="stable")
-        self.sorted, self.texts = self.values[self.by_value], set(self.tids.tolist())
+        self.least = np.maximum(t - size + np.bincount((own >> U64(32)).astype(np.int64), minlength=len(known)), 1)
+        #: each part's different values, ordered by value, and the parts that they are of
+        own = np.sort(own << U64(32) | own >> U64(32))
+        self.sorted, self.part_of = (own >> U64(32)).astype(np.uint32), own.astype(np.uint32).astype(np.int32)
+        #: the texts, and the values of each as often as it has parts that hold them
+        self.texts, of = np.unique(self.tids, return_inverse=True)
+        self.by_text = np.sort(of[self.part_of].astype(U64) << U64(32) | self.sorted)
 
     def found(self, opens: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
         """(tid, starts) of those passages of opens (tid, at, values, starts) that are similar to one of another text.
@@ -511,44 +533,72 @@ class Block:
         size = np.array([len(x[2]) for x in opens])
         edges = np.r_[0, np.cumsum(size)]
         values, of = np.concatenate([x[2] for x in opens]), np.repeat(np.arange(len(opens), dtype=U64), size)
-        own = np.array([x[0] in self.texts for x in opens])
+        tids = np.array([x[0] for x in opens])
+        text = np.minimum(np.searchsorted(self.texts, tids), len(self.texts) - 1)
+        text = np.where(self.texts[text] == tids, text, len(self.texts)).astype(U64)
         n = np.maximum(self.t - size + np.bincount((np.unique(of << U64(32) | values) >> U64(32)).astype(np.int64), minlength=len(opens)), 1)
         many = np.searchsorted(self.sorted, values, "right") - np.searchsorted(self.sorted, values)
-        common = np.r_[0, np.cumsum(many > np.repeat(own, size))]
+        mine = np.repeat(text, size) << U64(32) | values
+        common = np.r_[0, np.cumsum(many > np.searchsorted(self.by_text, mine, "right") - np.searchsorted(self.by_text, mine))]
         which, start = np.repeat(np.arange(len(opens)), [len(x[3]) for x in opens]), np.concatenate([x[3] for x in opens])
         first = edges[which] + start
-        may = (common[first + self.t] - common[first]) * (OF + NEED) >= NEED * (n[which] + self.least.min())
+        may = enough(common[first + self.t] - common[first], n[which], self.least.min())
         for i in np.unique(which[may]).tolist():
             tid, at, a, _ = opens[i]
             yield tid, at + self.similar(tid, a, start[may & (which == i)])
 
     def similar(self, tid: int, a: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Those of a's passages at starts that are similar to one of another text than tid."""
-        t, own = self.t, Sequence(a, self.t)
-        n = own.n
+        own = Sequence(a, self.t)
         low = np.searchsorted(self.sorted, own.uniq)
         many = np.searchsorted(self.sorted, own.uniq, "right") - low
-        held = self.by_value[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-        both = np.bincount(self.part_of[held], minlength=len(self.parts))
-        some = np.flatnonzero((both * (OF + NEED) >= NEED * (n[starts].min() + self.least)) & (self.tids != tid))
+        held = self.part_of[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        both = np.bincount(held, minlength=len(self.parts))
+        some = np.flatnonzero(enough(both, own.n[starts].min(), self.least) & (self.tids != tid))
+        if not len(some):
+            return some
         some = some[np.argsort(-both[some], kind="stable")]
-        found, open_ = np.zeros(len(n), bool), np.zeros(len(n), bool)
+        has = np.zeros((len(own.uniq), len(self.parts)), bool)  # a window has less than two passages' values
+        has.ravel()[np.repeat(np.arange(len(own.uniq)) * len(self.parts), many) + held] = True
+        found, open_ = np.zeros(len(own.n), bool), np.zeros(len(own.n), bool)
         open_[starts] = True
-        for parts in np.array_split(some, -(-len(some) // 256)) if len(some) else []:
-            # of each passage, how many places hold a value that the part has
-            key = parts.astype(U64)[:, None] << U64(32) | a.astype(U64)
-            held = np.zeros((len(parts), len(a) + 1), np.int32)
-            held[:, 1:] = np.cumsum(self.own[np.minimum(np.searchsorted(self.own, key), len(self.own) - 1)] == key, axis=1)
-            may = (held[:, t:] - held[:, :-t]) * (OF + NEED) >= NEED * (n + self.least[parts][:, None])
-            for i in np.flatnonzero((may & open_).any(1)).tolist():
-                left = may[i] & open_
+        for parts in np.split(some, [256, *range(2048, len(some), 2048)]):  # mostly the first ones are enough
+            # of each open passage, how many places hold a value that the part has
+            common = np.zeros((len(a) + 1, len(parts)), np.int32)
+            np.cumsum(has[own.rank[:, None], parts], axis=0, out=common[1:])
+            at = np.flatnonzero(open_)
+            may = enough(common[at + self.t] - common[at], own.n[at][:, None], self.least[parts]).T
+            good = np.flatnonzero(may.any(1))
+            if not len(good):
+                continue
+            parts, may = parts[good], may[good]
+            good = np.flatnonzero(self._reached(own, parts, at, may))
+            for i in good.tolist():
+                left = np.zeros(len(own.n), bool)
+                left[at[may[i]]] = True
+                left &= open_
                 if left.any():
-                    new = near(own, Sequence(self.parts[parts[i]], t), left)
+                    new = near(own, Sequence(self.parts[parts[i]], self.t), left)
                     found[new], open_[new] = True, False
-            if not open_.any():
-                break
+                    if not open_.any():
+                        return np.flatnonzero(found)
         return np.flatnonzero(found)
 
+    def _reached(self, own: Sequence, parts: np.ndarray, at: np.ndarray, may: np.ndarray) -> np.ndarray:
+        """Of each of the parts, whether one of its passages has enough of the values between own's passages at those places that may be similar."""
+        t = self.t
+        first, last = at[may.argmax(1)], at[len(at) - 1 - may[:, ::-1].argmax(1)] + t
+        n = np.where(may, own.n[at], t).min(1)
+        size = self.edges[parts + 1] - self.edges[parts]
+        of, begin = np.repeat(np.arange(len(parts)), size), np.cumsum(size) - size
+        place = np.arange(len(of)) + np.repeat(self.edges[parts] - begin, size)
+        rank = np.minimum(np.searchsorted(own.uniq, self.flat[place]), len(own.uniq) - 1)
+        earliest, latest = own.order[own.begin], own.order[own.begin + own.many - 1]
+        inside = np.flatnonzero((own.uniq[rank] == self.flat[place]) & (earliest[rank] < last[of]) & (latest[rank] >= first[of]))
+        both = _counted(self.first[place] - (self.edges[parts] - begin)[of], inside)
+        passage = np.arange(len(of)) - begin[of] <= size[of] - t
+        return np.bincount(of[passage & enough(both, n[of], self.n[place])], minlength=len(parts)) > 0
+
 
 def _near_of_rest(groups: DataFrame, tested: DataFrame, held: DataFrame, open_: DataFrame, t: int, words: int) -> DataFrame:
     """(tid, start, end) of open passages that are similar to one of another text in a window of the same signature.

@@ -413,6 +413,46 @@ def test_near_passages_of_two_texts():
     assert found > 100
 
 
+def test_blocks_find_all_near_passages():
+    import numpy as np
+
+    rng, told = np.random.default_rng(5), 0
+    for _ in range(300):
+        t, some = int(rng.integers(4, 12)), int(rng.integers(3, 60))
+        base = rng.integers(0, some, 2 * t)
+
+        def stretch():
+            x = base.copy() if rng.random() < 0.8 else rng.integers(0, some, 2 * t)  # noqa: B023
+            x[rng.integers(0, 2 * t, rng.integers(0, 4))] = rng.integers(0, 2 * some)  # noqa: B023
+            a = int(rng.integers(0, t))  # noqa: B023
+            return x[a : rng.integers(a + t, 2 * t + 1)].astype(np.uint32)  # noqa: B023
+
+        known = [(int(rng.integers(0, 8)), stretch()) for _ in range(rng.integers(1, 12))]
+        opens = [(int(rng.integers(0, 8)), 3, a, np.arange(rng.integers(0, len(a) - t + 1), len(a) - t + 1)) for a in (stretch() for _ in range(6))]
+        sets = [(k, set(p[i : i + t].tolist())) for k, p in known for i in range(len(p) - t + 1)]
+        want = []
+        for tid, at, a, starts in opens:
+            of = {int(i): set(a[i : i + t].tolist()) for i in starts}
+            want.append((tid, [at + i for i, x in of.items() if any(k != tid and 100 * len(x & y) >= 80 * len(x | y) for k, y in sets)]))
+        assert [(k, x.tolist()) for k, x in passages.Block(known, t).found(opens) if len(x)] == [w for w in want if w[1]]
+        told += sum(len(w[1]) for w in want)
+    assert told > 1000
+
+
+def test_texts_that_share_too_short_a_phrase_are_not_compared(monkeypatch):
+    import numpy as np
+
+    rng, t = np.random.default_rng(3), 46
+    phrase, calls, near = rng.integers(1 << 20, 1 << 31, 44), [], passages.near
+    monkeypatch.setattr(passages, "near", lambda *args, **more: calls.append(1) or near(*args, **more))
+    window = lambda different: np.r_[np.resize(rng.integers(1 << 20, 1 << 31, different), 29), phrase].astype(np.uint32)
+    known = [(i, window(5)) for i in range(60)]  # a few values, again and again, before the phrase
+    opens = [(100 + i, 0, window(29), np.arange(17, 21)) for i in range(20)]
+    assert not any(len(x) for _, x in passages.Block(known, t).found(opens)) and not calls
+    opens.append((200, 0, np.r_[np.arange(2), known[7][1][2:]].astype(np.uint32), np.arange(8)))
+    assert [(k, x.tolist()) for k, x in passages.Block(known, t).found(opens) if len(x)] == [(200, list(range(8)))] and len(calls) == 1
+
+
 def test_near_passages_beside_a_popular_one(spark):
     rng = random.Random(9)
     some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
